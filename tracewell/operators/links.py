@@ -1,0 +1,68 @@
+"""Parent and child sessions: linking, matching, promotion, orphans."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def last_earlier(results: DataFrame, calls: DataFrame, keys: list[str], take: list[str], order: str = "ord") -> DataFrame:
+    """``results`` with the columns ``take`` of the last call before each (or at the same place), per key.
+
+    Both sides are stacked and a running last value is taken: one shuffle on the keys, and no join that
+    pairs every call with every result.
+    """
+    side = lambda df, is_call: df.select(*keys, order, F.lit(is_call).alias("__call"), *(F.col(c) if is_call else F.lit(None).cast(calls.schema[c].dataType).alias(c) for c in take), (F.struct(*results.columns) if not is_call else F.lit(None).cast(results.select(F.struct(*results.columns).alias("r")).schema["r"].dataType)).alias("__r"))
+    both = side(calls, True).unionByName(side(results, False))
+    w = Window.partitionBy(*keys).orderBy(order, F.desc("__call")).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("__call"), F.struct(*take)), ignorenulls=True).over(w)
+    return both.withColumn("__last", last).filter("NOT __call").select("__r.*", *(F.col(f"__last.{c}").alias(c) for c in take))
+
+
+def coordinators(sessions: DataFrame) -> DataFrame:
+    """Sessions with ``session_type`` set to coordinator where another session names them as parent."""
+    parents = sessions.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("id")).distinct().withColumn("has_children", F.lit(True))
+    kind = F.when(F.col("has_children") & F.col("parent_id").isNull(), "coordinator").otherwise(F.col("session_type"))
+    return sessions.join(parents, "id", "left").withColumn("session_type", kind).drop("has_children")
+
+
+def orphans(sessions: DataFrame) -> DataFrame:
+    """Missing parents, made up from their children: earliest start and its working folder, tag ``_recovered``."""
+    kids = sessions.filter("parent_id IS NOT NULL")
+    known = sessions.select(F.col("id").alias("parent_id"))
+    lost = kids.join(known, "parent_id", "left_anti")
+    first = F.struct("started_at", "id")
+    return lost.groupBy("parent_id").agg(F.count("*").alias("children"), F.min("started_at").alias("started_at"), F.min_by("cwd", first).alias("cwd"), F.lit("_recovered").alias("tag"))
+
+
+def inherit(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """Children take their parent's start and folder where their own are unknown."""
+    p = parents.select(F.col("id").alias("parent_id"), F.col("started_at").alias("p_start"), F.col("cwd").alias("p_cwd"))
+    joined = children.join(p, "parent_id", "left").withColumns({"started_at": F.coalesce("started_at", "p_start"), "cwd": F.coalesce("cwd", "p_cwd")})
+    return joined.select(*children.columns)
+
+
+def match_files(summaries: DataFrame, files: DataFrame) -> DataFrame:
+    """Child summaries (``parent, agent_id``) with the file (``parent, file_id``) whose id is a prefix of theirs, or the other way round.
+
+    An equality on the first eight characters narrows the prefix test; of several files the longest wins.
+    """
+    bare = lambda c: F.regexp_replace(c, "^agent-", "")
+    s = summaries.withColumn("__a", bare("agent_id")).withColumn("__k", F.substring("__a", 1, 8))
+    f = files.select("parent", "file_id", bare("file_id").alias("__f")).withColumn("__k", F.substring("__f", 1, 8))
+    hit = s.join(f, ["parent", "__k"], "left").withColumn("file_id", F.when(F.col("__a").startswith(F.col("__f")) | F.col("__f").startswith(F.col("__a")), F.col("file_id")))
+    return hit.groupBy(*summaries.columns).agg(F.max_by("file_id", F.struct(F.length("file_id"), "file_id")).alias("file_id"))
+
+
+def child_ids(children: DataFrame) -> DataFrame:
+    """``id`` for each child (``parent_id, uid``): eight characters of its uid, twelve where parents clash."""
+    w = Window.partitionBy(F.substring("uid", 1, 8)).orderBy("parent_id")
+    clash = F.dense_rank().over(w) > 1
+    return children.withColumn("id", F.when(clash, F.substring("uid", 1, 12)).otherwise(F.substring("uid", 1, 8)))
+
+
+def child_description(description, prompt):
+    """At most 80 characters of a description, else the first line of the prompt that isn't blank."""
+    first = F.trim(F.regexp_extract(F.coalesce(prompt, F.lit("")), r"(?m)^\s*(\S.*)$", 1))
+    text = F.coalesce(F.nullif(F.trim(description), F.lit("")), F.nullif(first, F.lit("")), F.lit("subagent task"))
+    return F.when(F.length(text) > 80, F.concat(F.substring(text, 1, 77), F.lit("..."))).otherwise(text)
