@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, hash64, mix64, shuffle_width
+from .common import blocks, hash64, mix64
 from .packing import pack, unpack
 
 PREFIX_CHARS = 12
@@ -146,7 +146,8 @@ def _deep_nodes(table: pa.Table) -> pa.Table:
 def repeated_windows(docs: DataFrame, *, window: int = 20) -> DataFrame:
     """``doc_id, starts``: each document's windows whose words also start earlier; one row per document."""
     volume = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    groups = max(shuffle_width(docs.sparkSession), int(volume // 16_000_000) + 1)
+    # Groups hold 8 to 64 MB of text: small inputs need some parallelism, large ones fewer, fuller rows.
+    groups = 1 + int(max(min(volume // 8_000_000, 128), volume // 64_000_000))
     known = docs.filter(F.col("doc_id").isNotNull())
     found = leaves(known, window, groups).groupBy("grp").applyInArrow(_deep_nodes, "doc_id long, starts array<int>")
     return found.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("starts"))).alias("starts"))
