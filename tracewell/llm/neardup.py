@@ -3,17 +3,18 @@
 A document's shingles are hashed once; the hash picks a bin and the smallest value of a bin is kept.
 An empty bin takes the value of the first non-empty bin that a fixed sequence of draws, its own and the
 same for all documents, points to. Bands of bins make buckets. Documents with equal shingle sets are
-one node. In each bucket the smallest node is the centre of a star: only edges to it are checked, on
-full sets. Buckets whose members all end in one component are done. In the others, members outside the
-largest component become further centres, a bounded number a round, until none is left, so that no
-link is lost to the star's shape and no round emits all pairs of a bucket.
+one node. In each bucket the node with most company is the centre of a star; only star edges are candidates, and
+at first each node checks the one to the centre it shares most bands with, on full sets. Buckets whose
+members all end in one component are done. In the others all star edges are checked, and then members
+outside the largest component become further centres, few at first and more in later rounds, until none
+is left. So no link is lost to the star's shape, and most members are of one component before they meet.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,66 +42,70 @@ def draws(bins: int) -> np.ndarray:
     return (mix64(i * np.uint64(1_000_003) + j + np.uint64(17)) % np.uint64(bins)).astype(np.int64)
 
 
-def signature(x: np.ndarray, bins: int, table: np.ndarray) -> np.ndarray:
-    """Densified one-permutation signature of a non-empty set of hashes."""
-    sig = np.full(bins, np.iinfo(np.uint64).max, np.uint64)
-    where = (x % np.uint64(bins)).astype(np.int64)
+def densified(owner: np.ndarray, x: np.ndarray, n_docs: int, table: np.ndarray) -> np.ndarray:
+    """Signatures (documents x bins) of the hashes ``x`` of documents ``owner``, each with one at least."""
+    bins = len(table)
+    sig = np.full(n_docs * bins, np.iinfo(np.uint64).max, np.uint64)
+    where = owner * bins + (x % np.uint64(bins)).astype(np.int64)
     np.minimum.at(sig, where, x)
-    full = np.zeros(bins, bool)
+    full = np.zeros(n_docs * bins, bool)
     full[where] = True
-    empty = np.flatnonzero(~full)
-    if len(empty):
-        asked = full[table[empty]]
-        first = asked.argmax(1)
-        take = table[empty, first]
-        lost = np.flatnonzero(~asked[np.arange(len(empty)), first])
-        for e in lost:  # hardly ever: none of the draws met a full bin
-            n = np.uint64(DRAWS)
-            while not full[(t := int(mix64(np.array([np.uint64(empty[e]) * np.uint64(1_000_003) + n + np.uint64(17)], np.uint64))[0] % np.uint64(bins)))]:
-                n += np.uint64(1)
-            take[e] = t
-        # The bin number goes into the value, so that two bins that hold the same copy still differ by place only.
-        sig[empty] = sig[take]
+    sig, full = sig.reshape(n_docs, bins), full.reshape(n_docs, bins)
+    doc, empty = np.nonzero(~full)
+    draw = 0
+    while len(doc):
+        asked = table[empty, draw] if draw < DRAWS else (mix64(empty.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(draw + 17)) % np.uint64(bins)).astype(np.int64)
+        met = full[doc, asked]
+        sig[doc[met], empty[met]] = sig[doc[met], asked[met]]
+        doc, empty, draw = doc[~met], empty[~met], draw + 1
     return sig
 
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    parts = sig[: bands * rows].reshape(bands, rows)
-    key = np.arange(bands, dtype=np.uint64)
+    """Bucket of each document (row of ``sig``) in each band."""
+    parts = sig.reshape(len(sig), bands, rows)
+    key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(sig), bands))
     with np.errstate(over="ignore"):
         for r in range(rows):
-            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, r])
+            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, r])
     return key.view(np.int64)
 
 
+def _sets(texts: list[str | None], size: int) -> list[np.ndarray]:
+    """Distinct shingle hashes of each text, ascending."""
+    tokens = [space_tokens(t) for t in texts]
+    h, at, out = hash64([w for t in tokens for w in t]), 0, []
+    runs = shingle_hashes(h, size) if len(h) >= size else h
+    for t in tokens:
+        n = len(t)
+        out.append(np.unique(runs[at : at + n - size + 1] if n >= size else shingle_hashes(h[at : at + n], size)))
+        at += n
+    return out
+
+
 def signatures(docs: DataFrame, *, shingle: int, bands: int, rows: int) -> DataFrame:
     """``doc_id, n_shingles, set_a, set_b`` (128 bits that stand for the shingle set) and ``keys``."""
     out = T.StructType([docs.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("n_shingles", "set_a", "set_b")), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches):
-        bins = bands * rows
-        table = draws(bins)
+        table = draws(bands * rows)
         for b in batches:
             texts = b.column("text")
-            sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
             for lo, hi in blocks(sizes, 2_000_000):
-                tokens = [space_tokens(t) for t in texts.slice(lo, hi - lo).to_pylist()]
-                h, at = hash64([w for t in tokens for w in t]), 0
-                n, a, z, keys = [], [], [], []
-                for t in tokens:
-                    x = np.unique(shingle_hashes(h[at : at + len(t)], shingle))
-                    at += len(t)
-                    n.append(len(x))
-                    if len(x):
-                        with np.errstate(over="ignore"):
-                            a.append(int(x.sum(dtype=np.uint64).view(np.int64)))
-                            z.append(int(mix64(x ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64).view(np.int64)))
-                        keys.append(band_keys(signature(x, bins, table), bands, rows))
-                    else:
-                        a.append(None)
-                        z.append(None)
-                        keys.append(None)
-                columns = [pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(z, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+                sets = _sets(texts.slice(lo, hi - lo).to_pylist(), shingle)
+                n = np.array([len(x) for x in sets])
+                some = np.flatnonzero(n)
+                keys: list = [None] * len(sets)
+                a, z = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
+                if len(some):
+                    x, owner = np.concatenate(sets), np.repeat(np.arange(len(some)), n[some])
+                    begin = np.cumsum(n[some]) - n[some]
+                    a[some] = np.add.reduceat(x, begin).view(np.int64)
+                    z[some] = np.add.reduceat(mix64(x ^ np.uint64(0xA5A5A5A5)), begin).view(np.int64)
+                    for i, k in zip(some, band_keys(densified(owner, x, len(some), table), bands, rows)):
+                        keys[i] = k
+                columns = [pa.array(n, pa.int64()), pa.array(a), pa.array(z), pa.array(keys, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), *columns], out.fieldNames())
 
     return docs.select("doc_id", "text").mapInArrow(run, out)
@@ -114,7 +119,7 @@ def shingle_sets(docs: DataFrame, *, shingle: int) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                sets = [np.unique(shingle_hashes(hash64(space_tokens(t)), shingle)).view(np.int64) for t in part.column("text").to_pylist()]
+                sets = [x.view(np.int64) for x in _sets(part.column("text").to_pylist(), shingle)]
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
     return docs.select("node", "text").mapInArrow(run, out)
@@ -141,13 +146,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``a, b`` whose full sets have 100 * intersection >= percent * union."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b`` with ``shared`` and ``total``: the sizes of intersection and union of their full sets."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
+    return both.select("a", "b", "shared", (F.size("sa") + F.size("sb") - F.col("shared")).alias("total"))
 
 
 def near_duplicates(
@@ -159,12 +163,12 @@ def near_duplicates(
     percent: int = 80,
     bands: int = 40,
     rows: int = 6,
-    centres: int = 32,
+    centres: int = 4,
 ) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept`` (``doc_id = component_id``).
 
     Ids are integers. Two documents are linked when ``100 * intersection >= percent * union`` of their
-    distinct shingles; with fewer words the whole sequence is the one shingle; without words (or null) a
+    distinct shingles (``centres`` is the first round's number of further centres); with fewer words the whole sequence is the one shingle; without words (or null) a
     document is linked with nothing. Rows with equal ids count as linked. A null id takes the smallest
     id of its group, if any, and isn't kept. At similarity 0.8 a pair shares no bucket, and so is lost,
     with a chance of (1 - 0.8^6)^40, about 5 in a million; more similar pairs far less.
@@ -176,41 +180,69 @@ def near_duplicates(
     nodes = classes.filter("node IS NOT NULL")
 
     slots = nodes.select("node", "n_shingles", F.posexplode("keys").alias("band", "key"))
-    shared = slots.groupBy("band", "key").agg(F.min("node").alias("centre"), F.count("*").alias("members")).filter("members > 1")
-    members = stored(slots.join(shared.drop("members"), ["band", "key"]), "members")
+    shared = slots.groupBy("band", "key").agg(F.count("*").alias("members")).filter("members > 1")
+    grouped = stored(slots.join(shared, ["band", "key"]), "grouped")
+    # A bucket's centre is the member with the most company in all its buckets: of many edited copies of one
+    # text that is the text itself or the copy nearest to it, and its star links them all at once.
+    company = grouped.groupBy("node").agg(F.sum("members").alias("company"))
+    ranked = grouped.drop("members").join(company, "node")
+    chosen = ranked.groupBy("band", "key").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("centre"))
+    members = stored(ranked.join(chosen, ["band", "key"]), "members")
     involved = members.select("node").distinct()
-    texts = src.select(F.col("doc_id").alias("node"), "text", F.lit(1).alias("one"))
+    texts = src.select(F.col("doc_id").alias("node"), "text")
     sets = stored(shingle_sets(texts.join(involved, "node", "left_semi"), shingle=shingle).dropDuplicates(["node"]), "sets")
+    linked = 100 * F.col("shared") >= percent * F.col("total")
+
+    # First every node is compared with one centre, the one it shares most bands with.
+    star = members.filter("centre <> node").groupBy("node", "centre").agg(F.count("*").alias("n"))
+    star = star.groupBy(F.col("node").alias("b")).agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("a"))
+    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # Pairs that have been compared, with the sizes found; none is compared twice.
+    seen = stored(compared(ordered(star), sets), "compared")
+    links = stored(seen.filter(linked).select("a", "b"), "links")
+    labels = connected_components(links)
 
-    def sized(df: DataFrame, p: str, q: str) -> DataFrame:
-        return df.filter((100 * F.least(p, q) >= percent * F.greatest(p, q)) & (F.col("a") != F.col("b")))
+    def mixed() -> DataFrame:
+        """Members, with labels, of the buckets that more than one component shares."""
+        labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        sizes = labelled.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
+        several = sizes.groupBy("band", "key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
+        return labelled.join(several, ["band", "key"])
+
+    def compare(pairs: DataFrame) -> None:
+        nonlocal seen, links, labels
+        new = stored(compared(ordered(pairs).join(seen, ["a", "b"], "left_anti"), sets), "compared")
+        found = new.filter(linked).select("a", "b")
+        seen = seen.union(new)
+        if found.limit(1).count():
+            links = stored(links.union(found).distinct(), "links")
+            labels = connected_components(links)
 
-    of_centre = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"))
-    star = members.select(F.col("centre").alias("a"), F.col("node").alias("b"), F.col("n_shingles").alias("nb")).filter("a <> b").distinct()
-    links = stored(verified(sized(star.join(of_centre, "a"), "na", "nb").select("a", "b"), sets, percent), "links")
-    labels = connected_components(links)
+    # Then, in buckets not yet of one component, all members are compared with their bucket's centre.
+    compare(mixed().filter("centre <> node").select(F.col("centre").alias("a"), F.col("node").alias("b")))
+    d = (1 - F.col("shared") / F.col("total")).alias("d")
+    distance = seen.select(F.col("a").alias("centre"), F.col("b").alias("node"), d).union(seen.select("b", "a", d))
+
+    # Then members outside the largest component become centres. The Jaccard distance is a metric, so only
+    # pairs whose distances to the bucket's first centre differ by no more than the limit can be linked.
     starred = None
+    limit = 1 - percent / 100 + 1e-9
     while True:
-        labelled = members.drop("centre").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        sizes = labelled.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
-        mixed = sizes.groupBy("band", "key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
-        rest = labelled.join(mixed, ["band", "key"])
-        outside = rest.filter("label <> largest").select("band", "key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na"))
+        rest = mixed().join(distance, ["centre", "node"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
+        outside = rest.filter("label <> largest AND node <> centre").select("band", "key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na"), F.col("d").alias("da"), "company")
         if starred is not None:
             outside = outside.join(starred, ["band", "key", "a"], "left_anti")
-        order = Window.partitionBy("band", "key").orderBy("a")
-        outside = stored(outside.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= centres).drop("nth"), "centres")
+        order = Window.partitionBy("band", "key").orderBy(F.desc("company"), "a")
+        outside = stored(outside.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= centres).drop("nth", "company"), "centres")
+        centres *= 4
         if not outside.limit(1).count():
             break
         done = outside.select("band", "key", "a")
         starred = done if starred is None else stored(starred.union(done), "starred")
-        others = rest.select("band", "key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"))
-        pairs = sized(outside.join(others, ["band", "key"]).filter("la <> lb"), "na", "nb")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = stored(verified(pairs, sets, percent), "links")
-        if more.limit(1).count():
-            links = stored(links.union(more).distinct(), "links")
-            labels = connected_components(links)
+        others = rest.filter("node <> centre").select("band", "key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"), F.col("d").alias("db"))
+        near = (F.col("la") != F.col("lb")) & (F.abs(F.col("da") - F.col("db")) <= limit) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        pairs = outside.join(others, ["band", "key"]).filter(near)
+        compare(pairs.select("a", "b"))
 
     named = classes.join(labels, "node", "left").select(F.col("set_a").alias("sa"), F.col("set_b").alias("sb"), F.col("n_shingles").alias("ns"), F.coalesce("component", "node").alias("component_id"))
     same = (F.col("set_a") == F.col("sa")) & (F.col("set_b") == F.col("sb")) & (F.col("n_shingles") == F.col("ns"))
