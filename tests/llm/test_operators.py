@@ -114,6 +114,15 @@ def test_near_duplicates(case, size):
     same(neardup.near_duplicates(docs, shingle=size), ["doc_id", "n_shingles", "component_id", "kept"], brute.components(rows, size))
 
 
+def test_components_grow_link_by_link(spark):
+    links = [(1, 2), (3, 4), (2, 3), (9, 8), (5, 7), (7, 9), (4, 1), (20, 21)]
+    labels = neardup.connected_components(spark.createDataFrame(links[:2], "a long, b long"))
+    for at in range(2, len(links), 2):
+        labels = neardup.extended_components(labels, spark.createDataFrame(links[at : at + 2], "a long, b long"))
+    want = dict.fromkeys((1, 2, 3, 4), 1) | dict.fromkeys((5, 7, 8, 9), 5) | dict.fromkeys((20, 21), 20)
+    assert sorted((r.node, r.component) for r in labels.collect()) == sorted(want.items())
+
+
 def test_near_duplicates_in_chains_and_crowds(spark):
     """Links that a bucket's first star misses: chains of edits, and crowds that share half their words."""
     rng = random.Random(3)

@@ -146,6 +146,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def extended_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after the further ``links`` (``a``, ``b``): components are worked out between old labels.
+
+    Only links between two components take part, once for each pair of components, so that the rounds
+    carry no row for links inside one component. A node that ``labels`` lacks is a component by itself.
+    """
+    old = [labels.select(F.col("node").alias(n), F.col("component").alias(f"l{n}")) for n in ("a", "b")]
+    named = links.join(old[0], "a", "left").join(old[1], "b", "left")
+    between = named.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b").distinct()
+    moved = connected_components(stored(between, "between"))
+    single = moved.select("node", F.col("node").alias("component")).join(labels.select("node"), "node", "left_anti")
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    new = labels.select("node", "component").union(single).join(to, "component", "left")
+    return stored(new.select("node", F.coalesce("to", "component").alias("component")), "labels")
+
+
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``a, b`` with ``shared`` and ``total``: the sizes of intersection and union of their full sets."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
@@ -199,8 +215,7 @@ def near_duplicates(
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # Pairs that have been compared, with the sizes found; none is compared twice.
     seen = stored(compared(ordered(star), sets), "compared")
-    links = stored(seen.filter(linked).select("a", "b"), "links")
-    labels = connected_components(links)
+    labels = connected_components(seen.filter(linked).select("a", "b"))
 
     def mixed() -> DataFrame:
         """Members, with labels, of the buckets that more than one component shares."""
@@ -210,13 +225,12 @@ def near_duplicates(
         return labelled.join(several, ["band", "key"])
 
     def compare(pairs: DataFrame) -> None:
-        nonlocal seen, links, labels
+        nonlocal seen, labels
         new = stored(compared(ordered(pairs).join(seen, ["a", "b"], "left_anti"), sets), "compared")
         found = new.filter(linked).select("a", "b")
         seen = seen.union(new)
         if found.limit(1).count():
-            links = stored(links.union(found).distinct(), "links")
-            labels = connected_components(links)
+            labels = extended_components(labels, found)
 
     # Then, in buckets not yet of one component, all members are compared with their bucket's centre.
     compare(mixed().filter("centre <> node").select(F.col("centre").alias("a"), F.col("node").alias("b")))
