@@ -217,9 +217,9 @@ def near_duplicates(
     seen = stored(compared(ordered(star), sets), "compared")
     labels = connected_components(seen.filter(linked).select("a", "b"))
 
-    def mixed() -> DataFrame:
-        """Members, with labels, of the buckets that more than one component shares."""
-        labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    def mixed(base: DataFrame) -> DataFrame:
+        """Those rows of ``base``, with labels, whose buckets more than one component shares."""
+        labelled = base.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
         sizes = labelled.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
         several = sizes.groupBy("band", "key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
         return labelled.join(several, ["band", "key"])
@@ -233,16 +233,20 @@ def near_duplicates(
             labels = extended_components(labels, found)
 
     # Then, in buckets not yet of one component, all members are compared with their bucket's centre.
-    compare(mixed().filter("centre <> node").select(F.col("centre").alias("a"), F.col("node").alias("b")))
+    # Components only grow together, so a bucket of one component is done: each round starts from what the last one left.
+    unsettled = stored(mixed(members), "mixed").drop("label", "largest")
+    compare(unsettled.filter("centre <> node").select(F.col("centre").alias("a"), F.col("node").alias("b")))
     d = (1 - F.col("shared") / F.col("total")).alias("d")
     distance = seen.select(F.col("a").alias("centre"), F.col("b").alias("node"), d).union(seen.select("b", "a", d))
+    unsettled = unsettled.join(distance, ["centre", "node"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
 
     # Then members outside the largest component become centres. The Jaccard distance is a metric, so only
     # pairs whose distances to the bucket's first centre differ by no more than the limit can be linked.
     starred = None
     limit = 1 - percent / 100 + 1e-9
     while True:
-        rest = mixed().join(distance, ["centre", "node"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
+        rest = stored(mixed(unsettled), "mixed")
+        unsettled = rest.drop("label", "largest")
         outside = rest.filter("label <> largest AND node <> centre").select("band", "key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na"), F.col("d").alias("da"), "company")
         if starred is not None:
             outside = outside.join(starred, ["band", "key", "a"], "left_anti")
