@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 # kind: pattern, group that must be long enough, least length, role in a credential, reported alone
 KINDS = {
     "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, "secret", True),
@@ -35,7 +37,7 @@ def text_key(id_col: Column, text: Column) -> list[Column]:
 
 
 def _matches(text: str, kind: str) -> Column:
-    """Array of (gap before the match, its length, length of the tested group) of one kind."""
+    """Array of (kind, ordinal, gap before the match, its length, length of the tested group) of one kind."""
     pattern, group, *_ = KINDS[kind]
     if group == 0 and kind not in ("endpoint",):
         # Runs of one class: asking for the least length at once skips the short runs and finds the same long ones.
@@ -45,19 +47,18 @@ def _matches(text: str, kind: str) -> Column:
     tested = F.regexp_extract_all(F.col(text), rx, F.lit(group))
     gaps = F.split(F.col(text), pattern, -1)
     zipped = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("g"), found.alias("m"), tested.alias("t"))
-    return F.when(F.col(text).rlike(NEEDED[kind]), F.transform(zipped, lambda x: F.struct(F.lit(kind).alias("kind"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("size"), F.length(x["t"]).alias("tested"))))
+    row = lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("nth"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("size"), F.length(x["t"]).alias("tested"))
+    return F.when(F.col(text).rlike(NEEDED[kind]), F.transform(zipped, row)).otherwise(F.array().cast("array<struct<kind: string, nth: int, gap: int, size: int, tested: int>>"))
 
 
 def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All spans long enough, weak ones included: ``doc_id, text_key, kind, start, end``, once per text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = docs.select(*text_key(F.col(id_col), text), text.alias("text"))
-    df = df.filter(F.col("text").rlike("|".join(NEEDED.values())))
-    each = [df.select("doc_id", "text_key", F.posexplode(_matches("text", kind)).alias("nth", "x")) for kind in KINDS]
-    rows = each[0]
-    for more in each[1:]:
-        rows = rows.unionByName(more)
-    rows = rows.select("doc_id", "text_key", "nth", "x.*").dropDuplicates(["doc_id", "text_key", "kind", "nth"])
+    # One pass over each text; the outer form keeps Spark from working the matches out once more in a filter.
+    matches = F.concat(*(_matches("text", kind) for kind in KINDS))
+    rows = df.select("doc_id", "text_key", F.explode_outer(matches).alias("x")).filter("x IS NOT NULL")
+    rows = rows.select("doc_id", "text_key", "x.*").dropDuplicates(["doc_id", "text_key", "kind", "nth"])
     w = Window.partitionBy("doc_id", "text_key", "kind").orderBy("nth")
     end = F.sum(F.col("gap") + F.col("size")).over(w)
     rows = rows.withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
@@ -91,7 +92,8 @@ def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rank = F.create_map(*(F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)))
-    rows = linked_spans(spans(docs, id_col=id_col, text_col=text_col), reach=reach)
+    # Written once: the link step reads the spans several times, and each reading would search the texts again.
+    rows = linked_spans(stored(spans(docs, id_col=id_col, text_col=text_col), "spans"), reach=reach)
     listed = F.array_sort(F.collect_list(F.struct("start", rank[F.col("kind")].alias("rank"), "kind", "end")))
     by_text = rows.groupBy("doc_id", "text_key").agg(listed.alias("spans"), *(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in BASE))
     left = docs.select(*text_key(F.col(id_col), text)).alias("l")
