@@ -136,7 +136,7 @@ def test_near_duplicates_in_chains_and_crowds(spark):
             text[rng.randrange(60)] = rng.choice(words)
     rows += [(1000 + i, " ".join(passage + rng.sample(words, 20))) for i in range(80)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    same(neardup.near_duplicates(docs, shingle=2, centres=4), ["doc_id", "n_shingles", "component_id", "kept"], brute.components(rows, 2))
+    same(neardup.near_duplicates(docs, shingle=2), ["doc_id", "n_shingles", "component_id", "kept"], brute.components(rows, 2))
 
 
 def test_licenses(case):

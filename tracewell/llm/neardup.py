@@ -6,8 +6,8 @@ same for all documents, points to. Bands of bins make buckets. Documents with eq
 one node. In each bucket the node with most company is the centre of a star; only star edges are candidates, and
 at first each node checks the one to the centre it shares most bands with, on full sets. Buckets whose
 members all end in one component are done. In the others all star edges are checked, and then members
-outside the largest component become further centres, few at first and more in later rounds, until none
-is left. So no link is lost to the star's shape, and most members are of one component before they meet.
+that differ from the centre in the same shingles, by a bound that no linked pair can miss. So no link is
+lost to the star's shape, and most members are of one component before they meet.
 """
 
 from __future__ import annotations
@@ -131,7 +131,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Smallest labels travel over edges and then along labels, so that chains shorten fast; every round
     is written to the shared folder. Hubs are no hot spot: minima are combined before each shuffle.
     """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = stored(edges.select(ways.alias("e")).select("e.a", "e.b").distinct(), "edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     for _ in range(max_rounds):
         seen = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("c"))
@@ -154,8 +155,7 @@ def extended_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     """
     old = [labels.select(F.col("node").alias(n), F.col("component").alias(f"l{n}")) for n in ("a", "b")]
     named = links.join(old[0], "a", "left").join(old[1], "b", "left")
-    between = named.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b").distinct()
-    moved = connected_components(stored(between, "between"))
+    moved = connected_components(named.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b"))
     single = moved.select("node", F.col("node").alias("component")).join(labels.select("node"), "node", "left_anti")
     to = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
     new = labels.select("node", "component").union(single).join(to, "component", "left")
@@ -170,6 +170,35 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "shared", (F.size("sa") + F.size("sb") - F.col("shared")).alias("total"))
 
 
+def alike(members: DataFrame, sets: DataFrame, *, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of stars' members that may be linked though a component parts them.
+
+    ``members``: ``centre, node, label, stranger`` (its component isn't the centre's, so that it isn't linked
+    with the centre). Of two linked members of different components one at least is a stranger.
+    With D the shingles in which a member A and the centre C differ, and k = (1 - t) / (1 + t) for the
+    similarity t, A and B are linked if and only if |D_A| + |D_B| - 2 |D_A & D_B| <= k (|A| + |B|).
+    Where A is a stranger, |D_A| > k (|A| + |C|), and as |B| <= |C| + |D_B|, the differences share more
+    than (1 - k) |D_B| / 2 shingles, and (|D_A| - k (|A| + |C|)) / (1 + k) or more. So each member shows
+    only so many of its rarest differences that a partner must have one of them, and a pair meets there.
+    """
+    k = (100 - percent) / (100 + percent)
+    of_node = sets.select("node", F.col("shingles").alias("sn"))
+    of_centre = sets.select(F.col("node").alias("centre"), F.col("shingles").alias("sc"))
+    both = members.join(of_node, "node").join(of_centre, "centre")
+    both = both.withColumn("differ", F.concat(F.array_except("sn", "sc"), F.array_except("sc", "sn"))).withColumn("n", F.size("sn"))
+    own = (F.size("differ") - k * (F.col("n") + F.size("sc"))) / (1 + k)
+    need = F.greatest(F.ceil(F.when(F.col("stranger"), own).otherwise((1 - k) / 2 * F.size("differ")) - 1e-6), F.lit(1))
+    shown = stored(both.select("centre", "node", "label", "stranger", "n", need.alias("need"), F.explode("differ").alias("x")), "differences")
+    common = shown.groupBy("centre", "x").agg(F.count("*").alias("f"), F.max("stranger").alias("met")).filter("f > 1 AND met").drop("met")
+    own_rows = Window.partitionBy("centre", "node")
+    ranked = shown.join(common, ["centre", "x"]).withColumn("nth", F.row_number().over(own_rows.orderBy("f", "x"))).withColumn("has", F.count("*").over(own_rows))
+    rare = stored(ranked.filter(F.col("nth") <= F.col("has") - F.col("need") + 1).select("centre", "x", "node", "label", "stranger", "n"), "rare")
+    left = rare.filter("stranger").select("centre", "x", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
+    right = rare.select("centre", "x", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("stranger").alias("sb"))
+    fits = (F.col("la") != F.col("lb")) & (~F.col("sb") | (F.col("a") < F.col("b"))) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return left.join(right, ["centre", "x"]).filter(fits).select("a", "b")
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -179,12 +208,11 @@ def near_duplicates(
     percent: int = 80,
     bands: int = 40,
     rows: int = 6,
-    centres: int = 4,
 ) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept`` (``doc_id = component_id``).
 
     Ids are integers. Two documents are linked when ``100 * intersection >= percent * union`` of their
-    distinct shingles (``centres`` is the first round's number of further centres); with fewer words the whole sequence is the one shingle; without words (or null) a
+    distinct shingles; with fewer words the whole sequence is the one shingle; without words (or null) a
     document is linked with nothing. Rows with equal ids count as linked. A null id takes the smallest
     id of its group, if any, and isn't kept. At similarity 0.8 a pair shares no bucket, and so is lost,
     with a chance of (1 - 0.8^6)^40, about 5 in a million; more similar pairs far less.
@@ -220,9 +248,8 @@ def near_duplicates(
     def mixed(base: DataFrame) -> DataFrame:
         """Those rows of ``base``, with labels, whose buckets more than one component shares."""
         labelled = base.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        sizes = labelled.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
-        several = sizes.groupBy("band", "key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
-        return labelled.join(several, ["band", "key"])
+        ends = labelled.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.when(F.col("node") == F.col("centre"), F.col("label"))).alias("centre_label"))
+        return labelled.join(ends.filter("low < high").drop("low", "high"), ["band", "key"])
 
     def compare(pairs: DataFrame) -> None:
         nonlocal seen, labels
@@ -233,34 +260,13 @@ def near_duplicates(
             labels = extended_components(labels, found)
 
     # Then, in buckets not yet of one component, all members are compared with their bucket's centre.
-    # Components only grow together, so a bucket of one component is done: each round starts from what the last one left.
-    unsettled = stored(mixed(members), "mixed").drop("label", "largest")
+    # Components only grow together, so a bucket of one component is done.
+    unsettled = stored(mixed(members).drop("label", "centre_label"), "mixed")
     compare(unsettled.filter("centre <> node").select(F.col("centre").alias("a"), F.col("node").alias("b")))
-    d = (1 - F.col("shared") / F.col("total")).alias("d")
-    distance = seen.select(F.col("a").alias("centre"), F.col("b").alias("node"), d).union(seen.select("b", "a", d))
-    unsettled = unsettled.join(distance, ["centre", "node"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
-
-    # Then members outside the largest component become centres. The Jaccard distance is a metric, so only
-    # pairs whose distances to the bucket's first centre differ by no more than the limit can be linked.
-    starred = None
-    limit = 1 - percent / 100 + 1e-9
-    while True:
-        rest = stored(mixed(unsettled), "mixed")
-        unsettled = rest.drop("label", "largest")
-        outside = rest.filter("label <> largest AND node <> centre").select("band", "key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na"), F.col("d").alias("da"), "company")
-        if starred is not None:
-            outside = outside.join(starred, ["band", "key", "a"], "left_anti")
-        order = Window.partitionBy("band", "key").orderBy(F.desc("company"), "a")
-        outside = stored(outside.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= centres).drop("nth", "company"), "centres")
-        centres *= 4
-        if not outside.limit(1).count():
-            break
-        done = outside.select("band", "key", "a")
-        starred = done if starred is None else stored(starred.union(done), "starred")
-        others = rest.filter("node <> centre").select("band", "key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"), F.col("d").alias("db"))
-        near = (F.col("la") != F.col("lb")) & (F.abs(F.col("da") - F.col("db")) <= limit) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        pairs = outside.join(others, ["band", "key"]).filter(near)
-        compare(pairs.select("a", "b"))
+
+    # Last, in buckets that still aren't of one component, members that differ from the centre alike are compared.
+    rest = mixed(unsettled).filter("node <> centre").select("centre", "node", "label", (F.col("label") != F.col("centre_label")).alias("stranger")).distinct()
+    compare(alike(rest, sets, percent=percent))
 
     named = classes.join(labels, "node", "left").select(F.col("set_a").alias("sa"), F.col("set_b").alias("sb"), F.col("n_shingles").alias("ns"), F.coalesce("component", "node").alias("component_id"))
     same = (F.col("set_a") == F.col("sa")) & (F.col("set_b") == F.col("sb")) & (F.col("n_shingles") == F.col("ns"))
