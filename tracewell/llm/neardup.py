@@ -179,7 +179,8 @@ def alike(members: DataFrame, sets: DataFrame, *, percent: int) -> DataFrame:
     similarity t, A and B are linked if and only if |D_A| + |D_B| - 2 |D_A & D_B| <= k (|A| + |B|).
     Where A is a stranger, |D_A| > k (|A| + |C|), and as |B| <= |C| + |D_B|, the differences share more
     than (1 - k) |D_B| / 2 shingles, and (|D_A| - k (|A| + |C|)) / (1 + k) or more. So each member shows
-    only so many of its rarest differences that a partner must have one of them, and a pair meets there.
+    only so many of its rarest differences that a partner must have one of them, and a pair meets there,
+    if the differences that follow in both orders can still make up the number the pair has to share.
     """
     k = (100 - percent) / (100 + percent)
     of_node = sets.select("node", F.col("shingles").alias("sn"))
@@ -188,15 +189,16 @@ def alike(members: DataFrame, sets: DataFrame, *, percent: int) -> DataFrame:
     both = both.withColumn("differ", F.concat(F.array_except("sn", "sc"), F.array_except("sc", "sn"))).withColumn("n", F.size("sn"))
     own = (F.size("differ") - k * (F.col("n") + F.size("sc"))) / (1 + k)
     need = F.greatest(F.ceil(F.when(F.col("stranger"), own).otherwise((1 - k) / 2 * F.size("differ")) - 1e-6), F.lit(1))
-    shown = stored(both.select("centre", "node", "label", "stranger", "n", need.alias("need"), F.explode("differ").alias("x")), "differences")
+    shown = stored(both.select("centre", "node", "label", "stranger", "n", need.alias("need"), F.size("differ").alias("d"), F.explode("differ").alias("x")), "differences")
     common = shown.groupBy("centre", "x").agg(F.count("*").alias("f"), F.max("stranger").alias("met")).filter("f > 1 AND met").drop("met")
     own_rows = Window.partitionBy("centre", "node")
     ranked = shown.join(common, ["centre", "x"]).withColumn("nth", F.row_number().over(own_rows.orderBy("f", "x"))).withColumn("has", F.count("*").over(own_rows))
-    rare = stored(ranked.filter(F.col("nth") <= F.col("has") - F.col("need") + 1).select("centre", "x", "node", "label", "stranger", "n"), "rare")
-    left = rare.filter("stranger").select("centre", "x", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    right = rare.select("centre", "x", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("stranger").alias("sb"))
+    rare = stored(ranked.filter(F.col("nth") <= F.col("has") - F.col("need") + 1).select("centre", "x", "node", "label", "stranger", "n", "d", (F.col("has") - F.col("nth") + 1).alias("left")), "rare")
+    left = rare.filter("stranger").select("centre", "x", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("d").alias("da"), F.col("left").alias("fa"))
+    right = rare.select("centre", "x", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("d").alias("db"), F.col("left").alias("fb"), F.col("stranger").alias("sb"))
+    enough = 2 * F.least("fa", "fb") >= F.col("da") + F.col("db") - k * (F.col("na") + F.col("nb")) - 1e-6
     fits = (F.col("la") != F.col("lb")) & (~F.col("sb") | (F.col("a") < F.col("b"))) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return left.join(right, ["centre", "x"]).filter(fits).select("a", "b")
+    return left.join(right, ["centre", "x"]).filter(fits & enough).select("a", "b")
 
 
 def near_duplicates(
