@@ -38,6 +38,34 @@ def katz_base(docs):
     return [(d, len(tokens[i]), sum(train[w] > 0 for w in tokens[i]), n, sum(math.log10((train[w] + 1) / (n + v + 1)) for w in tokens[i])) for i, (d, t) in enumerate(docs)]
 
 
+def katz_scores(docs, trained):
+    """Scores with pairs of all words, nothing left out."""
+    tokens = [[*SPACE_WORD.findall(low(t)), None] for _, t in docs]
+    learnt = [t for (d, _), t in zip(docs, tokens) if trained(d)]
+    words = Counter(w for t in learnt for w in t)
+    pairs = Counter(p for t in learnt for p in zip([None, *t], t))
+    slots = sum(words.values()) + len(words) + 1
+    n = Counter(pairs.values())
+    common = 8 * n[8] / n[1] if n[1] and n[8] else None
+    d = {}
+    for r in range(1, 8):
+        value = ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) if n[r] and common is not None and common < 1 else 1
+        d[r] = value if 0 < value <= 1 else 1
+    mass, lower = defaultdict(float), defaultdict(float)
+    for (c, w), r in pairs.items():
+        mass[c] += d.get(r, 1) * r
+        lower[c] += (words[w] + 1) / slots
+    total = {c: words[c] + (mass[c] >= words[c] - 1e-9) for c in words}
+    out = []
+    for t in tokens:
+        score = 0.0
+        for c, w in zip([None, *t], t):
+            r, p = pairs[c, w], (words[w] + 1) / slots
+            score += math.log10(d.get(r, 1) * r / total[c] if r else p * ((1 - mass[c] / total[c]) / (1 - lower[c]) if words[c] else 1))
+        out.append(score)
+    return out
+
+
 def bpe(docs):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})

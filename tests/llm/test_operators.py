@@ -62,6 +62,21 @@ def test_katz(case):
     assert all(math.isclose(w[4], h[4], abs_tol=1e-6) and h[5] < 0 for w, h in zip(want, have))
 
 
+def test_katz_learns_pairs_of_all_words(spark):
+    """More types than any list of words held, in pairs seen 1 to 9 times, and one word before very many."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(1_000))) for i in range(70)]
+    rows += [(100 + i, " ".join(f"w{i % 12}x{j}" for j in range(300 + 50 * (i % 12)))) for i in range(60)]
+    rows += [(200 + i, " ".join(f"the w{rng.randrange(70)}x{rng.randrange(1_000)}" for _ in range(400))) for i in range(20)]
+    rows += [(900, "w3x5 w3x6 w3x7 the never w60x1 w60x2"), (901, None), (902, "never seen here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in katz.katz_scores(docs, training=F.col("doc_id") < 900).collect()}
+    want = brute.katz_scores(rows, lambda d: d < 900)
+    assert len(got) == len(rows)
+    for (d, _), x in zip(rows, want):
+        assert math.isclose(got[d], x, rel_tol=1e-9, abs_tol=1e-6), (d, got[d], x)
+
+
 def test_backoff_sums_to_one(spark):
     import numpy as np
 

@@ -1,15 +1,16 @@
 """Language-model scoring with a Katz back-off model of order two.
 
-Bigram counts of words of the vocabulary (the most frequent training words) are discounted by
-Good-Turing; what they leave goes to unseen successors in proportion to their unigram probability, with
-weights that make each context's probabilities sum to one. A context outside the vocabulary backs off
-with weight one. Unigrams have probability (c + 1) / (N + V + 1); all unseen words share one slot.
-
-Counts live in tables partitioned by order and bucket of keys. Documents are never joined to the model
-one token at a time: each block of documents sends its distinct keys, with the documents they stand in,
-to the keys' buckets; there counts are summed and each document's share of the score is worked out; only
-the shares travel back. What reaches the driver is the vocabulary (``vocabulary`` words at most), one
-back-off weight per word of it, and a few counts of counts.
+Bigram counts of all training words are discounted by Good-Turing; what they leave goes to unseen
+successors in proportion to their unigram probability, with weights that make each context's
+probabilities sum to one. A context that training lacks backs off with weight one. Unigrams have
+probability (c + 1) / (N + V + 1); all unseen words share one slot.
+
+Documents are never joined to the model one token at a time. Each block of documents sends its distinct
+words, with the documents they stand in, to the words' buckets, and gets their numbers and counts back
+beside its tokens. Then it sends its distinct pairs, with the counts of both words, to the buckets of their contexts;
+there pairs are counted, and all that a context's back-off weight needs is in one place. A context with
+more than a bucket's share of the tokens is dealt over all buckets by its pairs, and the parts of its
+sums (of fewer contexts than there are buckets) meet on the driver, as do a few counts of counts.
 """
 
 from __future__ import annotations
@@ -21,14 +22,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, hash64, shuffle_width, space_tokens, stored
+from .common import blocks, hash64, mix64, shuffle_width, space_tokens, stored
 from .packing import bucketed, pack, unpack
 
 END = b" end"  # no word holds a blank
 CUTOFF = 7  # counts above it are not discounted
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 4_000_000
+BUCKET_BYTES = 12_000_000
 EXCHANGE = "bucket int, block long, n_docs int, keys binary, sizes binary, docs binary, counts binary, train binary"
-KIND_MODEL, KIND_SHARES, KIND_STATS, KIND_SCORING, KIND_ROWS = 1, 2, 3, 4, 5
+PAIRS = "bucket int, block long, n_docs int, keys binary, context_counts binary, word_counts binary, sizes binary, docs binary, counts binary, train binary"
+SCORING = "kind int, block long, n_docs int, stats array<long>, pairs binary, at binary, contexts binary, context_counts binary, lower binary, seen binary, word_counts binary, sizes binary, docs binary, counts binary"
+KIND_MODEL, KIND_STATS, KIND_SCORING, KIND_ROWS, KIND_COUNTS = 1, 2, 3, 4, 5
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -70,14 +74,20 @@ def _rows(block: int, n_docs: int, train: np.ndarray, keys, docs, buckets: int)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["bucket", "block", "n_docs", "keys", "sizes", "docs", "counts", "train"])
 
 
-def _block_rows(block: int, part: pa.RecordBatch, tokens: list) -> pa.RecordBatch:
-    """Which input rows a block holds, as one row of the exchange in a bucket of its own kind."""
-    rows = pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), part.column("trained"), pa.array([len(t) for t in tokens], pa.int64())], ["doc_id", "text_key", "trained", "n_tokens"])
+def _own_bucket(block: int) -> int:
+    """A bucket below 0 for what a block says of itself; few blocks share one."""
+    return -1 - (block ^ block >> 32) * 0x9E3779B1 % 65_536
+
+
+def _block_rows(block: int, part: pa.RecordBatch, sizes: list[int], tokens: np.ndarray) -> pa.RecordBatch:
+    """Which input rows a block holds, and its tokens as indices of its distinct words in the order of
+    their buckets and hashes, as one row of the exchange in a bucket of its own kind."""
+    rows = pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("trained"), pa.array(sizes, pa.int64())], ["doc_id", "trained", "n_tokens"])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, rows.schema) as writer:
         writer.write_batch(rows)
     kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
-    values = [-1 - block % 256, block, len(tokens), sink.getvalue().to_pybytes(), b"", b"", b"", b""]
+    values = [_own_bucket(block), block, len(sizes), sink.getvalue().to_pybytes(), pack(tokens.astype(np.uint32)), b"", b"", b""]
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], ["bucket", "block", "n_docs", "keys", "sizes", "docs", "counts", "train"])
 
 
@@ -85,7 +95,7 @@ def _own_rows(table: pa.Table) -> pa.Table | None:
     """The rows of :func:`_block_rows`, which pass the counting unchanged."""
     if table.column("bucket")[0].as_py() >= 0:
         return None
-    return _result([{"kind": KIND_ROWS, "block": r["block"], "a": r["keys"]} for r in table.to_pylist()])
+    return _result([{"kind": KIND_ROWS, "block": r["block"], "a": r["keys"], "b": r["sizes"]} for r in table.to_pylist()])
 
 
 def _gathered(table: pa.Table):
@@ -111,51 +121,117 @@ def _stats(total: np.ndarray) -> list[int]:
     return [int(total.sum()), int((total > 0).sum()), *(int((total == r).sum()) for r in range(1, CUTOFF + 2))]
 
 
-RESULT = T.StructType(
-    [
-        T.StructField("kind", T.IntegerType()),
-        T.StructField("block", T.LongType()),
-        T.StructField("a", T.BinaryType()),
-        T.StructField("b", T.BinaryType()),
-        T.StructField("stats", T.ArrayType(T.LongType())),
-        T.StructField("sizes", T.BinaryType()),
-        T.StructField("docs", T.BinaryType()),
-        T.StructField("counts", T.BinaryType()),
-        T.StructField("n_docs", T.IntegerType()),
-    ]
-)
+RESULT = "kind int, block long, a binary, b binary, stats array<long>"
 
 
 def _result(rows: list[dict]) -> pa.Table:
-    kinds = {"kind": pa.int32(), "block": pa.int64(), "a": pa.binary(), "b": pa.binary(), "stats": pa.list_(pa.int64()), "sizes": pa.binary(), "docs": pa.binary(), "counts": pa.binary(), "n_docs": pa.int32()}
+    kinds = {"kind": pa.int32(), "block": pa.int64(), "a": pa.binary(), "b": pa.binary(), "stats": pa.list_(pa.int64())}
     return pa.table({k: pa.array([r.get(k) for r in rows], t) for k, t in kinds.items()})
 
 
 def _count_words(table: pa.Table) -> pa.Table:
+    """Counts of a bucket's words; training words are numbered from the most frequent on, from 1."""
     if (own := _own_rows(table)) is not None:
         return own
+    bucket = table.column("bucket")[0].as_py()
     distinct, total, parts = _gathered(table)
-    known = total > 0
-    out = [{"kind": KIND_STATS, "stats": _stats(total)}, {"kind": KIND_MODEL, "a": pack(distinct[known], True), "b": pack(total[known])}]
-    for r, _, posting, docs, counts in parts:
-        c = total[posting]
-        shares = np.bincount(docs, counts * np.log10(c + 1.0), r["n_docs"])
-        unseen = np.bincount(docs, counts * (c == 0), r["n_docs"]).astype(np.uint32)
-        out.append({"kind": KIND_SHARES, "block": r["block"], "a": pack(shares), "b": pack(unseen)})
+    number = np.empty(len(total), np.uint32)
+    number[np.argsort(-total, kind="stable")] = np.arange(1, len(total) + 1)
+    number[total == 0] = 0
+    out = [{"kind": KIND_STATS, "stats": _stats(total)}, {"kind": KIND_MODEL, "a": pack(np.sort(total[total > 0]), True)}]
+    for r, own, *_ in parts:
+        out.append({"kind": KIND_COUNTS, "block": r["block"], "a": pack(number[own]), "b": pack(total[own]), "stats": [bucket]})
     return _result(out)
 
 
-def _count_pairs(table: pa.Table) -> pa.Table:
-    if (own := _own_rows(table)) is not None:
-        return own
-    distinct, total, parts = _gathered(table)
-    # The low half of a key is the word, 0 for words outside the vocabulary: such pairs always back off.
-    total = np.where((distinct & np.uint64(0xFFFFFFFF)) == 0, 0, total)
-    seen = total > 0
-    out = [{"kind": KIND_STATS, "stats": _stats(total)}, {"kind": KIND_MODEL, "a": pack(distinct[seen], True), "b": pack(total[seen])}]
-    for r, own, *_ in parts:
-        out.append({"kind": KIND_SCORING, "block": r["block"], "a": r["keys"], "b": pack(total[own].astype(np.uint32)), "sizes": r["sizes"], "docs": r["docs"], "counts": r["counts"], "n_docs": r["n_docs"]})
-    return _result(out)
+def _pairs_of_block(table: pa.Table, least: int, tokens_n: int, buckets: int) -> pa.Table:
+    """The rows of ``PAIRS`` of one block: its distinct pairs whose context is known, dealt by context, and
+    a row in a bucket of its own kind with the block's documents and their unigram shares."""
+    rows = table.to_pylist()
+    block = next(r for r in rows if r["kind"] == KIND_ROWS)
+    seq = unpack(block["b"], np.uint32)
+    docs = pa.ipc.open_stream(block["a"]).read_all()
+    n_tokens = docs.column("n_tokens").to_numpy()
+    train = pack(docs.column("trained").to_numpy(zero_copy_only=False).astype(np.uint8))
+    parts = sorted((r for r in rows if r["kind"] == KIND_COUNTS), key=lambda r: r["stats"][0])
+    known = np.concatenate([unpack(r["b"], np.int64) for r in parts])
+    # A word's id is its number in its bucket and the bucket; 0 stands for all words that training lacks.
+    numbers = [(unpack(r["a"], np.uint32).astype(np.uint64), r["stats"][0]) for r in parts]
+    ids = np.concatenate([np.where(x > 0, (x - np.uint64(1)) * np.uint64(buckets) + np.uint64(b + 1), np.uint64(0)) for x, b in numbers])
+    if ids.max() >> np.uint64(32):
+        raise OverflowError("more words than 32 bits number")
+    owner = np.repeat(np.arange(len(n_tokens)), n_tokens)
+    c = known[seq]
+    share, unseen = np.bincount(owner, np.log10(c + 1.0), len(n_tokens)), np.bincount(owner, c == 0, len(n_tokens)).astype(np.uint32)
+    context = np.roll(seq, 1)
+    context[np.cumsum(n_tokens) - n_tokens] = seq[-1]  # the last token of a block is an end token
+    inside = known[context] >= least
+    seq, context, owner = seq[inside], context[inside], owner[inside]
+    keys, first, inverse = np.unique(ids[context] << np.uint64(32) | ids[seq], return_index=True, return_inverse=True)
+    entries, times = np.unique(inverse * len(n_tokens) + owner, return_counts=True)
+    which, doc = entries // len(n_tokens), (entries % len(n_tokens)).astype(np.uint32)
+    times, sizes = times.astype(np.uint32), np.bincount(which, minlength=len(keys)).astype(np.uint32)
+    of_context, of_word = known[context[first]], known[seq[first]]
+    deal = (np.where(_heavy(of_context, tokens_n, buckets), mix64(keys), mix64(keys >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
+    out: dict[str, list] = {name.split()[0]: [] for name in PAIRS.split(", ")}
+
+    def add(*values):
+        for name, x in zip(out, values):
+            out[name].append(x)
+
+    add(_own_bucket(block["block"]), block["block"], len(n_tokens), block["a"], pack(share), pack(unseen), b"", b"", b"", b"")
+    by_pair, by_entry = np.argsort(deal, kind="stable"), np.argsort(deal[which], kind="stable")
+    pair_ends, entry_ends = np.cumsum(np.bincount(deal, minlength=buckets)), np.cumsum(np.bincount(deal[which], minlength=buckets))
+    for b in range(buckets):
+        k = by_pair[pair_ends[b - 1] if b else 0 : pair_ends[b]]
+        e = by_entry[entry_ends[b - 1] if b else 0 : entry_ends[b]]
+        if len(k):
+            add(b, block["block"], len(n_tokens), pack(keys[k], True), pack(of_context[k]), pack(of_word[k]), pack(sizes[k]), pack(doc[e]), pack(times[e]), train)
+    kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 7]
+    return pa.table({n: pa.array(x, t) for (n, x), t in zip(out.items(), kinds)})
+
+
+def _heavy(counts: np.ndarray, tokens_n: int, buckets: int) -> np.ndarray:
+    """Whether contexts of these counts have more than a bucket's share of the training tokens."""
+    return counts > tokens_n // buckets
+
+
+def _count_pairs(table: pa.Table, least: int, tokens_n: int, buckets: int) -> pa.Table:
+    """Counts of a bucket's pairs, and per context what its back-off weight is made of.
+
+    ``seen`` has one column per count r from 1 to ``CUTOFF``, with the number of pairs seen r times, and
+    one with the sum of all higher counts; ``lower`` sums c + 1 over the words of the seen pairs.
+    """
+    rows, fields = table.to_pylist(), [x.split() for x in SCORING.split(", ")]
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    batch = lambda out: pa.table({n: pa.array([r.get(n) for r in out], kinds[t]) for n, t in fields})
+    if rows[0]["bucket"] < 0:
+        return batch([{"kind": KIND_ROWS, "block": r["block"], "pairs": r["keys"], "at": r["context_counts"], "counts": r["word_counts"]} for r in rows])
+    parts = [unpack(r["keys"], np.uint64, True) for r in rows]
+    keys, first, inverse = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
+    contexts = [k >> np.uint64(32) for k in parts]
+    word_counts = np.concatenate([unpack(r["word_counts"], np.int64) for r in rows])[first]
+    total, at, parts = np.zeros(len(keys), np.int64), 0, []
+    for r, c in zip(rows, contexts):
+        own = inverse[at : at + len(c)]
+        at += len(c)
+        learnt = unpack(r["train"], np.uint8)[unpack(r["docs"], np.uint32)] * unpack(r["counts"], np.uint32)
+        total += np.bincount(np.repeat(own, unpack(r["sizes"], np.uint32)), learnt, len(keys)).astype(np.int64)
+        parts.append(own)
+    total[word_counts < least] = 0
+    names, nth = np.unique(keys >> np.uint64(32), return_inverse=True)
+    seen = np.stack([np.bincount(nth, total == r, len(names)) for r in range(1, CUTOFF + 1)] + [np.bincount(nth, total * (total > CUTOFF), len(names))]).astype(np.int64)
+    lower = np.bincount(nth, (total > 0) * (word_counts + 1.0), len(names)).astype(np.int64)
+    out, counts = [{"kind": KIND_STATS, "stats": _stats(total)}], np.zeros(len(names), np.int64)
+    for r, c, own in zip(rows, contexts, parts):
+        mine, begin, where = np.unique(c, return_index=True, return_inverse=True)
+        k, context_counts = np.searchsorted(names, mine), unpack(r["context_counts"], np.int64)[begin]
+        counts[k] = context_counts
+        out.append({"kind": KIND_SCORING, "pairs": pack(total[own].astype(np.uint32)), "at": pack(where.astype(np.uint32), True), "contexts": pack(mine, True), "context_counts": pack(context_counts), "lower": pack(lower[k]), "seen": pack(seen[:, k].reshape(-1)), **{n: r[n] for n in ("block", "n_docs", "word_counts", "sizes", "docs", "counts")}})
+    heavy = np.flatnonzero(_heavy(counts, tokens_n, buckets))
+    if len(heavy):
+        out.append({"kind": KIND_MODEL, "contexts": pack(names[heavy], True), "lower": pack(lower[heavy]), "seen": pack(seen[:, heavy].reshape(-1))})
+    return batch(out)
 
 
 def _summed(rows: DataFrame) -> list[int]:
@@ -164,29 +240,40 @@ def _summed(rows: DataFrame) -> list[int]:
     return [by_index.get(i, 0) for i in range(CUTOFF + 3)]
 
 
-def _vocabulary(words: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (ascending) and counts of at most ``size`` most frequent words; ties at the limit stay out."""
+def _least_count(words: DataFrame, size: int) -> int:
+    """The least count so that at most ``size`` words have it or more."""
 
-    def expand(batches):
+    def levels(batches):
         for b in batches:
-            for keys, counts in zip(b.column("a").to_pylist(), b.column("b").to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(unpack(keys, np.uint64, True).view(np.int64)), pa.array(unpack(counts, np.int64))], ["word", "c"])
-
-    rows = words.filter(F.col("kind") == KIND_MODEL).select("a", "b").mapInArrow(expand, "word long, c long")
-    # Counts fall into a bounded number of classes, a few per cent wide.
-    level = F.floor(F.log(F.col("c").cast("double")) * 32)
-    levels = sorted(((r["l"], r["n"]) for r in rows.groupBy(level.alias("l")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    least, taken = None, 0
-    for lv, n in levels:
+            for counts in b.column("a").to_pylist():
+                c, n = np.unique(unpack(counts, np.int64, True), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n)], ["c", "n"])
+
+    rows = words.filter(F.col("kind") == KIND_MODEL).select("a").mapInArrow(levels, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()
+    least, taken = 0, 0
+    for c, n in sorted(((r["c"], r["n"]) for r in rows), reverse=True):
         if taken + n > size:
-            break
-        least, taken = lv, taken + n
-    if least is None:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    top = rows.filter(level >= F.lit(least)).collect()
-    hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], np.array([r["c"] for r in top], np.int64)[order]
+            return c + 1
+        least, taken = c, taken + n
+    return max(least, 1)
+
+
+def _heavy_sums(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids (ascending), ``lower`` and ``seen`` of the contexts that are dealt over all buckets."""
+
+    def unfold(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                names = unpack(r["contexts"], np.uint64, True)
+                seen = unpack(r["seen"], np.int64).reshape(-1, len(names))
+                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(unpack(r["lower"], np.int64)), *map(pa.array, seen)], ["context", "lower", *(f"s{i}" for i in range(CUTOFF + 1))])
+
+    columns = [f"s{i}" for i in range(CUTOFF + 1)]
+    rows = pairs.filter(F.col("kind") == KIND_MODEL).select("contexts", "lower", "seen").mapInArrow(unfold, "context long, lower long, " + ", ".join(f"{c} long" for c in columns))
+    got = rows.groupBy("context").agg(F.sum("lower").alias("lower"), *(F.sum(c).alias(c) for c in columns)).collect()
+    names = np.array([r["context"] for r in got], np.int64).view(np.uint64)
+    order = np.argsort(names)
+    return names[order], np.array([r["lower"] for r in got], np.int64)[order], np.array([[r[c] for r in got] for c in columns], np.int64).reshape(len(columns), -1)[:, order]
 
 
 def katz_scores(
@@ -195,105 +282,91 @@ def katz_scores(
     training: Column,
     id_col: str = "doc_id",
     text_col: str = "text",
-    vocabulary: int = 65_536,
+    vocabulary: int | None = None,
 ) -> DataFrame:
     """``doc_id, trained, n_tokens, n_known, train_tokens, base_score, score`` per input row.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered, then one end token, which also is the first
     token's context. Null text is empty: just the end token. Repeated rows count as often as they are
     there and get equal results; an empty table gives no rows; without any training row every word is
-    unseen. ``training`` that is null counts as false. Other columns are ignored.
+    unseen. ``training`` that is null counts as false. Other columns are ignored. Pairs of all training
+    words are learnt, unless ``vocabulary`` asks for those of so many most frequent words at most.
     """
     spark = docs.sparkSession
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_key"), F.coalesce(training, F.lit(False)).alias("trained"))
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(training, F.lit(False)).alias("trained"))
     volume = src.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    buckets = max(shuffle_width(spark), int(volume // 24_000_000) + 1)
+    buckets = max(shuffle_width(spark), int(volume // BUCKET_BYTES) + 1)
 
     def read_words(batches):
         for nth, part, tokens in _texts_in_blocks(batches):
+            sizes = [len(t) for t in tokens]
             h = hash64([w for t in tokens for w in t])
-            owner = np.repeat(np.arange(len(tokens), dtype=np.uint32), [len(t) for t in tokens])
+            del tokens
+            distinct, seq = np.unique(h, return_inverse=True)
+            place = np.empty(len(distinct), np.int64)
+            place[np.argsort(mix64(distinct) % np.uint64(buckets), kind="stable")] = np.arange(len(distinct))
+            owner = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
             train = np.array(part.column("trained").to_pylist(), np.uint8)
             block = _task() << 32 | nth
-            yield _block_rows(block, part, tokens)
-            yield _rows(block, len(tokens), train, h, owner, buckets)
+            yield _block_rows(block, part, sizes, place[seq])
+            yield _rows(block, len(sizes), train, h, owner, buckets)
 
     words = stored(src.mapInArrow(read_words, EXCHANGE).groupBy("bucket").applyInArrow(_count_words, RESULT), "katz1", ("kind",))
     tokens_n, types_n, *_ = _summed(words)
-    hashes, word_counts = _vocabulary(words, vocabulary)
-    end = hash64([END])[0]
+    slots = tokens_n + types_n + 1
+    least = 1 if vocabulary is None else _least_count(words, vocabulary)
+    rows_type = T.StructType([T.StructField("block", T.LongType()), T.StructField("nth", T.IntegerType()), *(src.schema[c] for c in ("doc_id", "trained")), T.StructField("n_tokens", T.LongType()), T.StructField("share", T.DoubleType()), T.StructField("unseen", T.LongType())])
 
-    def read_pairs(batches):
-        for nth, part, tokens in _texts_in_blocks(batches):
-            h = hash64([w for t in tokens for w in t])
-            sizes = np.array([len(t) for t in tokens])
-            owner = np.repeat(np.arange(len(tokens), dtype=np.uint32), sizes)
-            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            ids = np.where(hashes[at] == h, at + 1, 0).astype(np.uint64)
-            context = np.roll(ids, 1)
-            context[np.cumsum(sizes) - sizes] = ids[-1]  # the last token of a block is an end token
-            inside = context > 0
-            train = np.array(part.column("trained").to_pylist(), np.uint8)
-            block = _task() << 32 | nth
-            yield _block_rows(block, part, tokens)
-            yield _rows(block, len(tokens), train, (context << np.uint64(32) | ids)[inside], owner[inside], buckets)
+    def unfold_rows(batches):
+        for b in batches:
+            for block, data, share, unseen in zip(*(b.column(c).to_pylist() for c in ("block", "pairs", "at", "counts"))):
+                rows = pa.ipc.open_stream(data).read_all().combine_chunks().to_batches()[0]
+                n = rows.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int32()), *rows.columns, pa.array(unpack(share, np.float64)), pa.array(unpack(unseen, np.uint32).astype(np.int64))], rows_type.fieldNames())
 
-    def shares(batches):
+    def gains(batches):
         """Per block and bucket: what pairs add to the documents' unigram scores."""
         for b in batches:
             for r in b.to_pylist():
-                key, count = unpack(r["a"], np.uint64, True), unpack(r["b"], np.uint32)
-                context, word = (key >> np.uint64(32)).astype(np.int64) - 1, (key & np.uint64(0xFFFFFFFF)).astype(np.int64) - 1
+                names, totals = unpack(r["contexts"], np.uint64, True), unpack(r["context_counts"], np.int64)
+                lower, seen = unpack(r["lower"], np.int64), unpack(r["seen"], np.int64).reshape(-1, len(names))
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, names), len(hot) - 1)
+                    known = hot[at] == names
+                    lower, seen = np.where(known, hot_lower[at], lower), np.where(known, hot_seen[:, at], seen)
+                totals, weights = context_weights(totals, kept @ seen, lower / slots)
+                count, at = unpack(r["pairs"], np.uint32), unpack(r["at"], np.uint32, True)
                 with np.errstate(divide="ignore"):
-                    seen = np.log10(factor[np.minimum(count, CUTOFF + 1)] * count / totals[context]) - np.log10((word_counts[word] + 1.0) / slots)
-                gain = np.where(count > 0, seen, weights[context])
+                    gain = np.log10(factor[np.minimum(count, CUTOFF + 1)] * count / totals[at]) - np.log10((unpack(r["word_counts"], np.int64) + 1.0) / slots)
+                gain = np.where(count > 0, gain, weights[at])
                 posting = np.repeat(gain, unpack(r["sizes"], np.uint32)) * unpack(r["counts"], np.uint32)
-                yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([pack(np.bincount(unpack(r["docs"], np.uint32), posting, r["n_docs"]))], pa.binary())], ["block", "a"])
-
-    slots = tokens_n + types_n + 1
-    rows_type = T.StructType([T.StructField("block", T.LongType()), T.StructField("nth", T.IntegerType()), *(src.schema[c] for c in ("doc_id", "text_key", "trained")), T.StructField("n_tokens", T.LongType())])
+                share = np.bincount(unpack(r["docs"], np.uint32), posting, r["n_docs"])
+                some = np.flatnonzero(share)
+                yield pa.RecordBatch.from_arrays([pa.array([r["block"]] * len(some), pa.int64()), pa.array(some.astype(np.int32)), pa.array(share[some])], ["block", "nth", "gain"])
+
+    sent = words.filter(F.col("kind").isin(KIND_ROWS, KIND_COUNTS)).groupBy("block").applyInArrow(lambda t: _pairs_of_block(t, least, tokens_n, buckets), PAIRS)
+    pairs = stored(sent.groupBy("bucket").applyInArrow(lambda t: _count_pairs(t, least, tokens_n, buckets), SCORING), "katz2", ("kind",))
+    factor = np.append(discounts([0, *_summed(pairs)[2:]]), 1.0)
+    kept = np.append(factor[1 : CUTOFF + 1] * np.arange(1, CUTOFF + 1), 1.0)
+    hot, hot_lower, hot_seen = _heavy_sums(pairs)
+    sums = pairs.filter(F.col("kind") == KIND_SCORING).drop("kind", "stats").mapInArrow(gains, "block long, nth int, gain double").groupBy("block", "nth").agg(F.sum("gain").alias("gain"))
+    rows = pairs.filter(F.col("kind") == KIND_ROWS).select("block", "pairs", "at", "counts").mapInArrow(unfold_rows, rows_type).join(sums, ["block", "nth"], "left")
+    base = F.col("share") - F.col("n_tokens") * float(np.log10(slots))
+    return rows.select(
+        "doc_id", "trained", "n_tokens", (F.col("n_tokens") - F.col("unseen")).alias("n_known"), F.lit(tokens_n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.coalesce("gain", F.lit(0.0))).alias("score")
+    )
 
-    def unfold_rows(batches):
-        for b in batches:
-            for block, data in zip(b.column("block").to_pylist(), b.column("a").to_pylist()):
-                for rows in pa.ipc.open_stream(data):
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * rows.num_rows, pa.int64()), pa.array(range(rows.num_rows), pa.int32()), *rows.columns], rows_type.fieldNames())
 
-    def unfold_shares(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                share = unpack(r["a"], np.float64)
-                unseen = unpack(r["b"], np.uint32).astype(np.int64) if r["b"] else np.zeros(len(share), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([r["block"]] * len(share), pa.int64()), pa.array(range(len(share)), pa.int32()), pa.array(share), pa.array(unseen)], ["block", "nth", "share", "unseen"])
-
-    def per_row(source: DataFrame, block_shares: DataFrame) -> DataFrame:
-        """Input rows with the sum of their blocks' shares."""
-        rows = source.filter(F.col("kind") == KIND_ROWS).select("block", "a").mapInArrow(unfold_rows, rows_type)
-        sums = block_shares.mapInArrow(unfold_shares, "block long, nth int, share double, unseen long").groupBy("block", "nth").agg(F.sum("share").alias("share"), F.sum("unseen").alias("unseen"))
-        return rows.join(sums, ["block", "nth"], "left").drop("block", "nth")
-
-    first = per_row(words, words.filter(F.col("kind") == KIND_SHARES).select("block", "a", "b"))
-    first = first.withColumn("base_score", F.col("share") - F.col("n_tokens") * float(np.log10(slots)))
-    gain = F.lit(0.0)
-    if len(hashes):
-        pairs = stored(src.mapInArrow(read_pairs, EXCHANGE).groupBy("bucket").applyInArrow(_count_pairs, RESULT), "katz2", ("kind",))
-        stats = _summed(pairs)
-        factor = np.append(discounts([0, *stats[2:]]), 1.0)
-        totals, weights = backoff(pairs, word_counts, factor, slots)
-        gains = pairs.filter(F.col("kind") == KIND_SCORING).select("block", "a", "b", "sizes", "docs", "counts", "n_docs").mapInArrow(shares, "block long, a binary")
-        second = per_row(pairs, gains.withColumn("b", F.lit(None).cast("binary")))
-        # Rows with equal id and text have equal shares, so one of them is enough here.
-        second = second.groupBy("doc_id", "text_key").agg(F.coalesce(F.max("share"), F.lit(0.0)).alias("gain")).alias("s")
-        first = first.alias("f").join(second, F.col("f.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("f.text_key") == F.col("s.text_key")))
-        first = first.select("f.*", "s.gain")
-        gain = F.col("gain")
-    return first.select(
-        "doc_id", "trained", "n_tokens", (F.col("n_tokens") - F.col("unseen")).alias("n_known"), F.lit(tokens_n).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + gain).alias("score")
-    )
+def context_weights(counts: np.ndarray, mass: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per context: the denominator of its pairs and log10 of its back-off weight."""
+    totals = counts.astype(np.float64)
+    # A context whose pairs leave nothing gets one more count, so that unseen successors stay possible.
+    totals = np.where(mass >= totals - 1e-9, totals + 1, totals)
+    return totals, np.log10((1 - mass / totals) / (1 - lower))
 
 
 def backoff(pairs: DataFrame, word_counts: np.ndarray, factor: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per word of the vocabulary as a context: the denominator of its pairs and log10 of its back-off weight."""
+    """:func:`context_weights` of a model small enough for one array, from keys of word numbers."""
 
     def sums(batches):
         mass, lower = np.zeros(len(word_counts)), np.zeros(len(word_counts))
@@ -311,7 +384,4 @@ def backoff(pairs: DataFrame, word_counts: np.ndarray, factor: np.ndarray, slots
     mass, lower = np.zeros(len(word_counts)), np.zeros(len(word_counts))
     for r in rows:
         mass[r["context"]], lower[r["context"]] = r["mass"], r["lower"]
-    totals = word_counts.astype(np.float64)
-    # A context whose pairs leave nothing gets one more count, so that unseen successors stay possible.
-    totals = np.where(mass >= totals - 1e-9, totals + 1, totals)
-    return totals, np.log10((1 - mass / totals) / (1 - lower))
+    return context_weights(word_counts, mass, lower)
