@@ -168,6 +168,16 @@ def test_license_templates(spark):
     assert got == {1: "gpl,gpl-3.0", 2: "", 3: ""}
 
 
+def test_license_templates_beside_other_licenses(spark):
+    texts = [licenses.TEMPLATES[k] for k in ("mit-text", "bsd", "unlicense")]
+    bodies = " ".join(t if isinstance(t, str) else t[0] if isinstance(t[0], str) else t[0][0] for t in texts)
+    notice = "Licensed under the GNU General Public License, version 3."
+    incidental = "waived fee domain binary conditions charge " * 20
+    docs = spark.createDataFrame([(1, f"{bodies} {notice}"), (2, incidental + notice + incidental), (3, incidental)], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.license_scan(docs).collect()}
+    assert got == {1: ("bsd,gpl,gpl-3.0,mit-text,unlicense", 1.0), 2: ("gpl,gpl-3.0", 1.0), 3: ("", 0.0)}
+
+
 def test_substrings(case):
     rows, docs = case
     got = substrings.remove_repeats(docs, window=20).withColumn("kept", F.sha2(F.col("kept_text"), 256))

@@ -1,8 +1,9 @@
 """License scans by a positional rare-token index.
 
-The index maps each word of the licence templates to its (template, position) postings. A file's
-licence words are looked up from the rarest on, by inverse document frequency over all files; postings
-vote for (template, file position - template position). A place with votes becomes a label when enough
+The index maps words of the licence templates to their (template, position) postings: of each template
+its own rarest words, by inverse document frequency over all files, so many that a place without any of
+them can't hold enough of its weight. All their positions in a file are looked up; postings vote for
+(template, file position - template position). A place with votes becomes a label when enough
 of the template's weight stands there and the template's mandatory phrase is found inside it.
 """
 
@@ -75,20 +76,32 @@ class LicenseIndex:
             for i, w in enumerate(t):
                 self.postings[w].append((k, i))
         self.vocabulary = frozenset(self.postings)
+        sure = {k: self._sure(t, self.weight[k]) for k, (t, _) in self.templates.items()}
+        kept = {w: [(k, i) for k, i in found if w in sure[k]] for w, found in self.postings.items()}
+        self.lookup = {w: found for w, found in kept.items() if found}
 
     def _idf(self, word: bytes) -> float:
         return self.idf.get(word, max(self.idf.values(), default=1.0))
 
+    def _sure(self, template: list[bytes], weight: float) -> set[bytes]:
+        """The rarest words of a template, ``rare`` of them or as many as no place with enough weight lacks."""
+        chosen, left = set(), weight * (1 + 1e-9)
+        for w in sorted(set(template), key=lambda w: (-self._idf(w), w)):
+            if len(chosen) >= self.rare and left < self.least * weight:
+                break
+            chosen.add(w)
+            left -= self._idf(w) * template.count(w)
+        return chosen
+
     def template_matches(self, words: list[bytes], present: set[bytes]) -> dict[str, float]:
         """label -> the largest share of a template's weight found in place, where its phrase is verified."""
-        lookup = sorted(present, key=lambda w: (-self._idf(w), w))[: self.rare]
         votes: set[tuple[str, int]] = set()
-        for w in lookup:
+        for w in present.intersection(self.lookup):
             at = -1
             try:
                 while True:
                     at = words.index(w, at + 1)
-                    votes.update((k, at - i) for k, i in self.postings[w])
+                    votes.update((k, at - i) for k, i in self.lookup[w])
             except ValueError:
                 pass
         best: dict[str, float] = {}
