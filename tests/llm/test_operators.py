@@ -178,6 +178,26 @@ def test_license_templates_beside_other_licenses(spark):
     assert got == {1: ("bsd,gpl,gpl-3.0,mit-text,unlicense", 1.0), 2: ("gpl,gpl-3.0", 1.0), 3: ("", 0.0)}
 
 
+def test_standard_license_notices(spark):
+    program = "This {} is free software: you can redistribute it and/or modify\n * it under the terms of the GNU {} as published by\n * the Free Software Foundation, either version {} of the License, or\n * (at your option) any later version."
+    notices = {
+        "gpl,gpl-2.0": program.format("program", "General Public License", "2"),
+        "gpl,gpl-3.0": program.format("program", "General Public License", "3"),
+        "lgpl": program.format("library", "Lesser General Public License", "2.1"),
+        "agpl": program.format("program", "Affero General Public License", "3"),
+        "apache,apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.',
+        "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+        "mit-text": "SPDX-License-Identifier: MIT",
+    }
+    filler = [("", "it is free software, and any version of the license " * 5)]
+    rows = [(i, f"/* x\n * {t} */ y", want) for i, (want, t) in enumerate([*notices.items(), *filler])]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.license_scan(docs).collect()}
+    assert got == {d: want for d, _, want in rows}
+
+
 def test_substrings(case):
     rows, docs = case
     got = substrings.remove_repeats(docs, window=20).withColumn("kept", F.sha2(F.col("kept_text"), 256))

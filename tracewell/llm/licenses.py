@@ -26,21 +26,86 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-# Label -> (opening words of the licence's usual notice, phrase that must be there).
+# Label -> templates (words of the usual notice, of the text's beginning or of a short form, and
+# a phrase that must be there).
 TEMPLATES = {
-    "apache-2.0": ("licensed under the apache license version 2 0", "apache license version 2 0"),
-    "gpl-2.0": ("licensed under the gnu general public license version 2", "gnu general public license version 2"),
-    "gpl-3.0": ("licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    "lgpl": ("licensed under the gnu lesser general public license version", "gnu lesser general public license"),
-    "agpl": ("licensed under the gnu affero general public license version", "gnu affero general public license"),
-    "mit-text": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
-    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee is hereby granted"),
-    "mpl": ("this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    "unlicense": ("this is free and unencumbered software released into the public domain", "free and unencumbered software"),
-    "cc-by-nc": ("licensed under cc by nc 4 0", "cc by nc"),
-    "cc-by-sa": ("licensed under cc by sa 4 0", "cc by sa"),
-    "cc0": ("to the extent possible under law waived all copyright cc0 1 0 universal", "cc0 1 0"),
+    "apache-2.0": (
+        ("licensed under the apache license version 2 0", "apache license version 2 0"),
+        ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache license version 2 0"),
+        ("apache license version 2 0 january 2004 http www apache org licenses terms and conditions for use reproduction and distribution", "apache license version 2 0"),
+        ("spdx license identifier apache 2 0", "identifier apache 2 0"),
+    ),
+    "gpl-2.0": (
+        ("licensed under the gnu general public license version 2", "gnu general public license version 2"),
+        ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "gnu general public license as published by the free software foundation either version 2"),
+        ("you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation", "gnu general public license version 2"),
+        ("gnu general public license version 2 june 1991", "gnu general public license version 2 june 1991"),
+        ("spdx license identifier gpl 2 0", "identifier gpl 2 0"),
+    ),
+    "gpl-3.0": (
+        ("licensed under the gnu general public license version 3", "gnu general public license version 3"),
+        ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "gnu general public license as published by the free software foundation either version 3"),
+        ("you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation", "gnu general public license version 3"),
+        ("gnu general public license version 3 29 june 2007", "gnu general public license version 3 29 june 2007"),
+        ("spdx license identifier gpl 3 0", "identifier gpl 3 0"),
+    ),
+    "lgpl": (
+        ("licensed under the gnu lesser general public license version", "gnu lesser general public license"),
+        ("you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license as published by the free software foundation"),
+        ("you can redistribute it and or modify it under the terms of the gnu library general public license as published by the free software foundation", "gnu library general public license as published by the free software foundation"),
+        ("gnu lesser general public license version 2 1 february 1999", "gnu lesser general public license version 2 1 february 1999"),
+        ("gnu lesser general public license version 3 29 june 2007", "gnu lesser general public license version 3 29 june 2007"),
+        ("spdx license identifier lgpl", "identifier lgpl"),
+    ),
+    "agpl": (
+        ("licensed under the gnu affero general public license version", "gnu affero general public license"),
+        ("you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license as published by the free software foundation"),
+        ("gnu affero general public license version 3 19 november 2007", "gnu affero general public license version 3 19 november 2007"),
+        ("spdx license identifier agpl", "identifier agpl"),
+    ),
+    "mit-text": (
+        ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
+        ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", "to deal in the software without restriction"),
+        ("spdx license identifier mit", "identifier mit"),
+    ),
+    "bsd": (
+        ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
+        ("use of this source code is governed by a bsd style license that can be found in the license file", "governed by a bsd style license"),
+        ("spdx license identifier bsd", "identifier bsd"),
+    ),
+    "isc": (
+        ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee is hereby granted"),
+        ("permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "with or without fee is hereby granted"),
+        ("spdx license identifier isc", "identifier isc"),
+    ),
+    "mpl": (
+        ("this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+        ("the contents of this file are subject to the mozilla public license version 1 1 the license you may not use this file except in compliance with the license", "mozilla public license"),
+        ("mozilla public license version 2 0 1 definitions", "mozilla public license version 2 0"),
+        ("spdx license identifier mpl", "identifier mpl"),
+    ),
+    "unlicense": (
+        ("this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+        ("spdx license identifier unlicense", "identifier unlicense"),
+    ),
+    "cc-by-nc": (
+        ("licensed under cc by nc 4 0", "cc by nc"),
+        ("licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial 4 0"),
+        ("creative commons attribution noncommercial 4 0 international public license", "attribution noncommercial 4 0 international public license"),
+        ("spdx license identifier cc by nc", "identifier cc by nc"),
+    ),
+    "cc-by-sa": (
+        ("licensed under cc by sa 4 0", "cc by sa"),
+        ("licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike 4 0"),
+        ("creative commons attribution sharealike 4 0 international public license", "attribution sharealike 4 0 international public license"),
+        ("spdx license identifier cc by sa", "identifier cc by sa"),
+    ),
+    "cc0": (
+        ("to the extent possible under law waived all copyright cc0 1 0 universal", "cc0 1 0"),
+        ("has waived all copyright and related or neighboring rights to", "waived all copyright and related or neighboring rights"),
+        ("creative commons legal code cc0 1 0 universal", "cc0 1 0 universal"),
+        ("spdx license identifier cc0 1 0", "identifier cc0 1 0"),
+    ),
 }
 
 
@@ -65,13 +130,13 @@ def places(words: list[bytes], phrase: list[bytes], start: int = 0, stop: int |
 
 
 class LicenseIndex:
-    def __init__(self, templates: dict[str, tuple[str, str]], phrases: dict[str, str], idf: dict[bytes, float], rare: int, least: float):
+    def __init__(self, templates: dict[str, tuple[tuple[str, str], ...]], phrases: dict[str, str], idf: dict[bytes, float], rare: int, least: float):
         self.phrases = [(p.encode().split(), label) for p, label in phrases.items()]
         self.needles = [max(p, key=len) for p, _ in self.phrases]
-        self.templates = {k: (t.encode().split(), p.encode().split()) for k, (t, p) in templates.items()}
+        self.templates = {(k, i): (t.encode().split(), p.encode().split()) for k, several in templates.items() for i, (t, p) in enumerate(several)}
         self.idf, self.rare, self.least = idf, rare, least
         self.weight = {k: sum(self._idf(w) for w in t) for k, (t, _) in self.templates.items()}
-        self.postings: dict[bytes, list[tuple[str, int]]] = defaultdict(list)
+        self.postings: dict[bytes, list[tuple[tuple[str, int], int]]] = defaultdict(list)
         for k, (t, _) in self.templates.items():
             for i, w in enumerate(t):
                 self.postings[w].append((k, i))
@@ -95,7 +160,7 @@ class LicenseIndex:
 
     def template_matches(self, words: list[bytes], present: set[bytes]) -> dict[str, float]:
         """label -> the largest share of a template's weight found in place, where its phrase is verified."""
-        votes: set[tuple[str, int]] = set()
+        votes: set[tuple[tuple[str, int], int]] = set()
         for w in present.intersection(self.lookup):
             at = -1
             try:
@@ -109,8 +174,8 @@ class LicenseIndex:
             template, phrase = self.templates[k]
             got = sum(self._idf(w) for i, w in enumerate(template) if 0 <= begin + i < len(words) and words[begin + i] == w)
             share = got / self.weight[k] if self.weight[k] else 0.0
-            if share >= self.least and share > best.get(k, 0.0) and places(words, phrase, max(0, begin), min(len(words), begin + len(template))):
-                best[k] = share
+            if share >= self.least and share > best.get(k[0], 0.0) and places(words, phrase, max(0, begin), min(len(words), begin + len(template))):
+                best[k[0]] = share
         return best
 
     def scan(self, text: str | None) -> tuple:
@@ -152,7 +217,7 @@ def license_scan(
     id_col: str = "doc_id",
     text_col: str = "text",
     phrases: dict[str, str] = PHRASES,
-    templates: dict[str, tuple[str, str]] = TEMPLATES,
+    templates: dict[str, tuple[tuple[str, str], ...]] = TEMPLATES,
     rare: int = 6,
     least: float = 0.8,
 ) -> DataFrame:
@@ -162,7 +227,7 @@ def license_scan(
     empty table gives no rows; other columns are ignored. ``score`` is the largest share of a template's
     weight found in place, 1 for a whole phrase.
     """
-    vocabulary = frozenset(w for t, _ in templates.values() for w in t.encode().split())
+    vocabulary = frozenset(w for several in templates.values() for t, _ in several for w in t.encode().split())
     df, n = document_frequencies(docs, vocabulary, text_col)
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1e-6 for w in vocabulary}
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
