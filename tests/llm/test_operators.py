@@ -117,6 +117,18 @@ def test_quality(case):
         assert got.filter("kept").count() > 0.7 * len(rows)
 
 
+def test_quality_of_texts_without_common_words(spark):
+    rng = random.Random(8)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    gibberish = lambda: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(3, 9))) for _ in range(300))
+    rows = [(-1, gibberish(), "en"), (-2, " ".join(rng.choice("kala vesi talo metsä suuri pieni hyvä päivä yö ja ei on niin kuin mutta vanha uusi tie joki kivi".split()) + str(i % 7) for i in range(300)), None)]
+    rows += [(-3, gibberish() + " of" * 20, "en")]
+    got = quality.quality_rules(docs.unionByName(spark.createDataFrame(rows, docs.schema)))
+    assert {r.doc_id: (r.base_failed, r.kept) for r in got.filter("doc_id < 0").collect()} == dict.fromkeys((-1, -2, -3), (False, False))
+    good = got.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("quality = 1").select("doc_id"), "doc_id").filter("NOT base_failed AND word_distance IS NOT NULL")
+    assert good.filter("kept").count() >= 0.98 * good.count() > 0
+
+
 def test_js_distance(spark):
     df = spark.createDataFrame([([1, 1, 0],), ([0, 0, 5],), ([2, 2, 4],)], "c array<long>")
     got = [r[0] for r in df.select(quality.js_distance(F.col("c"), [0.5, 0.5, 0.0])).collect()]

@@ -2,8 +2,10 @@
 
 Two histograms are taken per document: character classes, and common words of the supported languages
 (plus one bin for all other words). The references are the summed histograms of all documents of each
-language. A document fails when, for the language it is nearest to, the Jensen-Shannon distance of
-either histogram is above its threshold; histograms of too few characters or words are not judged.
+language. The bin of all other words, about four fifths of any text, would drown the common ones: it takes
+no part in distances, and the share of common words is judged by itself. A document fails when that share
+is too small, or when, for the language it is nearest to, the Jensen-Shannon distance of either histogram
+is above its threshold; histograms of too few characters or words are not judged.
 Everything is built-in expressions: no Python runs on the executors.
 """
 
@@ -86,7 +88,8 @@ def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def references(feature_rows: DataFrame, languages: tuple[str, ...]) -> dict[str, dict[str, list[float]]]:
-    """The summed histograms of each language as probabilities; languages without documents are left out.
+    """The summed histograms of each language as probabilities, ``word_counts`` without its last bin;
+    languages without documents or common words are left out.
 
     What reaches the driver is one row per language and bin, whatever the size of the input.
     """
@@ -97,7 +100,7 @@ def references(feature_rows: DataFrame, languages: tuple[str, ...]) -> dict[str,
         found.setdefault(r["lang"], [0] * (len(CLASSES) + len(WORD_BINS) + 1))[r["bin"]] = r["n"]
     out = {}
     for lang, counts in sorted(found.items()):
-        classes, common = counts[: len(CLASSES)], counts[len(CLASSES) :]
+        classes, common = counts[: len(CLASSES)], counts[len(CLASSES) : -1]
         if sum(classes) and sum(common):
             out[lang] = {"class_counts": [x / sum(classes) for x in classes], "word_counts": [x / sum(common) for x in common]}
     return out
@@ -109,7 +112,8 @@ def js_distance(counts: Column, reference: list[float]) -> Column:
     term = lambda p, m: F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
     shares = F.transform(counts, lambda x: x / F.greatest(total, F.lit(1)))
     terms = F.zip_with(shares, F.lit(reference), lambda p, r: (term(p, (p + r) / 2) + term(r, (p + r) / 2)) / 2)
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)))
+    # Nothing is as far as can be.
+    return F.when(total > 0, F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)))).otherwise(1.0)
 
 
 def quality_rules(
@@ -124,26 +128,31 @@ def quality_rules(
     min_chars: int = 400,
     min_judged_words: int = 100,
     max_class_distance: float = 0.45,
-    max_word_distance: float = 0.6,
+    max_word_distance: float = 0.7,
+    min_common_percent: int = 4,
 ) -> DataFrame:
     """One row per input row: the counts, ``base_failed``, the distances to the nearest language and ``kept``.
 
     Null text counts as no words (and fails); an empty table gives no rows; repeated rows give repeated
     results; columns other than the three named are ignored. Where no document has a known language,
     nothing can be judged and ``kept`` is ``not base_failed``. Distances are null where not judged.
+    The thresholds of common words lie outside what documents labelled good show on sf0.01: distances of
+    0.52 at most for 99% of them and 0.69 for all, shares of 5% at least.
     """
     rows = stored(features(docs, id_col=id_col, text_col=text_col, lang_col=lang_col), "quality")
     refs = references(rows, languages)
-    far = rows
+    far = rows.withColumn("common", F.slice("word_counts", 1, len(WORD_BINS)))
     # The nearest language is the one with the smallest sum of both distances.
-    options = [F.struct((js_distance(F.col("class_counts"), r["class_counts"]) + js_distance(F.col("word_counts"), r["word_counts"])).alias("sum"), js_distance(F.col("class_counts"), r["class_counts"]).alias("c"), js_distance(F.col("word_counts"), r["word_counts"]).alias("w"), F.lit(lang).alias("lang")) for lang, r in refs.items()]
+    options = [F.struct((js_distance(F.col("class_counts"), r["class_counts"]) + js_distance(F.col("common"), r["word_counts"])).alias("sum"), js_distance(F.col("class_counts"), r["class_counts"]).alias("c"), js_distance(F.col("common"), r["word_counts"]).alias("w"), F.lit(lang).alias("lang")) for lang, r in refs.items()]
     nothing = "CAST(NULL AS STRUCT<sum: DOUBLE, c: DOUBLE, w: DOUBLE, lang: STRING>)"
     far = far.withColumn("near", F.array_min(F.array(*options)) if options else F.expr(nothing))
     chars = F.aggregate("class_counts", F.lit(0).cast("long"), lambda a, x: a + x)
     far = far.withColumns({"class_distance": F.when(chars >= min_chars, F.col("near.c")), "word_distance": F.when(F.col("n_words") >= min_judged_words, F.col("near.w"))})
+    common = F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x)
+    enough = F.col("word_distance").isNull() | (100 * common >= min_common_percent * F.col("n_words"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     near = (F.coalesce("class_distance", F.lit(0.0)) <= max_class_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance)
-    return far.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & near).select(
+    return far.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & near & enough).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("near.lang").alias("nearest_lang"), "class_distance", "word_distance"
     )
 
