@@ -15,20 +15,35 @@ from tracewell.llm.common import stored
 
 
 
-def _chosen(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """``docs`` with (left_semi) or without (left_anti) the ids in ``ids``; null ids are equal."""
-    wanted = ids.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")), how)
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("__text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def _chosen(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """``docs`` with (left_semi) or without (left_anti) the rows of ``rows`` (id and text key); null ids are equal."""
+    wanted = rows.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    return _keyed(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), how).drop("__text_key")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
+    # The rules look at the text and, beyond it, only at sums over all documents, so equal texts are judged equally.
     return _chosen(docs, quality.quality_rules(docs).filter(~F.col("kept")), "left_anti")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    return _chosen(docs, neardup.near_duplicates(docs, shingle=5, percent=80).filter(~F.col("kept")), "left_anti")
+    """Of each group of near-duplicates one row with the smallest id stays, one with a null id if there is no other.
+
+    Rows with a null id and no words are in no group and all stay.
+    """
+    rows = neardup.near_duplicates(docs, shingle=5, percent=80)
+    alone = F.col("doc_id").isNull() & (F.col("n_shingles") == 0)
+    own = [F.when(F.col("component_id").isNull(), F.col(c)).alias(f"of_{c}") for c in ("set_a", "set_b", "n_shingles")]
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", (F.col("n_shingles") == 0).alias("no_words"), "text_key")
+    first = rows.filter(~alone).groupBy("component_id", *own).agg(F.min(order).alias("x")).select("x.doc_id", "x.text_key")
+    loose = stored(rows.filter(alone).select("doc_id", "text_key").distinct(), "loose")
+    one = _keyed(_chosen(docs, first, "left_semi")).dropDuplicates(["doc_id", "__text_key"]).drop("__text_key")
+    return one.unionByName(_chosen(docs, loose, "left_semi"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

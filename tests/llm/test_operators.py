@@ -294,3 +294,20 @@ def test_pipeline(spark, sf):
     masked = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
     same(corpus_pipeline.run(spark, sf), ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], brute.bpe([(d, masked[d]) for d, _ in left]))
     assert len(corpus_pipeline.STAGES) == 5 and queries.QUERIES["pipeline"]
+
+
+def test_pipeline_stages_decide_by_row(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    given = [r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.lang == "en"]
+    fine = {r.doc_id for r in quality.quality_rules(spark.createDataFrame(given)).filter("kept AND n_words BETWEEN 100 AND 800").collect()}
+    texts = list({r.text: None for r in given if r.doc_id in fine})
+    a, b, c, d, e = rng.sample(texts, 5)
+    rows = [(None, a), (None, b), (None, b), (None, "too short"), (7, c), (7, "short too"), (8, d), (8, d), (9, e), (10, e), (None, e)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    listed = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    left = corpus_pipeline.quality_stage(spark, docs, "")
+    assert left.columns == docs.columns and listed(left) == sorted((r for r in rows if len(r[1]) > 20), key=str)
+    left = corpus_pipeline.near_dedup_stage(spark, left, "")
+    assert left.columns == docs.columns and listed(left) == sorted([(None, a), (None, b), (7, c), (8, d), (9, e)], key=str)

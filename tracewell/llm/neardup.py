@@ -84,8 +84,8 @@ def _sets(texts: list[str | None], size: int) -> list[np.ndarray]:
 
 
 def signatures(docs: DataFrame, *, shingle: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, n_shingles, set_a, set_b`` (128 bits that stand for the shingle set) and ``keys``."""
-    out = T.StructType([docs.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("n_shingles", "set_a", "set_b")), T.StructField("keys", T.ArrayType(T.LongType()))])
+    """``doc_id, text_key, n_shingles, set_a, set_b`` (128 bits that stand for the shingle set) and ``keys``."""
+    out = T.StructType([docs.schema["doc_id"], docs.schema["text_key"], *(T.StructField(n, T.LongType()) for n in ("n_shingles", "set_a", "set_b")), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches):
         table = draws(bands * rows)
@@ -106,9 +106,9 @@ def signatures(docs: DataFrame, *, shingle: int, bands: int, rows: int) -> DataF
                     for i, k in zip(some, band_keys(densified(owner, x, len(some), table), bands, rows)):
                         keys[i] = k
                 columns = [pa.array(n, pa.int64()), pa.array(a), pa.array(z), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), *columns], out.fieldNames())
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in ("doc_id", "text_key")), *columns], out.fieldNames())
 
-    return docs.select("doc_id", "text").mapInArrow(run, out)
+    return docs.select("doc_id", "text_key", "text").mapInArrow(run, out)
 
 
 def shingle_sets(docs: DataFrame, *, shingle: int) -> DataFrame:
@@ -211,7 +211,7 @@ def near_duplicates(
     bands: int = 40,
     rows: int = 6,
 ) -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id, kept`` (``doc_id = component_id``).
+    """One row per input row: ``doc_id, text_key, set_a, set_b, n_shingles, component_id, kept`` (``doc_id = component_id``).
 
     Ids are integers. Two documents are linked when ``100 * intersection >= percent * union`` of their
     distinct shingles; with fewer words the whole sequence is the one shingle; without words (or null) a
@@ -219,7 +219,7 @@ def near_duplicates(
     id of its group, if any, and isn't kept. At similarity 0.8 a pair shares no bucket, and so is lost,
     with a chance of (1 - 0.8^6)^40, about 5 in a million; more similar pairs far less.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"))
     sigs = stored(signatures(src, shingle=shingle, bands=bands, rows=rows), "signatures")
     classes = sigs.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
     classes = stored(classes, "classes")
@@ -273,4 +273,4 @@ def near_duplicates(
     named = classes.join(labels, "node", "left").select(F.col("set_a").alias("sa"), F.col("set_b").alias("sb"), F.col("n_shingles").alias("ns"), F.coalesce("component", "node").alias("component_id"))
     same = (F.col("set_a") == F.col("sa")) & (F.col("set_b") == F.col("sb")) & (F.col("n_shingles") == F.col("ns"))
     out = sigs.drop("keys").join(named, same, "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return out.select("doc_id", "text_key", "set_a", "set_b", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))

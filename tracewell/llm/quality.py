@@ -72,10 +72,10 @@ def _histograms(text: Column, word_list: Column) -> dict[str, Column]:
 
 
 def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Counts and histograms of every row: ``doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines,
+    """Counts and histograms of every row: ``doc_id, text_key, lang, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, class_counts, word_counts`` (its last bin holds all words that are not common)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text.alias("text"))
+    df = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     df = df.withColumn("words", words(F.col("text")))
     df = df.withColumns({**base_counts(F.col("text"), F.col("words")), **_histograms(F.col("text"), F.col("words"))})
     df = _repeats(df)
@@ -83,7 +83,7 @@ def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     df = df.withColumn("bins", F.array(*bins))
     other = F.col("n_words") - F.aggregate("bins", F.lit(0).cast("long"), lambda a, x: a + x)
     return df.withColumn("word_counts", F.concat("bins", F.array(other))).select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_counts", "word_counts"
+        "doc_id", "text_key", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_counts", "word_counts"
     )
 
 
@@ -153,7 +153,7 @@ def quality_rules(
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     near = (F.coalesce("class_distance", F.lit(0.0)) <= max_class_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance)
     return far.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & near & enough).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("near.lang").alias("nearest_lang"), "class_distance", "word_distance"
+        "doc_id", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("near.lang").alias("nearest_lang"), "class_distance", "word_distance"
     )
 
 

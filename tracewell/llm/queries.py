@@ -41,11 +41,11 @@ def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(_documents(spark, sf_dir))
+    return quality.quality_rules(_documents(spark, sf_dir)).drop("text_key")
 
 
 def op4_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_documents(spark, sf_dir), shingle=2)
+    return neardup.near_duplicates(_documents(spark, sf_dir), shingle=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
