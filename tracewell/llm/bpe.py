@@ -1,11 +1,12 @@
 """Byte-level BPE encoding by overlapping chunks, and decoding.
 
-A text of at most ``chunk_chars`` characters is pre-tokenised and encoded where it is read. A longer
-one is cut into overlapping chunks that different tasks pre-tokenise and encode; a chunk's boundaries
-are kept from the first place in the overlap where they coincide with those of the chunk before it.
-The pattern looks ahead only, so tokenisation from a shared boundary on is the same in both. A chunk's
-last ``GUARD`` characters are never trusted, because a match there may have been cut short. If no
-boundary is shared within an overlap (a run without any), the whole text is encoded in one go.
+A text of at most ``chunk_chars`` characters is pre-tokenised where it is read. A longer one is cut into
+overlapping chunks that different tasks pre-tokenise; a chunk's boundaries are kept from the first place
+in the overlap where they coincide with those of the chunk before it, and the pieces between the kept
+boundaries are encoded. The pattern looks ahead only, so pre-tokenisation from a shared boundary on is the
+same in both. A chunk's last ``GUARD`` characters are never trusted, because a match there may have been
+cut short. If no boundary is shared within an overlap (a run without any), the whole text is pre-tokenised
+in one go.
 """
 
 from __future__ import annotations
@@ -23,8 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import blocks
+
 GUARD = 4
-CACHE_PIECES = 1 << 18
+#: Bytes of pieces and ids that a worker's cache may hold.
+CACHE_BYTES = 12_000_000
+BLOCK_BYTES = 2_000_000
 
 
 @lru_cache(maxsize=4)
@@ -41,6 +46,7 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
         self.cache: dict[str, bytes] = {}
+        self.cached = 0
         self.bytes_of = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, i in self.ranks.items():
             self.bytes_of[i] = token
@@ -48,19 +54,22 @@ class Codec:
     def pieces(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
-    def packed(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece, packed as 32-bit integers."""
+    def packed(self, pieces: list[str]) -> bytes:
+        """The ids of all pieces in order, packed as 32-bit integers."""
         cache = self.cache
-        if len(cache) > CACHE_PIECES:
+        if self.cached > CACHE_BYTES:
             cache.clear()
+            self.cached = 0
         for p in set(pieces).difference(cache):
             raw = p.encode("utf-8", "surrogatepass")
             one = self.ranks.get(raw)
-            cache[p] = np.array([one] if one is not None else self.core._encode_single_piece(raw), np.int32).tobytes()
-        return [cache[p] for p in pieces]
+            ids = np.array([one] if one is not None else self.core._encode_single_piece(raw), np.int32).tobytes()
+            cache[p] = ids
+            self.cached += 150 + len(raw) + len(ids)
+        return b"".join(map(cache.__getitem__, pieces))
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(self.packed(self.pieces(text))), np.int32)
+        return np.frombuffer(self.packed(self.pieces(text)), np.int32)
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -86,23 +95,30 @@ def encode_documents(
     text_col: str = "text",
     chunk_chars: int = 32_768,
     overlap_chars: int = 1_024,
+    decode: bool = False,
 ) -> DataFrame:
     """One row per input row: ``doc_id`` (any type, kept), ``ids`` (array of int).
 
-    Null and empty texts give an empty array; repeated rows give repeated results; other columns,
-    whatever their names, are ignored. ``ranks_path`` must be readable on every executor.
+    With ``decode`` also ``decoded``, the raw bytes that the ids stand for, worked out in the same pass.
+    Null and empty texts give an empty array, an empty table gives no rows; repeated rows give repeated
+    results; other columns, whatever their names, are ignored. There are no ties: a text has one encoding.
+    Very long texts are pre-tokenised in chunks by many tasks; one task stitches and encodes each of them.
+    ``ranks_path`` must be readable on every executor.
     """
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    id_type = src.schema["doc_id"].dataType
-    out = T.StructType([T.StructField("doc_id", id_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    fields = [T.StructField("doc_id", src.schema["doc_id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    out = T.StructType([*fields, *([T.StructField("decoded", T.BinaryType())] if decode else [])])
+
+    def columns(ids: list[np.ndarray], c: Codec) -> list[pa.Array]:
+        return [_id_lists(ids), *([pa.array([c.decode(x.tolist()) for x in ids], pa.binary())] if decode else [])]
 
     def encode_whole(batches):
         c = codec(ranks_path, pattern)
         for b in batches:
             column = b.column("text")
-            for at in range(0, b.num_rows, 512):
-                ids = [c.encode(t) for t in column.slice(at, 512).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, 512), _id_lists(ids)], ["doc_id", "ids"])
+            for lo, hi in blocks(pc.binary_length(column).to_pylist(), BLOCK_BYTES):
+                ids = [c.encode(t) for t in column.slice(lo, hi - lo).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), *columns(ids, c)], out.fieldNames())
 
     short = src.filter(F.length("text") <= chunk_chars).mapInArrow(encode_whole, out)
 
@@ -117,56 +133,48 @@ def encode_documents(
     ).select("doc_id", "text_key", "n_chars", "start", F.substring("text", F.col("start") + 1, chunk_chars).alias("chunk"))
     # Chunks are dealt out evenly so that one long text is worked on by many tasks.
     chunks = chunks.repartition("doc_id", "text_key", "start")
-    encoded = T.StructType(
-        [*chunks.schema.fields, T.StructField("ends", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("ids", T.BinaryType())]
-    )
+    split = T.StructType([*chunks.schema.fields, T.StructField("ends", T.BinaryType())])
 
-    def encode_chunks(batches):
+    def split_chunks(batches):
         c = codec(ranks_path, pattern)
         for b in batches:
-            ends, counts, ids = [], [], []
-            for chunk in b.column("chunk").to_pylist():
-                pieces = c.pieces(chunk)
-                packed = c.packed(pieces)
-                ends.append(np.cumsum([len(p) for p in pieces], dtype=np.int32).tobytes())
-                counts.append((np.array([len(p) for p in packed], np.int32) // 4).tobytes())
-                ids.append(b"".join(packed))
-            more = [pa.array(x, pa.binary()) for x in (ends, counts, ids)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "ends", "counts", "ids"])
-
-    def stitch(table: pa.Table) -> pa.Table:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                ends = [np.cumsum([len(p) for p in c.pieces(chunk)], dtype=np.int32).tobytes() for chunk in part.column("chunk").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ends, pa.binary())], split.fieldNames())
+
+    def encode_stitched(table: pa.Table) -> pa.Table:
+        c = codec(ranks_path, pattern)
         rows = sorted(table.to_pylist(), key=lambda r: r["start"])
         copies = sum(r["start"] == 0 for r in rows)
-        ids = stitched_ids([r for i, r in enumerate(rows) if i == 0 or r["start"] != rows[i - 1]["start"]], codec(ranks_path, pattern))
-        return pa.table({"doc_id": pa.array([rows[0]["doc_id"]] * copies, table.schema.field("doc_id").type), "ids": _id_lists([ids] * copies)})
+        parts = stitched_pieces([r for i, r in enumerate(rows) if i == 0 or r["start"] != rows[i - 1]["start"]], c)
+        ids = np.frombuffer(b"".join(map(c.packed, parts)), np.int32)
+        return pa.table([pa.array([rows[0]["doc_id"]] * copies, table.schema.field("doc_id").type), *columns([ids] * copies, c)], out.fieldNames())
 
-    long_ids = chunks.mapInArrow(encode_chunks, encoded).groupBy("doc_id", "text_key").applyInArrow(stitch, out)
-    return short.unionByName(long_ids)
+    return short.unionByName(chunks.mapInArrow(split_chunks, split).groupBy("doc_id", "text_key").applyInArrow(encode_stitched, out))
 
 
-def stitched_ids(rows: list[dict], c: Codec) -> np.ndarray:
-    """Ids of one text from its encoded chunks in order; see the module's docstring."""
-    n, total = len(rows), rows[0]["n_chars"]
+def stitched_pieces(rows: list[dict], c: Codec):
+    """The pieces of one text, a list for each of its pre-tokenised chunks in order; see the module's docstring."""
+    n, begin, parts = len(rows), 0, []
     ends = [np.frombuffer(r["ends"], np.int32) + r["start"] for r in rows]
-    ids = [np.frombuffer(r["ids"], np.int32) for r in rows]
-    offsets = [np.concatenate([[0], np.cumsum(np.frombuffer(r["counts"], np.int32))]) for r in rows]
-    parts, begin = [], 0
     for k in range(n):
-        if k == n - 1:
-            parts.append(ids[k][offsets[k][begin] :])
-            break
-        trusted = rows[k]["start"] + len(rows[k]["chunk"]) - GUARD
-        mine = ends[k][(ends[k] > rows[k + 1]["start"]) & (ends[k] <= trusted)]
-        shared = np.intersect1d(mine, ends[k + 1], assume_unique=True)
-        shared = shared[shared > (ends[k][begin - 1] if begin else 0)]
-        if not len(shared):
-            text = rows[0]["chunk"] + "".join(r["chunk"][p["start"] + len(p["chunk"]) - r["start"] :] for p, r in zip(rows, rows[1:]))
-            assert len(text) == total
-            return c.encode(text)
-        cut = shared[0]
-        parts.append(ids[k][offsets[k][begin] : offsets[k][int(np.searchsorted(ends[k], cut)) + 1]])
-        begin = int(np.searchsorted(ends[k + 1], cut)) + 1
-    return np.concatenate(parts)
+        stop = len(ends[k])
+        if k < n - 1:
+            trusted = rows[k]["start"] + len(rows[k]["chunk"]) - GUARD
+            mine = ends[k][(ends[k] > rows[k + 1]["start"]) & (ends[k] <= trusted)]
+            shared = np.intersect1d(mine, ends[k + 1], assume_unique=True)
+            shared = shared[shared > (ends[k][begin - 1] if begin else 0)]
+            if not len(shared):
+                text = rows[0]["chunk"] + "".join(r["chunk"][p["start"] + len(p["chunk"]) - r["start"] :] for p, r in zip(rows, rows[1:]))
+                assert len(text) == rows[0]["n_chars"]
+                return [c.pieces(text)]
+            stop = int(np.searchsorted(ends[k], shared[0])) + 1
+        chunk, edges = rows[k]["chunk"], [0, *(ends[k] - rows[k]["start"]).tolist()]
+        parts.append([chunk[edges[i] : edges[i + 1]] for i in range(begin, stop)])
+        if k < n - 1:
+            begin = int(np.searchsorted(ends[k + 1], shared[0])) + 1
+    return parts
 
 
 def decode_ids(encoded: DataFrame, *, ranks_path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -188,18 +196,8 @@ def decode_ids(encoded: DataFrame, *, ranks_path: str, pattern: str = public_tok
 
 
 def digests(decoded: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of :func:`decode_ids` rows."""
-    out = T.StructType([*decoded.select("doc_id").schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("listed", T.StringType()), T.StructField("decoded", T.BinaryType())])
-
-    def listed(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                ids = part.column("ids")
-                n = pc.fill_null(pc.list_value_length(ids), 0).cast(pa.int64())
-                text = pc.binary_join(pc.cast(ids, pa.list_(pa.string())), ",").fill_null("")
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, text, part.column("decoded")], ["doc_id", "n_tokens", "listed", "decoded"])
-
-    return decoded.select("doc_id", "ids", "decoded").mapInArrow(listed, out).select(
-        "doc_id", "n_tokens", F.sha2(F.col("listed"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256")
+    """``doc_id``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of rows with ``ids`` and ``decoded``."""
+    ids = F.coalesce("ids", F.expr("CAST(array() AS ARRAY<INT>)"))
+    return decoded.select(
+        "doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256")
     )

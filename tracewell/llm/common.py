@@ -9,7 +9,6 @@ import uuid
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,11 +26,13 @@ ALNUM_TABLE = bytes(
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``, the folder that driver and executors share.
 
-    Only where that setting is absent (local tests) a temporary folder is taken.
+    Only a local session may do without that setting: it gets a temporary folder.
     """
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -47,13 +48,34 @@ def ship(spark: SparkSession) -> None:
     context._tracewell_shipped = True
 
 
+#: Setting by which the shuffle files of a finished execution are removed.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_stored_paths: list[str] = []
+
+
 def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` written once to the shared folder and read back, which cuts its lineage."""
+    """``df`` written once to the shared folder and read back, which cuts its lineage.
+
+    Nothing reads the shuffles below the table again, so their files go when it is complete.
+    """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    _stored_paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that :func:`stored` has written for this process; results that read them are gone then."""
+    while _stored_paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_stored_paths.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -75,6 +97,8 @@ def space_tokens(text: str | None) -> list[bytes]:
 
 def hash64(tokens: list[bytes]) -> np.ndarray:
     """A stable 64-bit hash for each token."""
+    import pandas as pd  # here, so that workers that hash nothing don't load it
+
     array = np.empty(len(tokens), dtype=object)
     array[:] = tokens
     return pd.util.hash_array(array, categorize=False) if len(tokens) else np.empty(0, np.uint64)

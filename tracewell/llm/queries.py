@@ -12,10 +12,15 @@ from . import bpe, decontam, katz, langid, licenses, neardup, quality, secrets,
 from .common import ship
 
 
+#: Arrow batches of so many bytes keep the memory of a task's JVM and Python sides small.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def _shipped(query):
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
+        spark.conf.set(*BATCH_BYTES)
         return query(spark, sf_dir)
 
     return run
@@ -36,8 +41,7 @@ def op1_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode_documents(_documents(spark, sf_dir), ranks_path=path)
-    return bpe.digests(bpe.decode_ids(encoded, ranks_path=path))
+    return bpe.digests(bpe.encode_documents(_documents(spark, sf_dir), ranks_path=path, decode=True))
 
 
 def op3_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
