@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, hash64, mix64
+from .common import blocks, hash64, mix64, shuffle_width
 from .packing import pack, unpack
 
 PREFIX_CHARS = 12
 PREFIX_WORDS = 8
 BLOCK_BYTES = 6_000_000
-LEAVES = "grp int, nodes binary, docs binary, starts binary, known boolean"
+GROUP_BYTES = 12_000_000
+LEAVES = "grp int, block long, nodes binary, docs binary, starts binary"
+FOUND = "block long, docs binary, starts binary"
 
 
 def word_list(text: str | None) -> list[bytes]:
@@ -62,21 +64,26 @@ def prefix_hashes(h: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
 
 
 def leaves(docs: DataFrame, window: int, groups: int) -> DataFrame:
-    """Rows of packed leaves per block and group; ``known`` rows hold leaves that a block itself found repeated."""
+    """Rows of packed leaves per block and group. Leaves that a block itself found repeated need no group:
+    they have no nodes, and a ``grp`` below 0 of their block's own."""
 
     def run(batches):
+        from pyspark import TaskContext
+
+        task, nth = TaskContext.get().partitionId(), 0
         with np.errstate(over="ignore"):
             for b in batches:
                 sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_pylist()
                 for lo, hi in blocks(sizes, BLOCK_BYTES):
                     texts = [word_list(t) for t in b.column("text").slice(lo, hi - lo).to_pylist()]
                     ids = np.array(b.column("doc_id").slice(lo, hi - lo).to_pylist(), np.int64)
-                    yield _block(texts, ids, window, groups)
+                    yield _block(task << 32 | nth, texts, ids, window, groups)
+                    nth += 1
 
     return docs.select("doc_id", "text").mapInArrow(run, LEAVES)
 
 
-def _block(texts: list[list[bytes]], ids: np.ndarray, window: int, groups: int) -> pa.RecordBatch:
+def _block(block: int, texts: list[list[bytes]], ids: np.ndarray, window: int, groups: int) -> pa.RecordBatch:
     tokens = [w for t in texts for w in t]
     n = np.array([len(t) for t in texts])
     h = hash64(tokens)
@@ -86,7 +93,9 @@ def _block(texts: list[list[bytes]], ids: np.ndarray, window: int, groups: int)
         owner = np.repeat(np.arange(len(n)), n)
         start = np.arange(len(h)) - first[owner]
         whole = (n[owner] - start >= window)[: len(h) - window + 1]
-        node, group = path_hashes(h, window), prefix_hashes(h, np.fromiter(map(len, tokens), np.int64, len(tokens)), len(h) - window + 1)
+        lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        del tokens
+        node, group = path_hashes(h, window), prefix_hashes(h, lengths, len(h) - window + 1)
         at = np.flatnonzero(whole)
         node, doc, start = node[at], ids[owner[at]], start[at]
         group = (mix64(group[at] ^ np.uint64(0x5555)) % np.uint64(groups)).astype(np.int64)
@@ -95,47 +104,60 @@ def _block(texts: list[list[bytes]], ids: np.ndarray, window: int, groups: int)
         again = np.zeros(len(node), bool)
         again[1:] = node[1:] == node[:-1]
         begin = np.maximum.accumulate(np.where(again, 0, np.arange(len(node))))
-        same = (doc == doc[begin]) & (start == start[begin])  # a row that is there twice is one document
-        known, fresh = again & ~same, ~again
-        for mask, is_known in ((fresh, False), (known, True)):
-            g, d, s, x = group[mask], doc[mask], start[mask], node[mask]
-            o = np.lexsort((s, d, g))
-            g, d, s, x = g[o], d[o], s[o], x[o]
-            ends = np.cumsum(np.bincount(g, minlength=groups))
-            for k in np.unique(g):
-                i, j = (ends[k - 1] if k else 0), ends[k]
-                rows.append((int(k), b"" if is_known else x[i:j].tobytes(), pack(d[i:j].astype(np.int64), True), pack(s[i:j].astype(np.int64), True), is_known))
-    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
+        known = again & ((doc != doc[begin]) | (start != start[begin]))  # a row that is there twice is one document
+        if known.any():
+            d, s = doc[known], start[known]
+            o = np.lexsort((s, d))
+            rows.append((-1 - (block ^ block >> 32) % 65_536, block, b"", pack(d[o], True), pack(s[o], True)))
+        g, d, s, x = (a[~again] for a in (group, doc, start, node))
+        o = np.lexsort((s, d, g))
+        g, d, s, x = g[o], d[o], s[o], x[o]
+        ends = np.cumsum(np.bincount(g, minlength=groups))
+        for k in np.unique(g):
+            i, j = (ends[k - 1] if k else 0), ends[k]
+            rows.append((int(k), block, x[i:j].tobytes(), pack(d[i:j], True), pack(s[i:j], True)))
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
     columns = list(zip(*rows)) if rows else [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["grp", "nodes", "docs", "starts", "known"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["grp", "block", "nodes", "docs", "starts"])
+
+
+def _found(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 3, (pa.int64(), pa.binary(), pa.binary()))], ["block", "docs", "starts"])
 
 
 def _deep_nodes(table: pa.Table) -> pa.Table:
-    """Leaves of a group's deep internal nodes other than each node's first."""
-    rows = table.to_pylist()
-    fresh = [r for r in rows if not r["known"]]
-    doc = [unpack(r["docs"], np.int64, True) for r in rows if r["known"]]
-    start = [unpack(r["starts"], np.int64, True) for r in rows if r["known"]]
-    if fresh:
-        node = np.concatenate([np.frombuffer(r["nodes"], np.uint64) for r in fresh])
-        d = np.concatenate([unpack(r["docs"], np.int64, True) for r in fresh])
-        s = np.concatenate([unpack(r["starts"], np.int64, True) for r in fresh])
-        order = np.argsort(node)
-        ordered = node[order]
-        twice = np.zeros(len(node), bool)
-        twice[1:] = ordered[1:] == ordered[:-1]
-        twice[:-1] |= twice[1:]
-        order = order[twice]  # only leaves of internal nodes are sorted in full
-        node, d, s = node[order], d[order], s[order]
-        order = np.lexsort((s, d, node))
-        node, d, s = node[order], d[order], s[order]
-        again = np.zeros(len(node), bool)
-        again[1:] = node[1:] == node[:-1]
-        begin = np.maximum.accumulate(np.where(again, 0, np.arange(len(node))))
-        again &= (d != d[begin]) | (s != s[begin])
-        doc.append(d[again])
-        start.append(s[again])
-    doc, start = np.concatenate(doc), np.concatenate(start)
+    """Leaves of a group's deep internal nodes other than each node's first, packed by the block they came from."""
+    if table.column("grp")[0].as_py() < 0:
+        return table.select(["block", "docs", "starts"])
+    sources = table.column("block").to_pylist()
+    node = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("nodes")]
+    source, node = np.repeat(np.arange(len(node)), [len(x) for x in node]), np.concatenate(node)
+    # Only leaves of internal nodes are unpacked further and sorted in full.
+    order = np.argsort(node)
+    ordered = node[order]
+    twice = np.zeros(len(node), bool)
+    twice[1:] = ordered[1:] == ordered[:-1]
+    twice[:-1] |= twice[1:]
+    at = np.sort(order[twice])
+    node, source = node[at], source[at]
+    doc, start = (np.concatenate([unpack(x.as_py(), np.int64, True) for x in table.column(c)])[at] for c in ("docs", "starts"))
+    order = np.lexsort((start, doc, node))
+    node, doc, start, source = node[order], doc[order], start[order], source[order]
+    again = np.zeros(len(node), bool)
+    again[1:] = node[1:] == node[:-1]
+    begin = np.maximum.accumulate(np.where(again, 0, np.arange(len(node))))
+    again &= (doc != doc[begin]) | (start != start[begin])
+    doc, start, source = doc[again], start[again], source[again]
+    order = np.lexsort((start, doc, source))
+    doc, start = doc[order], start[order]
+    which, first = np.unique(source[order], return_index=True)
+    parts = zip(which, first, [*first[1:], len(doc)])
+    return _found([(sources[k], pack(doc[i:j], True), pack(start[i:j], True)) for k, i, j in parts])
+
+
+def _of_block(table: pa.Table) -> pa.Table:
+    """``doc_id, starts`` of the documents of one block."""
+    doc, start = (np.concatenate([unpack(x.as_py(), np.int64, True) for x in table.column(c)]) for c in ("docs", "starts"))
     order = np.lexsort((start, doc))
     doc, start = doc[order], start[order]
     ids, at = np.unique(doc, return_index=True)
@@ -146,11 +168,12 @@ def _deep_nodes(table: pa.Table) -> pa.Table:
 def repeated_windows(docs: DataFrame, *, window: int = 20) -> DataFrame:
     """``doc_id, starts``: each document's windows whose words also start earlier; one row per document."""
     volume = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    # Groups hold 8 to 64 MB of text: small inputs need some parallelism, large ones fewer, fuller rows.
-    groups = 1 + int(max(min(volume // 8_000_000, 128), volume // 64_000_000))
+    groups = max(shuffle_width(docs.sparkSession), 1 + int(volume // GROUP_BYTES))
     known = docs.filter(F.col("doc_id").isNotNull())
-    found = leaves(known, window, groups).groupBy("grp").applyInArrow(_deep_nodes, "doc_id long, starts array<int>")
-    return found.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("starts"))).alias("starts"))
+    found = leaves(known, window, groups).groupBy("grp").applyInArrow(_deep_nodes, FOUND)
+    # A document's places come together by block first: rows per block and group, not per document and group.
+    by_doc = found.groupBy("block").applyInArrow(_of_block, "doc_id long, starts array<int>")
+    return by_doc.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("starts"))).alias("starts"))
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
