@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import public_tokenizers as P
 import tiktoken
@@ -38,31 +39,58 @@ def katz_base(docs):
     return [(d, len(tokens[i]), sum(train[w] > 0 for w in tokens[i]), n, sum(math.log10((train[w] + 1) / (n + v + 1)) for w in tokens[i])) for i, (d, t) in enumerate(docs)]
 
 
-def katz_scores(docs, trained):
-    """Scores with pairs of all words, nothing left out."""
-    tokens = [[*SPACE_WORD.findall(low(t)), None] for _, t in docs]
-    learnt = [t for (d, _), t in zip(docs, tokens) if trained(d)]
-    words = Counter(w for t in learnt for w in t)
-    pairs = Counter(p for t in learnt for p in zip([None, *t], t))
-    slots = sum(words.values()) + len(words) + 1
-    n = Counter(pairs.values())
-    common = 8 * n[8] / n[1] if n[1] and n[8] else None
+def katz_factors(counts):
+    n = Counter(counts)
+    common = 8 * n[8] / n[1] if n[1] else 1
     d = {}
     for r in range(1, 8):
-        value = ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) if n[r] and common is not None and common < 1 else 1
-        d[r] = value if 0 < value <= 1 else 1
-    mass, lower = defaultdict(float), defaultdict(float)
-    for (c, w), r in pairs.items():
-        mass[c] += d.get(r, 1) * r
-        lower[c] += (words[w] + 1) / slots
-    total = {c: words[c] + (mass[c] >= words[c] - 1e-9) for c in words}
-    out = []
-    for t in tokens:
-        score = 0.0
-        for c, w in zip([None, *t], t):
-            r, p = pairs[c, w], (words[w] + 1) / slots
-            score += math.log10(d.get(r, 1) * r / total[c] if r else p * ((1 - mass[c] / total[c]) / (1 - lower[c]) if words[c] else 1))
-        out.append(score)
+        value = ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) if n[r] and common < 1 else 0
+        d[r] = value if 0 < value < 1 else (r - 0.5) / r
+    return d
+
+
+def katz_model(docs, trained):
+    """A function from (first word, middle word, word) to its probability at order three; None ends a text."""
+    grams = [Counter(), Counter(), Counter()]
+    for d, t in docs:
+        if trained(d):
+            w = [None, None, *SPACE_WORD.findall(low(t)), None]
+            for i in range(2, len(w)):
+                for n in range(3):
+                    grams[n][tuple(w[i - n : i + 1])] += 1
+    factors = [katz_factors(g.values()) for g in grams]
+    successors = [defaultdict(dict) for _ in grams]
+    for g, s in zip(grams, successors):
+        for k, r in g.items():
+            s[k[:-1]][k[-1]] = r
+
+    @cache
+    def total(n, context):
+        r = successors[n].get(context, {}).values()
+        return sum(r) + (all(x > 7 for x in r) and len(r) > 0)
+
+    weights = {}
+
+    def p(context, word):
+        n = len(context)
+        seen = successors[n].get(context)
+        if not seen:
+            return p(context[1:], word) if n else 1.0
+        if word in seen:
+            return factors[n].get(seen[word], 1) * seen[word] / total(n, context)
+        if context not in weights:
+            left = 1 - sum(factors[n].get(r, 1) * r for r in seen.values()) / total(n, context)
+            weights[context] = left / (1 - sum(p(context[1:], w) for w in seen)) if n else left
+        return weights[context] * (p(context[1:], word) if n else 1)
+
+    return lambda a, b, w: p((a, b), w)
+
+
+def katz_scores(docs, trained):
+    p, out = katz_model(docs, trained), []
+    for _, t in docs:
+        w = [None, None, *SPACE_WORD.findall(low(t)), None]
+        out.append(sum(math.log10(p(w[i - 2], w[i - 1], w[i])) for i in range(2, len(w))))
     return out
 
 

@@ -52,48 +52,46 @@ def same(df, columns, expected):
     assert sorted((tuple(r) for r in df.select(*columns).collect()), key=key) == sorted(map(tuple, expected), key=key)
 
 
-def test_katz(case):
+@pytest.mark.parametrize("buckets", [None, 60])
+def test_katz(case, buckets):
+    """Base columns and scores; with 60 buckets many words and some contexts count as large."""
     rows, docs = case
-    got = katz.katz_scores(docs, training=F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2, vocabulary=50).collect()
+    got = katz.katz_scores(docs, training=F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2, buckets=buckets).collect()
     key = lambda r: (str(r[0]), r[1], round(r[4], 6))
-    want = sorted(brute.katz_base(rows), key=key)
+    scores = brute.katz_scores(rows, lambda d: d is not None and brute.crc(d, 7) != 2)
+    want = sorted(((*w, s) for w, s in zip(brute.katz_base(rows), scores)), key=key)
     have = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got), key=key)
     assert [w[:4] for w in want] == [h[:4] for h in have]
-    assert all(math.isclose(w[4], h[4], abs_tol=1e-6) and h[5] < 0 for w, h in zip(want, have))
+    assert all(math.isclose(w[4], h[4], abs_tol=1e-6) and math.isclose(w[5], h[5], rel_tol=1e-9, abs_tol=1e-6) for w, h in zip(want, have))
 
 
-def test_katz_learns_pairs_of_all_words(spark):
-    """More types than any list of words held, in pairs seen 1 to 9 times, and one word before very many."""
+@pytest.mark.parametrize("buckets", [None, 7])
+def test_katz_learns_pairs_and_triples_of_all_words(spark, buckets):
+    """Very many types, pairs seen 1 to 9 times, one word before very many and one pair before very many."""
     rng = random.Random(4)
     rows = [(i, " ".join(f"w{i}x{j}" for j in range(1_000))) for i in range(70)]
     rows += [(100 + i, " ".join(f"w{i % 12}x{j}" for j in range(300 + 50 * (i % 12)))) for i in range(60)]
     rows += [(200 + i, " ".join(f"the w{rng.randrange(70)}x{rng.randrange(1_000)}" for _ in range(400))) for i in range(20)]
-    rows += [(900, "w3x5 w3x6 w3x7 the never w60x1 w60x2"), (901, None), (902, "never seen here")]
+    rows += [(300 + i, " ".join(f"of the w{rng.randrange(70)}x{rng.randrange(1_000)}" for _ in range(2_000))) for i in range(30)]
+    rows += [(900, "w3x5 w3x6 w3x7 the never w60x1 w60x2 of the never of the w3x5 of the of"), (901, None), (902, "never seen here")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.score for r in katz.katz_scores(docs, training=F.col("doc_id") < 900).collect()}
+    got = {r.doc_id: r.score for r in katz.katz_scores(docs, training=F.col("doc_id") < 900, buckets=buckets).collect()}
+    assert len(katz.large_keys(docs, 1, 1 / 7)[1]) == 1
     want = brute.katz_scores(rows, lambda d: d < 900)
     assert len(got) == len(rows)
     for (d, _), x in zip(rows, want):
         assert math.isclose(got[d], x, rel_tol=1e-9, abs_tol=1e-6), (d, got[d], x)
 
 
-def test_backoff_sums_to_one(spark):
-    import numpy as np
-
-    from tracewell.llm.packing import pack
-
-    counts = np.array([6, 3, 2], np.int64)
-    pairs = {(0, 1): 2, (0, 2): 1, (1, 0): 3, (2, 0): 1}
-    keys = np.array(sorted((c + 1) << 32 | (w + 1) for c, w in pairs), np.uint64)
-    values = np.array([pairs[(int(k) >> 32) - 1, (int(k) & 0xFFFFFFFF) - 1] for k in keys], np.int64)
-    df = spark.createDataFrame([(katz.KIND_MODEL, bytearray(pack(keys, True)), bytearray(pack(values)))], "kind int, a binary, b binary")
-    factor, slots = np.append(np.linspace(0.5, 1, katz.CUTOFF + 1), 1.0), 11 + 3 + 1
-    totals, weights = katz.backoff(df, counts, factor, slots)
-    low = np.append((counts + 1) / slots, 1 / slots)
-    assert math.isclose(low.sum(), 1)
-    for c in range(3):
-        seen = {w: factor[min(r, katz.CUTOFF + 1)] * r / totals[c] for (a, w), r in pairs.items() if a == c}
-        assert math.isclose(sum(seen.get(w, 10 ** weights[c] * low[w]) for w in range(4)), 1)
+def test_katz_probabilities_sum_to_one():
+    """Of every context, over all words and the slot of unseen words, in the version the scores are held against."""
+    rng = random.Random(2)
+    texts = [(i, " ".join(rng.choice("a b c d e f g h".split()) for _ in range(rng.randrange(1, 12)))) for i in range(40)]
+    p = brute.katz_model(texts, lambda d: True)
+    words = [None, "unseen", *"abcdefgh"]
+    for a in words:
+        for b in words:
+            assert math.isclose(sum(p(a, b, w) for w in words), 1, rel_tol=1e-9), (a, b)
 
 
 def test_bpe(case):

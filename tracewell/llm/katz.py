@@ -1,16 +1,23 @@
-"""Language-model scoring with a Katz back-off model of order two.
-
-Bigram counts of all training words are discounted by Good-Turing; what they leave goes to unseen
-successors in proportion to their unigram probability, with weights that make each context's
-probabilities sum to one. A context that training lacks backs off with weight one. Unigrams have
-probability (c + 1) / (N + V + 1); all unseen words share one slot.
-
-Documents are never joined to the model one token at a time. Each block of documents sends its distinct
-words, with the documents they stand in, to the words' buckets, and gets their numbers and counts back
-beside its tokens. Then it sends its distinct pairs, with the counts of both words, to the buckets of their contexts;
-there pairs are counted, and all that a context's back-off weight needs is in one place. A context with
-more than a bucket's share of the tokens is dealt over all buckets by its pairs, and the parts of its
-sums (of fewer contexts than there are buckets) meet on the driver, as do a few counts of counts.
+"""Language-model scoring with a Katz back-off model of order three.
+
+Counts of single words, pairs and triples are discounted by Good-Turing at each order. A context's
+left-over probability goes to its unseen successors in proportion to the next lower order, with weights
+that make the probabilities of every context sum to one; a context that training lacks backs off with
+weight one. All words that training lacks share one slot, which holds what the discounts of single words
+leave. Every text is preceded by two end tokens.
+
+Documents are never joined to the model one token at a time, and no part of the model is dropped. Texts are
+read in blocks. First each block sends its distinct words to the words' buckets and gets their numbers and
+counts back. Then it sends its distinct triples, with the documents they stand in, to the bucket of their
+middle word: there all pairs and triples with that middle word meet, so that counts and all that back-off
+weights are made of are at hand for both orders. What needs no factor of the whole corpus is summed per
+document there; triples that training lacks are kept with the sums of their contexts, in a partitioned
+table, until the factors are known, and then evaluated from order three down.
+
+Middle words with more than a bucket's share of the tokens, by a bounded sample, are dealt by their first
+word too, and contexts that large also by the last word. Counts of a large word's pairs come with the
+words' counts; sums of large words and contexts (fewer than buckets) meet on the driver. The sample decides
+only who works on what: results don't depend on it.
 """
 
 from __future__ import annotations
@@ -22,366 +29,404 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, hash64, mix64, shuffle_width, space_tokens, stored
-from .packing import bucketed, pack, unpack
+from .common import ascii_lower, blocks, hash64, mix64, shuffle_width, space_tokens, stored, words
+from .packing import combined, pack, unpack
 
 END = b" end"  # no word holds a blank
 CUTOFF = 7  # counts above it are not discounted
+CLASSES = CUTOFF + 1  # counts from 1 to CUTOFF, and all higher ones
 BLOCK_BYTES = 4_000_000
 BUCKET_BYTES = 12_000_000
-EXCHANGE = "bucket int, block long, n_docs int, keys binary, sizes binary, docs binary, counts binary, train binary"
-PAIRS = "bucket int, block long, n_docs int, keys binary, context_counts binary, word_counts binary, sizes binary, docs binary, counts binary, train binary"
-SCORING = "kind int, block long, n_docs int, stats array<long>, pairs binary, at binary, contexts binary, context_counts binary, lower binary, seen binary, word_counts binary, sizes binary, docs binary, counts binary"
-KIND_MODEL, KIND_STATS, KIND_SCORING, KIND_ROWS, KIND_COUNTS = 1, 2, 3, 4, 5
-
-
-def discounts(n: list[int]) -> np.ndarray:
-    """Good-Turing factors d[r] for counts r up to ``CUTOFF`` from n[r], the number of n-grams seen r times."""
-    d = np.ones(CUTOFF + 1)
-    if n[1] and n[CUTOFF + 1]:
-        common = (CUTOFF + 1) * n[CUTOFF + 1] / n[1]
-        for r in range(1, CUTOFF + 1):
-            if n[r] and common < 1:
-                value = ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common)
-                d[r] = value if 0 < value <= 1 else 1.0
-    return d
+SAMPLE_BYTES = 8_000_000
+ROW = "kind int, bucket int, block long, n_docs int, parts array<binary>"
+OWN, COUNTS, STATS, LARGE_PAIRS, NGRAMS, LOWER, LARGE_CONTEXTS, CLOSED, OPEN = range(1, 10)
 
 
-def _texts_in_blocks(batches):
-    """(block number in this task, rows of the batch, tokens of each text with the end token)."""
-    nth = 0
-    for b in batches:
-        sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_pylist()
-        for lo, hi in blocks(sizes, BLOCK_BYTES):
-            part = b.slice(lo, hi - lo)
-            yield nth, part, [space_tokens(t) + [END] for t in part.column("text").to_pylist()]
-            nth += 1
+def _table(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.binary()))
+    return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, kinds)], ["kind", "bucket", "block", "n_docs", "parts"])
 
 
-def _task() -> int:
-    from pyspark import TaskContext
+def _rows(table: pa.Table) -> list[tuple]:
+    return list(zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "block", "n_docs", "parts"))))
 
-    return TaskContext.get().partitionId()
 
+def discounts(n: list[float]) -> np.ndarray:
+    """Factors for counts from 1 to ``CUTOFF`` (and 1 for more, last) from n[r], the number of n-grams seen r times.
 
-def _rows(block: int, n_docs: int, train: np.ndarray, keys, docs, buckets: int) -> pa.RecordBatch:
-    columns: list[list] = [[] for _ in range(8)]
-    flags = pack(train)
-    for b, k, sizes, doc, counts in bucketed(keys, docs, buckets):
-        for c, x in zip(columns, (b, block, n_docs, pack(k, True), pack(sizes), pack(doc), pack(counts), flags)):
-            c.append(x)
-    kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["bucket", "block", "n_docs", "keys", "sizes", "docs", "counts", "train"])
+    Where Good-Turing gives no factor between 0 and 1, as on small tables, half a count is taken off.
+    """
+    d = np.ones(CLASSES + 1)
+    common = CLASSES * n[CLASSES] / n[1] if n[1] else 1.0
+    for r in range(1, CLASSES):
+        value = ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) if n[r] and common < 1 else 0.0
+        d[r] = value if 0 < value < 1 else (r - 0.5) / r
+    return d
 
 
-def _own_bucket(block: int) -> int:
-    """A bucket below 0 for what a block says of itself; few blocks share one."""
-    return -1 - (block ^ block >> 32) * 0x9E3779B1 % 65_536
+def _class(count: np.ndarray) -> np.ndarray:
+    return np.minimum(count, CLASSES)
 
 
-def _block_rows(block: int, part: pa.RecordBatch, sizes: list[int], tokens: np.ndarray) -> pa.RecordBatch:
-    """Which input rows a block holds, and its tokens as indices of its distinct words in the order of
-    their buckets and hashes, as one row of the exchange in a bucket of its own kind."""
-    rows = pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("trained"), pa.array(sizes, pa.int64())], ["doc_id", "trained", "n_tokens"])
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema) as writer:
-        writer.write_batch(rows)
-    kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
-    values = [_own_bucket(block), block, len(sizes), sink.getvalue().to_pybytes(), pack(tokens.astype(np.uint32)), b"", b"", b""]
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], ["bucket", "block", "n_docs", "keys", "sizes", "docs", "counts", "train"])
+def _seen(count: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """Per group: how many n-grams have each count up to ``CUTOFF``, and the sum of all higher counts."""
+    weight = np.where(count > CUTOFF, count, 1.0)
+    return np.bincount((_class(count) - 1)[count > 0] * n + group[count > 0], weight[count > 0], CLASSES * n).reshape(CLASSES, n)
 
 
-def _own_rows(table: pa.Table) -> pa.Table | None:
-    """The rows of :func:`_block_rows`, which pass the counting unchanged."""
-    if table.column("bucket")[0].as_py() >= 0:
-        return None
-    return _result([{"kind": KIND_ROWS, "block": r["block"], "a": r["keys"], "b": r["sizes"]} for r in table.to_pylist()])
+def _sums(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts' counts from :func:`_seen`, and the same with one more where no discount leaves anything."""
+    counts = np.append(np.arange(1, CLASSES), 1.0) @ seen
+    return counts, counts + (seen[:CUTOFF].sum(0) == 0) * (counts > 0)
 
 
-def _gathered(table: pa.Table):
-    """Training counts of a bucket's keys: distinct keys, their counts, and per block (row, index of its
-    keys, index of each posting's key, documents, counts)."""
-    rows = table.to_pylist()
-    keys = [unpack(r["keys"], np.uint64, True) for r in rows]
-    distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    total, parts, at = np.zeros(len(distinct), np.int64), [], 0
-    for r, k in zip(rows, keys):
-        own = inverse[at : at + len(k)]
-        at += len(k)
-        posting = np.repeat(own, unpack(r["sizes"], np.uint32))
-        docs, counts = unpack(r["docs"], np.uint32), unpack(r["counts"], np.uint32)
-        learnt = unpack(r["train"], np.uint8)[docs] * counts
-        total += np.bincount(posting, learnt, len(distinct)).astype(np.int64)
-        parts.append((r, own, posting, docs, counts))
-    return distinct, total, parts
+def _left(seen: np.ndarray, totals: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """The probability that discounted counts leave."""
+    kept = np.append(factors[1:CLASSES] * np.arange(1, CLASSES), 1.0)
+    return 1 - kept @ seen / np.maximum(totals, 1)
 
 
-def _stats(total: np.ndarray) -> list[int]:
-    """[sum, number above 0, n_1 .. n_(CUTOFF + 1)]"""
-    return [int(total.sum()), int((total > 0).sum()), *(int((total == r).sum()) for r in range(1, CUTOFF + 2))]
+class Unigrams:
+    """Discounted probabilities of words by their counts; a count of 0 is the slot of all unseen words."""
 
+    def __init__(self, tokens: float, n: list[float]):
+        self.factors = discounts(n)
+        seen = np.array([[*n[1:CLASSES], tokens - sum(r * n[r] for r in range(1, CLASSES))]]).T
+        self.total = max(float(_sums(seen)[1][0]), 1.0)
+        self.unseen = float(_left(seen, np.array([self.total]), self.factors)[0])
 
-RESULT = "kind int, block long, a binary, b binary, stats array<long>"
+    def __call__(self, count: np.ndarray) -> np.ndarray:
+        return np.where(count > 0, self.factors[_class(count)] * count / self.total, self.unseen)
 
 
-def _result(rows: list[dict]) -> pa.Table:
-    kinds = {"kind": pa.int32(), "block": pa.int64(), "a": pa.binary(), "b": pa.binary(), "stats": pa.list_(pa.int64())}
-    return pa.table({k: pa.array([r.get(k) for r in rows], t) for k, t in kinds.items()})
+def _task() -> int:
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId()
 
 
-def _count_words(table: pa.Table) -> pa.Table:
-    """Counts of a bucket's words; training words are numbered from the most frequent on, from 1."""
-    if (own := _own_rows(table)) is not None:
-        return own
-    bucket = table.column("bucket")[0].as_py()
-    distinct, total, parts = _gathered(table)
+def _own_bucket(block: int) -> int:
+    """A bucket below 0 for what a block says of itself; few blocks share one."""
+    return -1 - (block ^ block >> 32) * 0x9E3779B1 % 65_536
+
+
+def _contexts(seq: np.ndarray, n_tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The last and the last but one token before each token; a block's last token is an end token."""
+    starts = np.cumsum(n_tokens) - n_tokens
+    one = np.roll(seq, 1)
+    one[starts] = seq[-1]
+    two = np.roll(one, 1)
+    two[starts] = seq[-1]
+    return one, two
+
+
+def _runs(part: np.ndarray, buckets: int):
+    """(bucket, from, to) of each bucket in the ascending ``part``."""
+    ends = np.cumsum(np.bincount(part, minlength=buckets))
+    return [(b, ends[b - 1] if b else 0, ends[b]) for b in range(buckets) if ends[b] > (ends[b - 1] if b else 0)]
+
+
+def _large_pairs(seq: np.ndarray, one: np.ndarray, large: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the distinct pairs with a large first word, by second word, and which tokens have one."""
+    some = np.flatnonzero(large[one])
+    return seq[some].astype(np.uint64) << np.uint64(16) | large[one[some]].astype(np.uint64), some
+
+
+def _words_of_block(block: int, part: pa.RecordBatch, texts: list[list[bytes]], buckets: int, large_words: np.ndarray, large_contexts: list[tuple[int, int]]) -> pa.Table:
+    """A block's row of its own, with its documents and its tokens as indices of its distinct words, in the order
+    of their buckets and hashes; and its words, and pairs with a large first word, per bucket of the (last) word."""
+    sizes = np.array([len(t) for t in texts])
+    h = hash64([w for t in texts for w in t])
+    distinct, seq = np.unique(h, return_inverse=True)
+    order = np.argsort(mix64(distinct) % np.uint64(buckets), kind="stable")
+    place = np.empty(len(distinct), np.int64)
+    place[order] = np.arange(len(distinct))
+    keys, seq = distinct[order], place[seq]
+    trained = np.repeat(part.column("trained").to_numpy(zero_copy_only=False).astype(np.uint8), sizes)
+    counts = np.bincount(seq, trained, len(keys)).astype(np.uint32)
+    large = np.zeros(len(keys), np.uint16)
+    where = np.full(len(large_words), -1)
+    for i, w in enumerate(large_words):
+        at = np.searchsorted(distinct, w)
+        if at < len(distinct) and distinct[at] == w:
+            where[i] = place[at]
+            large[where[i]] = i + 1
+    at_hash = dict(zip(large_words.tolist(), where.tolist()))
+
+    def local(word: int) -> int:
+        if word not in at_hash:
+            at = int(np.searchsorted(distinct, np.uint64(word)))
+            at_hash[word] = int(place[at]) if at < len(distinct) and int(distinct[at]) == word else -1
+        return at_hash[word]
+
+    found = [(local(a), local(b), i + 1) for i, (a, b) in enumerate(large_contexts)]
+    found = np.array([x for x in found if x[0] >= 0 and x[1] >= 0], np.int64).reshape(-1, 3)
+    pairs, some = _large_pairs(seq, _contexts(seq, sizes)[0], large)
+    pairs, nth = np.unique(pairs, return_inverse=True)
+    pair_counts = np.bincount(nth, trained[some], len(pairs)).astype(np.uint32)
+    docs = pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("trained"), pa.array(sizes, pa.int64())], ["doc_id", "trained", "n_tokens"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, docs.schema) as writer:
+        writer.write_batch(docs)
+    rows = [(OWN, _own_bucket(block), block, len(sizes), [sink.getvalue().to_pybytes(), pack(seq.astype(np.uint32)), pack(large), pack(found.reshape(-1))])]
+    ends = np.cumsum(np.bincount((pairs >> np.uint64(16)).astype(np.int64), minlength=len(keys)))
+    for b, i, j in _runs((mix64(keys) % np.uint64(buckets)).astype(np.int64), buckets):
+        k, m = (ends[i - 1] if i else 0), ends[j - 1]
+        word = ((pairs[k:m] >> np.uint64(16)) - np.uint64(i)).astype(np.uint32)
+        rows.append((NGRAMS, b, block, len(sizes), [pack(keys[i:j], True), pack(counts[i:j]), pack(word, True), pack((pairs[k:m] & np.uint64(0xFFFF)).astype(np.uint16)), pack(pair_counts[k:m])]))
+    return _table(rows)
+
+
+def _count_words(table: pa.Table, n_large: int) -> pa.Table:
+    """Counts of a bucket's words and of their pairs after large words, back to each block; training words are
+    numbered from the most frequent on, from 1. One block a pair is told to report it further."""
+    rows = _rows(table)
+    bucket = rows[0][1]
+    if bucket < 0:
+        return table
+    parts = [[unpack(x, t, d) for x, t, d in zip(r[4], (np.uint64, np.uint32, np.uint32, np.uint16, np.uint32), (True, False, True, False, False))] for r in rows]
+    distinct, word = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    total = np.bincount(word, np.concatenate([p[1] for p in parts]), len(distinct)).astype(np.int64)
     number = np.empty(len(total), np.uint32)
     number[np.argsort(-total, kind="stable")] = np.arange(1, len(total) + 1)
     number[total == 0] = 0
-    out = [{"kind": KIND_STATS, "stats": _stats(total)}, {"kind": KIND_MODEL, "a": pack(np.sort(total[total > 0]), True)}]
-    for r, own, *_ in parts:
-        out.append({"kind": KIND_COUNTS, "block": r["block"], "a": pack(number[own]), "b": pack(total[own]), "stats": [bucket]})
-    return _result(out)
-
-
-def _pairs_of_block(table: pa.Table, least: int, tokens_n: int, buckets: int) -> pa.Table:
-    """The rows of ``PAIRS`` of one block: its distinct pairs whose context is known, dealt by context, and
-    a row in a bucket of its own kind with the block's documents and their unigram shares."""
-    rows = table.to_pylist()
-    block = next(r for r in rows if r["kind"] == KIND_ROWS)
-    seq = unpack(block["b"], np.uint32)
-    docs = pa.ipc.open_stream(block["a"]).read_all()
-    n_tokens = docs.column("n_tokens").to_numpy()
-    train = pack(docs.column("trained").to_numpy(zero_copy_only=False).astype(np.uint8))
-    parts = sorted((r for r in rows if r["kind"] == KIND_COUNTS), key=lambda r: r["stats"][0])
-    known = np.concatenate([unpack(r["b"], np.int64) for r in parts])
+    starts = np.cumsum([0, *(len(p[0]) for p in parts)])
+    pair = np.concatenate([word[s + p[2]] for s, p in zip(starts, parts)]).astype(np.uint64) << np.uint64(16) | np.concatenate([p[3] for p in parts]).astype(np.uint64)
+    pairs, first, nth = np.unique(pair, return_index=True, return_inverse=True)
+    pair_total = np.bincount(nth, np.concatenate([p[4] for p in parts]), len(pairs)).astype(np.int64)
+    report = np.zeros(len(pair), np.uint8)
+    report[first] = pair_total > 0
+    out = [(STATS, bucket, 0, 0, [pack(np.array([total.sum(), (total > 0).sum(), *((total == r).sum() for r in range(1, CLASSES + 1)), *((pair_total == r).sum() for r in range(1, CLASSES + 1))], np.float64))])]
+    if n_large:
+        out.append((LARGE_PAIRS, bucket, 0, 0, [pack(_seen(pair_total, (pairs & np.uint64(0xFFFF)).astype(np.int64), n_large + 1).reshape(-1))]))
+    at = 0
+    for r, p, s in zip(rows, parts, starts):
+        mine, k = word[s : s + len(p[0])], slice(at, at + len(p[2]))
+        at = k.stop
+        out.append((COUNTS, bucket, r[2], r[3], [pack(number[mine]), pack(total[mine].astype(np.uint32)), pack(pair_total[nth[k]].astype(np.uint32)), pack(report[k])]))
+    return _table(out)
+
+
+def _ngrams_of_block(table: pa.Table, unigrams: Unigrams, n_large: int, buckets: int) -> pa.Table:
+    """The distinct triples of one block whose middle word is known, dealt to buckets, and a row of its own with
+    the block's documents and what single words add to them."""
+    rows = _rows(table)
+    _, bucket, block, n_docs, own = next(r for r in rows if r[0] == OWN)
+    seq, large, found = unpack(own[1], np.uint32).astype(np.int64), unpack(own[2], np.uint16), unpack(own[3], np.int64).reshape(-1, 3)
+    docs = pa.ipc.open_stream(own[0]).read_all()
+    n_tokens, trained = docs.column("n_tokens").to_numpy(), docs.column("trained").to_numpy(zero_copy_only=False).astype(np.uint8)
+    parts = sorted((r for r in rows if r[0] == COUNTS), key=lambda r: r[1])
+    known = np.concatenate([unpack(r[4][1], np.uint32) for r in parts])
+    pair_totals, report = (np.concatenate([unpack(r[4][i], t) for r in parts]) for i, t in ((2, np.uint32), (3, np.uint8)))
     # A word's id is its number in its bucket and the bucket; 0 stands for all words that training lacks.
-    numbers = [(unpack(r["a"], np.uint32).astype(np.uint64), r["stats"][0]) for r in parts]
-    ids = np.concatenate([np.where(x > 0, (x - np.uint64(1)) * np.uint64(buckets) + np.uint64(b + 1), np.uint64(0)) for x, b in numbers])
+    ids = np.concatenate([np.where(x > 0, (x - np.uint64(1)) * np.uint64(buckets) + np.uint64(r[1] + 1), np.uint64(0)) for r in parts for x in [unpack(r[4][0], np.uint32).astype(np.uint64)]])
     if ids.max() >> np.uint64(32):
         raise OverflowError("more words than 32 bits number")
-    owner = np.repeat(np.arange(len(n_tokens)), n_tokens)
-    c = known[seq]
-    share, unseen = np.bincount(owner, np.log10(c + 1.0), len(n_tokens)), np.bincount(owner, c == 0, len(n_tokens)).astype(np.uint32)
-    context = np.roll(seq, 1)
-    context[np.cumsum(n_tokens) - n_tokens] = seq[-1]  # the last token of a block is an end token
-    inside = known[context] >= least
-    seq, context, owner = seq[inside], context[inside], owner[inside]
-    keys, first, inverse = np.unique(ids[context] << np.uint64(32) | ids[seq], return_index=True, return_inverse=True)
-    entries, times = np.unique(inverse * len(n_tokens) + owner, return_counts=True)
-    which, doc = entries // len(n_tokens), (entries % len(n_tokens)).astype(np.uint32)
-    times, sizes = times.astype(np.uint32), np.bincount(which, minlength=len(keys)).astype(np.uint32)
-    of_context, of_word = known[context[first]], known[seq[first]]
-    deal = (np.where(_heavy(of_context, tokens_n, buckets), mix64(keys), mix64(keys >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
-    out: dict[str, list] = {name.split()[0]: [] for name in PAIRS.split(", ")}
-
-    def add(*values):
-        for name, x in zip(out, values):
-            out[name].append(x)
-
-    add(_own_bucket(block["block"]), block["block"], len(n_tokens), block["a"], pack(share), pack(unseen), b"", b"", b"", b"")
-    by_pair, by_entry = np.argsort(deal, kind="stable"), np.argsort(deal[which], kind="stable")
-    pair_ends, entry_ends = np.cumsum(np.bincount(deal, minlength=buckets)), np.cumsum(np.bincount(deal[which], minlength=buckets))
-    for b in range(buckets):
-        k = by_pair[pair_ends[b - 1] if b else 0 : pair_ends[b]]
-        e = by_entry[entry_ends[b - 1] if b else 0 : entry_ends[b]]
-        if len(k):
-            add(b, block["block"], len(n_tokens), pack(keys[k], True), pack(of_context[k]), pack(of_word[k]), pack(sizes[k]), pack(doc[e]), pack(times[e]), train)
-    kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 7]
-    return pa.table({n: pa.array(x, t) for (n, x), t in zip(out.items(), kinds)})
-
-
-def _heavy(counts: np.ndarray, tokens_n: int, buckets: int) -> np.ndarray:
-    """Whether contexts of these counts have more than a bucket's share of the training tokens."""
-    return counts > tokens_n // buckets
-
-
-def _count_pairs(table: pa.Table, least: int, tokens_n: int, buckets: int) -> pa.Table:
-    """Counts of a bucket's pairs, and per context what its back-off weight is made of.
-
-    ``seen`` has one column per count r from 1 to ``CUTOFF``, with the number of pairs seen r times, and
-    one with the sum of all higher counts; ``lower`` sums c + 1 over the words of the seen pairs.
-    """
-    rows, fields = table.to_pylist(), [x.split() for x in SCORING.split(", ")]
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
-    batch = lambda out: pa.table({n: pa.array([r.get(n) for r in out], kinds[t]) for n, t in fields})
-    if rows[0]["bucket"] < 0:
-        return batch([{"kind": KIND_ROWS, "block": r["block"], "pairs": r["keys"], "at": r["context_counts"], "counts": r["word_counts"]} for r in rows])
-    parts = [unpack(r["keys"], np.uint64, True) for r in rows]
-    keys, first, inverse = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
-    contexts = [k >> np.uint64(32) for k in parts]
-    word_counts = np.concatenate([unpack(r["word_counts"], np.int64) for r in rows])[first]
-    total, at, parts = np.zeros(len(keys), np.int64), 0, []
-    for r, c in zip(rows, contexts):
-        own = inverse[at : at + len(c)]
-        at += len(c)
-        learnt = unpack(r["train"], np.uint8)[unpack(r["docs"], np.uint32)] * unpack(r["counts"], np.uint32)
-        total += np.bincount(np.repeat(own, unpack(r["sizes"], np.uint32)), learnt, len(keys)).astype(np.int64)
-        parts.append(own)
-    total[word_counts < least] = 0
-    names, nth = np.unique(keys >> np.uint64(32), return_inverse=True)
-    seen = np.stack([np.bincount(nth, total == r, len(names)) for r in range(1, CUTOFF + 1)] + [np.bincount(nth, total * (total > CUTOFF), len(names))]).astype(np.int64)
-    lower = np.bincount(nth, (total > 0) * (word_counts + 1.0), len(names)).astype(np.int64)
-    out, counts = [{"kind": KIND_STATS, "stats": _stats(total)}], np.zeros(len(names), np.int64)
-    for r, c, own in zip(rows, contexts, parts):
-        mine, begin, where = np.unique(c, return_index=True, return_inverse=True)
-        k, context_counts = np.searchsorted(names, mine), unpack(r["context_counts"], np.int64)[begin]
-        counts[k] = context_counts
-        out.append({"kind": KIND_SCORING, "pairs": pack(total[own].astype(np.uint32)), "at": pack(where.astype(np.uint32), True), "contexts": pack(mine, True), "context_counts": pack(context_counts), "lower": pack(lower[k]), "seen": pack(seen[:, k].reshape(-1)), **{n: r[n] for n in ("block", "n_docs", "word_counts", "sizes", "docs", "counts")}})
-    heavy = np.flatnonzero(_heavy(counts, tokens_n, buckets))
-    if len(heavy):
-        out.append({"kind": KIND_MODEL, "contexts": pack(names[heavy], True), "lower": pack(lower[heavy]), "seen": pack(seen[:, heavy].reshape(-1))})
-    return batch(out)
-
-
-def _summed(rows: DataFrame) -> list[int]:
-    got = rows.filter(F.col("kind") == KIND_STATS).select(F.posexplode("stats").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect()
-    by_index = {r["i"]: r["n"] for r in got}
-    return [by_index.get(i, 0) for i in range(CUTOFF + 3)]
-
-
-def _least_count(words: DataFrame, size: int) -> int:
-    """The least count so that at most ``size`` words have it or more."""
-
-    def levels(batches):
-        for b in batches:
-            for counts in b.column("a").to_pylist():
-                c, n = np.unique(unpack(counts, np.int64, True), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n)], ["c", "n"])
-
-    rows = words.filter(F.col("kind") == KIND_MODEL).select("a").mapInArrow(levels, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()
-    least, taken = 0, 0
-    for c, n in sorted(((r["c"], r["n"]) for r in rows), reverse=True):
-        if taken + n > size:
-            return c + 1
-        least, taken = c, taken + n
-    return max(least, 1)
-
-
-def _heavy_sums(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids (ascending), ``lower`` and ``seen`` of the contexts that are dealt over all buckets."""
-
-    def unfold(batches):
+    owner = np.repeat(np.arange(n_docs), n_tokens)
+    count = known[seq]
+    one, two = _contexts(seq, n_tokens)
+    lone = ids[one] == 0  # its context is unknown: just the word's own probability
+    by_doc = lambda x: pack(np.bincount(owner, x, n_docs))
+    out = [(OWN, bucket, block, n_docs, [own[0], by_doc(np.log10(count + 1.0)), by_doc(count == 0), by_doc(np.where(lone, np.log10(unigrams(count)), 0.0))])]
+    pairs = np.unique(_large_pairs(seq, one, large)[0])
+    if n_large:
+        mine = pairs[report > 0]
+        share = unigrams(known[(mine >> np.uint64(16)).astype(np.int64)])
+        out.append((LOWER, bucket, block, n_docs, [pack(np.bincount((mine & np.uint64(0xFFFF)).astype(np.int64), share, n_large + 1))]))
+    seq, one, two, owner = (x[~lone] for x in (seq, one, two, owner))
+    _, first, nth = np.unique(combined(one, two, seq), return_index=True, return_inverse=True)
+    entries, times = np.unique(nth * n_docs + owner, return_counts=True)
+    which, doc = entries // n_docs, entries % n_docs
+    learnt, sizes = np.bincount(which, times * trained[doc], len(first)), np.bincount(which, minlength=len(first))
+    seq, one, two = seq[first], one[first], two[first]
+    of_large, of_context = large[one], np.zeros(len(first), np.uint16)
+    for a, b, i in found:
+        of_context[(two == a) & (one == b)] = i
+    pair_count = np.zeros(len(first), np.uint32)
+    some = of_large > 0
+    pair_count[some] = pair_totals[np.searchsorted(pairs, seq[some].astype(np.uint64) << np.uint64(16) | of_large[some].astype(np.uint64))]
+    w1, w2, w3 = ids[two], ids[one], ids[seq]
+    deal = np.where(of_context > 0, mix64(w3), np.where(some, mix64(w2 << np.uint64(32) | w1), w2 - np.uint64(1))) % np.uint64(buckets)
+    deal = deal.astype(np.int64)
+    order = np.argsort(deal, kind="stable")
+    spots = np.argsort(deal[which], kind="stable")
+    columns = [x[order].astype(t) for x, t in ((w1, np.uint32), (w2, np.uint32), (w3, np.uint32), (known[seq], np.uint32), (of_large, np.uint16), (of_context, np.uint16), (pair_count, np.uint32), (learnt, np.uint32), (sizes, np.uint32))]
+    docs_of, times_of = doc[spots].astype(np.uint32), times[spots].astype(np.uint32)
+    for (b, i, j), (_, k, m) in zip(_runs(deal, buckets), _runs(deal[which], buckets)):
+        out.append((NGRAMS, b, block, n_docs, [*(pack(x[i:j], at == 1) for at, x in enumerate(columns)), pack(docs_of[k:m]), pack(times_of[k:m])]))
+    return _table(out)
+
+
+def _count_ngrams(table: pa.Table, unigrams: Unigrams, large_seen: np.ndarray, n_contexts: int) -> pa.Table:
+    """Counts a bucket's pairs and triples; per block the sums of seen triples (``CLOSED``), and the other triples
+    with all that their contexts' weights are made of (``OPEN``)."""
+    rows = _rows(table)
+    bucket = rows[0][1]
+    if bucket < 0:
+        return table
+    kinds = (np.uint32, np.uint32, np.uint32, np.uint32, np.uint16, np.uint16, np.uint32, np.uint32)
+    column = [np.concatenate([unpack(r[4][i], t, i == 1) for r in rows]) for i, t in enumerate(kinds)]
+    w1, w2, w3 = (x.astype(np.uint64) for x in column[:3])
+    word_count, of_large, of_context, given, learnt = column[3:]
+    shift = np.uint64(32)
+    # Pairs, and their middle words.
+    pairs, first, pair = np.unique(w2 << shift | w3, return_index=True, return_inverse=True)
+    large = of_large[first].astype(np.int64)
+    r = np.where(large > 0, given[first], np.bincount(pair, learnt, len(pairs))).astype(np.int64)
+    middles, begin, middle = np.unique(pairs >> shift, return_index=True, return_inverse=True)
+    large_middle = large[begin]
+    seen2 = np.where(large_middle > 0, large_seen[:, large_middle], _seen(r, middle, len(middles)))
+    total2 = _sums(seen2)[1]
+    lower2 = np.bincount(middle, (r > 0) * unigrams(word_count[first]), len(middles))
+    relative = r / np.maximum(total2, 1)[middle]
+    # Triples, and their contexts.
+    contexts, context = np.unique(w2 << shift | w1, return_inverse=True)
+    triples, first, nth = np.unique(context.astype(np.uint64) << shift | w3, return_index=True, return_inverse=True)
+    del w1, w2, w3
+    total = np.bincount(nth, learnt, len(triples)).astype(np.int64)
+    of_triple = (triples >> shift).astype(np.int64)
+    seen3 = _seen(total, of_triple, len(contexts))
+    total3 = _sums(seen3)[1]
+    # By the class of the pair's count: what the seen triples' words have at order two, before the factors.
+    some = np.flatnonzero(total)
+    back = pair[first[some]]
+    lower3 = np.bincount((_class(r[back]) - 1) * len(contexts) + of_triple[some], relative[back], CLASSES * len(contexts)).reshape(CLASSES, -1)
+    light = r[large == 0]
+    out = [(STATS, bucket, 0, 0, [pack(np.array([(x == k).sum() for x in (light, total) for k in range(1, CLASSES + 1)], np.float64))])]
+    hot = np.zeros(len(contexts), np.int64)
+    hot[context] = of_context
+    if hot.any():
+        at = np.flatnonzero(hot)
+        sums = np.zeros((2 * CLASSES, n_contexts + 1))
+        sums[:, hot[at]] = np.concatenate([seen3, lower3])[:, at]
+        out.append((LARGE_CONTEXTS, bucket, 0, 0, [pack(sums.reshape(-1))]))
+    start = 0
+    for _, _, block, n_docs, parts in rows:
+        sizes, doc, times = (unpack(x, np.uint32) for x in parts[8:])
+        mine = slice(start, start + len(sizes))
+        start = mine.stop
+        t, c, p = total[nth[mine]], context[mine], pair[mine]
+        closed = (t > 0) & (of_context[mine] == 0)
+        entry = np.repeat(np.arange(len(sizes)), sizes)
+        inside = closed[entry]
+        e, d, n = entry[inside], doc[inside].astype(np.int64), times[inside]
+        docs, d = np.unique(d, return_inverse=True)
+        if len(docs):
+            value = np.bincount(d, (np.log10(np.maximum(t, 1) / np.maximum(total3[c], 1)))[e] * n, len(docs))
+            classes = np.bincount((_class(t[e]) - 1) * len(docs) + d, n, CLASSES * len(docs)).astype(np.uint32)
+            out.append((CLOSED, bucket, block, n_docs, [pack(docs.astype(np.uint32), True), pack(value), pack(classes)]))
+        left = np.flatnonzero(~closed)
+        if len(left):
+            cs, c = np.unique(c[left], return_inverse=True)
+            ms, m = np.unique(middle[p[left]], return_inverse=True)
+            doubles = (seen2[:, ms].reshape(-1), lower2[ms], seen3[:, cs].reshape(-1), lower3[:, cs].reshape(-1))
+            longs = (t[left], r[p[left]], word_count[mine][left], c, m, large_middle[ms], hot[cs], sizes[left], doc[~inside], times[~inside])
+            out.append((OPEN, bucket, block, n_docs, [*map(pack, doubles), *(pack(x.astype(np.uint32)) for x in longs)]))
+    return _table(out)
+
+
+def open_values(parts: list[bytes], unigrams: Unigrams, factors2: np.ndarray, factors3: np.ndarray, large: tuple, contexts: tuple) -> tuple[np.ndarray, ...]:
+    """log10 probabilities of an ``OPEN`` row's triples, from order three down, and their sizes, documents and times."""
+    seen2, lower2, seen3, lower3 = (unpack(x, np.float64) for x in parts[:4])
+    t, r, word_count, c, m, large_middle, hot, sizes, doc, times = (unpack(x, np.uint32).astype(np.int64) for x in parts[4:])
+    seen2, seen3, lower3 = seen2.reshape(CLASSES, -1), seen3.reshape(CLASSES, -1), lower3.reshape(CLASSES, -1)
+    lower2 = np.where(large_middle > 0, large[1][large_middle], lower2)
+    seen3, lower3 = (np.where(hot > 0, whole[:, hot], x) for whole, x in zip(contexts, (seen3, lower3)))
+    total2, total3 = _sums(seen2)[1], _sums(seen3)[1]
+    with np.errstate(divide="ignore"):
+        back2 = np.log10(np.where(total2 > 0, _left(seen2, total2, factors2) / (1 - lower2), 1.0))
+        value2 = np.where(r > 0, np.log10(factors2[_class(r)] * r / np.maximum(total2, 1)[m]), back2[m] + np.log10(unigrams(word_count)))
+        back3 = np.log10(np.where(total3 > 0, _left(seen3, total3, factors3) / (1 - factors2[1:] @ lower3), 1.0))
+        return np.where(t > 0, np.log10(factors3[_class(t)] * t / np.maximum(total3, 1)[c]), back3[c] + value2), sizes, doc, times
+
+
+def _totals(rows: DataFrame, kind: int, length: int) -> np.ndarray:
+    """The sum of all vectors of a kind; ``length`` numbers reach the driver at most."""
+
+    def add(batches):
+        total = np.zeros(length)
         for b in batches:
-            for r in b.to_pylist():
-                names = unpack(r["contexts"], np.uint64, True)
-                seen = unpack(r["seen"], np.int64).reshape(-1, len(names))
-                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(unpack(r["lower"], np.int64)), *map(pa.array, seen)], ["context", "lower", *(f"s{i}" for i in range(CUTOFF + 1))])
-
-    columns = [f"s{i}" for i in range(CUTOFF + 1)]
-    rows = pairs.filter(F.col("kind") == KIND_MODEL).select("contexts", "lower", "seen").mapInArrow(unfold, "context long, lower long, " + ", ".join(f"{c} long" for c in columns))
-    got = rows.groupBy("context").agg(F.sum("lower").alias("lower"), *(F.sum(c).alias(c) for c in columns)).collect()
-    names = np.array([r["context"] for r in got], np.int64).view(np.uint64)
-    order = np.argsort(names)
-    return names[order], np.array([r["lower"] for r in got], np.int64)[order], np.array([[r[c] for r in got] for c in columns], np.int64).reshape(len(columns), -1)[:, order]
-
-
-def katz_scores(
-    docs: DataFrame,
-    *,
-    training: Column,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    vocabulary: int | None = None,
-) -> DataFrame:
+            for parts in b.column("parts").to_pylist():
+                total += unpack(parts[0], np.float64)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["i", "v"])
+
+    out = np.zeros(length)
+    for r in rows.filter(F.col("kind") == kind).select("parts").mapInArrow(add, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        out[r["i"]] = r["v"]
+    return out
+
+
+def large_keys(src: DataFrame, volume: int, share: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Hashes of the words, and of the pairs of words, that have more than ``share`` of the tokens of a sample of
+    at most about ``SAMPLE_BYTES``; fewer than 1 / share of each reach the driver."""
+    part = src.sample(SAMPLE_BYTES / volume, 7) if volume > SAMPLE_BYTES else src
+    end = F.array(F.lit(END.decode()))
+    tokens = F.concat(words(ascii_lower(F.col("text"))), end)
+    zipped = F.arrays_zip(F.slice(F.concat(end, tokens), 1, F.size(tokens)).alias("a"), tokens.alias("b"))
+    pairs = stored(part.select(F.explode(zipped).alias("x")).groupBy("x.a", "x.b").agg(F.count("*").alias("n")), "sample")
+    least = (pairs.agg(F.sum("n").alias("n")).first()["n"] or 0) * share
+    frequent = pairs.groupBy("b").agg(F.sum("n").alias("n")).filter(F.col("n") > least).select("b").collect()
+    contexts = pairs.filter(F.col("n") > least).select("a", "b").collect()
+    known = np.unique(hash64([r["b"].encode() for r in frequent]))[:60_000]
+    a, b = (hash64([r[c].encode() for r in contexts]).tolist() for c in "ab")
+    return known, sorted(x for x in zip(a, b) if x[1] in set(known.tolist()))[:60_000]
+
+
+def katz_scores(docs: DataFrame, *, training: Column, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """``doc_id, trained, n_tokens, n_known, train_tokens, base_score, score`` per input row.
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered, then one end token, which also is the first
-    token's context. Null text is empty: just the end token. Repeated rows count as often as they are
-    there and get equal results; an empty table gives no rows; without any training row every word is
-    unseen. ``training`` that is null counts as false. Other columns are ignored. Pairs of all training
-    words are learnt, unless ``vocabulary`` asks for those of so many most frequent words at most.
+    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered, then one end token. Null text is empty: just the end
+    token. Repeated rows count as often as they are there and get equal results; an empty table gives no
+    rows; without any training row every word is unseen. ``training`` that is null counts as false. Other
+    columns are ignored. A text, however long, is one block's at most; equal counts are numbered in the order
+    of hashes, which no result shows. ``buckets`` overrides their number, which grows with the input.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(training, F.lit(False)).alias("trained"))
     volume = src.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    buckets = max(shuffle_width(spark), int(volume // BUCKET_BYTES) + 1)
+    buckets = buckets or max(shuffle_width(spark), int(volume // BUCKET_BYTES) + 1)
+    large_words, large_contexts = large_keys(src, volume, 1 / buckets)
+    n_large, n_contexts = len(large_words), len(large_contexts)
 
     def read_words(batches):
-        for nth, part, tokens in _texts_in_blocks(batches):
-            sizes = [len(t) for t in tokens]
-            h = hash64([w for t in tokens for w in t])
-            del tokens
-            distinct, seq = np.unique(h, return_inverse=True)
-            place = np.empty(len(distinct), np.int64)
-            place[np.argsort(mix64(distinct) % np.uint64(buckets), kind="stable")] = np.arange(len(distinct))
-            owner = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
-            train = np.array(part.column("trained").to_pylist(), np.uint8)
-            block = _task() << 32 | nth
-            yield _block_rows(block, part, sizes, place[seq])
-            yield _rows(block, len(sizes), train, h, owner, buckets)
-
-    words = stored(src.mapInArrow(read_words, EXCHANGE).groupBy("bucket").applyInArrow(_count_words, RESULT), "katz1", ("kind",))
-    tokens_n, types_n, *_ = _summed(words)
-    slots = tokens_n + types_n + 1
-    least = 1 if vocabulary is None else _least_count(words, vocabulary)
-    rows_type = T.StructType([T.StructField("block", T.LongType()), T.StructField("nth", T.IntegerType()), *(src.schema[c] for c in ("doc_id", "trained")), T.StructField("n_tokens", T.LongType()), T.StructField("share", T.DoubleType()), T.StructField("unseen", T.LongType())])
-
-    def unfold_rows(batches):
-        for b in batches:
-            for block, data, share, unseen in zip(*(b.column(c).to_pylist() for c in ("block", "pairs", "at", "counts"))):
-                rows = pa.ipc.open_stream(data).read_all().combine_chunks().to_batches()[0]
-                n = rows.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int32()), *rows.columns, pa.array(unpack(share, np.float64)), pa.array(unpack(unseen, np.uint32).astype(np.int64))], rows_type.fieldNames())
-
-    def gains(batches):
-        """Per block and bucket: what pairs add to the documents' unigram scores."""
-        for b in batches:
-            for r in b.to_pylist():
-                names, totals = unpack(r["contexts"], np.uint64, True), unpack(r["context_counts"], np.int64)
-                lower, seen = unpack(r["lower"], np.int64), unpack(r["seen"], np.int64).reshape(-1, len(names))
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, names), len(hot) - 1)
-                    known = hot[at] == names
-                    lower, seen = np.where(known, hot_lower[at], lower), np.where(known, hot_seen[:, at], seen)
-                totals, weights = context_weights(totals, kept @ seen, lower / slots)
-                count, at = unpack(r["pairs"], np.uint32), unpack(r["at"], np.uint32, True)
-                with np.errstate(divide="ignore"):
-                    gain = np.log10(factor[np.minimum(count, CUTOFF + 1)] * count / totals[at]) - np.log10((unpack(r["word_counts"], np.int64) + 1.0) / slots)
-                gain = np.where(count > 0, gain, weights[at])
-                posting = np.repeat(gain, unpack(r["sizes"], np.uint32)) * unpack(r["counts"], np.uint32)
-                share = np.bincount(unpack(r["docs"], np.uint32), posting, r["n_docs"])
-                some = np.flatnonzero(share)
-                yield pa.RecordBatch.from_arrays([pa.array([r["block"]] * len(some), pa.int64()), pa.array(some.astype(np.int32)), pa.array(share[some])], ["block", "nth", "gain"])
-
-    sent = words.filter(F.col("kind").isin(KIND_ROWS, KIND_COUNTS)).groupBy("block").applyInArrow(lambda t: _pairs_of_block(t, least, tokens_n, buckets), PAIRS)
-    pairs = stored(sent.groupBy("bucket").applyInArrow(lambda t: _count_pairs(t, least, tokens_n, buckets), SCORING), "katz2", ("kind",))
-    factor = np.append(discounts([0, *_summed(pairs)[2:]]), 1.0)
-    kept = np.append(factor[1 : CUTOFF + 1] * np.arange(1, CUTOFF + 1), 1.0)
-    hot, hot_lower, hot_seen = _heavy_sums(pairs)
-    sums = pairs.filter(F.col("kind") == KIND_SCORING).drop("kind", "stats").mapInArrow(gains, "block long, nth int, gain double").groupBy("block", "nth").agg(F.sum("gain").alias("gain"))
-    rows = pairs.filter(F.col("kind") == KIND_ROWS).select("block", "pairs", "at", "counts").mapInArrow(unfold_rows, rows_type).join(sums, ["block", "nth"], "left")
-    base = F.col("share") - F.col("n_tokens") * float(np.log10(slots))
-    return rows.select(
-        "doc_id", "trained", "n_tokens", (F.col("n_tokens") - F.col("unseen")).alias("n_known"), F.lit(tokens_n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.coalesce("gain", F.lit(0.0))).alias("score")
-    )
-
-
-def context_weights(counts: np.ndarray, mass: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per context: the denominator of its pairs and log10 of its back-off weight."""
-    totals = counts.astype(np.float64)
-    # A context whose pairs leave nothing gets one more count, so that unseen successors stay possible.
-    totals = np.where(mass >= totals - 1e-9, totals + 1, totals)
-    return totals, np.log10((1 - mass / totals) / (1 - lower))
-
-
-def backoff(pairs: DataFrame, word_counts: np.ndarray, factor: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    """:func:`context_weights` of a model small enough for one array, from keys of word numbers."""
-
-    def sums(batches):
-        mass, lower = np.zeros(len(word_counts)), np.zeros(len(word_counts))
+        nth = 0
         for b in batches:
-            for r in b.to_pylist():
-                key, count = unpack(r["a"], np.uint64, True), unpack(r["b"], np.int64)
-                context, word = (key >> np.uint64(32)).astype(np.int64) - 1, (key & np.uint64(0xFFFFFFFF)).astype(np.int64) - 1
-                mass += np.bincount(context, factor[np.minimum(count, CUTOFF + 1)] * count, len(mass))
-                lower += np.bincount(context, (word_counts[word] + 1.0) / slots, len(mass))
-        some = np.flatnonzero(mass)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(mass[some]), pa.array(lower[some])], ["context", "mass", "lower"])
-
-    model = pairs.filter(F.col("kind") == KIND_MODEL).select("a", "b").mapInArrow(sums, "context long, mass double, lower double")
-    rows = model.groupBy("context").agg(F.sum("mass").alias("mass"), F.sum("lower").alias("lower")).collect()
-    mass, lower = np.zeros(len(word_counts)), np.zeros(len(word_counts))
-    for r in rows:
-        mass[r["context"]], lower[r["context"]] = r["mass"], r["lower"]
-    return context_weights(word_counts, mass, lower)
+            lengths = pc.fill_null(pc.binary_length(b.column("text")), 0).to_pylist()
+            for lo, hi in blocks(lengths, BLOCK_BYTES):
+                part = b.slice(lo, hi - lo)
+                texts = [space_tokens(t) + [END] for t in part.column("text").to_pylist()]
+                yield from _words_of_block(_task() << 32 | nth, part, texts, buckets, large_words, large_contexts).to_batches()
+                nth += 1
+
+    counted = stored(src.mapInArrow(read_words, ROW).groupBy("bucket").applyInArrow(lambda t: _count_words(t, n_large), ROW), "katz1", ("kind",))
+    tokens, _, *n = _totals(counted, STATS, 2 + 2 * CLASSES)
+    types = _totals(counted, STATS, 2 + 2 * CLASSES)[1]
+    unigrams = Unigrams(tokens, [0, *n[:CLASSES]])
+    large_seen = _totals(counted, LARGE_PAIRS, CLASSES * (n_large + 1)).reshape(CLASSES, -1)
+    sent = counted.filter(F.col("kind").isin(OWN, COUNTS)).groupBy("block").applyInArrow(lambda t: _ngrams_of_block(t, unigrams, n_large, buckets), ROW)
+    scored = stored(sent.groupBy("bucket").applyInArrow(lambda t: _count_ngrams(t, unigrams, large_seen, n_contexts), ROW), "katz2", ("kind",))
+    stats = _totals(scored, STATS, 2 * CLASSES)
+    factors2, factors3 = discounts([0, *(stats[:CLASSES] + np.array(n[CLASSES:]))]), discounts([0, *stats[CLASSES:]])
+    large = large_seen, _totals(scored, LOWER, n_large + 1)
+    contexts = np.split(_totals(scored, LARGE_CONTEXTS, 2 * CLASSES * (n_contexts + 1)).reshape(2 * CLASSES, -1), 2)
+    out = T.StructType([*(src.schema[c] for c in ("doc_id", "trained")), *(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(n, T.DoubleType()) for n in ("base_score", "score"))])
+
+    def scores(table: pa.Table) -> pa.Table:
+        rows = _rows(table)
+        own = next(r for r in rows if r[0] == OWN)[4]
+        docs = pa.ipc.open_stream(own[0]).read_all()
+        share, unseen, score = (unpack(x, np.float64) for x in own[1:4])
+        size = docs.column("n_tokens").to_numpy()
+        for kind, _, _, n_docs, parts in rows:
+            if kind == CLOSED:
+                doc, classes = unpack(parts[0], np.uint32, True), unpack(parts[2], np.uint32).reshape(CLASSES, -1)
+                score[doc] += unpack(parts[1], np.float64) + np.log10(factors3[1:]) @ classes
+            elif kind == OPEN:
+                value, sizes, doc, times = open_values(parts, unigrams, factors2, factors3, large, contexts)
+                score += np.bincount(doc, np.repeat(value, sizes) * times, n_docs)
+        base = share - size * np.log10(tokens + types + 1)
+        longs = (size, (size - unseen).astype(np.int64), np.full(len(size), int(tokens)))
+        return pa.table([docs.column("doc_id"), docs.column("trained"), *(pa.array(x, pa.int64()) for x in longs), pa.array(base), pa.array(np.minimum(score, 0.0))], out.fieldNames())
+
+    return scored.filter(F.col("kind").isin(OWN, CLOSED, OPEN)).groupBy("block").applyInArrow(scores, out)

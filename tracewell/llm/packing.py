@@ -7,41 +7,30 @@ block first means that even a key found in every document is one entry per block
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
-
-from .common import mix64
+import zstandard
 
 
 def pack(a: np.ndarray, delta: bool = False) -> bytes:
     """An array as bytes; ``delta`` suits ascending values. Bytes of equal weight stand together."""
     if delta:
         a = np.diff(a, prepend=a.dtype.type(0))
-    return zlib.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() if len(a) else b"", 1)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() if len(a) else b"")
 
 
 def unpack(data: bytes, dtype, delta: bool = False) -> np.ndarray:
     width = np.dtype(dtype).itemsize
-    raw = np.frombuffer(zlib.decompress(data), np.uint8)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
     a = np.ascontiguousarray(raw.reshape(width, -1).T).view(dtype).reshape(-1) if len(raw) else np.empty(0, dtype)
     return np.cumsum(a, dtype=dtype) if delta else a
 
 
-def bucketed(keys: np.ndarray, docs: np.ndarray, buckets: int):
-    """For each bucket with keys: (bucket, distinct keys ascending, documents per key, documents, counts)."""
-    distinct, inverse = np.unique(keys, return_inverse=True)
-    n_docs = int(docs.max()) + 1 if len(docs) else 1
-    pairs, counts = np.unique(inverse.astype(np.uint64) * np.uint64(n_docs) + docs.astype(np.uint64), return_counts=True)
-    which, doc = (pairs // np.uint64(n_docs)).astype(np.int64), (pairs % np.uint64(n_docs)).astype(np.uint32)
-    sizes = np.bincount(which, minlength=len(distinct)).astype(np.uint32)
-    bucket = (mix64(distinct) % np.uint64(buckets)).astype(np.int64)
-    key_order = np.argsort(bucket, kind="stable")
-    pair_order = np.argsort(bucket[which], kind="stable")
-    key_ends = np.cumsum(np.bincount(bucket, minlength=buckets))
-    pair_ends = np.cumsum(np.bincount(bucket[which], minlength=buckets))
-    for b in range(buckets):
-        k0, k1 = (key_ends[b - 1] if b else 0), key_ends[b]
-        if k0 < k1:
-            k, p = key_order[k0:k1], pair_order[pair_ends[b - 1] if b else 0 : pair_ends[b]]
-            yield b, distinct[k], sizes[k], doc[p], counts[p].astype(np.uint32)
+def combined(*columns: np.ndarray) -> np.ndarray:
+    """One 64-bit key per row of ``columns`` (of non-negative integers) that sorts as the rows do."""
+    key = columns[0].astype(np.uint64)
+    for c in columns[1:]:
+        width = int(c.max()).bit_length() if len(c) else 0
+        if len(key) and int(key.max()).bit_length() + width > 64:
+            key = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+        key = key << np.uint64(width) | c.astype(np.uint64)
+    return key
