@@ -6,6 +6,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -48,31 +49,49 @@ def ship(spark: SparkSession) -> None:
     context._tracewell_shipped = True
 
 
-#: Setting by which the shuffle files of a finished execution are removed.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: its shuffles' files go when it is complete, since nothing reads them again, and a
+#: few folders are written side by side, without a sort.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxConcurrentOutputFileWriters": "16"}
 _stored_paths: list[str] = []
 
 
-def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` written once to the shared folder and read back, which cuts its lineage.
-
-    Nothing reads the shuffles below the table again, so their files go when it is complete.
-    """
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+@contextmanager
+def _writing(spark: SparkSession):
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
-        df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+        yield
     finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` written once to the shared folder and read back, which cuts its lineage."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    with _writing(spark):
+        df.write.partitionBy(*partition_by).parquet(path)
     _stored_paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, name: str, key: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """As :func:`stored`, in buckets of ``key``, so that what groups by it next needs no shuffle."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    width, table = shuffle_width(spark), path.rsplit("/", 1)[1].replace("-", "_")
+    with _writing(spark):
+        df.repartition(width, key).write.option("path", path).partitionBy(*partition_by).bucketBy(width, key).saveAsTable(table)
+    _stored_paths.append(path)
+    return spark.table(table)
+
+
 def release(spark: SparkSession) -> None:
     """Deletes all tables that :func:`stored` has written for this process; results that read them are gone then."""
     while _stored_paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_stored_paths.pop())
+        name = _stored_paths.pop()
+        spark.sql(f"DROP TABLE IF EXISTS {name.rsplit('/', 1)[1].replace('-', '_')}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -29,14 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, blocks, hash64, mix64, shuffle_width, space_tokens, stored, words
-from .packing import combined, pack, unpack
+from .common import ascii_lower, blocks, hash64, mix64, shuffle_width, space_tokens, stored, stored_by, words
+from .packing import combined, grouped, pack, unpack
 
 END = b" end"  # no word holds a blank
 CUTOFF = 7  # counts above it are not discounted
 CLASSES = CUTOFF + 1  # counts from 1 to CUTOFF, and all higher ones
 BLOCK_BYTES = 4_000_000
-BUCKET_BYTES = 12_000_000
+BUCKET_BYTES = 8_000_000
 SAMPLE_BYTES = 8_000_000
 ROW = "kind int, bucket int, block long, n_docs int, parts array<binary>"
 OWN, COUNTS, STATS, LARGE_PAIRS, NGRAMS, LOWER, LARGE_CONTEXTS, CLOSED, OPEN = range(1, 10)
@@ -137,7 +137,7 @@ def _words_of_block(block: int, part: pa.RecordBatch, texts: list[list[bytes]],
     of their buckets and hashes; and its words, and pairs with a large first word, per bucket of the (last) word."""
     sizes = np.array([len(t) for t in texts])
     h = hash64([w for t in texts for w in t])
-    distinct, seq = np.unique(h, return_inverse=True)
+    distinct, _, seq = grouped(h)
     order = np.argsort(mix64(distinct) % np.uint64(buckets), kind="stable")
     place = np.empty(len(distinct), np.int64)
     place[order] = np.arange(len(distinct))
@@ -185,14 +185,14 @@ def _count_words(table: pa.Table, n_large: int) -> pa.Table:
     if bucket < 0:
         return table
     parts = [[unpack(x, t, d) for x, t, d in zip(r[4], (np.uint64, np.uint32, np.uint32, np.uint16, np.uint32), (True, False, True, False, False))] for r in rows]
-    distinct, word = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    distinct, _, word = grouped(np.concatenate([p[0] for p in parts]))
     total = np.bincount(word, np.concatenate([p[1] for p in parts]), len(distinct)).astype(np.int64)
     number = np.empty(len(total), np.uint32)
     number[np.argsort(-total, kind="stable")] = np.arange(1, len(total) + 1)
     number[total == 0] = 0
     starts = np.cumsum([0, *(len(p[0]) for p in parts)])
     pair = np.concatenate([word[s + p[2]] for s, p in zip(starts, parts)]).astype(np.uint64) << np.uint64(16) | np.concatenate([p[3] for p in parts]).astype(np.uint64)
-    pairs, first, nth = np.unique(pair, return_index=True, return_inverse=True)
+    pairs, first, nth = grouped(pair)
     pair_total = np.bincount(nth, np.concatenate([p[4] for p in parts]), len(pairs)).astype(np.int64)
     report = np.zeros(len(pair), np.uint8)
     report[first] = pair_total > 0
@@ -234,8 +234,8 @@ def _ngrams_of_block(table: pa.Table, unigrams: Unigrams, n_large: int, buckets:
         share = unigrams(known[(mine >> np.uint64(16)).astype(np.int64)])
         out.append((LOWER, bucket, block, n_docs, [pack(np.bincount((mine & np.uint64(0xFFFF)).astype(np.int64), share, n_large + 1))]))
     seq, one, two, owner = (x[~lone] for x in (seq, one, two, owner))
-    _, first, nth = np.unique(combined(one, two, seq), return_index=True, return_inverse=True)
-    entries, times = np.unique(nth * n_docs + owner, return_counts=True)
+    _, first, nth = grouped(combined(one, two, seq))
+    entries, times = np.unique(nth.astype(np.int64) * n_docs + owner, return_counts=True)
     which, doc = entries // n_docs, entries % n_docs
     learnt, sizes = np.bincount(which, times * trained[doc], len(first)), np.bincount(which, minlength=len(first))
     seq, one, two = seq[first], one[first], two[first]
@@ -248,8 +248,11 @@ def _ngrams_of_block(table: pa.Table, unigrams: Unigrams, n_large: int, buckets:
     w1, w2, w3 = ids[two], ids[one], ids[seq]
     deal = np.where(of_context > 0, mix64(w3), np.where(some, mix64(w2 << np.uint64(32) | w1), w2 - np.uint64(1))) % np.uint64(buckets)
     deal = deal.astype(np.int64)
-    order = np.argsort(deal, kind="stable")
-    spots = np.argsort(deal[which], kind="stable")
+    # By bucket and middle word; a triple's documents follow in the same order.
+    order = np.argsort(combined(deal, w2), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    spots = np.argsort(rank[which], kind="stable")
     columns = [x[order].astype(t) for x, t in ((w1, np.uint32), (w2, np.uint32), (w3, np.uint32), (known[seq], np.uint32), (of_large, np.uint16), (of_context, np.uint16), (pair_count, np.uint32), (learnt, np.uint32), (sizes, np.uint32))]
     docs_of, times_of = doc[spots].astype(np.uint32), times[spots].astype(np.uint32)
     for (b, i, j), (_, k, m) in zip(_runs(deal, buckets), _runs(deal[which], buckets)):
@@ -265,37 +268,50 @@ def _count_ngrams(table: pa.Table, unigrams: Unigrams, large_seen: np.ndarray, n
     if bucket < 0:
         return table
     kinds = (np.uint32, np.uint32, np.uint32, np.uint32, np.uint16, np.uint16, np.uint32, np.uint32)
-    column = [np.concatenate([unpack(r[4][i], t, i == 1) for r in rows]) for i, t in enumerate(kinds)]
-    w1, w2, w3 = (x.astype(np.uint64) for x in column[:3])
-    word_count, of_large, of_context, given, learnt = column[3:]
+    column = lambda i: np.concatenate([unpack(r[4][i], kinds[i], i == 1) for r in rows])
     shift = np.uint64(32)
+    w2, w3 = column(1), column(2)
+    high = w2.astype(np.uint64) << shift
+    word_count, of_large, of_context, learnt = column(3), column(4), column(5), column(7)
     # Pairs, and their middle words.
-    pairs, first, pair = np.unique(w2 << shift | w3, return_index=True, return_inverse=True)
+    pairs, first, pair = grouped(high | w3)
     large = of_large[first].astype(np.int64)
-    r = np.where(large > 0, given[first], np.bincount(pair, learnt, len(pairs))).astype(np.int64)
-    middles, begin, middle = np.unique(pairs >> shift, return_index=True, return_inverse=True)
+    r = np.bincount(pair, learnt, len(pairs)).astype(np.int64)
+    if large.any():
+        r = np.where(large > 0, column(6)[first], r)
+    begin = np.flatnonzero(np.diff(pairs >> shift, prepend=np.uint64(0)))  # middle words are known: not 0
+    middle = np.repeat(np.arange(len(begin), dtype=np.uint32), np.diff(begin, append=len(pairs)))
     large_middle = large[begin]
-    seen2 = np.where(large_middle > 0, large_seen[:, large_middle], _seen(r, middle, len(middles)))
+    seen2 = _seen(r, middle, len(begin))
+    if large.any():
+        seen2 = np.where(large_middle > 0, large_seen[:, large_middle], seen2)
     total2 = _sums(seen2)[1]
-    lower2 = np.bincount(middle, (r > 0) * unigrams(word_count[first]), len(middles))
+    lower2 = np.bincount(middle, (r > 0) * unigrams(word_count[first]), len(begin))
     relative = r / np.maximum(total2, 1)[middle]
     # Triples, and their contexts.
-    contexts, context = np.unique(w2 << shift | w1, return_inverse=True)
-    triples, first, nth = np.unique(context.astype(np.uint64) << shift | w3, return_index=True, return_inverse=True)
-    del w1, w2, w3
+    high |= column(0)
+    contexts, _, context = grouped(high)
+    del high, w2
+    triples, first, nth = grouped(context.astype(np.uint64) << shift | w3)
+    del w3
     total = np.bincount(nth, learnt, len(triples)).astype(np.int64)
+    del learnt
     of_triple = (triples >> shift).astype(np.int64)
-    seen3 = _seen(total, of_triple, len(contexts))
+    del triples
+    n_of = len(contexts)
+    del contexts
+    seen3 = _seen(total, of_triple, n_of)
     total3 = _sums(seen3)[1]
     # By the class of the pair's count: what the seen triples' words have at order two, before the factors.
     some = np.flatnonzero(total)
     back = pair[first[some]]
-    lower3 = np.bincount((_class(r[back]) - 1) * len(contexts) + of_triple[some], relative[back], CLASSES * len(contexts)).reshape(CLASSES, -1)
+    lower3 = np.bincount((_class(r[back]) - 1) * n_of + of_triple[some], relative[back], CLASSES * n_of).reshape(CLASSES, -1)
+    del back, some, first, of_triple, relative
     light = r[large == 0]
     out = [(STATS, bucket, 0, 0, [pack(np.array([(x == k).sum() for x in (light, total) for k in range(1, CLASSES + 1)], np.float64))])]
-    hot = np.zeros(len(contexts), np.int64)
-    hot[context] = of_context
-    if hot.any():
+    hot = np.zeros(n_of, np.int64)
+    if of_context.any():
+        hot[context] = of_context
         at = np.flatnonzero(hot)
         sums = np.zeros((2 * CLASSES, n_contexts + 1))
         sums[:, hot[at]] = np.concatenate([seen3, lower3])[:, at]
@@ -307,14 +323,14 @@ def _count_ngrams(table: pa.Table, unigrams: Unigrams, large_seen: np.ndarray, n
         start = mine.stop
         t, c, p = total[nth[mine]], context[mine], pair[mine]
         closed = (t > 0) & (of_context[mine] == 0)
-        entry = np.repeat(np.arange(len(sizes)), sizes)
-        inside = closed[entry]
-        e, d, n = entry[inside], doc[inside].astype(np.int64), times[inside]
-        docs, d = np.unique(d, return_inverse=True)
-        if len(docs):
-            value = np.bincount(d, (np.log10(np.maximum(t, 1) / np.maximum(total3[c], 1)))[e] * n, len(docs))
-            classes = np.bincount((_class(t[e]) - 1) * len(docs) + d, n, CLASSES * len(docs)).astype(np.uint32)
-            out.append((CLOSED, bucket, block, n_docs, [pack(docs.astype(np.uint32), True), pack(value), pack(classes)]))
+        inside = np.repeat(closed, sizes)
+        if inside.any():
+            value, k = np.log10(np.maximum(t, 1) / np.maximum(total3[c], 1)), _class(t) - 1
+            d, n = doc[inside].astype(np.int64), times[inside]
+            docs = np.flatnonzero(np.bincount(d, minlength=n_docs))
+            values = np.bincount(d, np.repeat(value, sizes)[inside] * n, n_docs)[docs]
+            classes = np.bincount(np.repeat(k, sizes)[inside] * n_docs + d, n, CLASSES * n_docs).reshape(CLASSES, -1)[:, docs]
+            out.append((CLOSED, bucket, block, n_docs, [pack(docs.astype(np.uint32), True), pack(values), pack(classes.reshape(-1).astype(np.uint32))]))
         left = np.flatnonzero(~closed)
         if len(left):
             cs, c = np.unique(c[left], return_inverse=True)
@@ -399,9 +415,9 @@ def katz_scores(docs: DataFrame, *, training: Column, id_col: str = "doc_id", te
                 yield from _words_of_block(_task() << 32 | nth, part, texts, buckets, large_words, large_contexts).to_batches()
                 nth += 1
 
-    counted = stored(src.mapInArrow(read_words, ROW).groupBy("bucket").applyInArrow(lambda t: _count_words(t, n_large), ROW), "katz1", ("kind",))
-    tokens, _, *n = _totals(counted, STATS, 2 + 2 * CLASSES)
-    types = _totals(counted, STATS, 2 + 2 * CLASSES)[1]
+    counted = src.mapInArrow(read_words, ROW).groupBy("bucket").applyInArrow(lambda t: _count_words(t, n_large), ROW)
+    counted = stored_by(counted, "katz1", "block", ("kind",))
+    tokens, types, *n = _totals(counted, STATS, 2 + 2 * CLASSES)
     unigrams = Unigrams(tokens, [0, *n[:CLASSES]])
     large_seen = _totals(counted, LARGE_PAIRS, CLASSES * (n_large + 1)).reshape(CLASSES, -1)
     sent = counted.filter(F.col("kind").isin(OWN, COUNTS)).groupBy("block").applyInArrow(lambda t: _ngrams_of_block(t, unigrams, n_large, buckets), ROW)

@@ -31,6 +31,17 @@ def combined(*columns: np.ndarray) -> np.ndarray:
     for c in columns[1:]:
         width = int(c.max()).bit_length() if len(c) else 0
         if len(key) and int(key.max()).bit_length() + width > 64:
-            key = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+            key = grouped(key)[2].astype(np.uint64)
         key = key << np.uint64(width) | c.astype(np.uint64)
     return key
+
+
+def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys ascending, one place of each, and which of them stands at every place."""
+    order = np.argsort(key).astype(np.uint32 if len(key) < 1 << 32 else np.int64)
+    key = key[order]
+    new = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    nth = np.empty(len(key), np.uint32)
+    nth[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+    return key[new], order[new], nth
