@@ -2,9 +2,10 @@
 
 The index maps words of the licence templates to their (template, position) postings: of each template
 its own rarest words, by inverse document frequency over all files, so many that a place without any of
-them can't hold enough of its weight. All their positions in a file are looked up; postings vote for
-(template, file position - template position). A place with votes becomes a label when enough
-of the template's weight stands there and the template's mandatory phrase is found inside it.
+them can't hold enough of its weight. All their positions in a file are looked up; postings are intersected
+by (template, file position - template position): a place needs as many of them as one with enough weight
+can't do without. It becomes a label when enough of the template's weight stands there and the template's
+mandatory phrase is found inside it.
 """
 
 from __future__ import annotations
@@ -144,6 +145,7 @@ class LicenseIndex:
         sure = {k: self._sure(t, self.weight[k]) for k, (t, _) in self.templates.items()}
         kept = {w: [(k, i) for k, i in found if w in sure[k]] for w, found in self.postings.items()}
         self.lookup = {w: found for w, found in kept.items() if found}
+        self.need = {k: self._need([self._idf(w) for w in t if w in sure[k]], self.weight[k]) for k, (t, _) in self.templates.items()}
 
     def _idf(self, word: bytes) -> float:
         return self.idf.get(word, max(self.idf.values(), default=1.0))
@@ -158,19 +160,32 @@ class LicenseIndex:
             left -= self._idf(w) * template.count(w)
         return chosen
 
+    def _need(self, weights: list[float], whole: float) -> int:
+        """How many postings with these weights a place has at least where ``least`` of the weight stands."""
+        lost, n = (1 - self.least) * whole * (1 + 1e-9), len(weights)
+        for w in sorted(weights):
+            lost -= w
+            if lost < 0:
+                break
+            n -= 1
+        return max(n, 1)
+
     def template_matches(self, words: list[bytes], present: set[bytes]) -> dict[str, float]:
         """label -> the largest share of a template's weight found in place, where its phrase is verified."""
-        votes: set[tuple[tuple[str, int], int]] = set()
+        votes: dict[tuple[tuple[str, int], int], int] = defaultdict(int)
         for w in present.intersection(self.lookup):
             at = -1
             try:
                 while True:
                     at = words.index(w, at + 1)
-                    votes.update((k, at - i) for k, i in self.lookup[w])
+                    for k, i in self.lookup[w]:
+                        votes[k, at - i] += 1
             except ValueError:
                 pass
         best: dict[str, float] = {}
-        for k, begin in votes:
+        for (k, begin), n in votes.items():
+            if n < self.need[k]:
+                continue
             template, phrase = self.templates[k]
             got = sum(self._idf(w) for i, w in enumerate(template) if 0 <= begin + i < len(words) and words[begin + i] == w)
             share = got / self.weight[k] if self.weight[k] else 0.0
@@ -224,7 +239,8 @@ def license_scan(
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` per input row.
 
     Null and empty texts have no words, no labels and score 0; repeated rows give repeated results; an
-    empty table gives no rows; other columns are ignored. ``score`` is the largest share of a template's
+    empty table gives no rows; other columns are ignored; words of equal frequency are taken by name, and very
+    long texts are scanned whole. ``score`` is the largest share of a template's
     weight found in place, 1 for a whole phrase.
     """
     vocabulary = frozenset(w for several in templates.values() for t, _ in several for w in t.encode().split())
