@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import ascii_lower, blocks, hash64, mix64, shuffle_width, space_tokens, stored, stored_by, words
-from .packing import combined, grouped, pack, unpack
+from .packing import ROW, combined, grouped, own_bucket, pack, row_table, runs, table_rows, task_number, unpack
 
 END = b" end"  # no word holds a blank
 CUTOFF = 7  # counts above it are not discounted
@@ -38,19 +38,9 @@ CLASSES = CUTOFF + 1  # counts from 1 to CUTOFF, and all higher ones
 BLOCK_BYTES = 4_000_000
 BUCKET_BYTES = 8_000_000
 SAMPLE_BYTES = 8_000_000
-ROW = "kind int, bucket int, block long, n_docs int, parts array<binary>"
 OWN, COUNTS, STATS, LARGE_PAIRS, NGRAMS, LOWER, LARGE_CONTEXTS, CLOSED, OPEN = range(1, 10)
 
 
-def _table(rows: list[tuple]) -> pa.Table:
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.binary()))
-    return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, kinds)], ["kind", "bucket", "block", "n_docs", "parts"])
-
-
-def _rows(table: pa.Table) -> list[tuple]:
-    return list(zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "block", "n_docs", "parts"))))
-
-
 def discounts(n: list[float]) -> np.ndarray:
     """Factors for counts from 1 to ``CUTOFF`` (and 1 for more, last) from n[r], the number of n-grams seen r times.
 
@@ -99,17 +89,6 @@ class Unigrams:
         return np.where(count > 0, self.factors[_class(count)] * count / self.total, self.unseen)
 
 
-def _task() -> int:
-    from pyspark import TaskContext
-
-    return TaskContext.get().partitionId()
-
-
-def _own_bucket(block: int) -> int:
-    """A bucket below 0 for what a block says of itself; few blocks share one."""
-    return -1 - (block ^ block >> 32) * 0x9E3779B1 % 65_536
-
-
 def _contexts(seq: np.ndarray, n_tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The last and the last but one token before each token; a block's last token is an end token."""
     starts = np.cumsum(n_tokens) - n_tokens
@@ -120,12 +99,6 @@ def _contexts(seq: np.ndarray, n_tokens: np.ndarray) -> tuple[np.ndarray, np.nda
     return one, two
 
 
-def _runs(part: np.ndarray, buckets: int):
-    """(bucket, from, to) of each bucket in the ascending ``part``."""
-    ends = np.cumsum(np.bincount(part, minlength=buckets))
-    return [(b, ends[b - 1] if b else 0, ends[b]) for b in range(buckets) if ends[b] > (ends[b - 1] if b else 0)]
-
-
 def _large_pairs(seq: np.ndarray, one: np.ndarray, large: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the distinct pairs with a large first word, by second word, and which tokens have one."""
     some = np.flatnonzero(large[one])
@@ -168,19 +141,19 @@ def _words_of_block(block: int, part: pa.RecordBatch, texts: list[list[bytes]],
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, docs.schema) as writer:
         writer.write_batch(docs)
-    rows = [(OWN, _own_bucket(block), block, len(sizes), [sink.getvalue().to_pybytes(), pack(seq.astype(np.uint32)), pack(large), pack(found.reshape(-1))])]
+    rows = [(OWN, own_bucket(block), block, len(sizes), [sink.getvalue().to_pybytes(), pack(seq.astype(np.uint32)), pack(large), pack(found.reshape(-1))])]
     ends = np.cumsum(np.bincount((pairs >> np.uint64(16)).astype(np.int64), minlength=len(keys)))
-    for b, i, j in _runs((mix64(keys) % np.uint64(buckets)).astype(np.int64), buckets):
+    for b, i, j in runs((mix64(keys) % np.uint64(buckets)).astype(np.int64), buckets):
         k, m = (ends[i - 1] if i else 0), ends[j - 1]
         word = ((pairs[k:m] >> np.uint64(16)) - np.uint64(i)).astype(np.uint32)
         rows.append((NGRAMS, b, block, len(sizes), [pack(keys[i:j], True), pack(counts[i:j]), pack(word, True), pack((pairs[k:m] & np.uint64(0xFFFF)).astype(np.uint16)), pack(pair_counts[k:m])]))
-    return _table(rows)
+    return row_table(rows)
 
 
 def _count_words(table: pa.Table, n_large: int) -> pa.Table:
     """Counts of a bucket's words and of their pairs after large words, back to each block; training words are
     numbered from the most frequent on, from 1. One block a pair is told to report it further."""
-    rows = _rows(table)
+    rows = table_rows(table)
     bucket = rows[0][1]
     if bucket < 0:
         return table
@@ -204,13 +177,13 @@ def _count_words(table: pa.Table, n_large: int) -> pa.Table:
         mine, k = word[s : s + len(p[0])], slice(at, at + len(p[2]))
         at = k.stop
         out.append((COUNTS, bucket, r[2], r[3], [pack(number[mine]), pack(total[mine].astype(np.uint32)), pack(pair_total[nth[k]].astype(np.uint32)), pack(report[k])]))
-    return _table(out)
+    return row_table(out)
 
 
 def _ngrams_of_block(table: pa.Table, unigrams: Unigrams, n_large: int, buckets: int) -> pa.Table:
     """The distinct triples of one block whose middle word is known, dealt to buckets, and a row of its own with
     the block's documents and what single words add to them."""
-    rows = _rows(table)
+    rows = table_rows(table)
     _, bucket, block, n_docs, own = next(r for r in rows if r[0] == OWN)
     seq, large, found = unpack(own[1], np.uint32).astype(np.int64), unpack(own[2], np.uint16), unpack(own[3], np.int64).reshape(-1, 3)
     docs = pa.ipc.open_stream(own[0]).read_all()
@@ -255,15 +228,15 @@ def _ngrams_of_block(table: pa.Table, unigrams: Unigrams, n_large: int, buckets:
     spots = np.argsort(rank[which], kind="stable")
     columns = [x[order].astype(t) for x, t in ((w1, np.uint32), (w2, np.uint32), (w3, np.uint32), (known[seq], np.uint32), (of_large, np.uint16), (of_context, np.uint16), (pair_count, np.uint32), (learnt, np.uint32), (sizes, np.uint32))]
     docs_of, times_of = doc[spots].astype(np.uint32), times[spots].astype(np.uint32)
-    for (b, i, j), (_, k, m) in zip(_runs(deal, buckets), _runs(deal[which], buckets)):
+    for (b, i, j), (_, k, m) in zip(runs(deal, buckets), runs(deal[which], buckets)):
         out.append((NGRAMS, b, block, n_docs, [*(pack(x[i:j], at == 1) for at, x in enumerate(columns)), pack(docs_of[k:m]), pack(times_of[k:m])]))
-    return _table(out)
+    return row_table(out)
 
 
 def _count_ngrams(table: pa.Table, unigrams: Unigrams, large_seen: np.ndarray, n_contexts: int) -> pa.Table:
     """Counts a bucket's pairs and triples; per block the sums of seen triples (``CLOSED``), and the other triples
     with all that their contexts' weights are made of (``OPEN``)."""
-    rows = _rows(table)
+    rows = table_rows(table)
     bucket = rows[0][1]
     if bucket < 0:
         return table
@@ -338,7 +311,7 @@ def _count_ngrams(table: pa.Table, unigrams: Unigrams, large_seen: np.ndarray, n
             doubles = (seen2[:, ms].reshape(-1), lower2[ms], seen3[:, cs].reshape(-1), lower3[:, cs].reshape(-1))
             longs = (t[left], r[p[left]], word_count[mine][left], c, m, large_middle[ms], hot[cs], sizes[left], doc[~inside], times[~inside])
             out.append((OPEN, bucket, block, n_docs, [*map(pack, doubles), *(pack(x.astype(np.uint32)) for x in longs)]))
-    return _table(out)
+    return row_table(out)
 
 
 def open_values(parts: list[bytes], unigrams: Unigrams, factors2: np.ndarray, factors3: np.ndarray, large: tuple, contexts: tuple) -> tuple[np.ndarray, ...]:
@@ -412,7 +385,7 @@ def katz_scores(docs: DataFrame, *, training: Column, id_col: str = "doc_id", te
             for lo, hi in blocks(lengths, BLOCK_BYTES):
                 part = b.slice(lo, hi - lo)
                 texts = [space_tokens(t) + [END] for t in part.column("text").to_pylist()]
-                yield from _words_of_block(_task() << 32 | nth, part, texts, buckets, large_words, large_contexts).to_batches()
+                yield from _words_of_block(task_number() << 32 | nth, part, texts, buckets, large_words, large_contexts).to_batches()
                 nth += 1
 
     counted = src.mapInArrow(read_words, ROW).groupBy("bucket").applyInArrow(lambda t: _count_words(t, n_large), ROW)
@@ -429,7 +402,7 @@ def katz_scores(docs: DataFrame, *, training: Column, id_col: str = "doc_id", te
     out = T.StructType([*(src.schema[c] for c in ("doc_id", "trained")), *(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(n, T.DoubleType()) for n in ("base_score", "score"))])
 
     def scores(table: pa.Table) -> pa.Table:
-        rows = _rows(table)
+        rows = table_rows(table)
         own = next(r for r in rows if r[0] == OWN)[4]
         docs = pa.ipc.open_stream(own[0]).read_all()
         share, unseen, score = (unpack(x, np.float64) for x in own[1:4])

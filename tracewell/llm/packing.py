@@ -8,8 +8,38 @@ block first means that even a key found in every document is one entry per block
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 
+#: What a block (a bounded run of texts in one task) sends to a bucket, or says of itself: packed arrays.
+ROW = "kind int, bucket int, block long, n_docs int, parts array<binary>"
+
+
+def row_table(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.binary()))
+    return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, kinds)], ["kind", "bucket", "block", "n_docs", "parts"])
+
+
+def table_rows(table: pa.Table) -> list[tuple]:
+    return list(zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "block", "n_docs", "parts"))))
+
+
+def task_number() -> int:
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId()
+
+
+def own_bucket(block: int) -> int:
+    """A bucket below 0 for what a block says of itself; few blocks share one."""
+    return -1 - (block ^ block >> 32) * 0x9E3779B1 % 65_536
+
+
+def runs(part: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of each bucket in the ascending ``part``."""
+    ends = np.cumsum(np.bincount(part, minlength=buckets))
+    return [(b, ends[b - 1] if b else 0, ends[b]) for b in range(buckets) if ends[b] > (ends[b - 1] if b else 0)]
+
 
 def pack(a: np.ndarray, delta: bool = False) -> bytes:
     """An array as bytes; ``delta`` suits ascending values. Bytes of equal weight stand together."""
