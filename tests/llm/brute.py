@@ -173,6 +173,28 @@ def licenses_base(docs):
     return out
 
 
+def license_labels(docs, templates, least):
+    """Labels of templates: every place of every text is tried."""
+    texts = [ALNUM_WORD.findall(low(t)) for _, t in docs]
+    of = {k: [(t.split(), p.split()) for t, p in several] for k, several in templates.items()}
+    words = {w for several in of.values() for t, _ in several for w in t}
+    df = Counter(w for t in texts for w in words.intersection(t))
+    idf = {w: math.log((len(texts) + 1) / (df[w] + 1)) + 1e-6 for w in words}
+    out = []
+    for w in texts:
+        labels = set()
+        for k, several in of.items():
+            for t, p in several:
+                for at in range(1 - len(t), len(w)):
+                    inside = [(x, w[at + i]) for i, x in enumerate(t) if 0 <= at + i < len(w)]
+                    if sum(idf[a] for a, b in inside if a == b) >= least * sum(map(idf.get, t)):
+                        there = w[max(0, at) : at + len(t)]
+                        if any(there[i : i + len(p)] == p for i in range(len(there))):
+                            labels.add(k)
+        out.append(labels)
+    return out
+
+
 def repeats(docs, size):
     words = [SPACE_WORD.findall(t or "") for _, t in docs]
     first = {}

@@ -139,6 +139,22 @@ def test_near_duplicates(case, size):
     same(neardup.near_duplicates(docs, shingle=size), ["doc_id", "n_shingles", "component_id", "kept"], brute.components(rows, size))
 
 
+def test_recall_of_candidates_at_the_least_similarity():
+    """Sets of similarity 0.8 share a bucket of the operator's bands."""
+    import numpy as np
+
+    rng, table, bands, rows = np.random.default_rng(1), neardup.draws(240), 40, 6
+    for union in (5, 20, 100, 1000):
+        shared, met = union * 4 // 5, 0
+        for _ in range(300):
+            x = rng.integers(0, 1 << 63, union).astype(np.uint64)
+            a, b = x[: shared + (union - shared) // 2], np.concatenate([x[:shared], x[shared + (union - shared) // 2 :]])
+            owner = np.repeat([0, 1], [len(a), len(b)])
+            keys = neardup.band_keys(neardup.densified(owner, np.concatenate([a, b]), 2, table), bands, rows)
+            met += bool((keys[0] == keys[1]).any())
+        assert met == 300, (union, met)
+
+
 def test_components_grow_link_by_link(spark):
     links = [(1, 2), (3, 4), (2, 3), (9, 8), (5, 7), (7, 9), (4, 1), (20, 21)]
     labels = neardup.connected_components(spark.createDataFrame(links[:2], "a long, b long"))
@@ -188,6 +204,23 @@ def test_license_templates_beside_other_licenses(spark):
     assert got == {1: ("bsd,gpl,gpl-3.0,mit-text,unlicense", 1.0), 2: ("gpl,gpl-3.0", 1.0), 3: ("", 0.0)}
 
 
+def test_license_labels_of_mixed_texts(spark):
+    """Templates whole, cut, with words changed and side by side, against a trial of every place."""
+    rng = random.Random(9)
+    texts = [t for several in licenses.TEMPLATES.values() for t, _ in several]
+    rows = [(0, " ".join(several[0][0] for several in licenses.TEMPLATES.values())), (1, None), (2, "")]
+    for i in range(3, 60):
+        w = " x ".join(rng.sample(texts, rng.randrange(1, 4))).split()
+        for _ in range(rng.randrange(len(w) // 6 + 1)):
+            w[rng.randrange(len(w))] = rng.choice(["x", "the", "license", "software"])
+        rows.append((i, " ".join(w[rng.randrange(4) :])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: set(r.labels.split(",")) - {""} - set(licenses.PHRASES.values()) for r in licenses.license_scan(docs).collect()}
+    want = brute.license_labels(rows, licenses.TEMPLATES, 0.8)
+    assert got == {d: labels for (d, _), labels in zip(rows, want)}
+    assert got[0] == set(licenses.TEMPLATES)
+
+
 def test_standard_license_notices(spark):
     program = "This {} is free software: you can redistribute it and/or modify\n * it under the terms of the GNU {} as published by\n * the Free Software Foundation, either version {} of the License, or\n * (at your option) any later version."
     notices = {
@@ -224,6 +257,15 @@ def test_contamination(case, spark, sf):
     same(got, ["doc_id", "n_words", "n_hit", "n_items", "sha", "contaminated"], want)
 
 
+def test_a_window_in_very_many_items(spark, monkeypatch):
+    """The table of windows and items is too large to broadcast, though the windows are few."""
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 20)
+    docs = spark.createDataFrame([(1, f"so {COMMON} ends"), (2, "nothing here")], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(COMMON.split()[:11])) for i in range(300)], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontam.contamination(docs, items).collect()}
+    assert got == {1: (11, 300), 2: (0, 0)}
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha beta gap gamma delta"), (2, "alpha x x x x x x x x x delta")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "alpha beta gamma delta")], "item_id long, text string")

@@ -76,7 +76,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, *, window: int = 10, lists
         close = close.select("doc_id", "text_key", "window_id", F.col("at").alias("start")).join(distinct.select("window_id", F.size("terms").alias("n")), "window_id")
         close = close.join(out, ["doc_id", "text_key", "window_id", "start"], "left_anti")
         out = out.unionByName(close.withColumn("exact", F.lit(False)).select(*out.columns))
-    return out.join(_small(windows.select("window_id", "item_id"), n_windows), "window_id").select("doc_id", "text_key", "item_id", "start", "n", "exact")
+    return out.join(_small(windows.select("window_id", "item_id"), windows.count()), "window_id").select("doc_id", "text_key", "item_id", "start", "n", "exact")
 
 
 def _word_count(text: Column) -> Column:
@@ -89,7 +89,8 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, lists:
 
     ``docs`` needs ``doc_id, text``, ``items`` needs ``item_id, text``; other columns are ignored. Null
     and empty texts have no words and are clean; items without words or without an id never match; repeated rows give repeated
-    results; items with equal ids count once. Null ids of documents are allowed.
+    results; items with equal ids count once. Null ids of documents are allowed; an empty table on either side
+    gives no hits. Of equally rare terms the first ones of a window are looked up. Texts are searched whole.
     """
     found = stored(phrase_matches(docs, items, window=window, lists=lists), "matches")
     places = found.select("doc_id", "text_key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("pos")).distinct()

@@ -136,14 +136,15 @@ def label_texts(net: BiGRU, texts: list[bytes], *, span: int = 128, rows: int =
     return sums / np.maximum(sizes, 1)[:, None]
 
 
-def training_sample(docs: DataFrame, training: Column, per_label: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """At most ``per_label`` (language, text) pairs of each language, chosen by a hash of the id.
+def training_sample(docs: DataFrame, training: Column, per_label: int, id_col: str, text_col: str, lang_col: str, languages: int, chars: int) -> list[tuple[str, str]]:
+    """At most ``per_label`` (language, text) pairs of each language, chosen by a hash of the id; of longer texts
+    ``chars`` characters from a place given by the id. Of more than ``languages`` languages the most frequent.
 
     The ids are found first, without the texts, by a bounded top-k per language.
     """
     labelled = docs.filter(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
     order = F.struct(F.xxhash64(F.col("id").cast("string")).alias("h"), "id")
-    langs = [r["lang"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(256).collect()]
+    langs = [r["lang"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()]
     chosen = None
     for lang in langs:
         part = labelled.filter(F.col("lang") == lang).orderBy(order).limit(per_label)
@@ -154,10 +155,8 @@ def training_sample(docs: DataFrame, training: Column, per_label: int, id_col: s
     wanted = docs.sparkSession.createDataFrame(ids, chosen.schema).distinct()
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     rows = rows.join(F.broadcast(wanted), rows["id"].eqNullSafe(wanted["id"]) & (rows["lang"] == wanted["lang"]), "left_semi")
-    # The longest sampled texts are cut to a bounded number of characters from a place given by the id.
-    size = 20_000
-    at = F.pmod(F.xxhash64(F.col("id").cast("string")), F.greatest(F.length("text") - size, F.lit(1)))
-    return sorted((r["lang"], r["text"]) for r in rows.select("lang", F.substring(F.col("text"), (at + 1).cast("int"), F.lit(size)).alias("text")).collect())
+    at = F.pmod(F.xxhash64(F.col("id").cast("string")), F.greatest(F.length("text") - chars, F.lit(1)))
+    return sorted((r["lang"], r["text"]) for r in rows.select("lang", F.substring(F.col("text"), (at + 1).cast("int"), F.lit(chars)).alias("text")).collect())
 
 
 def identify_languages(
@@ -170,14 +169,19 @@ def identify_languages(
     per_label: int = 200,
     hidden: int = 8,
     steps: int = 500,
+    max_languages: int = 256,
+    sample_chars: int = 20_000,
 ) -> DataFrame:
     """``doc_id, lang_pred, score, probabilities`` (map of label to pooled probability) per input row.
 
     The network learns from at most ``per_label`` rows of each language among those that fulfil
-    ``training``. ``lang_pred`` is ``und`` with score 0 for null texts and texts without a letter, and
+    ``training``, at most ``sample_chars`` characters of each, of the ``max_languages`` most frequent languages
+    (ties by name): these three bound the labelled sample that the driver trains on. Every text is read
+    whole, in segments from which each direction starts afresh; an empty table gives no rows; of labels with
+    equal probability the first by name is taken. ``lang_pred`` is ``und`` with score 0 for null texts and texts without a letter, and
     where there is nothing to learn from. Repeated rows give repeated results; other columns are ignored.
     """
-    sample = training_sample(docs, training, per_label, id_col, text_col, lang_col)
+    sample = training_sample(docs, training, per_label, id_col, text_col, lang_col, max_languages, sample_chars)
     names = sorted({lang for lang, _ in sample})
     net = train([t.encode("utf-8", "surrogatepass") for _, t in sample], [names.index(x) for x, _ in sample], len(names), hidden=hidden, steps=steps) if names else None
     src = docs.select(F.col(id_col).alias("doc_id"), F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("text"))

@@ -79,7 +79,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = langid.identify_languages(_documents(spark, sf_dir), training=_remainder(5) != 0)
-    return rows.select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score")
+    return rows.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
