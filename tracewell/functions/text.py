@@ -128,3 +128,8 @@ def estimated_cost(model: Column, tokens_in: Column, tokens_out: Column, cache_r
     m = 1_000_000.0
     cost = (tokens_in / m) * rate(0) + (tokens_out / m) * rate(1) + (cache_read / m) * rate(2) + (cache_write / m) * rate(3) + (reasoning / m) * rate(1)
     return F.round(cost * 100.0) / 100.0
+
+
+def date_parts(started_at: Column) -> dict[str, Column]:
+    """Year, month and day (``y``, ``m``, ``d``) of a start, as dated folders name them."""
+    return {k: F.date_format(started_at, p) for k, p in (("y", "yyyy"), ("m", "MM"), ("d", "dd"))}

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_ci, startswith_ci
+from ..functions.text import contains_ci, startswith_ci, ws_trim
 
 # Verb -> fact types and how the target is matched.
 VERBS = {
@@ -95,13 +95,15 @@ def who(
     if cwd is not None:
         s = s.filter(contains_ci(F.col("cwd"), cwd))
     out = f.join(s, "session_id").join(handoffs.select("session_id", "headline"), "session_id", "left")
-    return out if limit is None else out.orderBy(F.desc("ts"), F.desc("id")).limit(limit)
+    out = out.orderBy(F.desc("ts"), F.desc("id"))
+    return out if limit is None else out.limit(limit)
 
 
 def clean_subject(subject: Column) -> Column:
     """The path of a patch text, else the subject itself."""
-    path = F.regexp_extract(subject, r"\*\*\* Update File: ?(.*?)(?:\\n|\n|$)", 1)
-    return F.when(path != "", F.trim(path)).otherwise(subject)
+    path = F.regexp_extract(subject, r"\*\*\* Update File:(.*?)(?:\\n|\n|$)", 1)
+    bare = F.regexp_replace(ws_trim(path), '^"+|"+$', "")
+    return F.when(bare != "", bare).otherwise(subject)
 
 
 def group_by_session(found: DataFrame) -> DataFrame:

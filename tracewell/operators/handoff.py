@@ -49,7 +49,7 @@ def invalid_reason() -> Column:
     """Why a summary's metadata is not acceptable; null if it is."""
     empty = lambda c: F.coalesce(F.size(c) <= 0, F.lit(True))
     return (
-        F.when(F.octet_length(F.trim(F.coalesce("headline", F.lit("")))) < 5, "headline too short")
+        F.when(F.octet_length(F.coalesce("headline", F.lit(""))) < 5, "headline too short")
         .when(~F.coalesce(F.col("substance").between(0, 3), F.lit(False)), "substance out of range")
         .when((F.col("substance") >= 1) & empty("projects"), "no projects")
         .when((F.col("substance") >= 1) & empty("keywords"), "no keywords")

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_ci, cut_field, estimated_cost
+from ..functions.text import contains_ci, cut_field, date_parts, estimated_cost, short_id
 
 
 def cost(prefix: str = "") -> Column:
@@ -64,7 +64,8 @@ def list_sessions(
     if not show_all:
         df = df.filter(~((F.col("total_tools") == 0) & (F.col("duration_secs") < 30)))
     key = {"started": F.col("started_at"), "ended": F.col("ended_at"), "tokens": F.col("total_input_tokens") + F.col("total_output_tokens"), "cost": F.col("cost"), "duration": F.col("duration_secs")}[sort]
-    return df if limit is None else df.orderBy(key.desc_nulls_last(), "id").limit(max(1, limit))
+    df = df.orderBy(key.desc_nulls_last(), "id")
+    return df if limit is None else df.limit(max(1, limit))
 
 
 def totals(sessions: DataFrame) -> DataFrame:
@@ -137,3 +138,24 @@ def envelope(rows: DataFrame, shown: int) -> DataFrame:
     """A result's envelope: how many rows there are, how many are shown, and those as JSON in order of ``id``."""
     top = rows.orderBy("id").limit(shown).agg(F.count("*").alias("shown"), F.to_json(F.array_sort(F.collect_list(F.struct("id")))).alias("rows"))
     return top.withColumn("k", F.lit(1)).join(rows.agg(F.count("*").alias("total")).withColumn("k", F.lit(1)), "k").drop("k")
+
+
+def type_badge() -> Column:
+    """How a listing marks children and coordinators."""
+    kind = F.col("session_type")
+    return F.when(kind == "subagent", F.coalesce(F.concat(F.lit("["), "subagent_type", F.lit("]")), F.lit("[sub]"))).when(kind == "coordinator", "[coord]").otherwise("-")
+
+
+def of_day(sessions: DataFrame, day: str) -> DataFrame:
+    """The sessions that began on a day (``yyyy-MM-dd``), the oldest first."""
+    return sessions.filter(F.date_format("started_at", "yyyy-MM-dd") == day).orderBy("started_at", "id")
+
+
+def artefacts(sessions: DataFrame, root: str, existing: DataFrame) -> DataFrame:
+    """``id, kind, path, there``: where a session's transcript and summary belong, and whether they are in ``existing`` (``path``)."""
+    kinds = F.explode(F.array(F.lit("sessions"), F.lit("handoffs")))
+    parts = date_parts(F.col("started_at"))
+    s = sessions.select("id", kinds.alias("kind"), "engine", short_id(F.col("id"), F.col("engine") == "codex").alias("short"), *(parts[k].alias(k) for k in "ymd"))
+    path = F.concat(F.lit(f"{root}/data/"), "engine", F.lit("/"), "kind", F.lit("/"), "y", F.lit("/"), "m", F.lit("/"), "d", F.lit("/"), "short", F.lit(".md"))
+    there = existing.select("path").distinct().withColumn("found", F.lit(True))
+    return s.select("id", "kind", path.alias("path")).join(there, "path", "left").select("id", "kind", "path", F.coalesce("found", F.lit(False)).alias("there"))

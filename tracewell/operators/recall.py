@@ -8,6 +8,9 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import ws_trim
+from .listing import resolve
+
 # Words that a query and headlines lose.
 STOP_WORDS = "the a an is was are were it its in on at to for of with and or but not this that by from".split()
 WEIGHTS = {"projects": 3.0, "keywords": 2.0, "headline": 2.5}
@@ -22,8 +25,11 @@ def query_tokens(query: str) -> list[str]:
 
 
 def parse_list(c: Column) -> Column:
-    """A list given as a JSON array, or as one plain string."""
-    return F.coalesce(F.from_json(c, "array<string>"), F.when(F.trim(c) != "", F.array(c)), F.array().cast("array<string>"))
+    """A list given as a JSON array, of which only strings are taken, or as one plain string."""
+    v = F.try_parse_json(c)
+    is_list = F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
+    strings = F.transform(F.filter(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING"), lambda x: x.cast("string"))
+    return F.when(is_list, strings).when(ws_trim(c) != "", F.array(c)).otherwise(F.expr("CAST(array() AS ARRAY<STRING>)"))
 
 
 def recall(handoffs: DataFrame, query: str, *, as_of: date, days: int = 14, min_substance: int = 1, limit: int | None = 10) -> DataFrame:
@@ -63,3 +69,37 @@ def recall(handoffs: DataFrame, query: str, *, as_of: date, days: int = 14, min_
 
 def without_front_matter(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\A\s*---.*?\n---\n?", "")
+
+
+def session_date(started_at: Column) -> Column:
+    """The date a start is written with, in its own offset; null where its first ten characters are no date."""
+    return F.try_to_date(F.substring(started_at, 1, 10), "yyyy-MM-dd")
+
+
+def by_id(handoffs: DataFrame, sessions: DataFrame, prefix: str | None = None) -> DataFrame:
+    """The summary of the one session an id or its start stands for, or of the newest session, with score 0.
+
+    No row where the id is ambiguous or unknown, or the session has no summary.
+    """
+    if prefix is None:
+        wanted = sessions.orderBy(F.col("started_at").desc_nulls_last(), "id").limit(1).select("id")
+    else:
+        wanted = resolve(sessions, prefix).filter("state <> 'ambiguous'").select("id")
+    found = handoffs.join(wanted.withColumnRenamed("id", "session_id"), "session_id", "left_semi")
+    return found.withColumn("score", F.lit(0.0))
+
+
+def brief(found: DataFrame) -> DataFrame:
+    """``session_id, text``: a short block for each summary."""
+    listed = lambda c: F.coalesce(F.nullif(F.array_join(c, ", "), F.lit("")), F.lit("-"))
+    text = F.format_string("%s (%s)\nprojects: %s\nkeywords: %s", F.coalesce("headline", F.lit("-")), F.coalesce(F.col("started_on").cast("string"), F.lit("-")), listed("projects"), listed("keywords"))
+    return found.select("session_id", text.alias("text"))
+
+
+def with_facts(found: DataFrame, facts: DataFrame) -> DataFrame:
+    """Summaries with the distinct files and the error texts of their sessions, sorted."""
+    kinds = {"files": F.col("fact_type").isin("file_read", "file_write"), "errors": F.col("fact_type") == "error"}
+    text = {"files": F.col("subject"), "errors": F.col("detail")}
+    sides = facts.groupBy("session_id").agg(*(F.array_sort(F.collect_set(F.when(k, text[n]))).alias(n) for n, k in kinds.items()))
+    none = F.expr("CAST(array() AS ARRAY<STRING>)")
+    return found.join(sides, "session_id", "left").withColumns({n: F.coalesce(n, none) for n in kinds})

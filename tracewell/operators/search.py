@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +28,6 @@ def terms(text: Column) -> Column:
 
 def query_terms(query: str) -> list[str]:
     """The query's distinct terms; punctuation never fails. The driver sees one short string."""
-    import re
-
     return list(dict.fromkeys(t for t in re.findall(r"[^\W_]+", query.lower()) if len(t.encode()) <= 40))
 
 
@@ -65,17 +66,31 @@ def bm25(docs: DataFrame, query: str, id_col: str, fields: tuple[str, ...], *, k
 
 
 def phrase(docs: DataFrame, words: str, id_col: str, field: str) -> DataFrame:
-    """Documents where the words stand next to each other, and how often."""
-    t = query_terms(words) if len(set(words.lower().split())) == len(words.split()) else words.lower().split()
-    each = docs.select(F.col(id_col).alias("doc"), F.posexplode(terms(F.col(field))).alias("pos", "term")).filter(F.col("term").isin(t))
-    shifted = None
-    for i, w in enumerate(t):
-        part = each.filter(F.col("term") == w).select("doc", (F.col("pos") - i).alias("start"), F.lit(i).alias("i"))
-        shifted = part if shifted is None else shifted.unionByName(part)
-    full = shifted.groupBy("doc", "start").agg(F.count_distinct("i").alias("n")).filter(F.col("n") == len(t))
-    return full.groupBy("doc").agg(F.count("*").alias("places"))
+    """Documents where the words stand next to each other, and how often; each text is scanned once."""
+    wanted = F.array(*map(F.lit, (t for t in re.findall(r"[^\W_]+", words.lower()) if len(t.encode()) <= 40)))
+    t = docs.select(F.col(id_col).alias("doc"), terms(F.col(field)).alias("t"))
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("t") - F.size(wanted) + 1, F.lit(1))), lambda i: F.slice("t", i, F.size(wanted)) == wanted)
+    return t.filter(F.arrays_overlap("t", wanted)).select("doc", F.size(starts).cast("bigint").alias("places")).filter("places > 0")
 
 
 def field_filter(field: str) -> Column:
     kinds = FIELD_GROUPS[field]
     return F.lit(True) if kinds is None else F.col("fact_type").isin(*kinds)
+
+
+def search_facts(facts: DataFrame, sessions: DataFrame, query: str, *, field: str = "all", engine: str | None = None, cwd: str | None = None, since: datetime | None = None, limit: int | None = 20) -> DataFrame:
+    """``id, session_id, score, session_type, parent_id``: the best facts of sessions that fit, filtered before the top.
+
+    Facts without a time fail ``since``; those of unknown sessions fail ``engine`` and ``cwd``.
+    """
+    s = sessions.select(F.col("id").alias("session_id"), "engine", "cwd", "session_type", "parent_id")
+    keep = field_filter(field)
+    if engine is not None:
+        keep = keep & (F.col("engine") == engine)
+    if cwd is not None:
+        keep = keep & F.col("cwd").contains(cwd)
+    if since is not None:
+        keep = keep & (F.col("ts") >= F.lit(since))
+    whole = facts.join(s, "session_id", "left")
+    found = bm25(whole, query, "id", ("detail",), keep=F.coalesce(keep, F.lit(False)), limit=limit)
+    return found.join(whole.select(F.col("id").alias("doc"), "session_id", "session_type", "parent_id"), "doc").withColumnRenamed("doc", "id").select("id", "session_id", "score", "session_type", "parent_id")

@@ -49,3 +49,18 @@ def write_dated(docs: DataFrame, path: str, existing: DataFrame | None = None) -
         d = d.join(existing.select("id"), "id", "left_anti")
     parts = {"y": F.date_format("started_at", "yyyy"), "m": F.date_format("started_at", "MM"), "d": F.date_format("started_at", "dd")}
     d.withColumns(parts).select("engine", "y", "m", "d", "id", "text").write.mode("append").partitionBy("engine", "y", "m", "d").parquet(path)
+
+
+def advanced(cursors: DataFrame, runs: DataFrame) -> DataFrame:
+    """``engine, seen_to`` after some runs (``engine, seen_to, failed``): only an engine without a failure moves on."""
+    done = runs.groupBy("engine").agg(F.max("seen_to").alias("new"), F.max("failed").alias("failed"))
+    both = cursors.join(done, "engine", "full")
+    return both.select("engine", F.when(F.coalesce("failed", F.lit(True)), F.col("seen_to")).otherwise(F.greatest("seen_to", "new")).alias("seen_to"))
+
+
+def ingest_report(found: DataFrame, known: DataFrame) -> DataFrame:
+    """``engine, indexed, skipped, errors``: of the logs ``found`` (``engine, id, size, error``) those new or grown since
+    ``known`` (``id, size``) are indexed, unchanged ones skipped."""
+    f = found.join(known.select("id", F.col("size").alias("old")), "id", "left")
+    bad, same = F.col("error").isNotNull(), F.coalesce(F.col("size") == F.col("old"), F.lit(False))
+    return f.groupBy("engine").agg(F.count_if(~bad & ~same).alias("indexed"), F.count_if(~bad & same).alias("skipped"), F.count_if(bad).alias("errors"))

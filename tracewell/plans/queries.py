@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as fn
 from ..operators import activity, attribution, handoff, inspection, links, listing, recall, rollup, search, tables, transcript
 from ..sources import adapter as fx
-from ..sources import ingest, logs
+from ..sources import children, ingest, logs
 from ..streaming import activity as streams
 
 AS_OF = datetime(2024, 1, 31)
@@ -425,11 +425,240 @@ def needle_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    at = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = _shared(spark, "stream")
     # The stream's source is a folder; a batch lands the events there as files.
     facts = fx.fx_facts(spark, d).select("id", "session_id", "ts", "fact_type")
     facts.write.parquet(f"{at}/in")
     out = streams.action_windows(spark.readStream.schema(facts.schema).parquet(f"{at}/in"), 60)
     out.writeStream.outputMode("append").format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{at}/out").select(_clock("start").alias("start"), "fact_type", "n")
+
+
+def _said(spark, d):
+    """Facts as the pieces of made-up log records: ``uid`` is the log, ``ord`` the place, ``k`` a small number."""
+    k = fx._events(spark, d).select(F.col("event_id").alias("id"), "k", "user_id")
+    return fx.fx_facts(spark, d).join(k, "id").withColumns({"file": F.col("session_id"), "ord": F.col("id")})
+
+
+def _text(c) -> Column:
+    return c.cast("string")
+
+
+@query
+def tool_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Inputs of all kinds of tools, and what facts they make."""
+    s = _said(spark, d).filter("fact_type <> 'user_prompt'")
+    p, one = F.concat(F.lit("/p/"), _text(F.col("k"))), F.lit(1)
+    names = ("Read", "Grep", "web_search", "WebFetch", "Task", "Bash", "Edit")
+    inputs = (_json(dir=p), _json(pattern=F.lit("x"), cwd=p), _json(query=p), _json(x=one), _json(description=p), _json(url=p), _json(path=p, file_path=F.lit("first")))
+    name, args = F.element_at(F.array(*map(F.lit, names)), F.col("k") % 7 + 1), F.element_at(F.array(*inputs), F.col("k") % 7 + 1)
+    line = F.format_string('{"type":"assistant","message":{"content":[{"type":"tool_use","id":"%d","name":"%s","input":%s}]}}', "id", name, args)
+    return ingest.facts_of(logs.events_a(s.select("file", "ord", line.alias("line")))).select(F.col("file").alias("session_id"), F.col("ord").alias("id"), "fact_type", "subject", "detail", "exit_code")
+
+
+@query
+def ingest_files(spark: SparkSession, d: str) -> DataFrame:
+    """Logs of two engines written as files, read in splits, told apart by their content, and folded to sessions."""
+    r = _records(spark, d).join(fx._events(spark, d).select(F.col("event_id").alias("id"), "k", "user_id"), "id").filter("user_id % 3 < 2")
+    engine = F.when(F.col("user_id") % 3 == 0, "claude").otherwise("codex")
+    r = r.withColumns({"engine": engine, "uid": F.concat(engine, F.lit("-"), _text(F.col("user_id") % 10)), "cwd": F.concat(F.lit("/w"), _text(F.col("k")))})
+    content = F.when(F.col("fact_type") == "user_prompt", F.to_json(F.struct("detail"))).otherwise(F.lit(""))
+    said = F.get_json_object(content, "$.detail")
+    a = F.when(F.col("fact_type") == "user_prompt", F.format_string('{"type":"user","sessionId":"%s","cwd":"%s","model":"m%d","timestamp":"%s","message":{"content":"%s"}}', "uid", "cwd", "k", "stamp", said))
+    a = a.otherwise(F.format_string('{"type":"assistant","sessionId":"%s","cwd":"%s","model":"m%d","timestamp":"%s","message":{"content":[{"type":"tool_use","id":"%s","name":"%s","input":%s}]}}', "uid", "cwd", "k", "stamp", "call", "tool", "args"))
+    item = lambda kind, payload: F.concat(F.format_string('{"timestamp":"%s","type":"%s","payload":', F.col("stamp"), F.lit(kind)), payload, F.lit("}"))
+    meta = item("session_meta", _json(id=F.col("uid"), cwd=F.col("cwd")))
+    b = F.when(F.col("fact_type") == "user_prompt", item("event_msg", _json(type=F.lit("user_message"), message=F.col("detail")))).otherwise(item("response_item", _json(type=F.lit("function_call"), name=F.col("tool"), call_id=F.col("call"), arguments=F.col("args"))))
+    parts = F.when(F.col("engine") == "claude", F.array(F.lit("{broken"), a)).otherwise(F.array(meta, b))
+    lines = r.select("engine", "uid", "id", F.posexplode(parts).alias("nth", "line")).repartition("uid").sortWithinPartitions("engine", "uid", "id", "nth")
+    at = _shared(spark, "logs")
+    lines.select("line", "engine", "uid").write.partitionBy("engine", "uid").text(at)
+    read = logs.read_lines(spark, at, "*.txt", recursive=True)
+    of = logs.detect_engine(read)
+    events = None
+    for name, parse in (("claude", logs.events_a), ("codex", logs.events_b)):
+        part = parse(read.join(of.filter(F.col("engine") == name), "file", "left_semi"))
+        events = part if events is None else events.unionByName(part)
+    facts = ingest.facts_of(events).groupBy("file").agg(F.count("*").alias("facts"), F.max("turn_number").cast("bigint").alias("last_turn"))
+    s = ingest.sessions_of(events).join(facts, "file").join(of, "file")
+    return s.select("engine", "session_uid", "cwd", "model", "total_turns", "total_tools", "facts", "last_turn")
+
+
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share; only a local session may do without the setting."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(root or 'file://' + tempfile.mkdtemp(prefix='spark-', dir='/tmp')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def detect_engines(spark: SparkSession, d: str) -> DataFrame:
+    """Logs known by a record, by their path, or not at all."""
+    e = fx._events(spark, d).filter("k < 80")
+    name = F.element_at(F.array(*map(F.lit, ("/x/", "/h/.codex/sessions/", "/h/.gemini/tmp/", "/h/.claude/projects/"))), F.col("k") % 4 + 1)
+    kind = F.element_at(F.array(*map(F.lit, ("summary", "progress", "turn_context", "unknown", "system"))), F.col("k") % 5 + 1)
+    line = F.when(F.col("k") % 8 == 7, F.lit('{"sessionId":"a","projectHash":"b","messages":[]}')).otherwise(F.format_string('{"type":"%s"}', kind))
+    return logs.detect_engine(e.select(F.concat(name, _text(F.col("k"))).alias("file"), F.col("event_id").alias("ord"), line.alias("line")))
+
+
+@query
+def agents_a(spark: SparkSession, d: str) -> DataFrame:
+    s = _said(spark, d).filter("fact_type IN ('command', 'error')")
+    use = F.format_string('{"type":"assistant","message":{"content":[{"type":"tool_use","name":"Agent","input":{"prompt":%s,"subagent_type":"t%d"}}]}}', F.to_json(F.array("subject")), F.col("k") % 3)
+    prompt = F.get_json_object(F.to_json(F.struct("subject")), "$.subject")
+    use = F.concat(F.lit('{"type":"assistant","message":{"content":[{"type":"tool_use","name":"Agent","input":'), _json(prompt=prompt, subagent_type=F.concat(F.lit("t"), _text(F.col("k") % 3))), F.lit("}]}}"))
+    result = F.concat(F.lit('{"type":"user","toolUseResult":'), _json(agentId=F.concat(F.lit("ag"), _text(F.col("k") % 7)), prompt=prompt, status=F.lit("completed"), totalTokens=F.col("k"), totalDurationMs=F.col("id")), F.lit("}"))
+    lines = s.select("file", "ord", F.when(F.col("fact_type") == "command", use).otherwise(result).alias("line"))
+    return children.agents_a(lines).withColumnRenamed("file", "session_id")
+
+
+@query
+def agents_b(spark: SparkSession, d: str) -> DataFrame:
+    s = _said(spark, d)
+    agent, call = F.concat(F.lit("ag"), _text(F.col("k") % 7)), F.concat(F.lit("c"), _text(F.col("k") % 5))
+    spawn = _json(type=F.lit("function_call"), name=F.lit("spawn_agent"), call_id=call, arguments=_json(agent_type=F.concat(F.lit("t"), _text(F.col("k") % 3)), message=F.col("subject")))
+    close = _json(type=F.lit("function_call"), name=F.lit("close_agent"), call_id=F.concat(F.lit("x"), call), arguments=_json(target=agent))
+    spawned = _json(type=F.lit("function_call_output"), call_id=call, output=_json(agent_id=agent))
+    state = F.when(F.col("k") % 2 == 0, _json(previous_status=F.lit("done"))).otherwise(_json(previous_status=F.create_map(F.lit("errored"), F.lit("x"))))
+    closed = _json(type=F.lit("function_call_output"), call_id=F.concat(F.lit("x"), call), output=state)
+    kind = F.col("fact_type")
+    payload = F.when(kind == "command", spawn).when(kind == "error", spawned).when(kind == "file_write", close).when(kind == "file_read", closed)
+    lines = s.select("file", "ord", F.concat(F.lit('{"type":"response_item","payload":'), payload, F.lit("}")).alias("line")).filter("line IS NOT NULL")
+    return children.agents_b(lines).withColumnRenamed("file", "session_id").withColumn("nth", F.col("nth").cast("bigint"))
+
+
+@query
+def child_progress(spark: SparkSession, d: str) -> DataFrame:
+    s = _said(spark, d).filter("fact_type = 'file_read'")
+    agent = F.concat(F.lit("ag"), _text(F.col("k") % 7))
+    tokens = F.when(F.col("k") % 2 == 0, _json(type=F.lit("agent_progress"), agentId=agent, totalTokens=F.col("k"))).otherwise(_json(type=F.lit("agent_progress"), agent_id=agent, total_duration_ms=F.col("id"), message=F.struct(F.lit(1).alias("x"))))
+    records = children.progress(s.select("file", "ord", F.concat(F.lit('{"type":"progress","data":'), tokens, F.lit("}")).alias("line")))
+    none = spark.createDataFrame([], "file string, agent_id string, tokens bigint, millis bigint, tools bigint")
+    return children.progress_totals(records, none).select(F.col("file").alias("session_id"), "agent_id", "records", "tokens", "millis", "tools")
+
+
+@query
+def search_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return search.search_facts(fx.fx_facts(spark, d), _sessions(spark, d), "cargo todo code", field="commands", engine="codex", cwd="Proj1", since=datetime(2024, 1, 10), limit=None)
+
+
+def _session_handoffs(spark, d):
+    s = _sessions(spark, d).filter("total_turns > 0")
+    return s.select(F.col("id").alias("session_id"), F.concat(F.lit("work of "), "id").alias("headline"), F.array("cwd").alias("projects"), F.array("engine").alias("keywords"), F.to_date("started_at").alias("started_on"))
+
+
+@query
+def recall_by_id(spark: SparkSession, d: str) -> DataFrame:
+    newest = recall.by_id(_session_handoffs(spark, d), _sessions(spark, d).filter("total_turns > 0"))
+    return recall.brief(newest).unionByName(recall.brief(recall.by_id(_session_handoffs(spark, d), _sessions(spark, d), "u0008d0")))
+
+
+@query
+def recall_full(spark: SparkSession, d: str) -> DataFrame:
+    full = recall.with_facts(_session_handoffs(spark, d), fx.fx_facts(spark, d))
+    return full.select("session_id", F.size("files").cast("bigint").alias("n_files"), F.md5(F.array_join("files", ",")).alias("files_md5"), F.array_join("errors", ",").alias("errors"))
+
+
+@query
+def session_dates(spark: SparkSession, d: str) -> DataFrame:
+    e = fx._events(spark, d)
+    k = F.col("k") % 4
+    written = F.when(k == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'-11:00'")).when(k == 1, F.date_format("ts", "yyyy-MM-dd")).when(k == 2, F.date_format("ts", "yyyy-MM-dd 'at' HH")).otherwise("soon, perhaps")
+    return e.select("event_id", _text(recall.session_date(written)).alias("day"))
+
+
+@query
+def parse_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Lists as stored: arrays of strings or of anything, plain text, nothing."""
+    given = F.element_at(F.array(*map(F.lit, ('["a","b"]', '["a",1,{"b":2},null]', "plain, text", "  ", None, "[1,2]", '{"a":1}', '"x"', "[broken"))), F.col("k") % 9 + 1)
+    return fx._events(spark, d).select("event_id", F.array_join(recall.parse_list(given), "|").alias("items"))
+
+
+@query
+def clean_subjects(spark: SparkSession, d: str) -> DataFrame:
+    k = _text(F.col("k"))
+    forms = (F.concat(F.lit('*** Begin Patch\\n*** Update File: "src/a'), k, F.lit('.rs"\\n@@')), F.concat(F.lit("*** Update File: src/b"), k, F.lit("\n+x")), F.concat(F.lit("src/c"), k), F.lit("*** Update File:  "))
+    return fx._events(spark, d).select("event_id", attribution.clean_subject(F.element_at(F.array(*forms), F.col("k") % 4 + 1)).alias("subject"))
+
+
+@query
+def error_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Errors by trimmed subject, by the command inside a wrapping shell, by text; unknown exit codes count as 1."""
+    f = fx.fx_facts(spark, d).join(fx._events(spark, d).select(F.col("event_id").alias("id"), "k"), "id").filter("fact_type = 'error'")
+    k = F.col("k") % 4
+    subject = F.when(k == 0, F.concat(F.lit("  "), "subject", F.lit(" "))).when(k == 1, F.lit(" "))
+    detail = F.when(k.isin(1, 2), F.format_string("Command: /bin/bash -lc 'make x%d'\nfailed", F.col("k") % 6)).otherwise(F.col("detail"))
+    made = f.select("session_id", "ts", "id", "fact_type", subject.alias("subject"), detail.alias("detail"), F.when(k != 2, F.col("exit_code")).alias("exit_code"))
+    return inspection.errors(made).select("session_id", "nth", "key", "exit_code", "snippet")
+
+
+@query
+def cache_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Every second user's cache tokens are unknown and summed again from counted usage records."""
+    s = _sessions(spark, d)
+    lost = F.substring("id", 2, 4).cast("int") % 2 == 0
+    s = s.withColumns({c: F.when(lost, 0).otherwise(F.col(c)).cast("bigint") for c in ("cache_read_tokens", "cache_creation_tokens")})
+    u = fx._events(spark, d).select("session_id", "ts", "event_id", "k", (100 * F.col("k")).alias("cache_read"), (7 * F.col("k")).alias("cache_creation"))
+    return inspection.cache_tokens(s, rollup.counted_usage(u, "k", ["ts", "event_id"]))
+
+
+@query
+def inspect_tasks(spark: SparkSession, d: str) -> DataFrame:
+    s = _sessions(spark, d)
+    h = _session_handoffs(spark, d).filter(F.col("session_id").endswith("0"))
+    described = s.filter("total_tools % 2 = 0").select(F.col("id").alias("session_id"), F.concat(F.lit(" child "), "id").alias("description"))
+    return inspection.tasks(s, fx.fx_facts(spark, d), h, described)
+
+
+@query
+def tag_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return inspection.of_tag(_sessions(spark, d), fx.fx_tags(spark, d), "t4").select("id", listing.type_badge().alias("badge"))
+
+
+@query
+def sessions_of_day(spark: SparkSession, d: str) -> DataFrame:
+    return listing.of_day(_sessions(spark, d), "2024-01-11").select("id", _clock("started_at").alias("started_at"))
+
+
+@query
+def artefacts(spark: SparkSession, d: str) -> DataFrame:
+    s = _sessions(spark, d)
+    there = s.filter("engine = 'claude'").select(F.concat(F.lit("/r/data/claude/sessions/"), F.date_format("started_at", "yyyy/MM/dd/"), F.substring("id", 1, 8), F.lit(".md")).alias("path"))
+    return listing.artefacts(s, "/r", there)
+
+
+@query
+def discovered(spark: SparkSession, d: str) -> DataFrame:
+    s = _sessions(spark, d).select("engine", "id", F.when(F.col("total_turns") > 0, F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss")).alias("started_at"))
+    return logs.discovered([s.filter(F.col("engine") == e) for e in fx.ENGINES], since="2024-01-12")
+
+
+@query
+def ingest_report(spark: SparkSession, d: str) -> DataFrame:
+    """A second run over logs of which some have grown and some can't be read, and the cursors after it."""
+    s = _sessions(spark, d)
+    known = s.filter("total_turns = 0").select("id", F.col("total_tools").alias("size"))
+    found = s.select("engine", "id", (F.col("total_tools") + F.when(F.col("total_tools") % 5 == 0, 1).otherwise(0)).alias("size"), F.when((F.col("engine") == "codex") & (F.col("total_tools") % 7 == 0), "broken").alias("error"))
+    runs = s.join(found.select("id", "error"), "id").groupBy("engine").agg(F.max("last_event_at").alias("seen_to"), F.max(F.col("error").isNotNull()).alias("failed"))
+    before = s.select("engine").distinct().withColumn("seen_to", F.lit(datetime(2024, 1, 2)))
+    cursor = tables.advanced(before, runs).select("engine", _clock("seen_to").alias("seen_to"))
+    return tables.ingest_report(found, known).join(cursor, "engine")
+
+
+@query
+def stream_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Session sums kept over two runs of a stream: each run lands more events, and upserts the sessions it touched."""
+    at = _shared(spark, "rollup")
+    u = fx._events(spark, d).select("event_id", "session_id", F.round(F.col("value") * 100).cast("bigint").alias("input"), (10 * F.col("k")).cast("bigint").alias("output"), (100 * F.col("k")).cast("bigint").alias("cache_read"))
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        batch.withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+
+    for half in (0, 1):
+        u.filter(F.col("event_id") % 2 == half).write.mode("append").parquet(f"{at}/in")
+        sums = streams.session_sums(spark.readStream.schema(u.schema).parquet(f"{at}/in"))
+        sums.writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema("session_id string, input bigint, output bigint, peak_context bigint, version int").parquet(f"{at}/out/batch=*")
+    none = rows.limit(0)
+    return tables.upserted(none, rows, key="session_id").drop("version")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EVENT = "struct<kind:string,text:string,name:string,call_id:string,payload:string,model:string,is_error:boolean,usage_key:string,input:bigint,output:bigint,cache_read:bigint,cache_creation:bigint,reasoning:bigint>"
@@ -23,6 +23,10 @@ TOOL_NAMES = {
 }
 
 
+# The record types by which the first engine's logs are known.
+TYPES_A = ("user", "assistant", "queue-operation", "progress", "system", "file-history-snapshot")
+
+
 def at(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "variant")
 
@@ -61,7 +65,7 @@ def only(condition: Column, e: Column) -> Column:
 
 
 def read_lines(spark: SparkSession, root: str, glob: str, *, recursive: bool = False, since: datetime | None = None) -> DataFrame:
-    """``file, mtime, size, ord, line`` of text logs; ``ord`` is the line's place, whatever the splits.
+    """``file, mtime, size, ord, line`` of text logs; ``ord`` puts a file's lines in order, whatever the splits.
 
     ``since`` leaves out files whose time is more than ten seconds before it. Empty files have no rows.
     """
@@ -70,14 +74,12 @@ def read_lines(spark: SparkSession, root: str, glob: str, *, recursive: bool = F
         reader = reader.option("recursiveFileLookup", "true")
     if since is not None:
         reader = reader.option("modifiedAfter", (since - timedelta(seconds=11)).strftime("%Y-%m-%dT%H:%M:%S"))
-    whole = reader.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("size"), "value")
-    return whole.select("file", "mtime", "size", F.posexplode(F.split("value", "\r?\n")).alias("ord", "line")).filter("line <> ''")
-
-
-def read_large_lines(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    """As :func:`read_lines` for logs too large for one row: ``file, block, seq, line``, ordered by block and seq."""
-    t = spark.read.option("pathGlobFilter", glob).text(root)
-    return t.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"))
+    # A large log is read in splits by many tasks. A task's rows hold a byte at least each, so its row number stays
+    # below the size of a split, and the sum with the split's start grows from line to line of a file.
+    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    meta = {"file": "file_path", "mtime": "file_modification_time", "size": "file_size"}
+    lines = reader.text(root).select(*(F.col(f"_metadata.{v}").alias(k) for k, v in meta.items()), (F.col("_metadata.file_block_start") + nth).alias("ord"), F.col("value").alias("line"))
+    return lines.filter("line <> ''")
 
 
 def engine_a(spark: SparkSession, root: str, since: datetime | None = None) -> DataFrame:
@@ -129,7 +131,7 @@ def events_a(lines: DataFrame) -> DataFrame:
     """Canonical events of the first engine's lines; broken lines give none."""
     df = _timed(lines.withColumn("v", F.try_parse_json("line")).filter("v IS NOT NULL"))
     v = F.col("v")
-    kind, model = text_at(v, "$.type"), model_name(F.coalesce(text_at(v, "$.message.model"), text_at(v, "$.model")))
+    kind, model = text_at(v, "$.type"), model_name(F.coalesce(text_at(v, "$.model"), text_at(v, "$.message.model")))
     content = list_at(v, "$.message.content")
     plain = text_at(v, "$.message.content")
     block_text = lambda b: F.coalesce(F.when(F.schema_of_variant(b) == "STRING", b.cast("string")), F.when(text_at(b, "$.type") == "text", text_at(b, "$.text")))
@@ -154,7 +156,10 @@ def events_a(lines: DataFrame) -> DataFrame:
         only(kind == "summary", event("summary", text=text_at(v, "$.summary"))),
     )
     blocks = F.when(kind.isin("user", "assistant"), F.transform(content, block)).otherwise(F.expr(f"CAST(array() AS ARRAY<{EVENT}>)"))
-    return _spread(df, F.concat(F.array_compact(fixed), blocks))
+    out = _spread(df, F.concat(F.array_compact(fixed), blocks))
+    # Only a log's first record of metadata counts. The window shares its shuffle with what groups by file next.
+    first = F.min(F.when(F.col("kind") == "meta", F.col("ord"))).over(Window.partitionBy("file"))
+    return out.withColumn("first_meta", first).filter((F.col("kind") != "meta") | (F.col("ord") == F.col("first_meta"))).drop("first_meta")
 
 
 def events_b(lines: DataFrame) -> DataFrame:
@@ -168,6 +173,9 @@ def events_b(lines: DataFrame) -> DataFrame:
     cached = F.greatest(n("cached_input_tokens"), n("cache_read_input_tokens"))
     total = long_at(v, "$.payload.info.total_token_usage.total_tokens")
     usage = event("usage", usage_key=F.concat(F.lit("codex_tc_"), total.cast("string")), input=F.greatest(n("input_tokens") - cached, F.lit(0)), output=n("output_tokens"), cache_read=cached, cache_creation=F.lit(0), reasoning=n("reasoning_output_tokens"))
+    u = lambda name: F.coalesce(long_at(v, f"$.payload.usage.{name}"), F.lit(0))
+    item_cached = F.greatest(u("cached_input_tokens"), u("cache_read_input_tokens"))
+    item_usage = event("usage", usage_key=F.coalesce(p("id"), p("call_id")), input=F.greatest(u("input_tokens") - item_cached, F.lit(0)), output=u("output_tokens"), cache_read=item_cached, cache_creation=F.lit(0), reasoning=u("reasoning_output_tokens"))
     # Arguments are JSON inside a string, or plain text.
     raw = F.coalesce(p("arguments"), p("input"))
     arguments = F.coalesce(F.to_json(F.try_parse_json(raw)), raw, json_at(v, "$.payload.arguments"), json_at(v, "$.payload.input"))
@@ -180,6 +188,7 @@ def events_b(lines: DataFrame) -> DataFrame:
         only(is_msg & (sub == "token_count") & at(v, "$.payload.info.last_token_usage").isNotNull(), usage),
         only(is_msg & (sub == "task_complete") & said.isNotNull(), event("assistant_text", text=said, name=F.lit("task_complete"))),
         only(is_msg & (sub == "task_complete"), event("stop", text=F.coalesce(p("stop_reason"), p("reason"), F.lit("task_complete")))),
+        only(is_item & (F.schema_of_variant(at(v, "$.payload.usage")) != "VOID"), item_usage),
         only(is_item & sub.isin("function_call", "custom_tool_call"), event("tool_use", name=p("name"), call_id=p("call_id"), payload=arguments)),
         only(is_item & sub.isin("function_call_output", "custom_tool_call_output"), event("tool_result", call_id=p("call_id"), text=F.coalesce(p("output"), json_at(v, "$.payload.output")), is_error=bool_at(v, "$.payload.is_error"))),
     )
@@ -228,20 +237,20 @@ def events_c(documents: DataFrame) -> DataFrame:
 
 def detect_engine(lines: DataFrame) -> DataFrame:
     """``file, engine`` by the first known record among a file's first ten lines, else by its path, else null."""
-    from pyspark.sql import Window
-
     v = F.try_parse_json("line")
     kind = text_at(v, "$.type")
-    known = F.when(kind.isin("session_meta", "turn_context", "event_msg", "response_item"), "codex").when(at(v, "$.messages").isNotNull() & at(v, "$.projectHash").isNotNull(), "gemini").when(kind.isin("user", "assistant", "progress", "summary") | at(v, "$.sessionId").isNotNull(), "claude")
+    has = lambda name: at(v, f"$.{name}").isNotNull()
+    known = F.when(kind.isin("session_meta", "turn_context", "event_msg", "response_item"), "codex").when(has("sessionId") & has("projectHash") & has("messages"), "gemini").when(kind.isin(*TYPES_A), "claude")
     w = Window.partitionBy("file").orderBy("ord")
     head = lines.withColumn("n", F.row_number().over(w)).filter("n <= 10").withColumn("engine", known)
-    path = F.when(F.col("file").contains("rollout-"), "codex").when(F.col("file").contains("/chats/session-"), "gemini").when(F.col("file").contains("/projects/"), "claude")
+    path = F.when(F.col("file").contains("/.claude/projects/"), "claude").when(F.col("file").contains("/.codex/sessions/"), "codex").when(F.col("file").contains("/.gemini/tmp/"), "gemini")
     return head.groupBy("file").agg(F.min_by("engine", F.when(F.col("engine").isNotNull(), F.col("ord"))).alias("e")).select("file", F.coalesce("e", path).alias("engine"))
 
 
 def head_metadata(events: DataFrame, lines: int = 30) -> DataFrame:
     """The first id, folder, version and model that a file's first lines name."""
-    m = events.filter((F.col("kind") == "meta") & (F.col("ord") < lines))
+    w = Window.partitionBy("file").orderBy("ord")
+    m = events.withColumn("line_no", F.dense_rank().over(w)).filter((F.col("kind") == "meta") & (F.col("line_no") <= lines))
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("ord", "sub_ord")))
     return m.groupBy("file").agg(first("name").alias("session_uid"), first("text").alias("cwd"), first("payload").alias("version"), first("model").alias("model"), first("call_id").alias("forked_from"), F.min("ts").alias("started_at"))
 
@@ -268,3 +277,25 @@ def import_summaries(spark: SparkSession, path: str) -> DataFrame:
     both = from_list.unionByName(from_map)
     out = both.select(F.coalesce(any_of("session_id", "sessionId", "id"), "key").alias("session_id"), any_of("headline", "title").alias("headline"), items("projects", "project").alias("projects"), items("keywords", "tags").alias("keywords"), F.coalesce(long_at(e, "$.substance"), F.lit(0)).alias("substance"), any_of("content_path", "path").alias("content_path"))
     return out.filter("session_id IS NOT NULL")
+
+
+def discovered(logs: list[DataFrame], engine: str | None = None, since: str | None = None) -> DataFrame:
+    """The sessions (``engine, id, started_at``) of all engines, or one, newest first, those without a start last.
+
+    ``since`` leaves out those that began before it; an unknown start passes.
+    """
+    out = logs[0]
+    for more in logs[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    if engine is not None:
+        out = out.filter(F.col("engine") == engine)
+    if since is not None:
+        out = out.filter(F.col("started_at").isNull() | (F.col("started_at") >= since))
+    return out.orderBy(F.col("started_at").desc_nulls_last(), "id")
+
+
+def inline_tools(lines: DataFrame) -> DataFrame:
+    """The files of the first engine whose replies hold tool calls."""
+    v = F.try_parse_json("line")
+    calls = F.exists(list_at(v, "$.message.content"), lambda b: F.coalesce(text_at(b, "$.type") == "tool_use", F.lit(False)))
+    return lines.filter(F.col("line").contains("tool_use")).filter((text_at(v, "$.type") == "assistant") & calls).select("file").distinct()
