@@ -28,7 +28,9 @@ def _chosen(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     # The rules look at the text and, beyond it, only at sums over all documents, so equal texts are judged equally.
-    return _chosen(docs, quality.quality_rules(docs).filter(~F.col("kept")), "left_anti")
+    # The verdicts are a table of their own: a filter on them would repeat all their expressions.
+    verdicts = stored(quality.quality_rules(docs).select("doc_id", "text_key", "kept"), "verdicts")
+    return _chosen(docs, verdicts.filter(~F.col("kept")), "left_anti")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +63,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the encoded and decoded texts."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.digests(bpe.decode_ids(bpe.encode_documents(docs, ranks_path=path), ranks_path=path))
+    return bpe.digests(bpe.encode_documents(docs, ranks_path=path, decode=True))
 
 
 STAGES = [
