@@ -106,32 +106,14 @@ def references(feature_rows: DataFrame, languages: tuple[str, ...]) -> dict[str,
     return out
 
 
-def js_distances(counts: Column, references: list[list[float]]) -> Column:
-    """Jensen-Shannon distances (roots of divergences to base 2, 0 to 1) of a histogram to each reference.
-
-    With shares p and q the divergence is (sum of p log 2p / (p + q) and of q log 2q / (p + q)) / 2; a bin
-    where p is 0 adds q / 2, so only bins with p > 0 need logarithms, and the rest is one sum.
-    """
+def js_distance(counts: Column, reference: list[float]) -> Column:
+    """Jensen-Shannon distance (root of the divergence to base 2, 0 to 1) of a histogram to a reference."""
     total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
-    # Bins with something in them, as (share, index).
-    some = F.filter(F.transform(counts, lambda x, i: F.struct((x / F.greatest(total, F.lit(1))).alias("p"), i.alias("i"))), lambda x: x["p"] > 0)
-
-    def divergence(reference: Column) -> Column:
-        def add(a, x):
-            q = F.get(reference, x["i"])
-            m = (x["p"] + q) / 2
-            return a + x["p"] * F.log2(x["p"] / m) + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0) - q
-
-        return F.aggregate(some, F.lit(1.0), add) / 2
-
+    term = lambda p, m: F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
+    shares = F.transform(counts, lambda x: x / F.greatest(total, F.lit(1)))
+    terms = F.zip_with(shares, F.lit(reference), lambda p, r: (term(p, (p + r) / 2) + term(r, (p + r) / 2)) / 2)
     # Nothing is as far as can be.
-    table = F.array(*(F.array(*map(F.lit, map(float, r))) for r in references))
-    return F.transform(table, lambda r: F.when(total > 0, F.sqrt(F.greatest(F.lit(0.0), divergence(r)))).otherwise(1.0))
-
-
-def js_distance(counts: Column, reference: list[float]) -> Column:
-    """:func:`js_distances` to a single reference."""
-    return F.get(js_distances(counts, [reference]), 0)
+    return F.when(total > 0, F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)))).otherwise(1.0)
 
 
 def quality_rules(
@@ -159,17 +141,14 @@ def quality_rules(
     """
     rows = stored(features(docs, id_col=id_col, text_col=text_col, lang_col=lang_col), "quality")
     refs = references(rows, languages)
-    # Each distance stands in the plan once: an array of (sum, c, w, lang) is made from one array per histogram.
-    langs = list(refs)
     common_of = F.slice("word_counts", 1, len(WORD_BINS))
-    far = rows.withColumn("common_words", F.aggregate(common_of, F.lit(0).cast("long"), lambda a, x: a + x))
-    classes = js_distances(F.col("class_counts"), [refs[x]["class_counts"] for x in langs])
-    common_words = js_distances(common_of, [refs[x]["word_counts"] for x in langs])
-    both = F.zip_with(classes, common_words, lambda c, w: F.struct((c + w).alias("sum"), c.alias("c"), w.alias("w")))
-    # The nearest language is the one with the smallest sum of both distances, the first by name among equals.
-    near = F.transform(both, lambda x, i: F.struct(x["sum"].alias("sum"), x["c"].alias("c"), x["w"].alias("w"), F.get(F.array(*map(F.lit, langs)), i).alias("lang")))
+    far = rows.withColumn("common", common_of).withColumn("common_words", F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x))
+    # Each distance stands in the plan once. The nearest language is the one with the smallest sum of both, the
+    # first by name among equals.
+    options = [F.struct(js_distance(F.col("class_counts"), r["class_counts"]).alias("c"), js_distance(F.col("common"), r["word_counts"]).alias("w"), F.lit(lang).alias("lang")) for lang, r in refs.items()]
     nothing = "CAST(NULL AS STRUCT<sum: DOUBLE, c: DOUBLE, w: DOUBLE, lang: STRING>)"
-    far = far.withColumn("near", F.array_min(near) if langs else F.expr(nothing))
+    summed = lambda x: F.struct((x["c"] + x["w"]).alias("sum"), x["c"].alias("c"), x["w"].alias("w"), x["lang"].alias("lang"))
+    far = far.withColumn("near", F.array_min(F.transform(F.array(*options), summed)) if options else F.expr(nothing))
     chars = F.aggregate("class_counts", F.lit(0).cast("long"), lambda a, x: a + x)
     far = far.withColumns({"class_distance": F.when(chars >= min_chars, F.col("near.c")), "word_distance": F.when(F.col("n_words") >= min_judged_words, F.col("near.w"))})
     enough = F.col("word_distance").isNull() | (100 * F.col("common_words") >= min_common_percent * F.col("n_words"))
