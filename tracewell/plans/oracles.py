@@ -103,7 +103,7 @@ ORACLES = {
     "coordinators": FX + "SELECT session_type, count(*) AS n FROM fx_sessions GROUP BY session_type",
     "handoff_candidates": FX + "SELECT id, engine, total_turns FROM fx_sessions WHERE total_turns >= 2 AND started_at >= TIMESTAMP '2024-01-10'",
     "handoff_context": FX + f", g AS (SELECT *, CASE WHEN {DEC} THEN 'decision' WHEN fact_type = 'command' THEN 'command' WHEN fact_type = 'error' THEN 'error' WHEN fact_type IN ('file_read', 'file_write') THEN 'file' END AS grp FROM (SELECT * REPLACE (substr(session_id, 1, 5) AS session_id) FROM fx_facts)), r AS (SELECT *, row_number() OVER (PARTITION BY session_id, grp ORDER BY ts, id) AS nth, count(*) OVER (PARTITION BY session_id, grp) AS n, CASE grp WHEN 'command' THEN 40 WHEN 'error' THEN 20 WHEN 'file' THEN 40 ELSE 20 END AS cap FROM g WHERE grp IS NOT NULL), k AS (SELECT *, n <= cap OR nth <= cap / 4.0 OR nth > n - (cap - cap // 4) AS kept FROM r) SELECT session_id, grp, max(n) AS n, max(n) - count(*) FILTER (kept) AS skipped, coalesce(string_agg(substr(coalesce(detail, subject), 1, 400), chr(10) ORDER BY nth) FILTER (kept), '') AS text FROM k GROUP BY session_id, grp",
-    "handoff_validate": FX + "SELECT session_id, CASE WHEN strlen(trim(headline)) < 5 THEN 'headline too short' WHEN NOT substance BETWEEN 0 AND 3 THEN 'substance out of range' WHEN substance >= 1 AND len(projects) = 0 THEN 'no projects' WHEN substance >= 1 AND len(keywords) = 0 THEN 'no keywords' END AS reason FROM fx_handoffs",
+    "handoff_validate": FX + "SELECT session_id, CASE WHEN strlen(headline) < 5 THEN 'headline too short' WHEN NOT substance BETWEEN 0 AND 3 THEN 'substance out of range' WHEN substance >= 1 AND len(projects) = 0 THEN 'no projects' WHEN substance >= 1 AND len(keywords) = 0 THEN 'no keywords' END AS reason FROM fx_handoffs",
     "recall_scored": FX + RECALL.format(terms="'src3', 'en', 'ither', 'erea'"),
     "recall_fallback": FX + RECALL.format(terms="'zzzqqq'"),
     "postings": r"WITH t AS (SELECT doc_id AS doc, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+'), lambda x: strlen(x) <= 40) AS t FROM documents), h AS (SELECT doc, len(t) AS doc_len, unnest(t) AS term FROM t), p AS (SELECT doc, doc_len, term, count(*) AS tf FROM h GROUP BY ALL) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf, min(doc) AS first_doc, CAST(max(doc_len) AS INTEGER) AS longest FROM p GROUP BY term",
@@ -138,3 +138,55 @@ ORACLES = {
     "needle_scan": FX + "SELECT session_id AS file, min(id) AS ord FROM fx_facts WHERE fact_type = 'command' AND k = 42 GROUP BY session_id",
     "stream_ingest": FX + f", w AS (SELECT time_bucket(INTERVAL 60 minutes, ts, TIMESTAMP '1970-01-01') AS s, fact_type, count(*) AS n FROM fx_facts GROUP BY ALL) SELECT {T.format('s')} AS start, fact_type, n FROM w WHERE s + INTERVAL 60 minutes <= (SELECT max(ts) - INTERVAL 10 seconds FROM events)",
 }
+
+ERROR_KEYS = """, f AS (SELECT *, CASE k % 4 WHEN 0 THEN subject WHEN 3 THEN detail ELSE 'make x' || (k % 6) END AS key, CASE WHEN k % 4 = 2 THEN 1 ELSE exit_code END AS code,
+   CASE WHEN k % 4 IN (1, 2) THEN 'Command: /bin/bash -lc ' || chr(39) || 'make x' || (k % 6) || chr(39) || chr(10) || 'failed' ELSE detail END AS said FROM fx_facts WHERE fact_type = 'error'),
+ m AS (SELECT session_id, key, code, min({'t': ts, 'i': id}) AS first, arg_max(said, {'t': ts, 'i': id}) AS snippet FROM f GROUP BY ALL)
+SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY first, key) AS nth, key, code AS exit_code, snippet FROM m"""
+
+AGENTS_A = """, y AS (SELECT *, last_value(CASE WHEN fact_type = 'command' THEN 't' || (k % 3) END IGNORE NULLS) OVER (PARTITION BY session_id, subject ORDER BY id ROWS UNBOUNDED PRECEDING) AS agent_type FROM fx_facts WHERE fact_type IN ('command', 'error')),
+ z AS (SELECT *, row_number() OVER (PARTITION BY session_id, k % 7 ORDER BY id DESC) AS n FROM y WHERE fact_type = 'error')
+SELECT session_id, 'ag' || (k % 7) AS agent_id, subject AS prompt, 'completed' AS status, k::BIGINT AS tokens, id AS millis, 0::BIGINT AS tools, subject AS description, agent_type FROM z WHERE n = 1"""
+
+AGENTS_B = """, l AS (SELECT *, lag(fact_type) OVER w AS pt, lag(k) OVER w AS pk, lag(subject) OVER w AS ps FROM fx_facts WHERE fact_type <> 'user_prompt' WINDOW w AS (PARTITION BY session_id, fact_type IN ('command', 'error'), k % 5 ORDER BY id)),
+ sp AS (SELECT session_id, 'ag' || (k % 7) AS agent_id, min(id) AS f, max(id) AS l, arg_max(ps, id) AS prompt, arg_max('t' || (pk % 3), id) AS agent_type FROM l WHERE fact_type = 'error' AND pt = 'command' GROUP BY ALL),
+ cl AS (SELECT session_id, 'ag' || (pk % 7) AS agent_id, id, CASE WHEN k % 2 = 0 THEN 'done' ELSE 'errored' END AS state FROM l WHERE fact_type = 'file_read' AND pt = 'file_write'),
+ j AS (SELECT session_id, agent_id, f, prompt, agent_type, arg_max(state, cl.id) FILTER (cl.id > sp.l) AS state FROM sp LEFT JOIN cl USING (session_id, agent_id) GROUP BY session_id, agent_id, f, prompt, agent_type)
+SELECT session_id, agent_id, row_number() OVER (PARTITION BY session_id ORDER BY f) AS nth, prompt, coalesce(state, 'unknown') AS status, prompt AS description, agent_type FROM j"""
+
+INGEST = """, r AS (SELECT *, CAST(substr(session_id, 2, 4) AS INTEGER) AS u FROM fx_facts WHERE fact_type <> 'error'), e AS (SELECT *, CASE u % 3 WHEN 0 THEN 'claude' ELSE 'codex' END AS engine FROM r WHERE u % 3 < 2)
+SELECT engine, engine || '-' || (u % 10) AS session_uid, '/w' || arg_min(k, id) AS cwd, CASE WHEN engine = 'claude' THEN 'm' || arg_min(k, id) END AS model, count(*) FILTER (fact_type = 'user_prompt') AS total_turns, count(*) FILTER (fact_type <> 'user_prompt') AS total_tools,
+  count(*) + count(*) FILTER (fact_type = 'command' AND k % 5 = 1) AS facts, count(*) FILTER (fact_type = 'user_prompt') AS last_turn FROM e GROUP BY engine, u % 10 HAVING count(*) FILTER (fact_type = 'user_prompt') > 0"""
+
+TOOLS = """, t AS (SELECT session_id, id, k % 7 AS n, '/p/' || k AS p FROM fx_facts WHERE fact_type <> 'user_prompt')
+SELECT session_id, id, CASE WHEN n < 2 THEN 'file_read' WHEN n = 4 THEN 'task_spawn' WHEN n = 6 THEN 'file_write' ELSE 'command' END AS fact_type, CASE n WHEN 3 THEN '{"x":1}' WHEN 4 THEN NULL WHEN 5 THEN NULL WHEN 6 THEN 'first' ELSE p END AS subject,
+  CASE n WHEN 0 THEN '{"dir":"' || p || '"}' WHEN 1 THEN '{"cwd":"' || p || '","pattern":"x"}' WHEN 2 THEN p WHEN 3 THEN '{"x":1}' WHEN 4 THEN '{"description":"' || p || '"}' WHEN 5 THEN '{"url":"' || p || '"}' ELSE '{"file_path":"first","path":"' || p || '"}' END AS detail, NULL::INTEGER AS exit_code FROM t"""
+
+REPORT = """, f AS (SELECT engine, total_tools + CASE WHEN total_tools % 5 = 0 THEN 1 ELSE 0 END AS size, CASE WHEN total_turns = 0 THEN total_tools END AS old, engine = 'codex' AND total_tools % 7 = 0 AS bad, last_event_at FROM fx_sessions)
+SELECT engine, count(*) FILTER (NOT bad AND size IS DISTINCT FROM old) AS indexed, count(*) FILTER (NOT bad AND size IS NOT DISTINCT FROM old) AS skipped, count(*) FILTER (bad) AS errors, CASE WHEN bool_or(bad) THEN '2024-01-02 00:00:00' ELSE {t} END AS seen_to FROM f GROUP BY engine""".format(t=T.format("greatest(max(last_event_at), TIMESTAMP '2024-01-02')"))
+
+SEARCHED = "fx_facts LEFT JOIN (SELECT id AS session_id, engine, cwd, session_type, parent_id FROM fx_sessions) q USING (session_id)"
+FILTERED = ", b AS (" + FX + BM25.format(doc="id", keep="(fact_type = 'command' AND engine = 'codex' AND contains(cwd, 'Proj1') AND ts >= TIMESTAMP '2024-01-10')", col="detail", src=SEARCHED, terms="'cargo', 'todo', 'code'") + f") SELECT id, session_id, score, session_type, parent_id FROM b JOIN (SELECT * FROM {SEARCHED}) x ON doc = id"
+BRIEF = "'work of ' || id || ' (' || CAST(CAST(started_at AS DATE) AS VARCHAR) || ')' || chr(10) || 'projects: ' || cwd || chr(10) || 'keywords: ' || engine"
+
+ORACLES |= {
+    "tool_facts": FX + TOOLS,
+    "ingest_files": FX + INGEST,
+    "detect_engines": FX + "SELECT DISTINCT CASE k % 4 WHEN 0 THEN '/x/' WHEN 1 THEN '/h/.codex/sessions/' WHEN 2 THEN '/h/.gemini/tmp/' ELSE '/h/.claude/projects/' END || k AS file, CASE WHEN k % 8 = 7 THEN 'gemini' WHEN k % 5 IN (1, 4) THEN 'claude' WHEN k % 5 = 2 OR k % 4 = 1 THEN 'codex' WHEN k % 4 = 2 THEN 'gemini' WHEN k % 4 = 3 THEN 'claude' END AS engine FROM ev WHERE k < 80",
+    "agents_a": FX + AGENTS_A,
+    "agents_b": FX + AGENTS_B,
+    "child_progress": FX + "SELECT session_id, 'ag' || (k % 7) AS agent_id, count(*) AS records, arg_max(k, id) FILTER (k % 2 = 0)::BIGINT AS tokens, max(id) FILTER (k % 2 = 1) AS millis, NULL::BIGINT AS tools FROM fx_facts WHERE fact_type = 'file_read' GROUP BY session_id, k % 7",
+    "search_filtered": FX + FILTERED,
+    "recall_full": FX + ", s AS (SELECT session_id, list_sort(list(DISTINCT subject) FILTER (fact_type IN ('file_read', 'file_write'))) AS f, list_sort(list(DISTINCT detail) FILTER (fact_type = 'error')) AS e FROM fx_facts GROUP BY 1) SELECT id AS session_id, coalesce(len(f), 0) AS n_files, md5(coalesce(array_to_string(f, ','), '')) AS files_md5, coalesce(array_to_string(e, ','), '') AS errors FROM fx_sessions LEFT JOIN s ON id = session_id WHERE total_turns > 0",
+    "session_dates": FX + "SELECT event_id, CASE WHEN k % 4 < 3 THEN CAST(CAST(ts AS DATE) AS VARCHAR) END AS day FROM ev",
+    "parse_lists": FX + """SELECT event_id, CASE k % 9 WHEN 0 THEN 'a|b' WHEN 1 THEN 'a' WHEN 2 THEN 'plain, text' WHEN 6 THEN '{"a":1}' WHEN 7 THEN '"x"' WHEN 8 THEN '[broken' ELSE '' END AS items FROM ev""",
+    "clean_subjects": FX + "SELECT event_id, CASE k % 4 WHEN 0 THEN 'src/a' || k || '.rs' WHEN 1 THEN 'src/b' || k WHEN 2 THEN 'src/c' || k ELSE '*** Update File:  ' END AS subject FROM ev",
+    "error_keys": FX + ERROR_KEYS,
+    "cache_fallback": FX + ", d AS (SELECT session_id, sum(100 * k) AS r, sum(7 * k) AS c FROM (SELECT DISTINCT session_id, k FROM ev) GROUP BY 1) SELECT id, CAST(CASE WHEN CAST(substr(id, 2, 4) AS INTEGER) % 2 = 0 THEN r ELSE cache_read_tokens END AS BIGINT) AS cache_read_tokens, CAST(CASE WHEN CAST(substr(id, 2, 4) AS INTEGER) % 2 = 0 THEN c ELSE cache_creation_tokens END AS BIGINT) AS cache_creation_tokens FROM fx_sessions JOIN d ON id = session_id",
+    "tag_sessions": FX + "SELECT id, CASE session_type WHEN 'subagent' THEN '[sub]' WHEN 'coordinator' THEN '[coord]' ELSE '-' END AS badge FROM fx_sessions JOIN fx_tags ON id = session_id WHERE tag = 't4'",
+    "sessions_of_day": FX + f"SELECT id, {T.format('started_at')} AS started_at FROM fx_sessions WHERE CAST(started_at AS DATE) = DATE '2024-01-11'",
+    "artefacts": FX + "SELECT id, kind, '/r/data/' || engine || '/' || kind || strftime(started_at, '/%Y/%m/%d/') || id || '.md' AS path, engine = 'claude' AND kind = 'sessions' AS there FROM fx_sessions, (VALUES ('sessions'), ('handoffs')) v(kind)",
+    "discovered": FX + "SELECT engine, id, CASE WHEN total_turns > 0 THEN strftime(started_at, '%Y-%m-%dT%H:%M:%S') END AS started_at FROM fx_sessions WHERE total_turns = 0 OR started_at >= TIMESTAMP '2024-01-12'",
+    "ingest_report": FX + REPORT,
+    "stream_rollup": FX + "SELECT session_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS input, CAST(sum(10 * k) AS BIGINT) AS output, max(CAST(round(value * 100) AS BIGINT) + 100 * k) AS peak_context FROM ev GROUP BY 1",
+}
