@@ -190,3 +190,9 @@ ORACLES |= {
     "ingest_report": FX + REPORT,
     "stream_rollup": FX + "SELECT session_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS input, CAST(sum(10 * k) AS BIGINT) AS output, max(CAST(round(value * 100) AS BIGINT) + 100 * k) AS peak_context FROM ev GROUP BY 1",
 }
+
+FIRST_PROMPTS = ", fp AS (SELECT session_id, detail, row_number() OVER (PARTITION BY session_id ORDER BY coalesce(turn_number, 0), ts, id) AS n FROM fx_facts WHERE fact_type = 'user_prompt')"
+ORACLES |= {
+    "recall_by_id": FX + f"(SELECT id AS session_id, {BRIEF} AS text FROM fx_sessions WHERE total_turns > 0 ORDER BY started_at DESC, id LIMIT 1) UNION ALL (SELECT id, {BRIEF} FROM fx_sessions WHERE total_turns > 0 AND id = 'u0008d05')",
+    "inspect_tasks": FX + FIRST_PROMPTS + " SELECT id, CASE WHEN total_turns > 0 AND id LIKE '%0' THEN 'work of ' || id WHEN session_type = 'subagent' AND total_tools % 2 = 0 THEN 'child ' || id ELSE detail END AS task FROM fx_sessions LEFT JOIN fp ON id = session_id AND n = 1",
+}

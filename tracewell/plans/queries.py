@@ -505,7 +505,6 @@ def detect_engines(spark: SparkSession, d: str) -> DataFrame:
 @query
 def agents_a(spark: SparkSession, d: str) -> DataFrame:
     s = _said(spark, d).filter("fact_type IN ('command', 'error')")
-    use = F.format_string('{"type":"assistant","message":{"content":[{"type":"tool_use","name":"Agent","input":{"prompt":%s,"subagent_type":"t%d"}}]}}', F.to_json(F.array("subject")), F.col("k") % 3)
     prompt = F.get_json_object(F.to_json(F.struct("subject")), "$.subject")
     use = F.concat(F.lit('{"type":"assistant","message":{"content":[{"type":"tool_use","name":"Agent","input":'), _json(prompt=prompt, subagent_type=F.concat(F.lit("t"), _text(F.col("k") % 3))), F.lit("}]}}"))
     result = F.concat(F.lit('{"type":"user","toolUseResult":'), _json(agentId=F.concat(F.lit("ag"), _text(F.col("k") % 7)), prompt=prompt, status=F.lit("completed"), totalTokens=F.col("k"), totalDurationMs=F.col("id")), F.lit("}"))
@@ -551,7 +550,7 @@ def _session_handoffs(spark, d):
 @query
 def recall_by_id(spark: SparkSession, d: str) -> DataFrame:
     newest = recall.by_id(_session_handoffs(spark, d), _sessions(spark, d).filter("total_turns > 0"))
-    return recall.brief(newest).unionByName(recall.brief(recall.by_id(_session_handoffs(spark, d), _sessions(spark, d), "u0008d0")))
+    return recall.brief(newest).unionByName(recall.brief(recall.by_id(_session_handoffs(spark, d), _sessions(spark, d), "u0008d05")))
 
 
 @query
