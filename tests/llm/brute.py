@@ -232,6 +232,44 @@ def contamination(docs, items, size):
     return out
 
 
+def near_contamination(docs, items, size, lists, slop, share):
+    """(doc_id, n_near, near items) by looking at every window and every place."""
+    texts = [(d, ALNUM_WORD.findall(low(t))) for d, t in docs]
+    counts = Counter(w for _, t in texts for w in t)
+    owners = defaultdict(set)
+    for item, t in items:
+        w = ALNUM_WORD.findall(low(t))
+        for s in range(max(1, len(w) - size + 1)) if w else ():
+            owners[tuple(w[s : s + size])].add(str(item))
+    rare = {}
+    for k in owners:
+        if len(k) == size and 100 * len({x for x in k if x in counts}) >= share * len(set(k)):
+            rare[k] = sorted((counts[x], i, x) for i, x in enumerate(k) if x in counts)[:lists]
+    sizes, out = {len(k) for k in owners}, []
+    for d, w in texts:
+        hit, near, exact_items, near_items = set(), set(), set(), set()
+        at = defaultdict(set)
+        for i, x in enumerate(w):
+            at[x].add(i)
+        for n in sizes:
+            for s in range(len(w) - n + 1):
+                if (k := tuple(w[s : s + n])) in owners:
+                    hit.update(range(s, s + n))
+                    exact_items |= owners[k]
+        for k, lookups in rare.items():
+            if not all(x in at for _, _, x in lookups):
+                continue
+            for s in {p - lookups[0][1] for p in at[lookups[0][2]]}:
+                if s < -slop or not all(any(q + i in at[x] for q in range(max(s - slop, -slop), s + slop + 1)) for _, i, x in lookups):
+                    continue
+                around = set(w[max(s - slop, 0) : s + size + slop])
+                if 100 * len(around & set(k)) >= share * len(set(k)):
+                    near.update(range(max(s, 0), min(s + size, len(w))))
+                    near_items |= owners[k]
+        out.append((d, len(near - hit), ",".join(sorted(near_items - exact_items))))
+    return out
+
+
 def secrets_base(docs):
     kinds = {
         "assign": (re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), 2, 8),

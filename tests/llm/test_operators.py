@@ -269,7 +269,29 @@ def test_a_window_in_very_many_items(spark, monkeypatch):
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha beta gap gamma delta"), (2, "alpha x x x x x x x x x delta")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "alpha beta gamma delta")], "item_id long, text string")
-    assert [(r.doc_id, r.exact) for r in decontam.phrase_matches(docs, items, lists=4, slop=2).collect()] == [(1, False)]
+    found = decontam.phrase_matches(docs, items, window=4, lists=4, slop=2).collect()
+    assert [(r.doc_id, r.exact, r.start, r.n) for r in found] == [(1, False, 0, 4)]
+
+
+@pytest.mark.parametrize("lists", [2, 3])
+def test_near_contamination(case, spark, sf, lists):
+    """Passages of documents with words changed, put in, left out and swapped, against a brute-force version."""
+    rows, docs = case
+    rng = random.Random(8)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").limit(20).collect()]
+    for n, (_, t) in enumerate(rows[:60]):
+        w = (t or "").split()[:40]
+        for _ in range(len(w) // 9):
+            i = rng.randrange(len(w))
+            w[i : i + 1] = rng.choice([["zzz"], [], [w[i], "zzz"], w[i : i + 1] * 2])
+        items.append((1000 + n, " ".join(w)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.contamination(docs, bench, window=10, lists=lists, slop=2).withColumn("near", F.array_join("near_item_ids", ","))
+    want = brute.near_contamination(rows, items, 10, lists, 2, 80)
+    assert not rows or sum(r[1] > 0 for r in want) > 5
+    same(got, ["doc_id", "n_near", "near"], want)
+    exact = brute.contamination(rows, items, 10)
+    same(got.withColumn("sha", F.sha2(F.array_join("item_ids", ","), 256)), ["doc_id", "n_words", "n_hit", "n_items", "sha", "contaminated"], exact)
 
 
 def test_secrets(case):

@@ -63,8 +63,9 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    rows = decontam.contamination(_documents(spark, sf_dir), items, window=10)
-    return rows.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+    rows = decontam.contamination(_documents(spark, sf_dir), items, window=10, slop=2)
+    near = F.array_join("near_item_ids", ",").alias("near_items")
+    return rows.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated", "n_near", near)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
