@@ -159,3 +159,19 @@ def artefacts(sessions: DataFrame, root: str, existing: DataFrame) -> DataFrame:
     path = F.concat(F.lit(f"{root}/data/"), "engine", F.lit("/"), "kind", F.lit("/"), "y", F.lit("/"), "m", F.lit("/"), "d", F.lit("/"), "short", F.lit(".md"))
     there = existing.select("path").distinct().withColumn("found", F.lit(True))
     return s.select("id", "kind", path.alias("path")).join(there, "path", "left").select("id", "kind", "path", F.coalesce("found", F.lit(False)).alias("there"))
+
+
+def needle_details(hits: DataFrame, sessions: DataFrame, handoffs: DataFrame, root: str, existing: DataFrame) -> DataFrame:
+    """What is known of the session of each hit (``file, engine``), of its transcript and of its handoff.
+
+    ``handoffs`` has ``session_id, generated_at``. A hit of an unknown session stays, with nulls.
+    """
+    stem = F.regexp_replace(F.regexp_extract("file", "([^/]+)$", 1), "[.]jsonl?$", "")
+    h = hits.select("file", short_id(stem, F.col("engine") == "codex").alias("id"))
+    met = sessions.join(h.select("id").distinct(), "id", "left_semi")
+    known = met.select("id", "model", "cwd", "session_type", "last_event_at", F.col("total_turns").alias("turns"), "total_input_tokens", "total_output_tokens")
+    transcript = artefacts(met, root, existing).filter("kind = 'sessions'").select("id", F.col("path").alias("transcript"), F.col("there").alias("transcript_there"))
+    written = handoffs.groupBy(F.col("session_id").alias("of")).agg(F.max("generated_at").alias("handoff_at"))
+    out = h.join(known.join(transcript, "id"), "id", "left").join(written, F.col("id") == F.col("of"), "left")
+    is_known = F.col("transcript_there").isNotNull()
+    return out.withColumns({"handoff_there": F.when(is_known, F.col("of").isNotNull()), "handoff_at": F.when(is_known, F.col("handoff_at"))}).drop("of")

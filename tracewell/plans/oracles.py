@@ -196,3 +196,20 @@ ORACLES |= {
     "recall_by_id": FX + f"(SELECT id AS session_id, {BRIEF} AS text FROM fx_sessions WHERE total_turns > 0 ORDER BY started_at DESC, id LIMIT 1) UNION ALL (SELECT id, {BRIEF} FROM fx_sessions WHERE total_turns > 0 AND id = 'u0008d05')",
     "inspect_tasks": FX + FIRST_PROMPTS + " SELECT id, CASE WHEN total_turns > 0 AND id LIKE '%0' THEN 'work of ' || id WHEN session_type = 'subagent' AND total_tools % 2 = 0 THEN 'child ' || id ELSE detail END AS task FROM fx_sessions LEFT JOIN fp ON id = session_id AND n = 1",
 }
+
+TAIL = """, t AS (SELECT *, k % 9 <> 4 AND fact_type <> 'user_prompt' AS used, k % 9 <> 4 AND fact_type = 'user_prompt' AS prompted, row_number() OVER (PARTITION BY session_id ORDER BY id DESC) AS back FROM fx_facts)
+SELECT engine, session_id, CASE WHEN bool_or(CASE engine WHEN 'claude' THEN used ELSE prompted END) THEN session_id END AS session_uid, strftime(arg_max(ts, id) FILTER (used), '%Y-%m-%dT%H:%M:%S') AS last_event, count(*) FILTER (used AND 3 * k + id % 5 > 0) AS samples,
+ CAST(coalesce(sum(3 * k + id % 5) FILTER (used), 0) AS BIGINT) AS tokens, CAST(coalesce(sum(3 * k) FILTER (used), 0) AS BIGINT) AS input_tokens FROM t, (VALUES ('claude'), ('codex')) v(engine) WHERE back <= 10 GROUP BY engine, session_id"""
+DETAILS = """, h AS (SELECT DISTINCT CASE WHEN CAST(substr(session_id, 2, 4) AS INTEGER) % 7 = 0 THEN '/p/none-' || session_id || '.jsonl' WHEN CAST(substr(session_id, 2, 4) AS INTEGER) % 3 = 1 THEN '/c/rollout-2024-01-01-' || session_id || '.jsonl' ELSE '/p/' || session_id || '-more.jsonl' END AS file,
+  CASE WHEN CAST(substr(session_id, 2, 4) AS INTEGER) % 7 = 0 THEN 'none-' || substr(session_id, 1, 3) ELSE session_id END AS id FROM fx_facts WHERE fact_type = 'command' AND k = 42)
+SELECT file, h.id, model, cwd, session_type, {e} AS last_event_at, total_turns AS turns, total_input_tokens, total_output_tokens, '/r/data/' || engine || strftime(started_at, '/sessions/%Y/%m/%d/') || s.id || '.md' AS transcript, engine = 'claude' AS transcript_there, total_turns > 0 AS handoff_there, CASE WHEN total_turns > 0 THEN {e} END AS handoff_at
+FROM h LEFT JOIN fx_sessions s ON s.id = h.id""".format(e=T.format("last_event_at"))
+PLACES = """ SELECT id AS session_id, CASE n % 4 WHEN 0 THEN ' /docs/' || id || '.md' WHEN 1 THEN '~/h/' || id || '.md' WHEN 2 THEN '' END AS content_path,
+ CASE WHEN n % 4 = 0 AND n % 3 = 0 THEN '/docs/' || id || '.md' WHEN n % 4 = 1 AND n % 5 <> 0 THEN '/home/u/h/' || id || '.md' WHEN total_turns > 0 AND n % 5 = 0 THEN '/r/one' || d || id || '.md' WHEN total_turns > 0 AND engine = 'claude' THEN '/r/two' || d || id || '.md' END AS path
+ FROM (SELECT *, total_tools AS n, strftime(started_at, '/%Y/%m/%d/') AS d FROM fx_sessions)"""
+ORACLES |= {
+    "runtime_tail": FX + TAIL,
+    "child_models": FX + "SELECT c.session_id, 'agent_no_' || (c.k % 7) AS agent_id, 'agent_no' AS short_id, arg_max(CASE WHEN c.k % 2 = 0 THEN 'm' || (c.id % 3) ELSE 'sonnet' END, c.id) AS model FROM fx_facts c WHERE c.fact_type = 'command' AND EXISTS (SELECT 1 FROM fx_facts r WHERE r.session_id = c.session_id AND r.k = c.k AND r.fact_type = 'error') GROUP BY c.session_id, c.k % 7",
+    "needle_details": FX + DETAILS,
+    "document_paths": FX + PLACES,
+}

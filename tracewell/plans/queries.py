@@ -661,3 +661,56 @@ def stream_rollup(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.schema("session_id string, input bigint, output bigint, peak_context bigint, version int").parquet(f"{at}/out/batch=*")
     none = rows.limit(0)
     return tables.upserted(none, rows, key="session_id").drop("version")
+
+
+@query
+def runtime_tail(spark: SparkSession, d: str) -> DataFrame:
+    """The last ten lines of each session's log, written as two engines would; some are broken, some have no time."""
+    s = _said(spark, d).withColumns({"stamp": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), "out": F.col("id") % 5})
+    usage_a = _json(input_tokens=F.col("k"), cache_read_input_tokens=2 * F.col("k"), output_tokens=F.col("out"))
+    usage_b = _json(input_tokens=F.col("k"), cached_input_tokens=2 * F.col("k"), output_tokens=F.col("out"))
+    a = F.when(F.col("fact_type") == "user_prompt", F.lit('{"type":"user","message":{}}')).otherwise(F.format_string('{"sessionId":"%s","timestamp":"%s","message":{"usage":%s}}', "session_id", "stamp", usage_a))
+    b = F.when(F.col("fact_type") == "user_prompt", F.format_string('{"payload":{"id":"%s"}}', "session_id")).otherwise(F.format_string('{"payload":{"type":"token_count","timestamp":"%s","info":{"last_token_usage":%s}}}', "stamp", usage_b))
+    line = lambda c: s.select("file", "ord", F.when(F.col("k") % 9 == 4, F.lit("{broken")).otherwise(c).alias("line"))
+    total = lambda c: F.aggregate("samples", F.lit(0).cast("bigint"), lambda x, y: x + y[c]).alias(c)
+    both = logs.runtime_tail(line(a), "claude", 10).withColumn("engine", F.lit("claude")).unionByName(logs.runtime_tail(line(b), "codex", 10).withColumn("engine", F.lit("codex")))
+    return both.select("engine", F.col("file").alias("session_id"), "session_uid", "last_event", F.size("samples").cast("bigint").alias("samples"), total("tokens"), total("input_tokens"))
+
+
+@query
+def child_models(spark: SparkSession, d: str) -> DataFrame:
+    s = _said(spark, d).filter("fact_type IN ('command', 'error')")
+    model = F.when(F.col("k") % 2 == 0, F.concat(F.lit("m"), _text(F.col("id") % 3)))
+    use = F.concat(F.lit('{"type":"assistant","message":{"content":[{"type":"tool_use","name":"Task","id":"c'), _text(F.col("k")), F.lit('","input":'), _json(model=model), F.lit("}]}}"))
+    result = F.format_string('{"type":"user","message":{"content":[{"type":"tool_result","tool_use_id":"c%d","content":[{"type":"text","text":"done\\nagentId: agent_no_%d (more)"}]}]}}', "k", F.col("k") % 7)
+    lines = s.select("file", "ord", F.when(F.col("fact_type") == "command", use).otherwise(result).alias("line"))
+    return children.child_models(lines).withColumnRenamed("file", "session_id")
+
+
+@query
+def needle_details(spark: SparkSession, d: str) -> DataFrame:
+    """Hits in the logs of known and unknown sessions, named as two engines name their files."""
+    s = _sessions(spark, d)
+    user = F.substring("session_id", 2, 4).cast("int")
+    name = F.when(user % 7 == 0, F.concat(F.lit("/p/none-"), "session_id", F.lit(".jsonl"))).when(user % 3 == 1, F.concat(F.lit("/c/rollout-2024-01-01-"), "session_id", F.lit(".jsonl"))).otherwise(F.concat(F.lit("/p/"), "session_id", F.lit("-more.jsonl")))
+    said = _said(spark, d).filter("fact_type = 'command'")
+    line = F.format_string('{"type":"user","toolUseResult":{"stdout":" token-%d "}}', "k")
+    hits = logs.needle_scan(said.select(name.alias("file"), "ord", line.alias("line")), "token-42")
+    hits = hits.withColumn("engine", F.when(F.col("file").startswith("/c/"), "codex").otherwise("claude"))
+    there = s.filter("engine = 'claude'").select(F.concat(F.lit("/r/data/claude/sessions/"), F.date_format("started_at", "yyyy/MM/dd/"), "id", F.lit(".md")).alias("path"))
+    handoffs = s.filter("total_turns > 0").select(F.col("id").alias("session_id"), F.col("last_event_at").alias("generated_at"))
+    found = listing.needle_details(hits, s, handoffs, "/r", there)
+    return found.withColumns({"last_event_at": _clock("last_event_at"), "handoff_at": _clock("handoff_at")})
+
+
+@query
+def document_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Documents at the path given, below the home folder, below one of two roots, or nowhere."""
+    s = _sessions(spark, d).withColumns({"n": F.col("total_tools"), "file": F.concat("id", F.lit(".md"))})
+    in_home, dated = F.concat(F.lit("/home/u/h/"), "file"), F.concat(F.date_format("started_at", "yyyy/MM/dd/"), "file")
+    given = F.when(F.col("n") % 4 == 0, F.concat(F.lit(" /docs/"), "file")).when(F.col("n") % 4 == 1, F.concat(F.lit("~/h/"), "file")).when(F.col("n") % 4 == 2, "")
+    stamp = F.when(F.col("total_turns") > 0, F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss"))
+    entries = s.select(F.col("id").alias("session_id"), given.alias("content_path"), F.when(F.col("n") % 2 == 0, stamp).alias("started_at"), stamp.alias("generated_at"))
+    places = F.array(F.when(F.col("n") % 3 == 0, F.concat(F.lit("/docs/"), "file")), F.when(F.col("n") % 5 != 0, in_home), F.when(F.col("n") % 5 == 0, F.concat(F.lit("/r/one/"), dated)), F.when(F.col("engine") == "claude", F.concat(F.lit("/r/two/"), dated)))
+    existing = s.select(F.explode(F.array_compact(places)).alias("path"))
+    return logs.document_paths(entries, existing, "/home/u", ["/r/one", "/r/two"])

@@ -279,6 +279,24 @@ def import_summaries(spark: SparkSession, path: str) -> DataFrame:
     return out.filter("session_id IS NOT NULL")
 
 
+def document_paths(entries: DataFrame, existing: DataFrame, home: str, roots: list[str]) -> DataFrame:
+    """``session_id, content_path, path``: where the document of an imported summary is, null where nowhere.
+
+    ``entries`` has ``session_id, content_path, started_at, generated_at`` (times as text), ``existing`` the ``path`` of
+    all documents. The path given comes first, then with its ``~`` as ``home``, then the dated path below each root;
+    without any time there is no dated path. Equal entries give one row.
+    """
+    given, day = F.trim("content_path"), F.coalesce("started_at", "generated_at")
+    parts = F.split(F.when(F.length(day) >= 10, F.substring(day, 1, 10)).when(day.isNotNull(), "1970-01-01"), "-")
+    dated = F.concat_ws("/", F.get(parts, F.lit(0)), F.coalesce(F.get(parts, F.lit(1)), F.lit("01")), F.coalesce(F.get(parts, F.lit(2)), F.lit("01")), F.concat("session_id", F.lit(".md")))
+    below = [F.when(parts.isNotNull(), F.concat(F.lit(f"{r}/"), dated)) for r in roots]
+    places = F.array(given, F.when(given.startswith("~/"), F.concat(F.lit(f"{home}/"), F.substr(given, F.lit(3)))), *below)
+    there = existing.select("path").distinct().withColumn("there", F.lit(True))
+    tried = entries.select("session_id", "content_path", "started_at", "generated_at", F.posexplode(places).alias("nth", "path")).join(there, "path", "left")
+    found = tried.groupBy("session_id", "content_path", "started_at", "generated_at").agg(F.min_by("path", F.when(F.col("there"), F.col("nth"))).alias("path"))
+    return found.select("session_id", "content_path", "path")
+
+
 def discovered(logs: list[DataFrame], engine: str | None = None, since: str | None = None) -> DataFrame:
     """The sessions (``engine, id, started_at``) of all engines, or one, newest first, those without a start last.
 
@@ -299,3 +317,27 @@ def inline_tools(lines: DataFrame) -> DataFrame:
     v = F.try_parse_json("line")
     calls = F.exists(list_at(v, "$.message.content"), lambda b: F.coalesce(text_at(b, "$.type") == "tool_use", F.lit(False)))
     return lines.filter(F.col("line").contains("tool_use")).filter((text_at(v, "$.type") == "assistant") & calls).select("file").distinct()
+
+
+def runtime_tail(lines: DataFrame, engine: str, n: int) -> DataFrame:
+    """``file, session_uid, last_event, samples`` from the last ``n`` lines of each log of one engine.
+
+    The id is the first that these lines name, the time the last. A sample (``ts, tokens, input_tokens``) stands for
+    each use of tokens with a time, in order; the third engine has none. Broken lines count, but say nothing.
+    """
+    newest = Window.partitionBy("file").orderBy(F.desc("ord"))
+    tail = lines.withColumn("back", F.row_number().over(newest)).filter(F.col("back") <= n)
+    v = F.try_parse_json("line")
+    ts = F.coalesce(text_at(v, "$.timestamp"), text_at(v, "$.payload.timestamp"))
+    if engine == "codex":
+        uid, at_usage = F.coalesce(text_at(v, "$.payload.id"), text_at(v, "$.session_id")), "$.payload.info.last_token_usage"
+        inputs, counts = ("input_tokens", "cached_input_tokens"), text_at(v, "$.payload.type") == "token_count"
+    else:
+        uid, at_usage = text_at(v, "$.sessionId"), "$.message.usage"
+        inputs, counts = ("input_tokens", "cache_read_input_tokens", "cache_creation_input_tokens"), F.lit(engine == "claude")
+    used = lambda name: F.coalesce(long_at(v, f"{at_usage}.{name}"), F.lit(0))
+    read = tail.select("file", "ord", uid.alias("uid"), ts.alias("ts"), counts.alias("counts"), sum(map(used, inputs[1:]), used(inputs[0])).alias("read"), used("output_tokens").alias("output"))
+    sample = F.when(F.col("counts") & F.col("ts").isNotNull() & (F.col("read") + F.col("output") > 0), F.struct("ord", "ts", (F.col("read") + F.col("output")).alias("tokens"), F.col("read").alias("input_tokens")))
+    samples = F.transform(F.array_sort(F.collect_list(sample)), lambda x: x.dropFields("ord"))
+    given = lambda c: F.when(F.col(c).isNotNull(), F.col("ord"))
+    return read.groupBy("file").agg(F.min_by("uid", given("uid")).alias("session_uid"), F.max_by("ts", given("ts")).alias("last_event"), samples.alias("samples"))
