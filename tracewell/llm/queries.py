@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, katz, langid, licenses, neardup, quality, secrets, substrings, tokencount
+from . import bpe, decontam, katz, langid, licenses, neardup, quality, secrets, spelling, substrings, tokencount, turns, vectors
 from .common import ship
 
 
@@ -83,6 +83,40 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def damaged_turns(rows: DataFrame) -> DataFrame:
+    """``conv_id, turn, role, text``: conversations with faults that a checksum of conversation and turn deals out."""
+    given = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat_ws(":", given("conv_id"), given("turn"))) % 20
+    text = F.when(fault == 1, "").when(fault == 2, F.regexp_replace(given("text"), "[.!?]", "")).otherwise(given("text"))
+    role = F.when(fault == 4, "user").otherwise(given("role"))
+    out = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), fault.alias("fault")).filter("fault <> 0")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.col("fault") == 3, 2).otherwise(1)))).select("conv_id", "turn", "role", "text")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    found = turns.report(turns.repaired(damaged_turns(rows))).withColumnRenamed("conv_id", "c")
+    named = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return named.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def misspelt_words(docs: DataFrame) -> DataFrame:
+    """``word``: the runs of letters of all texts; one in 199, by a checksum of document and run, lacks a character."""
+    said = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(spelling.runs(F.col("text"))).alias("run")).filter(F.length("run") >= 6)
+    h, size = F.crc32(F.concat_ws(":", "id", "run")), F.length("run")
+    at = F.pmod(h, size).cast("int")
+    return said.select(F.when(h % 199 == 0, F.concat(F.substring(F.col("run"), F.lit(1), at), F.substring(F.col("run"), at + 2, size))).otherwise(F.col("run")).alias("word"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(misspelt_words(_documents(spark, sf_dir)), length=6, least=5, factor=5)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -102,6 +136,9 @@ QUERIES = {
         op8_token_counts,
         op9_secret_scan,
         op10_language_id,
+        op11_conversation_repair,
+        op12_vector_groups,
+        op13_spelling_variants,
         pipeline,
     )
 }
