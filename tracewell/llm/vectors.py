@@ -5,6 +5,7 @@ cells near whose border it lies. Inside a cell blocks of rows are multiplied wit
 homes a and b, the distances of its vectors to the border between a and b add up to their own distance at
 most, sqrt(2 - 2t) at cosine t, so one of the two lies within half of that: it visits the other's home, and
 the pair meets there. So no link is lost, whatever the centroids are. They are fitted on a bounded sample.
+Products in single precision find candidates, which double precision confirms.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from .neardup import connected_components
 CLOSE = 1e-9
 ITERATIONS = 8
 STRIP = 1_024
+PAIRS = 1 << 16
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -29,9 +31,14 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that no square overflows; no component is rounded."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    """Rows scaled to length one; scaled by their largest component first, so that no square overflows."""
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    """Rows scaled to length one."""
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -86,63 +93,94 @@ def placed(classes: DataFrame, model: dict[int, np.ndarray], first_cell: dict[in
     return classes.select("cls", "n", "vec").mapInArrow(run, out)
 
 
-def groups(links: np.ndarray) -> np.ndarray:
-    """The first row of each row's connected component, of a symmetric boolean matrix."""
-    root = np.full(len(links), -1)
-    for i in np.flatnonzero(links.any(1)):
-        if root[i] < 0:
-            front = np.array([i])
-            while len(front):
-                root[front] = i
-                front = np.flatnonzero(links[front].any(0) & (root < 0))
-    return np.where(root < 0, np.arange(len(links)), root)
+def joined(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """``root`` (of each row, the smallest row known to be linked with it) after the links ``p`` to ``q``."""
+    while True:
+        a, b = root[p], root[q]
+        apart = a != b
+        if not apart.any():
+            return root
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (up := root[root]).sum() != root.sum():
+            root = up
 
 
 def compare(least: float):
-    """The function that compares the rows of one cell and one pair of its blocks.
+    """The function that compares rows of one cell: two blocks of its homes, or one with itself and a block of visitors.
 
     It gives ``cls, links, root``: how many vectors (copies counted) a class is linked with here, and a class
     that links lead to. A pair of two cells that meets in both counts in the cell of the smaller number.
     """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        cell, low, high = (k.as_py() for k in key)
+        cell, low, high, visit = (k.as_py() for k in key)
         table = table.sort_by("cls").combine_chunks()
-        raw = matrix(table.column("vec").combine_chunks())
-        x, own = unit(raw), np.asarray(table.column("own"))
-        cls, n, home = (np.asarray(table.column(c)) for c in ("cls", "n", "home"))
+        raw = scaled(matrix(table.column("vec").combine_chunks()))
+        x = unit(raw)
+        small = x.astype(np.float32)
+        # Products in single precision find candidates; their error stays below this.
+        slack = np.float32((x.shape[1] + 8) * 1.2e-7)
+        cls, n, home, own = (np.asarray(table.column(c)) for c in ("cls", "n", "home", "own"))
         at_home = home == cell
-        # Which of the homes of visitors do the rows at home visit themselves?
-        homes, place = np.unique(home, return_inverse=True)
+        # The pairs of a home and a cell that it visits, as numbers in order.
         visits = table.column("visits").combine_chunks()
-        lengths = np.nan_to_num(np.asarray(visits.value_lengths().fill_null(0)))
-        to, of = np.asarray(visits.flatten()), np.repeat(np.arange(len(cls)), lengths)
-        found = np.minimum(np.searchsorted(homes, to), len(homes) - 1)
-        mutual = np.zeros((len(cls), len(homes)), bool)
-        mutual[of[homes[found] == to], found[homes[found] == to]] = True
-        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        links = np.zeros((len(cls), len(cls)), bool)
+        lengths = np.asarray(visits.value_lengths().fill_null(0))
+        span = np.int64(1) << 32
+        mutual = np.sort(np.repeat(np.arange(len(cls)), lengths) * span + np.asarray(visits.flatten()))
+        left = np.flatnonzero(at_home & (own == low))
+        right = np.flatnonzero(at_home & (own == high)) if low != high else np.flatnonzero(~at_home | (visit == 0))
+        total, root = np.zeros(len(cls), np.int64), np.arange(len(cls))
         for at in range(0, len(left), STRIP):
             a = left[at : at + STRIP]
-            s = x[a] @ x[right].T
-            hit = s >= least
-            for i, j in zip(*np.nonzero(np.abs(s - least) < CLOSE)):
-                u, v = raw[a[i]], raw[right[j]]
-                hit[i, j] = u @ v / (np.sqrt(u @ u) * np.sqrt(v @ v)) >= least
-            if hit.any():
-                hit &= at_home[a][:, None] | at_home[right][None, :]
-                elsewhere = lambda p, q: at_home[p][:, None] & (home[q] < cell)[None, :] & mutual[p][:, place[q]]
-                hit &= ~elsewhere(a, right) & ~elsewhere(right, a).T
-                links[np.ix_(a, right)] |= hit
-        np.fill_diagonal(links, False)
-        links |= links.T
-        total, root = links @ n, groups(links)
+            i, j = np.nonzero(small[a] @ small[right].T >= np.float32(least) - slack)
+            i, j = a[i], right[j]
+            # Two homes of one block meet twice here, and count once.
+            one = (i < j) | ~at_home[j] | (low != high)
+            i, j = i[one], j[one]
+            for lo in range(0, len(i), PAIRS):
+                p, q = i[lo : lo + PAIRS], j[lo : lo + PAIRS]
+                s = np.einsum("ij,ij->i", x[p], x[q])
+                close = np.flatnonzero(np.abs(s - least) < CLOSE)
+                for k in close:
+                    u, v = raw[p[k]], raw[q[k]]
+                    s[k] = u @ v / (np.sqrt(u @ u) * np.sqrt(v @ v))
+                hit = s >= least
+                foreign = hit & ~at_home[q] & (home[q] < cell)
+                want = p[foreign] * span + home[q[foreign]]
+                found = np.searchsorted(mutual, want)
+                hit[np.flatnonzero(foreign)[(found < len(mutual)) & (mutual[np.minimum(found, len(mutual) - 1)] == want if len(mutual) else False)]] = False
+                p, q = p[hit], q[hit]
+                np.add.at(total, p, n[q])
+                np.add.at(total, q, n[p])
+                root = joined(root, p, q)
         some = np.flatnonzero(total)
         return pa.table({"cls": cls[some], "links": total[some], "root": cls[root[some]]})
 
     return run
 
 
+def dealt(rows: DataFrame, *, block_rows: int, visit_rows: int) -> DataFrame:
+    """``rows`` with ``own`` and ``low, high, visit``: each row once for every group that it is compared in.
+
+    Homes of a cell make blocks, and visitors others. Every two blocks of homes are a group, and every block of
+    homes with every block of visitors. As a rule a cell has one block of each, and is one group.
+    """
+    at_home = F.col("home") == F.col("cell")
+    blocks = lambda n, most: F.greatest(F.ceil(n / most), F.lit(1)).cast("int")
+    # One row per cell, no more than there are centroids and lengths.
+    sizes = rows.groupBy("cell").agg(blocks(F.count_if(at_home), block_rows).alias("homes"), blocks(F.count_if(~at_home), visit_rows).alias("visitors"))
+    own = F.pmod(F.xxhash64("cls"), F.when(at_home, F.col("homes")).otherwise(F.col("visitors"))).cast("int")
+    out = rows.join(F.broadcast(sizes), "cell").withColumn("own", own)
+    group = lambda low, high, visit: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"), visit.cast("int").alias("visit"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    of_home = F.concat(
+        F.transform(F.filter(upto("homes"), lambda j: j != F.col("own")), lambda j: group(F.least("own", j), F.greatest("own", j), F.lit(0))),
+        F.transform(upto("visitors"), lambda v: group(F.col("own"), F.col("own"), v)),
+    )
+    of_visitor = F.transform(upto("homes"), lambda i: group(i, i, F.col("own")))
+    return out.withColumn("g", F.explode(F.when(at_home, of_home).otherwise(of_visitor))).drop("homes", "visitors").select("*", "g.*").drop("g")
+
+
 def near_vectors(
     vectors: DataFrame,
     *,
@@ -165,7 +203,8 @@ def near_vectors(
 
     Centroids are fitted per length of vector, on ``sample_bytes`` of classes that a hash picks; there are as many as
     give cells of ``cell_rows`` on average, at most ``model_bytes`` of them (that much is broadcast). Larger
-    cells are compared in pairs of blocks of ``block_rows``, each pair of blocks a group of its own.
+    cells are compared in pairs of blocks of ``block_rows``, each pair of blocks a group of its own. Vectors without any
+    structure visit a good part of all cells, so that work grows nearly as all pairs do; clustered ones visit few.
     """
     src = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -189,12 +228,8 @@ def near_vectors(
 
     margin = np.sqrt((1 - least) / 2)
     rows = stored(placed(classes, model, first_cell, float(margin)), "placed")
-    sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    # One row per cell, no more than there are centroids and lengths.
-    dealt = rows.join(F.broadcast(sizes), "cell").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other", "blocks")
-    met = stored(pairs.groupBy("cell", "low", "high").applyInArrow(compare(least), "cls long, links long, root long"), "met")
+    groups = dealt(rows, block_rows=block_rows, visit_rows=4 * block_rows).groupBy("cell", "low", "high", "visit")
+    met = stored(groups.applyInArrow(compare(least), "cls long, links long, root long"), "met")
 
     labels = connected_components(met.filter("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")))
     links = met.groupBy("cls").agg(F.sum("links").alias("links"))
