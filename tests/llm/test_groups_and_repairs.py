@@ -269,7 +269,7 @@ def listed(df):
     return sorted((r.word, r.form or "", r.root, r.n, r.n_near, r.form_n or 0) for r in df.collect())
 
 
-@pytest.mark.parametrize("filter_bytes", [64 << 20, 512, 64])
+@pytest.mark.parametrize("filter_bytes", [32 << 20, 512, 64])
 def test_spelling_variants(spark, filter_bytes):
     """Chains of forms, ties, equal neighbours, characters of all planes, long words; also over many rounds and parts."""
     rng = random.Random(6)

@@ -106,8 +106,9 @@ def filters(words: DataFrame, wanted: dict[tuple[int, int, int], int]) -> dict[t
 
     marked = words.select("word").mapInArrow(marks, "f int, segment int, at int, mask long").groupBy("f", "segment", "at").agg(F.bit_or("mask").alias("mask"))
     made = {k: np.zeros(-(-n // SEGMENT) * SEGMENT, np.uint64) for k, n in wanted.items()}
-    for r in marked.groupBy("f", "segment").applyInArrow(segment, "f int, segment int, data binary").toLocalIterator():
-        made[names[r.f]][r.segment * SEGMENT : (r.segment + 1) * SEGMENT] = np.frombuffer(r.data, np.uint64)
+    rows = marked.groupBy("f", "segment").applyInArrow(segment, "f int, segment int, data binary").toArrow()
+    for f, n, data in zip(*(rows.column(c).to_pylist() for c in ("f", "segment", "data"))):
+        made[names[f]][n * SEGMENT : (n + 1) * SEGMENT] = np.frombuffer(data, np.uint64)
     return made
 
 
@@ -159,7 +160,7 @@ def probed(words: DataFrame, shared: Broadcast, alphabet: list[int]) -> DataFram
     return words.select("word", "n").repartition(shuffle_width(words.sparkSession)).mapInArrow(run, "edit string, word string, n long")
 
 
-def spelling_variants(words: DataFrame, *, length: int = 6, least: int = 5, factor: int = 5, filter_bytes: int = 64 << 20) -> DataFrame:
+def spelling_variants(words: DataFrame, *, length: int = 6, least: int = 5, factor: int = 5, filter_bytes: int = 32 << 20) -> DataFrame:
     """``word, form, root, n, n_near, form_n`` for the words of at least ``length`` code points and ``least`` occurrences.
 
     ``words`` has a row per occurrence (column ``word``; null ones don't count, other columns are not looked at). Words are
@@ -171,7 +172,7 @@ def spelling_variants(words: DataFrame, *, length: int = 6, least: int = 5, fact
     known = stored(vocabulary(words, length=length, least=least), "words")
     sizes = sorted(tuple(r) for r in known.groupBy(F.length("word")).count().collect())
     characters = known.select(F.explode(F.regexp_extract_all("word", F.lit("(?s)."), F.lit(0))).alias("c")).distinct()
-    alphabet = sorted(ord(r.c) for r in characters.toLocalIterator())
+    alphabet = sorted(ord(r.c) for r in characters.collect())
     exact = known.select(F.col("word").alias("edit"), F.col("n").alias("other_n"))
     pairs = exact.select(F.col("edit").alias("word"), F.col("other_n").alias("n"), F.col("edit").alias("other"), "other_n").limit(0)
     for wanted in filter_rounds(sizes, filter_bytes) if sizes else []:
