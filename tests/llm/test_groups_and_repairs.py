@@ -290,3 +290,76 @@ def test_spelling_query(spark, sf, tmp_path, name):
         folder = str(tmp_path)
         spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
     assert listed(queries.QUERIES["op13_spelling_variants"](spark, folder)) == plain_variants(plain_words(rows))
+
+
+# ---- links of rows without ids and of ids with several texts -------------------------------------------------
+
+
+def edited_text(seed, places=()):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(100)]
+    for p in places:
+        words[p] = f"changed{p}x{seed}"
+    return " ".join(words)
+
+
+def test_rows_without_ids_and_ids_with_several_texts_lose_no_link(spark):
+    from tracewell.llm import neardup
+
+    rows = [(7, edited_text(1)), (None, edited_text(1, [50])), (30, edited_text(2)), (None, edited_text(2, [20])), (31, edited_text(2, [20, 80]))]
+    rows += [(5, edited_text(3)), (5, edited_text(4)), (6, edited_text(3, [40])), (8, edited_text(4, [60])), (None, edited_text(5)), (None, edited_text(5, [10])), (12, ""), (None, None)]
+    docs = spark.createDataFrame([(d, t, 1, 2, "x", 3, "y") for d, t in rows], "doc_id long, text string, node long, a long, keys string, component long, sample string").repartition(3)
+    for _ in range(2):
+        got = neardup.near_duplicates(docs).collect()
+        by_text = {(r.doc_id, r.text_key): (r.component_id, r.component) for r in got}
+        assert len(got) == len(rows)
+        assert sorted(str((r.doc_id, r.component_id)) for r in got) == sorted(map(str, [(7, 7), (None, 7), (30, 30), (None, 30), (31, 30), (5, 5), (5, 5), (6, 5), (8, 5), (None, None), (None, None), (12, 12), (None, None)]))
+        without = {c for (d, _), (i, c) in by_text.items() if d is None and i is None and c is not None}
+        assert len(without) == 1
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+    from tracewell.llm import secrets
+
+    secret = "password=abcdefgh1234"
+    rows = [(1, edited_text(1) + " " + secret), (2, edited_text(2))]
+    docs = spark.createDataFrame([(d, t, "en", "s", 5, "i", "k", "t", "s", 9) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, __id string, __key string, __text_key string, __spans string, __k long")
+    masked = {r.doc_id: tuple(r) for r in secrets.redacted(docs).collect()}
+    assert masked[1] == (1, rows[0][1].replace(secret, "[SECRET]"), "en", "s", 5, "i", "k", "t", "s", 9) and masked[2][1] == rows[1][1]
+    stage = corpus_pipeline.near_dedup_stage(spark, docs, "")
+    assert stage.columns == docs.columns and sorted(map(tuple, stage.collect())) == sorted(map(tuple, docs.collect()))
+    assert corpus_pipeline.secrets_stage(spark, docs, "").columns == docs.columns
+
+
+# ---- the sample that language identification learns from -----------------------------------------------------
+
+
+def test_language_sample_is_bounded_by_rows_and_meets_its_conditions(spark):
+    from tracewell.llm import langid
+
+    rows = [(1, "the house is here", "en"), (1, None, "en"), (2, "la casa es grande", "es"), (3, "not to be learnt from", "en"), (3, "nor this", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = lambda df, n, train=F.lit(True): langid.training_sample(df, train, n, "doc_id", "text", "lang", 256, 20_000)
+    assert sample(df, 200, F.col("doc_id") < 3) == [("en", "the house is here"), ("es", "la casa es grande")]
+    assert langid.identify_languages(df, training=F.col("doc_id") < 3, steps=3).count() == len(rows)
+    many = spark.createDataFrame([(5, f"text {i} of one id", "en") for i in range(3_000)] + [(6, "same", "en")] * 40, "doc_id long, text string, lang string").repartition(4)
+    assert len(sample(many, 5)) == 5
+
+
+def test_pooled_probabilities_against_plain_loops():
+    """A small network's forward pass, state by state, over texts of several segments."""
+    from tracewell.llm import langid
+
+    net = langid.BiGRU(3, 2, seed=1)
+    texts = [b"ab", b"", "längere".encode() * 5, b"x" * 16]
+    got = langid.label_texts(net, texts, span=8)
+    for text, row in zip(texts, got):
+        parts = [text[i : i + 8] for i in range(0, len(text), 8)]
+        total = np.zeros(2)
+        for part in parts:
+            x = np.full((8, 1), 32, np.uint8)
+            x[: len(part), 0] = np.frombuffer(part, np.uint8)
+            total += net.forward(x)[: len(part), 0].sum(0)
+        assert np.allclose(row, total / max(len(text), 1), atol=1e-5)
+        assert not len(text) or np.isclose(row.sum(), 1, atol=1e-4)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,25 +136,31 @@ def label_texts(net: BiGRU, texts: list[bytes], *, span: int = 128, rows: int =
     return sums / np.maximum(sizes, 1)[:, None]
 
 
+#: So many characters of labelled texts reach the driver at most, whatever the other bounds allow.
+SAMPLE_CHARS = 64 << 20
+
+
 def training_sample(docs: DataFrame, training: Column, per_label: int, id_col: str, text_col: str, lang_col: str, languages: int, chars: int) -> list[tuple[str, str]]:
     """At most ``per_label`` (language, text) pairs of each language, chosen by a hash of the id; of longer texts
     ``chars`` characters from a place given by the id. Of more than ``languages`` languages the most frequent.
 
-    The ids are found first, without the texts, by a bounded top-k per language.
+    The rows are found first, without their texts, in one scan that keeps a bounded top of each language. Of an id
+    with several texts, each is a row of its own.
     """
-    labelled = docs.filter(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
-    order = F.struct(F.xxhash64(F.col("id").cast("string")).alias("h"), "id")
+    texts = docs.filter(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    texts = texts.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("key"))
+    labelled = texts.drop("text")
     langs = [r["lang"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()]
-    chosen = None
-    for lang in langs:
-        part = labelled.filter(F.col("lang") == lang).orderBy(order).limit(per_label)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    if chosen is None:
+    if not langs:
         return []
-    ids = [(r["id"], r["lang"]) for r in chosen.collect()]
-    wanted = docs.sparkSession.createDataFrame(ids, chosen.schema).distinct()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    rows = rows.join(F.broadcast(wanted), rows["id"].eqNullSafe(wanted["id"]) & (rows["lang"] == wanted["lang"]), "left_semi")
+    chars = min(chars, SAMPLE_CHARS // (len(langs) * per_label))
+    # Each task keeps its first rows of a language before they are shuffled.
+    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string")), "id", "key")
+    chosen = labelled.filter(F.col("lang").isin(langs)).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_label).drop("nth")
+    wanted = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema).distinct()
+    same = texts["id"].eqNullSafe(wanted["id"]) & (texts["lang"] == wanted["lang"]) & (texts["key"] == wanted["key"])
+    # Equal rows are one row of the sample.
+    rows = texts.join(F.broadcast(wanted), same, "left_semi").dropDuplicates(["id", "lang", "key"])
     at = F.pmod(F.xxhash64(F.col("id").cast("string")), F.greatest(F.length("text") - chars, F.lit(1)))
     return sorted((r["lang"], r["text"]) for r in rows.select("lang", F.substring(F.col("text"), (at + 1).cast("int"), F.lit(chars)).alias("text")).collect())
 

@@ -211,21 +211,27 @@ def near_duplicates(
     bands: int = 40,
     rows: int = 6,
 ) -> DataFrame:
-    """One row per input row: ``doc_id, text_key, set_a, set_b, n_shingles, component_id, kept`` (``doc_id = component_id``).
+    """One row per input row: ``doc_id, text_key, n_shingles, component, component_id, kept`` (``doc_id = component_id``).
 
     Ids are integers. Two documents are linked when ``100 * intersection >= percent * union`` of their
     distinct shingles; with fewer words the whole sequence is the one shingle; without words (or null) a
-    document is linked with nothing. Rows with equal ids count as linked. A null id takes the smallest
-    id of its group, if any, and isn't kept. At similarity 0.8 a pair shares no bucket, and so is lost,
+    document is linked with nothing. Rows with words and equal ids count as linked, whatever their texts. A row with a null id
+    is linked like others; it takes the smallest id of its group, if any, and isn't kept. ``component`` is a number of the
+    group, also where no row of it has an id; null without words. An empty table gives no rows; other columns, of any
+    name, are not looked at; long texts are read whole. At similarity 0.8 a pair shares no bucket, and so is lost,
     with a chance of (1 - 0.8^6)^40, about 5 in a million; more similar pairs far less.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"))
     sigs = stored(signatures(src, shingle=shingle, bands=bands, rows=rows), "signatures")
-    classes = sigs.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
-    classes = stored(classes, "classes")
-    nodes = classes.filter("node IS NOT NULL")
+    # Documents of one shingle set are one class: a node of its own, with or without ids. One of its texts stands for all.
+    sample = F.min(F.struct("text_key", "doc_id"))
+    classes = sigs.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("first_id"), sample.alias("sample"), F.first("keys").alias("keys"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    named = classes.select("node", F.col("set_a").alias("sa"), F.col("set_b").alias("sb"), F.col("n_shingles").alias("ns"))
+    same = (F.col("set_a") == F.col("sa")) & (F.col("set_b") == F.col("sb")) & (F.col("n_shingles") == F.col("ns"))
+    owned = stored(sigs.drop("keys").join(named, same, "left").select("doc_id", "text_key", "n_shingles", "node"), "owned")
 
-    slots = nodes.select("node", "n_shingles", F.posexplode("keys").alias("band", "key"))
+    slots = classes.select("node", "n_shingles", F.posexplode("keys").alias("band", "key"))
     shared = slots.groupBy("band", "key").agg(F.count("*").alias("members")).filter("members > 1")
     grouped = stored(slots.join(shared, ["band", "key"]), "grouped")
     # A bucket's centre is the member with the most company in all its buckets: of many edited copies of one
@@ -235,8 +241,9 @@ def near_duplicates(
     chosen = ranked.groupBy("band", "key").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("centre"))
     members = stored(ranked.join(chosen, ["band", "key"]), "members")
     involved = members.select("node").distinct()
-    texts = src.select(F.col("doc_id").alias("node"), "text")
-    sets = stored(shingle_sets(texts.join(involved, "node", "left_semi"), shingle=shingle).dropDuplicates(["node"]), "sets")
+    chosen_text = classes.join(involved, "node", "left_semi").select("node", F.col("sample.text_key").alias("k"), F.col("sample.doc_id").alias("d"))
+    texts = src.join(chosen_text, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "text")
+    sets = stored(shingle_sets(texts, shingle=shingle).dropDuplicates(["node"]), "sets")
     linked = 100 * F.col("shared") >= percent * F.col("total")
 
     # First every node is compared with one centre, the one it shares most bands with.
@@ -245,7 +252,10 @@ def near_duplicates(
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # Pairs that have been compared, with the sizes found; none is compared twice.
     seen = stored(compared(ordered(star), sets), "compared")
-    labels = connected_components(seen.filter(linked).select("a", "b"))
+    # Texts of one id are linked without a comparison.
+    by_id = owned.filter("doc_id IS NOT NULL AND node IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z")
+    of_id = owned.join(by_id, "doc_id").filter("node > a").select("a", F.col("node").alias("b"))
+    labels = connected_components(seen.filter(linked).select("a", "b").unionByName(of_id))
 
     def mixed(base: DataFrame) -> DataFrame:
         """Those rows of ``base``, with labels, whose buckets more than one component shares."""
@@ -270,7 +280,8 @@ def near_duplicates(
     rest = mixed(unsettled).filter("node <> centre").select("centre", "node", "label", (F.col("label") != F.col("centre_label")).alias("stranger")).distinct()
     compare(alike(rest, sets, percent=percent))
 
-    named = classes.join(labels, "node", "left").select(F.col("set_a").alias("sa"), F.col("set_b").alias("sb"), F.col("n_shingles").alias("ns"), F.coalesce("component", "node").alias("component_id"))
-    same = (F.col("set_a") == F.col("sa")) & (F.col("set_b") == F.col("sb")) & (F.col("n_shingles") == F.col("ns"))
-    out = sigs.drop("keys").join(named, same, "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "text_key", "set_a", "set_b", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    groups = classes.select("node", "first_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = groups.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    found = groups.select("node", "component").join(smallest, "component")
+    out = owned.join(found, "node", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", "text_key", "n_shingles", "component", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))

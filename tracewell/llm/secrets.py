@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_name, stored
 
 # kind: pattern, group that must be long enough, least length, role in a credential, reported alone
 KINDS = {
@@ -78,8 +78,10 @@ def linked_spans(found: DataFrame, *, reach: int = 200) -> DataFrame:
     near = (F.col("doc_id").eqNullSafe(F.col("d"))) & (F.col("text_key") == F.col("k")) & (F.col("bucket") == F.col("b"))
     near = near & (F.col("role") != F.col("other")) & (F.col("s") < F.col("end") + reach) & (F.col("e") > F.col("start") - reach)
     # A run that is an assignment's value or a hex run already has been reported as such.
-    own = found.filter(F.col("kind").isin(*strong)).select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("start").alias("s"), F.col("end").alias("e"))
-    inside = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")) & (F.col("s") <= F.col("start")) & (F.col("e") >= F.col("end"))
+    # It is looked for among the runs that reach over the stretch it starts in, so that a text of very many spans isn't compared all with all.
+    stretch = lambda c: F.floor(F.col(c) / reach)
+    own = found.filter(F.col("kind").isin(*strong)).select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("start").alias("s"), F.col("end").alias("e"), F.explode(F.sequence(stretch("start"), stretch("end"))).alias("b"))
+    inside = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")) & (stretch("start") == F.col("b")) & (F.col("s") <= F.col("start")) & (F.col("e") >= F.col("end"))
     kept = weak.join(others, near, "left_semi").select(*found.columns).distinct().join(own, inside, "left_anti")
     return found.filter(F.col("kind").isin(*strong)).unionByName(kept)
 
@@ -110,14 +112,17 @@ def listed(found: Column) -> Column:
 
 
 def redacted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", reach: int = 200) -> DataFrame:
-    """``docs`` with every span replaced by ``mask`` in the text; overlapping spans are masked as one."""
+    """``docs`` with every span replaced by ``mask`` in the text; overlapping spans are masked as one.
+
+    Columns of ``docs`` keep their values, whatever their names. An empty table gives no rows.
+    """
     found = secret_scan(docs, id_col=id_col, text_col=text_col, reach=reach).filter(F.size("spans") > 0)
-    found = found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__key"])
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.withColumn("__k", key).join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__key")), "left")
+    own, other, key, spans_ = (free_name(docs, n) for n in ("__k", "__id", "__key", "__spans"))
+    found = found.select(F.col("doc_id").alias(other), F.col("text_key").alias(key), F.col("spans").alias(spans_)).dropDuplicates([other, key])
+    joined = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).join(found, F.col(id_col).eqNullSafe(F.col(other)) & (F.col(own) == F.col(key)), "left")
     step = lambda acc, x: F.struct(
         F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit(mask))).otherwise(acc["out"]).alias("out"),
         F.greatest(acc["at"], x["end"]).alias("at"),
     )
-    merged = F.aggregate("__spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step, lambda a: F.concat(a["out"], F.substring(F.col(text_col), (a["at"] + 1).cast("int"), 2**31 - 1)))
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNotNull(), merged).otherwise(F.col(text_col))).select(*docs.columns)
+    merged = F.aggregate(spans_, F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step, lambda a: F.concat(a["out"], F.substring(F.col(text_col), (a["at"] + 1).cast("int"), 2**31 - 1)))
+    return joined.withColumn(text_col, F.when(F.col(spans_).isNotNull(), merged).otherwise(F.col(text_col))).select(*docs.columns)
