@@ -11,18 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import bpe, decontam, neardup, quality, secrets
-from tracewell.llm.common import stored
+from tracewell.llm.common import free_name, stored
 
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-
-
 def _chosen(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """``docs`` with (left_semi) or without (left_anti) the rows of ``rows`` (id and text key); null ids are equal."""
-    wanted = rows.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    return _keyed(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), how).drop("__text_key")
+    """``docs`` with (left_semi) or without (left_anti) the rows of ``rows`` (id and text key); null ids are equal.
+
+    The columns of ``docs`` stay as they are, whatever their names.
+    """
+    own, other, key = (free_name(docs, n) for n in ("__text_key", "__id", "__key"))
+    wanted = rows.select(F.col("doc_id").alias(other), F.col("text_key").alias(key)).distinct()
+    keyed = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col(other)) & (F.col(own) == F.col(key)), how).drop(own)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +41,12 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     rows = neardup.near_duplicates(docs, shingle=5, percent=80)
     alone = F.col("doc_id").isNull() & (F.col("n_shingles") == 0)
-    own = [F.when(F.col("component_id").isNull(), F.col(c)).alias(f"of_{c}") for c in ("set_a", "set_b", "n_shingles")]
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", (F.col("n_shingles") == 0).alias("no_words"), "text_key")
-    first = rows.filter(~alone).groupBy("component_id", *own).agg(F.min(order).alias("x")).select("x.doc_id", "x.text_key")
+    # Groups are told by the smallest id; where there is none, by the number of the group. Words or not, an id is one document.
+    first = rows.filter(~alone).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("component")).alias("group")).agg(F.min(order).alias("x")).select("x.doc_id", "x.text_key")
     loose = stored(rows.filter(alone).select("doc_id", "text_key").distinct(), "loose")
-    one = _keyed(_chosen(docs, first, "left_semi")).dropDuplicates(["doc_id", "__text_key"]).drop("__text_key")
+    key = free_name(docs, "__text_key")
+    one = _chosen(docs, first, "left_semi").withColumn(key, F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", key]).drop(key)
     return one.unionByName(_chosen(docs, loose, "left_semi"))
 
 
