@@ -58,8 +58,12 @@ def grouped_number(n: Column) -> Column:
 
 
 def model_family(model: Column) -> Column:
+    """A short name of a model: its family, for the second engine's with the version before it."""
     m = F.lower(F.coalesce(model, F.lit("")))
-    return F.when(m.contains("opus"), "Opus").when(m.contains("sonnet"), "Sonnet").when(m.contains("haiku"), "Haiku").when(m == "", "unknown").otherwise(model)
+    before = F.regexp_replace(F.substr(model, F.lit(1), F.locate("codex", m) - 1), "-+$", "")
+    codex = F.when(before == "", "Codex").otherwise(F.concat(F.upper(before), F.lit(" Codex")))
+    known = F.when(m == "", "unknown").when(m.contains("opus"), "Opus").when(m.contains("sonnet"), "Sonnet").when(m.contains("haiku"), "Haiku")
+    return known.when(m.contains("codex"), codex).when(m.rlike("^o[0-9]"), model).otherwise(F.get(F.split(model, "-"), F.lit(0)))
 
 
 def short_id(uid: Column, engine_is_b: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,20 +47,67 @@ def inherit(children: DataFrame, parents: DataFrame) -> DataFrame:
 def match_files(summaries: DataFrame, files: DataFrame) -> DataFrame:
     """Child summaries (``parent, agent_id``) with the file (``parent, file_id``) whose id is a prefix of theirs, or the other way round.
 
-    An equality on the first eight characters narrows the prefix test; of several files the longest wins.
+    Each side's prefixes of the lengths that the other side's ids have meet these ids by equality, so that ids of any
+    length are matched without pairing all with all. Of several files the longest wins; without one it is null.
     """
     bare = lambda c: F.regexp_replace(c, "^agent-", "")
-    s = summaries.withColumn("__a", bare("agent_id")).withColumn("__k", F.substring("__a", 1, 8))
-    f = files.select("parent", "file_id", bare("file_id").alias("__f")).withColumn("__k", F.substring("__f", 1, 8))
-    hit = s.join(f, ["parent", "__k"], "left").withColumn("file_id", F.when(F.col("__a").startswith(F.col("__f")) | F.col("__f").startswith(F.col("__a")), F.col("file_id")))
-    return hit.groupBy(*summaries.columns).agg(F.max_by("file_id", F.struct(F.length("file_id"), "file_id")).alias("file_id"))
+    s = summaries.select("parent", "agent_id", bare("agent_id").alias("__a")).distinct()
+    f = files.select("parent", "file_id", bare("file_id").alias("__f")).distinct()
+
+    def prefixes(df: DataFrame, name: str, lengths: list[int]) -> DataFrame:
+        """``__k``: those of its id's prefixes that have one of the lengths (as many as ids have different lengths)."""
+        fits = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length(name))
+        return df.withColumn("__k", F.explode(F.transform(fits, lambda n: F.substr(F.col(name), F.lit(1), n))))
+
+    lengths = lambda df, name: sorted(r[0] for r in df.select(F.length(name)).distinct().collect() if r[0])
+    shorter_file = prefixes(s, "__a", lengths(f, "__f")).join(f.withColumnRenamed("__f", "__k"), ["parent", "__k"])
+    shorter_agent = prefixes(f, "__f", lengths(s, "__a")).join(s.withColumnRenamed("__a", "__k"), ["parent", "__k"])
+    hits = shorter_file.select("parent", "agent_id", "file_id").unionByName(shorter_agent.select("parent", "agent_id", "file_id"))
+    best = hits.groupBy("parent", "agent_id").agg(F.max_by("file_id", F.struct(F.length("file_id"), "file_id")).alias("file_id"))
+    return summaries.join(best, ["parent", "agent_id"], "left").select(*summaries.columns, "file_id")
 
 
-def child_ids(children: DataFrame) -> DataFrame:
-    """``id`` for each child (``parent_id, uid``): eight characters of its uid, twelve where parents clash."""
-    w = Window.partitionBy(F.substring("uid", 1, 8)).orderBy("parent_id")
-    clash = F.dense_rank().over(w) > 1
-    return children.withColumn("id", F.when(clash, F.substring("uid", 1, 12)).otherwise(F.substring("uid", 1, 8)))
+def child_ids(children: DataFrame, sessions: DataFrame) -> DataFrame:
+    """``id`` for each child (``parent_id, uid``): eight characters of its uid, twelve where another parent has these, else null.
+
+    ``sessions`` (``id, parent_id, session_type``) are those stored before. An id that they don't have is free, and one that belongs
+    to the child's own parent stays its id; so does that of an orphan (a child without a parent), which the child claims. Of
+    several parents that want a free id in one run the smallest gets it.
+    """
+    orphan = F.col("parent_id").isNull() & (F.col("session_type") == "subagent")
+    out = children.withColumn("id", F.lit(None).cast("string"))
+    for length in (8, 12):
+        owners = sessions.select(F.col("id").alias("__c"), F.col("parent_id").alias("__p"), orphan.alias("__orphan"), F.lit(True).alias("__known"))
+        # A name of eight characters or less has no longer id to try.
+        tries = F.col("id").isNull() & (F.length("uid") > (0 if length == 8 else 8))
+        out = out.withColumn("__c", F.when(tries, F.substring("uid", 1, length))).join(owners, "__c", "left")
+        # Its own comes before one that is free; null where another parent has it, or where it isn't tried.
+        claim = F.when(F.col("__c").isNull(), None).when(F.col("__p") == F.col("parent_id"), 0).when(F.coalesce("__orphan", F.lit(False)) | F.col("__known").isNull(), 1)
+        won = F.min(F.when(claim.isNotNull(), F.struct(claim.alias("claim"), F.col("parent_id").alias("p")))).over(Window.partitionBy("__c"))
+        out = out.withColumn("__w", won).withColumn("id", F.coalesce("id", F.when(F.col("__w.p") == F.col("parent_id"), F.col("__c")))).drop("__c", "__p", "__orphan", "__known", "__w")
+    return out
+
+
+def indexed_children(sessions: DataFrame, tags: DataFrame, summaries: DataFrame, files: DataFrame, rows: DataFrame, stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sessions and tags after the children of one run are taken in, and the summaries that no session came of.
+
+    ``summaries`` (``parent, agent_id, subagent_type``) say what parents know of their children, ``files`` (``parent, file_id``) what
+    logs there are, ``rows`` (``file_id`` and the columns of sessions) what these hold. A child has the start and the folder of
+    its parent where its own are unknown; it is tagged with its type; its parent becomes a coordinator. ``stage``
+    may write what several of the results are made of.
+    """
+    known = summaries.join(sessions.select(F.col("id").alias("parent")), "parent", "left_semi")
+    matched = match_files(known, files).withColumnRenamed("parent", "parent_id").withColumn("uid", F.col("agent_id"))
+    named = stage(child_ids(matched.filter("file_id IS NOT NULL"), sessions).unionByName(matched.filter("file_id IS NULL").withColumn("id", F.lit(None).cast("string"))))
+    # Two logs of one parent with one id are one session: the longer name wins.
+    made = named.filter("id IS NOT NULL").groupBy("id").agg(F.max_by(F.struct("file_id", "parent_id", "subagent_type"), F.struct(F.length("file_id"), "file_id")).alias("x")).select("id", "x.*")
+    new = rows.drop("id", "parent_id", "session_type", "subagent_type").join(made, "file_id").drop("file_id").withColumn("session_type", F.lit("subagent"))
+    new = stage(inherit(new.select(*sessions.columns), sessions))
+    parents = new.select(F.col("parent_id").alias("id")).distinct().withColumn("__has", F.lit(True))
+    old = sessions.join(new.select("id"), "id", "left_anti").join(parents, "id", "left").withColumn("session_type", F.when(F.col("__has"), "coordinator").otherwise(F.col("session_type"))).drop("__has")
+    typed = new.filter("subagent_type <> ''").select(F.col("id").alias("session_id"), F.col("subagent_type").alias("tag"))
+    lost = named.groupBy("parent_id", "agent_id").agg(F.count("id").alias("n")).filter("n = 0").drop("n")
+    return old.select(*sessions.columns).unionByName(new), tags.unionByName(typed.select(*tags.columns)).distinct(), lost
 
 
 def child_description(description, prompt):

@@ -8,6 +8,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import contains_ci
+
 K1, B = 1.2, 0.75
 # Search field -> the fact types it stands for.
 FIELD_GROUPS = {
@@ -41,28 +43,42 @@ def postings(docs: DataFrame, id_col: str, fields: tuple[str, ...]) -> DataFrame
     return each.groupBy("doc", "field", "term", "doc_len").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, query: str, id_col: str, fields: tuple[str, ...], *, keep: Column | None = None, limit: int | None = None) -> DataFrame:
-    """``doc, score``: terms are OR-ed, fields are added up; statistics are corpus-wide, filters come before the top.
+def _texts(docs: DataFrame, id_col: str, fields: tuple[str, ...], carry: tuple[str, ...]) -> DataFrame:
+    """``doc``, the columns of ``carry``, ``field`` and its terms ``t``: a row for each field of each document, from one scan."""
+    each = F.array(*(F.struct(F.lit(f).alias("field"), terms(F.col(f)).alias("t")) for f in fields))
+    return docs.select(F.col(id_col).alias("doc"), *carry, F.explode(each).alias("x")).select("doc", *carry, "x.field", "x.t")
+
+
+def ranked(hits: DataFrame, df: DataFrame, stats: DataFrame, carry: tuple[str, ...] = (), limit: int | None = None) -> DataFrame:
+    """``doc``, ``carry`` and ``score`` of hits (``doc, field, term, tf, doc_len``), the best first if there is a limit.
+
+    ``df`` (``field, term, df``) and ``stats`` (``field, n, mean``) have a row for each of the query's terms and fields, as few as
+    the query itself has.
+    """
+    both = hits.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(stats), "field")
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("mean")))
+    out = both.select("doc", *carry, score.alias("s")).groupBy("doc", *carry).agg(F.round(F.sum("s"), 6).alias("score"))
+    return out if limit is None else out.orderBy(F.desc("score"), "doc").limit(limit)
+
+
+def bm25(docs: DataFrame, query: str, id_col: str, fields: tuple[str, ...], *, keep: Column | None = None, carry: tuple[str, ...] = (), among: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """``doc, score`` (and ``carry``): terms are OR-ed, fields are added up; statistics are corpus-wide, filters come before the top.
 
-    One pass over the texts counts the query's terms and the lengths, so only matches are shuffled.
+    ``keep`` filters documents, ``among`` those whose row in the columns that both have is there. One scan of the texts counts
+    lengths, one the query's terms, so that only matches are shuffled.
     """
     wanted = query_terms(query)
-    scored, any_term = None, [F.lit(t) for t in wanted]
-    for name in fields:
-        flag = F.lit(True) if keep is None else keep
-        t = docs.select(F.col(id_col).alias("doc"), flag.alias("keep"), terms(F.col(name)).alias("t"))
-        stats = t.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean")).withColumn("one", F.lit(1))
-        hits = t.select("doc", "keep", F.size("t").alias("len"), F.explode(F.filter("t", lambda x: x.isin(wanted) if wanted else F.lit(False))).alias("term"))
-        tf = hits.groupBy("doc", "keep", "len", "term").agg(F.count("*").alias("tf"))
-        df = tf.groupBy("term").agg(F.count("*").alias("df"))
-        # One row per query term and one row of statistics: as small as the query itself.
-        joined = tf.filter("keep").join(F.broadcast(df), "term").withColumn("one", F.lit(1)).join(F.broadcast(stats), "one")
-        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-        part = joined.select("doc", score.alias("s"))
-        scored = part if scored is None else scored.unionByName(part)
-    out = scored.groupBy("doc").agg(F.round(F.sum("s"), 6).alias("score"))
-    return out if limit is None or not any_term else out.orderBy(F.desc("score"), "doc").limit(limit)
+    stats = _texts(docs, id_col, fields, ()).groupBy("field").agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
+    t = _texts(docs.withColumn("__keep", F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))), id_col, fields, ("__keep", *carry))
+    found = F.filter("t", lambda x: x.isin(wanted) if wanted else F.lit(False))
+    hits = t.select("doc", "__keep", *carry, "field", F.size("t").alias("doc_len"), F.explode(found).alias("term"))
+    hits = hits.groupBy("doc", "__keep", *carry, "field", "doc_len", "term").agg(F.count("*").alias("tf"))
+    df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
+    kept = hits.filter("__keep").drop("__keep")
+    if among is not None:
+        kept = kept.join(among, [c for c in carry if c in among.columns], "left_semi")
+    return ranked(kept, df, stats, carry, limit)
 
 
 def phrase(docs: DataFrame, words: str, id_col: str, field: str) -> DataFrame:
@@ -78,19 +94,29 @@ def field_filter(field: str) -> Column:
     return F.lit(True) if kinds is None else F.col("fact_type").isin(*kinds)
 
 
+def sessions_like(sessions: DataFrame, engine: str | None, cwd: str | None) -> DataFrame | None:
+    """``session_id`` of the sessions of an engine whose folder holds a text, whatever its case; None where all fit."""
+    if engine is None and cwd is None:
+        return None
+    fits = F.lit(True) if engine is None else F.col("engine") == engine
+    if cwd is not None:
+        fits = fits & contains_ci(F.col("cwd"), cwd)
+    return sessions.filter(fits).select(F.col("id").alias("session_id"))
+
+
+def enriched(found: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Hits with the type and the parent of their sessions."""
+    s = sessions.select(F.col("id").alias("session_id"), "session_type", "parent_id")
+    return found.withColumnRenamed("doc", "id").join(s, "session_id", "left").select("id", "session_id", "score", "session_type", "parent_id")
+
+
 def search_facts(facts: DataFrame, sessions: DataFrame, query: str, *, field: str = "all", engine: str | None = None, cwd: str | None = None, since: datetime | None = None, limit: int | None = 20) -> DataFrame:
-    """``id, session_id, score, session_type, parent_id``: the best facts of sessions that fit, filtered before the top.
+    """``id, session_id, score, session_type, parent_id``: the best facts, by subject and detail, filtered before the top.
 
-    Facts without a time fail ``since``; those of unknown sessions fail ``engine`` and ``cwd``.
+    Facts without a time fail ``since``; those of unknown sessions fail ``engine`` and ``cwd``, which minds no case.
     """
-    s = sessions.select(F.col("id").alias("session_id"), "engine", "cwd", "session_type", "parent_id")
     keep = field_filter(field)
-    if engine is not None:
-        keep = keep & (F.col("engine") == engine)
-    if cwd is not None:
-        keep = keep & F.col("cwd").contains(cwd)
     if since is not None:
         keep = keep & (F.col("ts") >= F.lit(since))
-    whole = facts.join(s, "session_id", "left")
-    found = bm25(whole, query, "id", ("detail",), keep=F.coalesce(keep, F.lit(False)), limit=limit)
-    return found.join(whole.select(F.col("id").alias("doc"), "session_id", "session_type", "parent_id"), "doc").withColumnRenamed("doc", "id").select("id", "session_id", "score", "session_type", "parent_id")
+    found = bm25(facts, query, "id", ("subject", "detail"), keep=keep, carry=("session_id",), among=sessions_like(sessions, engine, cwd), limit=limit)
+    return enriched(found, sessions)

@@ -42,15 +42,6 @@ def write_replacing(df: DataFrame, path: str, partition_by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
 
 
-def write_dated(docs: DataFrame, path: str, existing: DataFrame | None = None) -> None:
-    """Documents (``engine, started_at, id, text``) below engine, year, month and day; those that exist are left."""
-    d = docs.filter("started_at IS NOT NULL")
-    if existing is not None:
-        d = d.join(existing.select("id"), "id", "left_anti")
-    parts = {"y": F.date_format("started_at", "yyyy"), "m": F.date_format("started_at", "MM"), "d": F.date_format("started_at", "dd")}
-    d.withColumns(parts).select("engine", "y", "m", "d", "id", "text").write.mode("append").partitionBy("engine", "y", "m", "d").parquet(path)
-
-
 def advanced(cursors: DataFrame, runs: DataFrame) -> DataFrame:
     """``engine, seen_to`` after some runs (``engine, seen_to, failed``): only an engine without a failure moves on."""
     done = runs.groupBy("engine").agg(F.max("seen_to").alias("new"), F.max("failed").alias("failed"))

@@ -213,3 +213,6 @@ ORACLES |= {
     "needle_details": FX + DETAILS,
     "document_paths": FX + PLACES,
 }
+
+
+from . import stores_sql  # noqa: E402, F401  adds its SQL

@@ -348,7 +348,7 @@ def open_threads(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def conversation(spark: SparkSession, d: str) -> DataFrame:
-    return transcript.conversation(fx.fx_turns(spark, d), ["ord", "kind", "text"]).select("session_id", "turns", F.length("text").alias("chars"))
+    return transcript.conversation(fx.fx_turns(spark, d), ["ord", "kind", "text"]).select("session_id", "turns", F.md5("text").alias("text_md5"))
 
 
 @query
@@ -539,7 +539,7 @@ def child_progress(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def search_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return search.search_facts(fx.fx_facts(spark, d), _sessions(spark, d), "cargo todo code", field="commands", engine="codex", cwd="Proj1", since=datetime(2024, 1, 10), limit=None)
+    return search.search_facts(fx.fx_facts(spark, d), _sessions(spark, d), "cargo todo code", field="commands", engine="codex", cwd="proj1", since=datetime(2024, 1, 10), limit=None)
 
 
 def _session_handoffs(spark, d):
@@ -714,3 +714,6 @@ def document_paths(spark: SparkSession, d: str) -> DataFrame:
     places = F.array(F.when(F.col("n") % 3 == 0, F.concat(F.lit("/docs/"), "file")), F.when(F.col("n") % 5 != 0, in_home), F.when(F.col("n") % 5 == 0, F.concat(F.lit("/r/one/"), dated)), F.when(F.col("engine") == "claude", F.concat(F.lit("/r/two/"), dated)))
     existing = s.select(F.explode(F.array_compact(places)).alias("path"))
     return logs.document_paths(entries, existing, "/home/u", ["/r/one", "/r/two"])
+
+
+from . import stores  # noqa: E402, F401  registers its queries

@@ -128,7 +128,15 @@ def model_name(m: Column) -> Column:
 
 
 def events_a(lines: DataFrame) -> DataFrame:
-    """Canonical events of the first engine's lines; broken lines give none."""
+    """Canonical events of the first engine's lines; broken lines give none. Only a log's first record of metadata counts."""
+    out = parsed_a(lines)
+    # The window shares its shuffle with what groups by file next.
+    first = F.min(F.when(F.col("kind") == "meta", F.col("ord"))).over(Window.partitionBy("file"))
+    return out.withColumn("first_meta", first).filter((F.col("kind") != "meta") | (F.col("ord") == F.col("first_meta"))).drop("first_meta")
+
+
+def parsed_a(lines: DataFrame) -> DataFrame:
+    """Each line's events by itself, as :func:`events_a` has them but with all records of metadata."""
     df = _timed(lines.withColumn("v", F.try_parse_json("line")).filter("v IS NOT NULL"))
     v = F.col("v")
     kind, model = text_at(v, "$.type"), model_name(F.coalesce(text_at(v, "$.model"), text_at(v, "$.message.model")))
@@ -156,14 +164,32 @@ def events_a(lines: DataFrame) -> DataFrame:
         only(kind == "summary", event("summary", text=text_at(v, "$.summary"))),
     )
     blocks = F.when(kind.isin("user", "assistant"), F.transform(content, block)).otherwise(F.expr(f"CAST(array() AS ARRAY<{EVENT}>)"))
-    out = _spread(df, F.concat(F.array_compact(fixed), blocks))
-    # Only a log's first record of metadata counts. The window shares its shuffle with what groups by file next.
-    first = F.min(F.when(F.col("kind") == "meta", F.col("ord"))).over(Window.partitionBy("file"))
-    return out.withColumn("first_meta", first).filter((F.col("kind") != "meta") | (F.col("ord") == F.col("first_meta"))).drop("first_meta")
+    return _spread(df, F.concat(F.array_compact(fixed), blocks))
+
+
+def is_closing() -> Column:
+    """A message that closes a task; it often repeats what was said before."""
+    return F.coalesce((F.col("kind") == "assistant_text") & (F.col("name") == "task_complete"), F.lit(False))
+
+
+def said_key() -> Column:
+    """What stands for the text of a reply, null for other events."""
+    return F.when(F.col("kind") == "assistant_text", F.sha2("text", 256))
 
 
 def events_b(lines: DataFrame) -> DataFrame:
-    """Canonical events of the second engine's lines."""
+    """Canonical events of the second engine's lines.
+
+    A closing message that was said before in the session is dropped; its stop signal stays.
+    """
+    # Dealt out by file first: the window over a file's equal texts and those of what follows need no further shuffle.
+    out = parsed_b(lines).repartition("file").withColumn("said", said_key())
+    said_at = F.min("ord").over(Window.partitionBy("file", "said"))
+    return out.withColumn("said_at", said_at).filter(~(is_closing() & (F.col("said_at") < F.col("ord")))).drop("said", "said_at")
+
+
+def parsed_b(lines: DataFrame) -> DataFrame:
+    """Each line's events by itself, as :func:`events_b` has them but with all closing messages."""
     df = _timed(lines.withColumn("v", F.try_parse_json("line")).filter("v IS NOT NULL"))
     v = F.col("v")
     kind, sub = text_at(v, "$.type"), text_at(v, "$.payload.type")
@@ -192,12 +218,7 @@ def events_b(lines: DataFrame) -> DataFrame:
         only(is_item & sub.isin("function_call", "custom_tool_call"), event("tool_use", name=p("name"), call_id=p("call_id"), payload=arguments)),
         only(is_item & sub.isin("function_call_output", "custom_tool_call_output"), event("tool_result", call_id=p("call_id"), text=F.coalesce(p("output"), json_at(v, "$.payload.output")), is_error=bool_at(v, "$.payload.is_error"))),
     )
-    out = _spread(df, F.array_compact(events))
-    # A closing message that was said before in the session is dropped; its stop signal stays.
-    texts = out.filter("kind = 'assistant_text'").groupBy("file", "text").agg(F.min("ord").alias("said_at"))
-    out = out.join(texts, ["file", "text"], "left")
-    repeat = (F.col("name") == "task_complete") & (F.col("kind") == "assistant_text") & (F.col("said_at") < F.col("ord"))
-    return out.filter(~F.coalesce(repeat, F.lit(False))).drop("said_at").select("file", "ord", "sub_ord", "ts", *FIELDS)
+    return _spread(df, F.array_compact(events))
 
 
 def events_c(documents: DataFrame) -> DataFrame:
@@ -319,11 +340,39 @@ def inline_tools(lines: DataFrame) -> DataFrame:
     return lines.filter(F.col("line").contains("tool_use")).filter((text_at(v, "$.type") == "assistant") & calls).select("file").distinct()
 
 
+# The keys of a call's input that say what it is about, the first one present counts.
+ABOUT = ("file_path", "path", "file", "command", "cmd", "url", "query", "directory", "dir", "cwd")
+
+
+def last_call(v: Column, engine: str) -> Column:
+    """``name, summary`` of a record's last call with a name, null where it has none."""
+    if engine == "claude":
+        calls = F.when(text_at(v, "$.type") == "assistant", F.transform(F.filter(list_at(v, "$.message.content"), lambda b: F.coalesce(text_at(b, "$.type") == "tool_use", F.lit(False))), lambda b: F.struct(F.coalesce(text_at(b, "$.name"), F.lit("tool")).alias("name"), at(b, "$.input").alias("i"))))
+    elif engine == "codex":
+        sub = text_at(v, "$.payload.type")
+        given = F.when(sub == "function_call", text_at(v, "$.payload.arguments")).otherwise(text_at(v, "$.payload.input"))
+        call = F.struct(F.coalesce(text_at(v, "$.payload.name"), F.lit("tool")).alias("name"), F.try_parse_json(given).alias("i"))
+        calls = F.when((text_at(v, "$.type") == "response_item") & sub.isin("function_call", "custom_tool_call"), F.array(call))
+    else:
+        return F.lit(None).cast("struct<name:string,summary:string>")
+
+    def told(c: Column) -> Column:
+        i = c["i"]
+        first = lambda keys: F.coalesce(*(text_at(i, f"$.{k}") for k in keys))
+        nothing = i.isNull() | F.coalesce(F.schema_of_variant(i) == "VOID", F.lit(False))
+        about = F.coalesce(F.when(c["name"].isin("Bash", "exec_command"), first(("command", "cmd"))), first(ABOUT), F.when(~nothing, F.to_json(i)), F.lit("tool call"))
+        return F.struct(c["name"].alias("name"), F.when(F.char_length(about) > 120, F.concat(F.substring(about, 1, 117), F.lit("..."))).otherwise(about).alias("summary"))
+
+    named = F.filter(F.transform(calls, told), lambda c: c["name"] != "")
+    return F.try_element_at(named, F.lit(-1))
+
+
 def runtime_tail(lines: DataFrame, engine: str, n: int) -> DataFrame:
-    """``file, session_uid, last_event, samples`` from the last ``n`` lines of each log of one engine.
+    """``file, session_uid, last_event, action, summary, samples`` from the last ``n`` lines of each log of one engine.
 
-    The id is the first that these lines name, the time the last. A sample (``ts, tokens, input_tokens``) stands for
-    each use of tokens with a time, in order; the third engine has none. Broken lines count, but say nothing.
+    The id is the first that these lines name, the time the last; the action is the last call (its tool and what it is
+    about). A sample (``ts, tokens, input_tokens``) stands for each use of tokens with a time, in order; the third engine has
+    neither calls nor samples. Broken lines count, but say nothing. :func:`.growing.last_lines` reads no more lines than these.
     """
     newest = Window.partitionBy("file").orderBy(F.desc("ord"))
     tail = lines.withColumn("back", F.row_number().over(newest)).filter(F.col("back") <= n)
@@ -336,8 +385,8 @@ def runtime_tail(lines: DataFrame, engine: str, n: int) -> DataFrame:
         uid, at_usage = text_at(v, "$.sessionId"), "$.message.usage"
         inputs, counts = ("input_tokens", "cache_read_input_tokens", "cache_creation_input_tokens"), F.lit(engine == "claude")
     used = lambda name: F.coalesce(long_at(v, f"{at_usage}.{name}"), F.lit(0))
-    read = tail.select("file", "ord", uid.alias("uid"), ts.alias("ts"), counts.alias("counts"), sum(map(used, inputs[1:]), used(inputs[0])).alias("read"), used("output_tokens").alias("output"))
+    read = tail.select("file", "ord", uid.alias("uid"), ts.alias("ts"), last_call(v, engine).alias("call"), counts.alias("counts"), sum(map(used, inputs[1:]), used(inputs[0])).alias("read"), used("output_tokens").alias("output"))
     sample = F.when(F.col("counts") & F.col("ts").isNotNull() & (F.col("read") + F.col("output") > 0), F.struct("ord", "ts", (F.col("read") + F.col("output")).alias("tokens"), F.col("read").alias("input_tokens")))
     samples = F.transform(F.array_sort(F.collect_list(sample)), lambda x: x.dropFields("ord"))
     given = lambda c: F.when(F.col(c).isNotNull(), F.col("ord"))
-    return read.groupBy("file").agg(F.min_by("uid", given("uid")).alias("session_uid"), F.max_by("ts", given("ts")).alias("last_event"), samples.alias("samples"))
+    return read.groupBy("file").agg(F.min_by("uid", given("uid")).alias("session_uid"), F.max_by("ts", given("ts")).alias("last_event"), F.max_by("call", given("call")).alias("call"), samples.alias("samples")).select("file", "session_uid", "last_event", F.col("call.name").alias("action"), F.col("call.summary").alias("summary"), "samples")
