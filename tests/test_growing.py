@@ -80,13 +80,13 @@ def test_tails_give_what_whole_logs_give(spark, tmp_path, engine):
     rng, root, store = random.Random(engine), tmp_path / "logs" / "project", f"file://{tmp_path}/store"
     root.mkdir(parents=True)
     make = {"claude": claude_log, "codex": codex_log}[engine]
-    text = {f"log {i}.jsonl": make(rng, f"s{i}", rng.randrange(20, 90)) for i in range(6)}
-    text["empty.jsonl"], text["long.jsonl"] = b"", make(rng, "long", 900)
+    text = {f"log {i}.jsonl": make(rng, f"s{i}", rng.randrange(20, 90)) for i in range(4)}
+    text["empty.jsonl"], text["long.jsonl"] = b"", make(rng, "long", 400)
     at = dict.fromkeys(text, 0)
-    for step in range(4):
+    for step in range(3):
         added = 0
         for name, data in text.items():
-            to = len(data) if step == 3 else min(len(data), at[name] + rng.randrange(0, len(data) // 2 + 1))
+            to = len(data) if step == 2 else min(len(data), at[name] + rng.randrange(0, len(data) // 2 + 1))
             with open(root / name, "ab") as f:
                 f.write(data[at[name] : to])
             at[name] = to

@@ -79,7 +79,10 @@ def who(
     failed_only: bool = False,
     limit: int | None = None,
 ) -> DataFrame:
-    """Matching facts with their session's engine, parent and headline; the limit takes the newest facts."""
+    """Matching facts with their session's engine, parent and headline.
+
+    A limit takes the newest facts, sorted; without one the rows are in no order, since what groups them needs none.
+    """
     f = facts.filter(F.col("fact_type").isin(*VERBS[verb][0]) & verb_matches(verb, target))
     if since is not None:
         f = f.filter(F.col("ts") >= F.lit(since))
@@ -95,8 +98,7 @@ def who(
     if cwd is not None:
         s = s.filter(contains_ci(F.col("cwd"), cwd))
     out = f.join(s, "session_id").join(handoffs.select("session_id", "headline"), "session_id", "left")
-    out = out.orderBy(F.desc("ts"), F.desc("id"))
-    return out if limit is None else out.limit(limit)
+    return out if limit is None else out.orderBy(F.desc("ts"), F.desc("id")).limit(limit)
 
 
 def clean_subject(subject: Column) -> Column:

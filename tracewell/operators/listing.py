@@ -36,12 +36,13 @@ def list_sessions(
     any_tag: str | None = None,
     all_tags: tuple[str, ...] = (),
     show_all: bool = False,
-    sort: str = "started",
+    sort: str | None = None,
     limit: int | None = None,
 ) -> DataFrame:
     """Sessions with ``duration_secs`` and ``cost``; noise (no tools, under 30 s) goes unless ``show_all``.
 
-    Filters come before the limit. ``sort``: started, ended, tokens, cost or duration, descending.
+    Filters come before the limit. ``sort``: started, ended, tokens, cost or duration, descending. With neither it nor a
+    limit the rows are in no order; a limit alone takes the latest starts.
     """
     df = sessions
     for wanted, column in ((engine, "engine"), (session_type, "session_type"), (subagent_type, "subagent_type")):
@@ -63,7 +64,9 @@ def list_sessions(
     df = df.withColumns({"duration_secs": duration_seconds(as_of), "cost": cost()})
     if not show_all:
         df = df.filter(~((F.col("total_tools") == 0) & (F.col("duration_secs") < 30)))
-    key = {"started": F.col("started_at"), "ended": F.col("ended_at"), "tokens": F.col("total_input_tokens") + F.col("total_output_tokens"), "cost": F.col("cost"), "duration": F.col("duration_secs")}[sort]
+    if sort is None and limit is None:
+        return df
+    key = {"started": F.col("started_at"), "ended": F.col("ended_at"), "tokens": F.col("total_input_tokens") + F.col("total_output_tokens"), "cost": F.col("cost"), "duration": F.col("duration_secs")}[sort or "started"]
     df = df.orderBy(key.desc_nulls_last(), "id")
     return df if limit is None else df.limit(max(1, limit))
 

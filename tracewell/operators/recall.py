@@ -8,8 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ws_trim
-from .listing import resolve
+from ..functions.text import startswith_ci, ws_trim
 
 # Words that a query and headlines lose.
 STOP_WORDS = "the a an is was are were it its in on at to for of with and or but not this that by from".split()
@@ -77,14 +76,15 @@ def session_date(started_at: Column) -> Column:
 
 
 def by_id(handoffs: DataFrame, sessions: DataFrame, prefix: str | None = None) -> DataFrame:
-    """The summary of the one session an id or its start stands for, or of the newest session, with score 0.
+    """The summary of the one session whose id starts so, whatever the case, or of the newest session, with score 0.
 
-    No row where the id is ambiguous or unknown, or the session has no summary.
+    No row where several ids start so, even if one of them is no longer than that, where none does, or where the session has
+    no summary.
     """
     if prefix is None:
         wanted = sessions.orderBy(F.col("started_at").desc_nulls_last(), "id").limit(1).select("id")
     else:
-        wanted = resolve(sessions, prefix).filter("state <> 'ambiguous'").select("id")
+        wanted = sessions.filter(startswith_ci(F.col("id"), prefix)).agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1").select("id")
     found = handoffs.join(wanted.withColumnRenamed("id", "session_id"), "session_id", "left_semi")
     return found.withColumn("score", F.lit(0.0))
 

@@ -87,7 +87,7 @@ ORACLES = {
     "who_touched": who("fact_type IN ('file_read', 'file_write', 'command') AND (contains(lower(subject), 'file7') OR contains(lower(detail), 'file7'))"),
     "who_failed": who("fact_type = 'command' AND (exit_code <> 0 OR NOT success)"),
     "who_deleted": who("fact_type IN ('command', 'file_write') AND ((regexp_matches(lower(detail), 'rm |rm -|unlink|remove|del ') AND contains(lower(detail), 'target')) OR (fact_type = 'file_write' AND contains(lower(subject), 'target')))"),
-    "who_installed": who("fact_type = 'command' AND regexp_matches(lower(detail), 'install|add |brew |go get')"),
+    "who_installed": who("fact_type = 'command' AND f.id % 3 = 0"),
     "who_ran": who("fact_type = 'command' AND k % 5 IN (0, 1)"),
     "who_newest": who("fact_type = 'command'", "ORDER BY f.ts DESC, f.id DESC LIMIT 50"),
     "who_group": FX + GROUPED,
@@ -215,4 +215,4 @@ ORACLES |= {
 }
 
 
-from . import stores_sql  # noqa: E402, F401  adds its SQL
+from . import evidence_sql, stores_sql  # noqa: E402, F401  add their SQL

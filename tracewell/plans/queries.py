@@ -83,13 +83,19 @@ for _name, _verb, _target, _options in (
     ("who_touched", "touched", "file7", {}),
     ("who_failed", "ran", None, {"failed_only": True}),
     ("who_deleted", "deleted", "target", {}),
-    ("who_installed", "installed", None, {}),
     ("who_ran", "ran", "cargo", {}),
     ("who_newest", "ran", None, {"limit": 50}),
 ):
     QUERIES[_name] = lambda spark, d, v=_verb, t=_target, o=_options: _who(spark, d, v, t, **o)
 
 
+@query
+def who_installed(spark: SparkSession, d: str) -> DataFrame:
+    """Commands that install something: a third of the commands are made to."""
+    facts = fx.fx_facts(spark, d).withColumn("detail", F.when(F.col("id") % 3 == 0, F.concat("detail", F.lit(" && pip Install x"))).otherwise(F.col("detail")))
+    return attribution.who(facts, _sessions(spark, d), fx.fx_handoffs(spark, d), "installed").select("id", "session_id", "engine", "fact_type", "subject", "exit_code")
+
+
 @query
 def who_group(spark: SparkSession, d: str) -> DataFrame:
     found = attribution.who(fx.fx_facts(spark, d), _sessions(spark, d), fx.fx_handoffs(spark, d), "wrote", "/repo1/src/")
@@ -342,7 +348,9 @@ def turn_islands(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def open_threads(spark: SparkSession, d: str) -> DataFrame:
-    t = fx.fx_turns(spark, d).filter("kind = 'assistant_reply'").select("session_id", F.col("ord").alias("turn"), "ord", "text").distinct()
+    """Two marked lines are added to each reply."""
+    text = F.concat("text", F.lit("\n- TODO: item "), _text(F.col("ord")), F.lit("\r\n ** We Still Need it "))
+    t = fx.fx_turns(spark, d).filter("kind = 'assistant_reply'").select("session_id", F.col("ord").alias("turn"), "ord", text.alias("text")).distinct()
     return transcript.open_threads(t)
 
 
@@ -550,7 +558,7 @@ def _session_handoffs(spark, d):
 @query
 def recall_by_id(spark: SparkSession, d: str) -> DataFrame:
     newest = recall.by_id(_session_handoffs(spark, d), _sessions(spark, d).filter("total_turns > 0"))
-    return recall.brief(newest).unionByName(recall.brief(recall.by_id(_session_handoffs(spark, d), _sessions(spark, d), "u0008d05")))
+    return recall.brief(newest).unionByName(recall.brief(recall.by_id(_session_handoffs(spark, d), _sessions(spark, d), "U0008D05")))
 
 
 @query
@@ -716,4 +724,4 @@ def document_paths(spark: SparkSession, d: str) -> DataFrame:
     return logs.document_paths(entries, existing, "/home/u", ["/r/one", "/r/two"])
 
 
-from . import stores  # noqa: E402, F401  registers its queries
+from . import evidence, stores  # noqa: E402, F401  register their queries
