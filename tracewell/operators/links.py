@@ -110,6 +110,45 @@ def indexed_children(sessions: DataFrame, tags: DataFrame, summaries: DataFrame,
     return old.select(*sessions.columns).unionByName(new), tags.unionByName(typed.select(*tags.columns)).distinct(), lost
 
 
+def unlinked_files(files: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Child logs (``parent, agent_id, path``) that no session with a parent was read from; a path counts once."""
+    linked = sessions.filter("parent_id IS NOT NULL").select("path")
+    return files.dropDuplicates(["path"]).filter("parent <> ''").join(linked, "path", "left_anti")
+
+
+def recovery_counts(files: DataFrame, sessions: DataFrame) -> DataFrame:
+    """What a recovery would work on, without doing it: ``orphan_files, parent_groups``."""
+    return unlinked_files(files, sessions).agg(F.count("*").alias("orphan_files"), F.count_distinct("parent").alias("parent_groups"))
+
+
+def recovered(sessions: DataFrame, tags: DataFrame, files: DataFrame, rows: DataFrame, stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sessions and tags after child logs without a session are taken in, and ``ghosts_created, subagents_indexed, errors``.
+
+    ``rows`` (``path`` and the columns of sessions) is what the logs hold. A parent is named by the first eight characters of its
+    folder. One that isn't known is made up, with the earliest start among its children and the folder of that child, and
+    tagged ``_recovered``; a standalone one becomes a coordinator. A log without a row, or without a free id, is an error.
+    """
+    lost = unlinked_files(files, sessions).withColumn("parent_id", F.substring("parent", 1, 8))
+    read = stage(lost.join(rows.select("path", "started_at", "cwd"), "path", "left").join(rows.select("path").withColumn("there", F.lit(True)), "path", "left"))
+    groups = read.groupBy("parent_id").agg(F.count_if("there").alias("readable"), F.min("started_at").alias("started_at"), F.min_by("cwd", F.struct(F.col("started_at").isNull(), "started_at", "path")).alias("cwd"))
+    missing = groups.filter("readable > 0").join(sessions.select(F.col("id").alias("parent_id")), "parent_id", "left_anti")
+    typed = lambda c, made: (made if made is not None else F.lit(0 if sessions.schema[c].dataType.simpleString() in ("bigint", "int") else None)).cast(sessions.schema[c].dataType).alias(c)
+    ghost = {"id": F.col("parent_id"), "engine": F.lit("claude"), "session_type": F.lit("coordinator"), "path": F.lit("(recovered)"), "started_at": F.col("started_at"), "cwd": F.col("cwd")}
+    ghosts = stage(missing.select(*(typed(c, ghost.get(c)) for c in sessions.columns)))
+    all_known = sessions.unionByName(ghosts)
+    kids = child_ids(read.filter("there").withColumn("uid", F.col("agent_id")), all_known)
+    kids = stage(kids.join(all_known.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("path", "id", "parent_id", "agent_id"))
+    named = kids.filter("id IS NOT NULL").groupBy("id").agg(F.max_by(F.struct("path", "parent_id"), F.struct(F.length("agent_id"), "agent_id", "path")).alias("x")).select("id", "x.*")
+    new = stage(rows.drop("id", "parent_id", "session_type").join(named, "path").withColumn("session_type", F.lit("subagent")).select(*sessions.columns))
+    parents = groups.select(F.col("parent_id").alias("id")).withColumn("__has", F.lit(True))
+    kind = F.when(F.col("__has") & (F.col("session_type") == "standalone"), "coordinator").otherwise(F.col("session_type"))
+    old = all_known.join(new.select("id"), "id", "left_anti").join(parents, "id", "left").withColumn("session_type", kind).select(*sessions.columns)
+    more = ghosts.select(F.col("id").alias("session_id"), F.lit("_recovered").alias("tag")).select(*tags.columns)
+    done = ghosts.agg(F.count("*").alias("ghosts_created")).join(kids.agg(F.count("id").alias("subagents_indexed"))).join(read.agg(F.count("*").alias("all")))
+    counts = done.select("ghosts_created", "subagents_indexed", (F.col("all") - F.col("subagents_indexed")).alias("errors"))
+    return old.unionByName(new), tags.unionByName(more).distinct(), counts
+
+
 def child_description(description, prompt):
     """At most 80 characters of a description, else the first line of the prompt that isn't blank."""
     first = F.trim(F.regexp_extract(F.coalesce(prompt, F.lit("")), r"(?m)^\s*(\S.*)$", 1))

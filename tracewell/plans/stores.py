@@ -264,3 +264,45 @@ def dated_documents(spark: SparkSession, d: str) -> DataFrame:
     dated.write_dated(spark, second.filter("total_tools % 6 = 0"), at, "handoffs", otherwise=date(2024, 2, 1))
     files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(at)
     return files.select(F.regexp_extract("_metadata.file_path", r"/([^/]+/[^/]+/\d+/\d+/\d+/[^/]+)$", 1).alias("path"), F.col("value").alias("text"))
+
+
+@query
+def log_folders(spark: SparkSession, d: str) -> DataFrame:
+    """The logs of three engines in folders as they keep them, with child logs: what their heads say, how many lines and children they have."""
+    at = _shared(spark, "folders")
+    s = _said(spark, d).withColumn("log", F.concat(F.lit("s"), _text(F.col("user_id") % 6)))
+    cwd, model, day = F.concat(F.lit("/w"), _text(F.col("k"))), F.concat(F.lit("m"), _text(F.col("k") % 5)), F.date_format(F.lit(date(2024, 1, 5)), "yyyy/MM/dd")
+    a = _spread(s.withColumn("file", F.concat(F.lit("a/proj"), _text(F.col("user_id") % 2), F.lit("/"), "log", F.lit(".JSONL"))), _json(type=F.lit("file-history-snapshot"), snapshot=F.struct(_stamp().alias("timestamp"))), F.lit("{broken"), _json(type=F.lit("user"), sessionId=F.col("log"), cwd=F.when(F.col("k") % 3 == 0, cwd), message=F.struct(model.alias("model"))))
+    kid = s.filter("k % 9 = 0").withColumn("file", F.concat(F.lit("a/proj"), _text(F.col("user_id") % 2), F.lit("/"), "log", F.lit("/subagents/agent-"), _text(F.col("k")), F.lit(".jsonl")))
+    stray = s.withColumn("file", F.concat(F.lit("a/proj"), _text(F.col("user_id") % 2), F.lit("/agent-x.jsonl")))
+    b = _spread(s.withColumn("file", F.concat(F.lit("b/"), day, F.lit("/rollout-"), "log", F.lit(".jsonl"))), _codex("session_meta", _json(id=F.col("log"), cwd=F.when(F.col("k") % 4 == 0, cwd), forked_from_id=F.when(F.col("k") % 2 == 0, F.lit("f")))), _codex("turn_context", _json(model=model)))
+    first = Window.partitionBy("log").orderBy("id")
+    whole = s.withColumn("nth", F.row_number().over(first)).filter("nth = 1").withColumn("file", F.concat(F.lit("c/"), F.md5("log"), F.lit("/chats/session-"), "log", F.lit(".json")))
+    c = _spread(whole, _json(sessionId=F.col("log"), startTime=_stamp(), messages=F.array(F.struct(F.lit("user").alias("type"), F.lit(None).cast("string").alias("model")), F.struct(F.lit("gemini").alias("type"), model.alias("model")))))
+    none = _spread(whole.withColumn("file", F.concat(F.lit("c/"), F.md5("log"), F.lit("/chats/session-broken.json"))), F.lit("{no json"))
+    for lines in (a, _spread(kid, F.lit("{}")), _spread(stray, F.lit("{}")), b, c, none):
+        write_logs(lines, at)
+    read = {"claude": logs.engine_a(spark, f"{at}/a"), "codex": logs.engine_b(spark, f"{at}/b")}
+    children_of = logs.child_logs(spark, f"{at}/a").groupBy(F.regexp_extract("parent_dir", "([^/]+/[^/]+)$", 1).alias("of")).agg(F.count("*").alias("children"))
+    out = None
+    for engine, lines in read.items():
+        heads = logs.log_heads(lines, engine).join(lines.groupBy("file").agg(F.count("*").alias("lines")), "file").withColumn("engine", F.lit(engine))
+        out = heads if out is None else out.unionByName(heads)
+    out = out.unionByName(logs.document_heads(logs.engine_c(spark, f"{at}/c")).withColumns({"lines": F.lit(1).cast("bigint"), "engine": F.lit("gemini")}))
+    out = out.withColumn("of", F.regexp_extract("file", r"([^/]+/[^/.]+)\.JSONL$", 1)).join(children_of, "of", "left")
+    return out.select("engine", "session_uid", "model", "cwd", "started_at", "forked_from", "lines", F.coalesce("children", F.lit(0)).alias("children"))
+
+
+@query
+def recovered_children(spark: SparkSession, d: str) -> DataFrame:
+    """Child logs without a session taken in: parents that are made up or promoted, and what was done."""
+    s = _sessions(spark, d).withColumn("path", F.concat(F.lit("/logs/"), "id"))
+    # The children of one day lost their sessions, those of another their parents' too.
+    lost = F.col("parent_id").isNotNull() & F.col("id").rlike("d(16|17|21|22)$")
+    kept = s.filter(~lost & ~F.col("id").rlike("d20$")).withColumn("session_type", F.when(F.col("id").endswith("d15"), "standalone").otherwise(F.col("session_type")))
+    files = s.filter("parent_id IS NOT NULL").select(F.concat(F.col("parent_id"), F.lit("-of-a-longer-name")).alias("parent"), F.concat(F.reverse("id"), F.lit("0000000")).alias("agent_id"), "path")
+    rows = s.filter(lost & (F.col("total_tools") % 4 > 0))
+    at = Store(spark, _shared(spark, "recovered"))
+    after, tags, counts = links.recovered(kept, fx.fx_tags(spark, d).limit(0), files.unionByName(files), rows, lambda df: at.staged(df, "part"))
+    named = after.join(tags.withColumnRenamed("session_id", "id"), "id", "left").join(counts).join(links.recovery_counts(files, kept))
+    return named.select("id", "parent_id", "session_type", _clock("started_at").alias("started_at"), "tag", "ghosts_created", "subagents_indexed", "errors", "orphan_files", "parent_groups")

@@ -268,12 +268,29 @@ def detect_engine(lines: DataFrame) -> DataFrame:
     return head.groupBy("file").agg(F.min_by("engine", F.when(F.col("engine").isNotNull(), F.col("ord"))).alias("e")).select("file", F.coalesce("e", path).alias("engine"))
 
 
-def head_metadata(events: DataFrame, lines: int = 30) -> DataFrame:
-    """The first id, folder, version and model that a file's first lines name."""
-    w = Window.partitionBy("file").orderBy("ord")
-    m = events.withColumn("line_no", F.dense_rank().over(w)).filter((F.col("kind") == "meta") & (F.col("line_no") <= lines))
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("ord", "sub_ord")))
-    return m.groupBy("file").agg(first("name").alias("session_uid"), first("text").alias("cwd"), first("payload").alias("version"), first("model").alias("model"), first("call_id").alias("forked_from"), F.min("ts").alias("started_at"))
+def log_heads(lines: DataFrame, engine: str, n: int = 30) -> DataFrame:
+    """``file, session_uid, model, cwd, started_at, forked_from``: the first of each that a log's first ``n`` lines name.
+
+    The start is text, as the log has it; in the first engine's logs the time of a snapshot will do. Broken lines count
+    among the first, but say nothing. Each task keeps a log's first lines only before they are shuffled.
+    """
+    order = Window.partitionBy("file").orderBy("ord")
+    v = F.try_parse_json("line")
+    any_of = lambda *paths: F.coalesce(*(text_at(v, p) for p in paths))
+    if engine == "codex":
+        found = {"session_uid": any_of("$.payload.id", "$.session_id"), "model": any_of("$.payload.model"), "cwd": any_of("$.payload.cwd", "$.cwd"), "started_at": any_of("$.payload.timestamp", "$.timestamp"), "forked_from": any_of("$.payload.forked_from_id")}
+    else:
+        found = {"session_uid": any_of("$.sessionId"), "model": any_of("$.message.model"), "cwd": any_of("$.cwd"), "started_at": any_of("$.timestamp", "$.snapshot.timestamp"), "forked_from": F.lit(None).cast("string")}
+    head = lines.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= n).select("file", "ord", *(x.alias(c) for c, x in found.items()))
+    return head.groupBy("file").agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ord"))).alias(c) for c in found))
+
+
+def document_heads(documents: DataFrame) -> DataFrame:
+    """The same of the third engine's documents: its first message's model, and no folder."""
+    v = F.col("v")
+    models = F.array_compact(F.transform(list_at(v, "$.messages"), lambda m: text_at(m, "$.model")))
+    none = F.lit(None).cast("string")
+    return documents.select("file", text_at(v, "$.sessionId").alias("session_uid"), F.get(models, F.lit(0)).alias("model"), none.alias("cwd"), text_at(v, "$.startTime").alias("started_at"), none.alias("forked_from"))
 
 
 def needle_scan(lines: DataFrame, token: str) -> DataFrame:
@@ -296,10 +313,29 @@ def import_summaries(spark: SparkSession, path: str) -> DataFrame:
     any_of = lambda *names: F.coalesce(*(text_at(e, f"$.{n}") for n in names))
     items = lambda *names: F.coalesce(*(F.try_variant_get(e, f"$.{n}", "array<string>") for n in names), *(F.transform(F.split(text_at(e, f"$.{n}"), ","), lambda x: F.trim(x)) for n in names))
     both = from_list.unionByName(from_map)
-    out = both.select(F.coalesce(any_of("session_id", "sessionId", "id"), "key").alias("session_id"), any_of("headline", "title").alias("headline"), items("projects", "project").alias("projects"), items("keywords", "tags").alias("keywords"), F.coalesce(long_at(e, "$.substance"), F.lit(0)).alias("substance"), any_of("content_path", "path").alias("content_path"))
+    plain = {"engine": ("engine",), "model": ("model",), "cwd": ("cwd",), "started_at": ("started_at", "startedAt"), "generated_at": ("generated_at", "generatedAt")}
+    out = both.select(F.coalesce(any_of("session_id", "sessionId", "id"), "key").alias("session_id"), any_of("headline", "title").alias("headline"), items("projects", "project").alias("projects"), items("keywords", "tags").alias("keywords"), F.coalesce(long_at(e, "$.substance"), F.lit(0)).alias("substance"), any_of("content_path", "path").alias("content_path"), *(any_of(*names).alias(c) for c, names in plain.items()))
     return out.filter("session_id IS NOT NULL")
 
 
+def imported(entries: DataFrame, sessions: DataFrame, handoffs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sessions and handoffs after the ``entries`` of :func:`import_summaries` are taken in, and ``imported, skipped`` counts.
+
+    An entry whose session has a summary is skipped; of several for one session the first by headline counts. A session that isn't
+    known gets a row of its own, with the start that the entry names and the first engine unless it names the second.
+    """
+    there = handoffs.select("session_id").distinct()
+    new = entries.join(there, "session_id", "left_anti").groupBy("session_id").agg(F.min_by(F.struct(*(c for c in entries.columns if c != "session_id")), F.struct(F.col("headline").isNull(), "headline")).alias("e")).select("session_id", "e.*")
+    start = F.coalesce("started_at", "generated_at").try_cast("timestamp")
+    known = F.lower(F.trim("engine"))
+    made = {"id": F.col("session_id"), "engine": F.when(known.isin("claude", "codex"), known).otherwise("claude"), "session_type": F.lit("standalone"), "started_at": start, "ended_at": start, "last_event_at": start, "model": F.col("model"), "cwd": F.col("cwd")}
+    zero = lambda c: F.lit(0 if sessions.schema[c].dataType.simpleString() in ("bigint", "int") else None).cast(sessions.schema[c].dataType)
+    stubs = new.join(sessions.select(F.col("id").alias("session_id")), "session_id", "left_anti").select(*(made.get(c, zero(c)).cast(sessions.schema[c].dataType).alias(c) for c in sessions.columns))
+    added = new.select(*(F.col(c).cast(handoffs.schema[c].dataType).alias(c) if c in new.columns else F.lit(None).cast(handoffs.schema[c].dataType).alias(c) for c in handoffs.columns))
+    both = entries.agg(F.count("*").alias("all")).join(new.agg(F.count("*").alias("imported")))
+    return sessions.unionByName(stubs), handoffs.unionByName(added), both.select("imported", (F.col("all") - F.col("imported")).alias("skipped"))
+
+
 def document_paths(entries: DataFrame, existing: DataFrame, home: str, roots: list[str]) -> DataFrame:
     """``session_id, content_path, path``: where the document of an imported summary is, null where nowhere.
 
