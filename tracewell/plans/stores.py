@@ -212,6 +212,17 @@ def agent_sections(spark: SparkSession, d: str) -> DataFrame:
     return assembly.agent_sections(_agents(spark, d, logs.events_b(_talk(spark, d)))).withColumnRenamed("file", "session_id")
 
 
+@query
+def executive_summary(spark: SparkSession, d: str) -> DataFrame:
+    """What each session has touched and run, a table of its agents, its head and its title."""
+    events = logs.events_b(_talk(spark, d))
+    blocks = assembly.turn_blocks(events)
+    sections = assembly.summary_sections(blocks, _agents(spark, d, events))
+    head = assembly.front_matter(ingest.named_sessions(ingest.session_rows(events)), blocks, 3).select("file", F.lit(-1).alias("section"), "text")
+    title = assembly.titles(events, blocks).select("file", F.lit(0).alias("section"), "text")
+    return sections.unionByName(head).unionByName(title).withColumnRenamed("file", "session_id")
+
+
 @query
 def child_index(spark: SparkSession, d: str) -> DataFrame:
     """Children taken in by two runs: ids that clash between parents, orphans that are claimed, types that become tags."""
