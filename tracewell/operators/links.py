@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import short_id
+
 
 def last_earlier(results: DataFrame, calls: DataFrame, keys: list[str], take: list[str], order: str = "ord") -> DataFrame:
     """``results`` with the columns ``take`` of the last call before each (or at the same place), per key.
@@ -110,6 +112,23 @@ def indexed_children(sessions: DataFrame, tags: DataFrame, summaries: DataFrame,
     return old.select(*sessions.columns).unionByName(new), tags.unionByName(typed.select(*tags.columns)).distinct(), lost
 
 
+def forked(sessions: DataFrame) -> DataFrame:
+    """Sessions (with ``forked_from``, ``agent_role``) of the second engine linked with those that they were forked from.
+
+    A fork is a child of the session whose id is the short form of ``forked_from``, with its role as its type. Standalone
+    sessions of that engine that a child of it names as its parent become coordinators.
+    """
+    codex, fork = F.col("engine") == "codex", F.col("forked_from").isNotNull()
+    s = sessions.withColumns({
+        "parent_id": F.when(codex & fork, short_id(F.col("forked_from"), F.lit(True))).otherwise(F.col("parent_id")),
+        "session_type": F.when(codex & fork, "subagent").otherwise(F.col("session_type")),
+        "subagent_type": F.when(codex & fork, F.col("agent_role")).otherwise(F.col("subagent_type")),
+    })
+    named = s.filter(codex & (F.col("session_type") == "subagent") & F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("id")).distinct().withColumn("__named", F.lit(True))
+    kind = F.when(codex & (F.col("session_type") == "standalone") & F.col("__named"), "coordinator").otherwise(F.col("session_type"))
+    return s.join(named, "id", "left").withColumn("session_type", kind).select(*sessions.columns)
+
+
 def unlinked_files(files: DataFrame, sessions: DataFrame) -> DataFrame:
     """Child logs (``parent, agent_id, path``) that no session with a parent was read from; a path counts once."""
     linked = sessions.filter("parent_id IS NOT NULL").select("path")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..functions.timebounds import time_bound, window_label
-from ..operators import activity, attribution, handoff, inspection, links, listing, rollup, tables, transcript
+from ..operators import activity, attribution, handoff, inspection, links, listing, recall, rollup, tables, transcript
 from ..sources import adapter as fx
 from ..sources import logs
 from .queries import AS_OF, _clock, _json, _said, _sessions, _text, query
@@ -80,7 +80,8 @@ def handoff_documents(spark: SparkSession, d: str) -> DataFrame:
     """Heads of summary documents, and whether a transcript is to be rendered again."""
     s = _sessions(spark, d)
     docs = s.select("id", F.when(F.col("total_tools") % 3 > 0, F.col("total_tools") % 3).alias("render_version"), F.repeat(F.lit("é"), F.col("total_tools").cast("int")).alias("text"))
-    return handoff.front_matter(s).join(transcript.stale_documents(docs, 2), "id")
+    body = recall.without_front_matter(F.concat("head", F.lit("body of "), "id"))
+    return handoff.front_matter(s).withColumn("body", body).join(transcript.stale_documents(docs, 2), "id")
 
 
 @query
@@ -103,3 +104,13 @@ def orphan_parents(spark: SparkSession, d: str) -> DataFrame:
     parents = ghosts.select(F.col("parent_id").alias("id"), "started_at", F.lit("/made").alias("cwd"))
     kids = s.join(ghosts.select("parent_id"), "parent_id", "left_semi").select("id", "parent_id", F.lit(None).cast("timestamp").alias("started_at"), F.lit(None).cast("string").alias("cwd"))
     return links.inherit(kids, parents).select("id", "parent_id", _clock("started_at").alias("started_at"), "cwd")
+
+
+@query
+def forked_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Forks of the second engine linked with the sessions they came of, which become coordinators."""
+    s = _sessions(spark, d).filter("parent_id IS NULL").withColumn("session_type", F.lit("standalone"))
+    # Full ids: their last eight hex digits, without dashes, are the short ones.
+    digits = F.concat(F.substring("id", 2, 4), F.lit("d"), F.substring("id", 7, 2))
+    s = s.withColumns({"id": F.concat(F.lit("0"), digits), "forked_from": F.when(F.substring("id", 7, 2) == "10", F.concat(F.lit("0190-a0-"), F.substring("id", 2, 4), F.lit("-d05"))), "agent_role": F.when(F.col("total_tools") % 2 == 0, "scout")})
+    return links.forked(s).select("id", "engine", "parent_id", "session_type", "subagent_type")

@@ -19,7 +19,7 @@ ORACLES |= {
  SELECT id, size, CASE WHEN NOT known OR redo THEN 'full' WHEN size = off THEN 'skip' WHEN size > off THEN 'tail' ELSE 'full' END AS action FROM p""",
     "handoff_documents": FX
     + """SELECT id, '---' || chr(10) || 'id: ' || id || chr(10) || 'engine: ' || engine || chr(10) || 'date: ' || strftime(started_at, '%Y-%m-%d') || chr(10) || 'duration_minutes: ' || CAST(floor((floor(epoch(coalesce(ended_at, last_event_at))) - floor(epoch(started_at))) / 60) AS BIGINT) || chr(10) || '---' || chr(10) AS head,
- coalesce(nullif(total_tools % 3, 0) <> 2, true) AS stale, CAST(2 * total_tools AS INTEGER) AS bytes, CAST(2 * total_tools // 4 AS BIGINT) AS tokens FROM fx_sessions""",
+ 'body of ' || id AS body, coalesce(nullif(total_tools % 3, 0) <> 2, true) AS stale, CAST(2 * total_tools AS INTEGER) AS bytes, CAST(2 * total_tools // 4 AS BIGINT) AS tokens FROM fx_sessions""",
     "handoff_extract": FX + "SELECT session_id, headline, array_to_string(projects, ',') AS projects, array_to_string(keywords, ',') AS keywords, CASE WHEN CAST(substr(session_id, 4) AS INTEGER) % 3 = 2 THEN substance ELSE least(substance + 2, 3) END AS substance FROM fx_handoffs WHERE headline <> '' AND len(keywords) > 0",
     "orphan_parents": FX + f", k AS (SELECT * FROM fx_sessions WHERE id NOT LIKE '%10' AND parent_id NOT IN (SELECT id FROM fx_sessions WHERE id NOT LIKE '%10')) SELECT id, parent_id, {T.format('min(started_at) OVER (PARTITION BY parent_id)')} AS started_at, '/made' AS cwd FROM k",
     "open_threads": FX
@@ -44,3 +44,9 @@ ORACLES |= {
     + T.format("started_at")
     + """, NULL FROM s""",
 }
+
+ORACLES |= {
+    "forked_sessions": FX
+    + """, s AS (SELECT '0' || substr(id, 2, 4) || 'd' || substr(id, 7, 2) AS id, engine, CASE WHEN id LIKE '%d10' AND engine = 'codex' THEN '0' || substr(id, 2, 4) || 'd05' END AS p, CASE WHEN id LIKE '%d10' AND engine = 'codex' AND total_tools % 2 = 0 THEN 'scout' END AS t FROM fx_sessions WHERE parent_id IS NULL)
+ SELECT id, engine, p AS parent_id, CASE WHEN p IS NOT NULL THEN 'subagent' WHEN engine = 'codex' AND id IN (SELECT p FROM s WHERE p IS NOT NULL) THEN 'coordinator' ELSE 'standalone' END AS session_type, t AS subagent_type FROM s""",
+}
