@@ -90,7 +90,8 @@ def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """One row per input row: ``doc_id``, ``text_key``, counts of the strong kinds and ``spans``.
 
     ``spans`` is an array of (start, rank, kind, end), ordered by start and then kind. Null and empty
-    texts have none; repeated rows give repeated results; null ids are allowed; other columns are ignored.
+    texts have none; repeated rows give repeated results; null ids are allowed; other columns are ignored. An empty
+    table gives no rows; texts of any length are read whole; spans that begin at one place are in the order of their kinds.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rank = F.create_map(*(F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)))

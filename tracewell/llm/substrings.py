@@ -182,7 +182,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Words covered by a repeated window go; ``kept_text`` joins the others by one blank; ``repeats`` holds
     the removed spans (start, end) in words: the document's maximal repeats. Ids are integers. Rows with
     equal ids are one document: they don't repeat each other at the same place. Rows without an id are
-    neither sources nor changed. Null text has no words; other columns are ignored.
+    neither sources nor changed. Null text has no words; other columns are ignored. An empty table gives no rows; texts of
+    any length are read whole. Of places with one window the smallest id, and in it the first place, is the one that stays.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     starts = repeated_windows(src, window=window)
