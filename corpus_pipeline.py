@@ -2,6 +2,10 @@
 
 Each stage takes all that the one before it kept, as the columns of ``documents``. Every stage but the
 last returns these columns. ``run`` writes each stage's rows to the shared folder and reads them again.
+
+For all stages: a null text counts as an empty one (which the quality rules reject); rows with one id and one text are judged
+alike, and near-dedup leaves one of them; null ids are ids like others in every join; an empty table gives an empty table;
+texts of any length are read whole; further columns, of any name, pass through unchanged.
 """
 
 from __future__ import annotations
