@@ -363,3 +363,13 @@ def test_pooled_probabilities_against_plain_loops():
             total += net.forward(x)[: len(part), 0].sum(0)
         assert np.allclose(row, total / max(len(text), 1), atol=1e-5)
         assert not len(text) or np.isclose(row.sum(), 1, atol=1e-4)
+
+
+def test_stages_of_an_empty_table_give_empty_tables(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, more string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and out.collect() == [], name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect() == []
