@@ -124,6 +124,19 @@ def quality_base(docs):
     return out
 
 
+def quality_histograms(docs, bins):
+    """Characters by class (lower, upper, digit, space, beyond ASCII, other) and words by bin, all others last."""
+    out = []
+    for d, t in docs:
+        t = t or ""
+        w = Counter(SPACE_WORD.findall(t))
+        ranges = [("a", "z"), ("A", "Z"), ("0", "9"), None, ("\x80", "\U0010ffff")]
+        n = [sum(c in " \t\n\x0b\x0c\r" if r is None else r[0] <= c <= r[1] for c in t) for r in ranges]
+        common = [w[b] for b in bins]
+        out.append((d, [*n, len(t) - sum(n)], [*common, w.total() - sum(common)]))
+    return out
+
+
 def shingles(t, size):
     w = SPACE_WORD.findall(low(t))
     return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set())

@@ -133,6 +133,32 @@ def test_js_distance(spark):
     assert got[0] == 0 and math.isclose(got[1], 1) and math.isclose(got[2] ** 2, 0.3112781244591328)
 
 
+def test_quality_histograms(case):
+    rows, docs = case
+    same(quality.features(docs), ["doc_id", "class_counts", "word_counts"], brute.quality_histograms(rows, quality.WORD_BINS))
+
+
+def test_quality_distances_equal_those_row_by_row(spark, tables):
+    """To the last bit, also of empty texts, repeated rows and null ids."""
+    docs = tables["made"][1].unionByName(tables["given"][1].select("doc_id", "text", "lang"), allowMissingColumns=True)
+    rows = quality.stored(quality.features(docs).withColumn("row", F.monotonically_increasing_id()), "features")
+    refs = quality.references(rows, tuple(quality.COMMON_WORDS))
+    assert len(refs) == 4
+    pairs = [F.struct(quality.js_distance(F.col("class_counts"), r["class_counts"]).alias("c"), quality.js_distance(F.slice("word_counts", 1, len(quality.WORD_BINS)), r["word_counts"]).alias("w"), F.lit(k).alias("lang")) for k, r in refs.items()]
+    want = {r.row: min((p.c + p.w, p.c, p.w, p.lang) for p in r.p) for r in rows.select("row", F.array(*pairs).alias("p")).collect()}
+    got = quality.distances(rows, refs).collect()
+    assert len(got) == len(want) == docs.count() and {r.row: tuple(r.near) for r in got} == want
+    assert all(r.near is None for r in quality.distances(rows, {}).collect())
+
+
+def test_quality_has_no_costly_array_functions(tables):
+    """Sorts with an interpreted comparison, a scan of the text per common word and a fold per language took most of the time."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    docs = tables["given"][1]
+    assert "array_sort(" not in plan(quality.features(docs)) and "replace(common" not in plan(quality.features(docs))
+    assert "zip_with(" not in plan(quality.quality_rules(docs))
+
+
 @pytest.mark.parametrize("size", [2, 5])
 def test_near_duplicates(case, size):
     rows, docs = case
