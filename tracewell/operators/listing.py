@@ -154,27 +154,28 @@ def of_day(sessions: DataFrame, day: str) -> DataFrame:
     return sessions.filter(F.date_format("started_at", "yyyy-MM-dd") == day).orderBy("started_at", "id")
 
 
-def artefacts(sessions: DataFrame, root: str, existing: DataFrame) -> DataFrame:
-    """``id, kind, path, there``: where a session's transcript and summary belong, and whether they are in ``existing`` (``path``)."""
+def artefacts(sessions: DataFrame, root: str, existing: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``id, kind, path, there`` and ``carry``: where a session's transcript and summary belong, and whether they are in ``existing`` (``path``)."""
     kinds = F.explode(F.array(F.lit("sessions"), F.lit("handoffs")))
     parts = date_parts(F.col("started_at"))
-    s = sessions.select("id", kinds.alias("kind"), "engine", short_id(F.col("id"), F.col("engine") == "codex").alias("short"), *(parts[k].alias(k) for k in "ymd"))
+    s = sessions.select("id", kinds.alias("kind"), "engine", short_id(F.col("id"), F.col("engine") == "codex").alias("short"), *(parts[k].alias(k) for k in "ymd"), *carry)
     path = F.concat(F.lit(f"{root}/data/"), "engine", F.lit("/"), "kind", F.lit("/"), "y", F.lit("/"), "m", F.lit("/"), "d", F.lit("/"), "short", F.lit(".md"))
     there = existing.select("path").distinct().withColumn("found", F.lit(True))
-    return s.select("id", "kind", path.alias("path")).join(there, "path", "left").select("id", "kind", "path", F.coalesce("found", F.lit(False)).alias("there"))
+    return s.select("id", "kind", path.alias("path"), *carry).join(there, "path", "left").select("id", "kind", "path", F.coalesce("found", F.lit(False)).alias("there"), *carry)
 
 
-def needle_details(hits: DataFrame, sessions: DataFrame, handoffs: DataFrame, root: str, existing: DataFrame) -> DataFrame:
+def needle_details(hits: DataFrame, sessions: DataFrame, handoffs: DataFrame, root: str, existing: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """What is known of the session of each hit (``file, engine``), of its transcript and of its handoff.
 
-    ``handoffs`` has ``session_id, generated_at``. A hit of an unknown session stays, with nulls.
+    ``handoffs`` has ``session_id, generated_at``. A hit of an unknown session stays, with nulls; of several sessions with its id,
+    which the columns ``more`` of sessions and handoffs tell apart, each gives a row.
     """
     stem = F.regexp_replace(F.regexp_extract("file", "([^/]+)$", 1), "[.]jsonl?$", "")
     h = hits.select("file", short_id(stem, F.col("engine") == "codex").alias("id"))
     met = sessions.join(h.select("id").distinct(), "id", "left_semi")
-    known = met.select("id", "model", "cwd", "session_type", "last_event_at", F.col("total_turns").alias("turns"), "total_input_tokens", "total_output_tokens")
-    transcript = artefacts(met, root, existing).filter("kind = 'sessions'").select("id", F.col("path").alias("transcript"), F.col("there").alias("transcript_there"))
-    written = handoffs.groupBy(F.col("session_id").alias("of")).agg(F.max("generated_at").alias("handoff_at"))
-    out = h.join(known.join(transcript, "id"), "id", "left").join(written, F.col("id") == F.col("of"), "left")
+    shown = ("model", "cwd", "session_type", "last_event_at", "turns", "total_input_tokens", "total_output_tokens")
+    known = artefacts(met.withColumnRenamed("total_turns", "turns"), root, existing, (*shown, *more)).filter("kind = 'sessions'").select("id", *shown, *more, F.col("path").alias("transcript"), F.col("there").alias("transcript_there"))
+    written = handoffs.groupBy(F.col("session_id").alias("id"), *more).agg(F.max("generated_at").alias("handoff_at"), F.lit(True).alias("of"))
+    out = h.join(known, "id", "left").join(written, ["id", *more], "left").drop(*more)
     is_known = F.col("transcript_there").isNotNull()
     return out.withColumns({"handoff_there": F.when(is_known, F.col("of").isNotNull()), "handoff_at": F.when(is_known, F.col("handoff_at"))}).drop("of")
