@@ -140,12 +140,13 @@ def recovery_counts(files: DataFrame, sessions: DataFrame) -> DataFrame:
     return unlinked_files(files, sessions).agg(F.count("*").alias("orphan_files"), F.count_distinct("parent").alias("parent_groups"))
 
 
-def recovered(sessions: DataFrame, tags: DataFrame, files: DataFrame, rows: DataFrame, stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame, DataFrame]:
+def recovered(sessions: DataFrame, tags: DataFrame, files: DataFrame, rows: DataFrame, stage: Callable[[DataFrame], DataFrame] = lambda df: df, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sessions and tags after child logs without a session are taken in, and ``ghosts_created, subagents_indexed, errors``.
 
     ``rows`` (``path`` and the columns of sessions) is what the logs hold. A parent is named by the first eight characters of its
     folder. One that isn't known is made up, with the earliest start among its children and the folder of that child, and
     tagged ``_recovered``; a standalone one becomes a coordinator. A log without a row, or without a free id, is an error.
+    Two logs of one parent with one id are one session unless the columns ``more`` of ``files`` tell them apart.
     """
     lost = unlinked_files(files, sessions).withColumn("parent_id", F.substring("parent", 1, 8))
     read = stage(lost.join(rows.select("path", "started_at", "cwd"), "path", "left").join(rows.select("path").withColumn("there", F.lit(True)), "path", "left"))
@@ -156,8 +157,8 @@ def recovered(sessions: DataFrame, tags: DataFrame, files: DataFrame, rows: Data
     ghosts = stage(missing.select(*(typed(c, ghost.get(c)) for c in sessions.columns)))
     all_known = sessions.unionByName(ghosts)
     kids = child_ids(read.filter("there").withColumn("uid", F.col("agent_id")), all_known)
-    kids = stage(kids.join(all_known.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("path", "id", "parent_id", "agent_id"))
-    named = kids.filter("id IS NOT NULL").groupBy("id").agg(F.max_by(F.struct("path", "parent_id"), F.struct(F.length("agent_id"), "agent_id", "path")).alias("x")).select("id", "x.*")
+    kids = stage(kids.join(all_known.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("path", "id", "parent_id", "agent_id", *more))
+    named = kids.filter("id IS NOT NULL").groupBy("id", *more).agg(F.max_by(F.struct("path", "parent_id"), F.struct(F.length("agent_id"), "agent_id", "path")).alias("x")).select("id", "x.*")
     new = stage(rows.drop("id", "parent_id", "session_type").join(named, "path").withColumn("session_type", F.lit("subagent")).select(*sessions.columns))
     parents = groups.select(F.col("parent_id").alias("id")).withColumn("__has", F.lit(True))
     kind = F.when(F.col("__has") & (F.col("session_type") == "standalone"), "coordinator").otherwise(F.col("session_type"))
