@@ -80,19 +80,20 @@ def term_buckets(s: Store, wanted: list[str]) -> list[int]:
 
 
 def find(spark: SparkSession, store: str, sessions: DataFrame, query: str, *, field: str = "all", engine: str | None = None, cwd: str | None = None, since: datetime | None = None, limit: int | None = 20) -> DataFrame:
-    """What :func:`.search.search_facts` gives for the indexed facts, read from the buckets of the query's terms."""
+    """What :func:`.search.search_facts` gives for the indexed facts, read from the buckets of the query's terms; of lengths those of shared session ids are summed."""
     s, wanted = Store(spark, store), search.query_terms(query)
     hits = s.read("postings", term_buckets(s, wanted) if wanted else []).filter(F.col("term").isin(wanted) if wanted else F.lit(False))
     if "gone" in s:
         hits = live(hits, s.read("gone"))
     notes = s.notes()
-    df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
-    stats = spark.createDataFrame([(f, notes["n"], notes[f] / max(notes["n"], 1)) for f in FIELDS], "field string, n bigint, mean double")
+    counts = search.session_counts(sessions, engine, cwd)
+    # The notes count each fact once; those whose session's id several sessions have stand there more often.
+    shared = counts.filter("times > 1").select("session_id", (F.col("times") - 1).alias("more"))
+    again = s.read("lengths").join(shared, "session_id").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(a) for a, c in (("n", F.col("more")), *((f, F.col(f) * F.col("more")) for f in FIELDS)))).first()
+    sums = {c: notes[c] + again[c] for c in ("n", *FIELDS)}
+    stats = spark.createDataFrame([(f, sums["n"], sums[f] / max(sums["n"], 1)) for f in FIELDS], "field string, n bigint, mean double")
     keep = search.field_filter(field)
     if since is not None:
         keep = keep & (F.col("ts") >= F.lit(since))
-    kept = hits.filter(F.coalesce(keep, F.lit(False)))
-    among = search.sessions_like(sessions, engine, cwd)
-    if among is not None:
-        kept = kept.join(among, "session_id", "left_semi")
+    df, kept = search.counted_hits(hits, counts, F.coalesce(keep, F.lit(False)), int(engine is None and cwd is None))
     return search.enriched(search.ranked(kept, df, stats, ("session_id",), limit), sessions)
