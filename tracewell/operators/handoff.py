@@ -72,11 +72,11 @@ def extracted(replies: DataFrame) -> DataFrame:
     )
 
 
-def front_matter(sessions: DataFrame) -> DataFrame:
-    """``id, head``: the YAML head of each session's summary document."""
+def front_matter(sessions: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """``id``, the columns ``more`` that tell sessions of one id apart, and ``head``: the YAML head of each session's summary document."""
     minutes = F.floor((F.unix_timestamp(F.coalesce("ended_at", "last_event_at")) - F.unix_timestamp("started_at")) / 60)
     head = F.format_string("---\nid: %s\nengine: %s\ndate: %s\nduration_minutes: %d\n---\n", "id", "engine", F.date_format("started_at", "yyyy-MM-dd"), minutes)
-    return sessions.select("id", head.alias("head"))
+    return sessions.select("id", *more, head.alias("head"))
 
 
 def summary_input(sessions: DataFrame, transcripts: DataFrame, facts: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def summary_section(files: DataFrame, first: int = 20) -> DataFrame:
     return files.groupBy("session_id").agg(F.when(more > 0, F.concat(text, F.format_string("\n- %d more", more))).otherwise(text).alias("section"))
 
 
-def stale_documents(documents: DataFrame, version: int) -> DataFrame:
-    """Documents (``id, render_version, text``) to render again, with size and estimated tokens."""
+def stale_documents(documents: DataFrame, version: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """Documents (``id, render_version, text``) to render again, with size and estimated tokens; ``more`` tells those of one id apart."""
     stale = F.coalesce(F.col("render_version") != version, F.lit(True))
-    return documents.select("id", stale.alias("stale"), F.octet_length("text").alias("bytes"), F.floor(F.octet_length("text") / 4).alias("tokens"))
+    return documents.select("id", *more, stale.alias("stale"), F.octet_length("text").alias("bytes"), F.floor(F.octet_length("text") / 4).alias("tokens"))

@@ -12,7 +12,7 @@ from ..functions.timebounds import time_bound, window_label
 from ..operators import activity, attribution, handoff, inspection, links, listing, recall, rollup, tables, transcript
 from ..sources import adapter as fx
 from ..sources import logs
-from .queries import AS_OF, _clock, _json, _said, _sessions, _text, query
+from .queries import APART, AS_OF, _clock, _json, _said, _sessions, _text, query
 
 
 @query
@@ -78,10 +78,11 @@ def ingest_plan(spark: SparkSession, d: str) -> DataFrame:
 @query
 def handoff_documents(spark: SparkSession, d: str) -> DataFrame:
     """Heads of summary documents, and whether a transcript is to be rendered again."""
-    s = _sessions(spark, d)
-    docs = s.select("id", F.when(F.col("total_tools") % 3 > 0, F.col("total_tools") % 3).alias("render_version"), F.repeat(F.lit("é"), F.col("total_tools").cast("int")).alias("text"))
+    s = _sessions(spark, d, APART[1:])
+    docs = s.select(*APART, F.when(F.col("total_tools") % 3 > 0, F.col("total_tools") % 3).alias("render_version"), F.repeat(F.lit("é"), F.col("total_tools").cast("int")).alias("text"))
     body = recall.without_front_matter(F.concat("head", F.lit("body of "), "id"))
-    return handoff.front_matter(s).withColumn("body", body).join(transcript.stale_documents(docs, 2), "id")
+    heads = handoff.front_matter(s, APART[1:]).withColumn("body", body)
+    return heads.join(transcript.stale_documents(docs, 2, APART[1:]), [*APART]).drop("user_id")
 
 
 @query
