@@ -65,14 +65,14 @@ def fact_trace(spark: SparkSession, d: str) -> DataFrame:
 @query
 def ingest_plan(spark: SparkSession, d: str) -> DataFrame:
     """What to do with each log, given what is known of it, what its facts look like, and what stands in it."""
-    s = _sessions(spark, d)
+    s = _sessions(spark, d, APART[1:])
     n = F.col("total_tools") + F.col("total_turns")
     lines = _said(spark, d).filter("fact_type = 'file_read' AND k % 9 = 0")
     called = logs.inline_tools(lines.select("file", "ord", F.lit('{"type":"assistant","message":{"content":[{"type":"tool_use","name":"x"}]}}').alias("line"))).select(F.col("file").alias("id"), F.lit(True).alias("called"))
     bad = rollup.doubtful_sessions(fx.fx_facts(spark, d)).select(F.col("session_id").alias("id"), F.lit(True).alias("bad"))
-    found = s.join(called, "id", "left").join(bad, "id", "left").select("id", n.alias("size"), F.coalesce("called", F.lit(False)).alias("has_tool_blocks"), (F.coalesce("bad", F.lit(False)) & (F.col("total_tools") % 2 == 0)).alias("bad_errors"))
-    known = s.filter("total_tools % 7 > 0").select("id", (n - F.col("total_tools") % 3 + 1).alias("last_indexed_offset"), "peak_context", F.when(F.col("total_tools") % 5 == 0, 0).otherwise(F.col("total_tools")).alias("total_tools"))
-    return rollup.ingest_plan(found, known, largest_peak=12_000)
+    found = s.join(called, "id", "left").join(bad, "id", "left").select(*APART, n.alias("size"), F.coalesce("called", F.lit(False)).alias("has_tool_blocks"), (F.coalesce("bad", F.lit(False)) & (F.col("total_tools") % 2 == 0)).alias("bad_errors"))
+    known = s.filter("total_tools % 7 > 0").select(*APART, (n - F.col("total_tools") % 3 + 1).alias("last_indexed_offset"), "peak_context", F.when(F.col("total_tools") % 5 == 0, 0).otherwise(F.col("total_tools")).alias("total_tools"))
+    return rollup.ingest_plan(found, known, largest_peak=12_000, more=APART[1:])
 
 
 @query
