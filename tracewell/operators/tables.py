@@ -49,9 +49,9 @@ def advanced(cursors: DataFrame, runs: DataFrame) -> DataFrame:
     return both.select("engine", F.when(F.coalesce("failed", F.lit(True)), F.col("seen_to")).otherwise(F.greatest("seen_to", "new")).alias("seen_to"))
 
 
-def ingest_report(found: DataFrame, known: DataFrame) -> DataFrame:
+def ingest_report(found: DataFrame, known: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """``engine, indexed, skipped, errors``: of the logs ``found`` (``engine, id, size, error``) those new or grown since
-    ``known`` (``id, size``) are indexed, unchanged ones skipped."""
-    f = found.join(known.select("id", F.col("size").alias("old")), "id", "left")
+    ``known`` (``id, size``) are indexed, unchanged ones skipped. The columns ``more`` of both tell logs of one id apart."""
+    f = found.join(known.select("id", *more, F.col("size").alias("old")), ["id", *more], "left")
     bad, same = F.col("error").isNotNull(), F.coalesce(F.col("size") == F.col("old"), F.lit(False))
     return f.groupBy("engine").agg(F.count_if(~bad & ~same).alias("indexed"), F.count_if(~bad & same).alias("skipped"), F.count_if(bad).alias("errors"))
