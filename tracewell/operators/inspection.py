@@ -118,14 +118,15 @@ def cache_tokens(sessions: DataFrame, usage: DataFrame) -> DataFrame:
     return sessions.join(sums, "id", "left").select("id", stored("cache_read_tokens", F.col("r")), stored("cache_creation_tokens", F.col("c")))
 
 
-def tasks(sessions: DataFrame, facts: DataFrame, handoffs: DataFrame, descriptions: DataFrame) -> DataFrame:
+def tasks(sessions: DataFrame, facts: DataFrame, handoffs: DataFrame, descriptions: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """``id, task``: the summary's headline, a child's description by its parent, the log's summary, the first prompt.
 
     Descriptions and prompts are cut to 60 characters, prompts are trimmed and those that are blank passed over.
+    The columns ``more`` of sessions, summaries and descriptions tell sessions of one id apart.
     """
     prompts = first_prompts(facts.filter(ws_trim(F.col("detail")) != "")).select(F.col("session_id").alias("id"), F.substring(ws_trim(F.col("first_prompt")), 1, 60).alias("prompt"))
-    h, d = handoffs.select(F.col("session_id").alias("id"), "headline"), descriptions.select(F.col("session_id").alias("id"), F.substring(F.trim("description"), 1, 60).alias("description"))
-    df = sessions.select("id", "session_type", "root_summary").join(h, "id", "left").join(d, "id", "left").join(prompts, "id", "left")
+    h, d = handoffs.select(F.col("session_id").alias("id"), *more, "headline"), descriptions.select(F.col("session_id").alias("id"), *more, F.substring(F.trim("description"), 1, 60).alias("description"))
+    df = sessions.select("id", *more, "session_type", "root_summary").join(h, ["id", *more], "left").join(d, ["id", *more], "left").join(prompts, "id", "left")
     child = F.when(F.col("session_type") == "subagent", F.nullif("description", F.lit("")))
     return df.select("id", F.coalesce("headline", child, "root_summary", "prompt").alias("task"))
 
