@@ -1,5 +1,7 @@
 """Documents as files in dated folders, ``<engine>/<kind>/YYYY/MM/DD/<id>.md``; a file stands whole or not at all.
 
+Where documents of one id are told apart by a column ``mark``, it follows the id: ``<id>~<mark>.md``.
+
 A run writes only what is new: it asks which files there are, and replaces one only where its session has new data.
 """
 
@@ -20,7 +22,8 @@ def with_paths(docs: DataFrame, root: str, kind: str, otherwise: date | None = N
     """Adds ``path``: null for documents without a start, unless they go below the day ``otherwise``."""
     started = F.coalesce("started_at", F.lit(otherwise).cast("timestamp")) if otherwise else F.col("started_at")
     d = date_parts(started)
-    name = F.concat(F.substring(safe_name(F.col("id")), 1, 8), F.lit(".md"))
+    mark = F.concat(F.lit("~"), safe_name(F.col("mark"))) if "mark" in docs.columns else F.lit("")
+    name = F.concat(F.substring(safe_name(F.col("id")), 1, 8), mark, F.lit(".md"))
     path = F.when(started.isNotNull(), F.concat(F.lit(root.rstrip("/") + "/"), F.concat_ws("/", "engine", F.lit(kind), d["y"], d["m"], d["d"], name)))
     return docs.withColumn("path", path)
 
@@ -40,12 +43,13 @@ def planned(docs: DataFrame, existing: DataFrame, *, fresh: DataFrame | None = N
     A document is kept where its file is there, unless its session is among the ``fresh`` (``id``: those with new data). Of two
     documents with one path the later start is written, then the smaller id; the others are kept.
     """
+    key = ["id", "mark"] if "mark" in docs.columns else ["id"]
     there = existing.select("path").distinct().withColumn("__there", F.lit(True))
-    new = (docs.select("id").limit(0) if fresh is None else fresh.select("id")).distinct().withColumn("__new", F.lit(True))
-    d = docs.join(there, "path", "left").join(new, "id", "left")
-    first = d.filter("path IS NOT NULL").groupBy("path").agg(F.min_by("id", F.struct(-F.unix_micros(F.col("started_at").cast("timestamp")), "id")).alias("__first"))
+    new = (docs.select(*key).limit(0) if fresh is None else fresh.select(*key)).distinct().withColumn("__new", F.lit(True))
+    d = docs.join(there, "path", "left").join(new, key, "left")
+    first = d.filter("path IS NOT NULL").groupBy("path").agg(F.min_by(F.struct(*key), F.struct(-F.unix_micros(F.col("started_at").cast("timestamp")), *key)).alias("__first"))
     d = d.join(first, "path", "left")
-    state = F.when(F.col("path").isNull(), "undated").when(F.col("id") != F.col("__first"), "kept").when(F.col("__there") & F.col("__new").isNull(), "kept").otherwise("write")
+    state = F.when(F.col("path").isNull(), "undated").when(F.struct(*key) != F.col("__first"), "kept").when(F.col("__there") & F.col("__new").isNull(), "kept").otherwise("write")
     return d.withColumn("state", state).drop("__there", "__new", "__first")
 
 
