@@ -30,11 +30,45 @@ def with_paths(docs: DataFrame, root: str, kind: str, otherwise: date | None = N
 
 def present(spark: SparkSession, root: str) -> DataFrame:
     """``path`` of the documents below a root; none where the root isn't there yet. Their contents aren't read."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(root)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    root, fs = root.rstrip("/"), spark._jvm.org.apache.hadoop.fs
+    files = fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    days = [root] if files.exists(fs.Path(root)) else []
+    # The driver lists folders only, as many as there are days; the files, which may be millions, are listed by tasks.
+    for _ in range(5):
+        days = [f"{d}/{s.getPath().getName()}" for d in days for s in files.listStatus(fs.Path(d)) if s.isDirectory()]
+
+    def run(batches):
+        from pyarrow.fs import FileSelector
+
+        for b in batches:
+            for day in b.column("day").to_pylist():
+                source, path = opened(day)
+                names = [f"{day}/{f.base_name}" for f in source.get_file_info(FileSelector(path)) if f.is_file and f.base_name.endswith(".md")]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["path"])
+
+    if not days:
         return spark.createDataFrame([], "path string")
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(root)
-    return found.select(F.concat(F.lit(root.rstrip("/")), F.regexp_extract("_metadata.file_path", r"(/[^/]+/[^/]+/\d+/\d+/\d+/[^/]+)$", 1)).alias("path"))
+    return spark.createDataFrame([(d,) for d in days], "day string").repartition(_width(spark), "day").mapInArrow(run, "path string")
+
+
+def read(spark: SparkSession, root: str) -> DataFrame:
+    """``path, text`` of the documents below a root, dealt out by file."""
+
+    def run(batches):
+        for b in batches:
+            texts = []
+            for file in b.column("path").to_pylist():
+                source, path = opened(file)
+                with source.open_input_file(path) as f:
+                    texts.append(f.read().decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(texts, pa.string())], ["path", "text"])
+
+    return present(spark, root).repartition(_width(spark), "path").mapInArrow(run, "path string, text string")
+
+
+def _width(spark: SparkSession) -> int:
+    """Files are work for a while, but their names are few bytes, which would be gathered in a few tasks."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def planned(docs: DataFrame, existing: DataFrame, *, fresh: DataFrame | None = None) -> DataFrame:
@@ -60,11 +94,15 @@ def write(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
+        made = set()
         for b in batches:
             sizes = []
             for file, text in zip(b.column("path").to_pylist(), b.column("text").to_pylist()):
                 target, path = opened(file)
-                target.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                folder = path.rsplit("/", 1)[0]
+                if folder not in made:
+                    target.create_dir(folder, recursive=True)
+                    made.add(folder)
                 aside = f"{path}.{uuid.uuid4().hex}"
                 data = (text or "").encode("utf-8", "surrogatepass")
                 with target.open_output_stream(aside) as out:
@@ -73,7 +111,7 @@ def write(docs: DataFrame) -> DataFrame:
                 sizes.append(len(data))
             yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(sizes, pa.int64())], ["path", "bytes"])
 
-    return docs.select("path", "text").mapInArrow(run, "path string, bytes bigint")
+    return docs.select("path", "text").repartition(_width(docs.sparkSession), "path").mapInArrow(run, "path string, bytes bigint")
 
 
 def write_dated(spark: SparkSession, docs: DataFrame, root: str, kind: str, *, fresh: DataFrame | None = None, otherwise: date | None = None) -> dict[str, int]:
